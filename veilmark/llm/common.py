@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII bytes that are no part of a word; A-Z is lower-cased first. Bytes from 0x80 up belong to words.
 WORD_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,13 +60,14 @@ def map_texts(
 ) -> DataFrame:
     """Runs `fn(ids, texts) -> columns` over Arrow batches of `df`; rows keep their partitions, nothing shuffles."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 out = fn(part.column(0).to_pylist(), part.column(1).to_pylist())
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
 
     return rows.mapInArrow(run, schema)
 

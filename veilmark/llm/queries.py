@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import q_exact_dedup
+from veilmark.llm import q_chat_format, q_exact_dedup, q_license_scan
 
-_MODULES = (q_exact_dedup,)
+_MODULES = (q_exact_dedup, q_chat_format, q_license_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
