@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import q_chat_format, q_exact_dedup, q_license_scan
+from veilmark.llm import q_chat_format, q_exact_dedup, q_language_id, q_license_scan, q_sentence_pieces
 
-_MODULES = (q_exact_dedup, q_chat_format, q_license_scan)
+_MODULES = (q_exact_dedup, q_chat_format, q_license_scan, q_sentence_pieces, q_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
