@@ -72,11 +72,29 @@ def map_texts(
     return rows.mapInArrow(run, schema)
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `decisions` (row_key long: rows that stay) names, with all their columns.
+#: Row keys up to this number are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
-    A semi-join on the hash of id and text: rows that repeat both an id and its text stay or go together.
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that `dropped` (row_key, a written table) names, with all their columns.
+
+    Rows that repeat both an id and its text share a key: they go together.
     """
     mark = f"key_{uuid.uuid4().hex[:8]}"
-    keyed = docs.withColumn(mark, row_key(id_col, text_col))
-    return keyed.join(decisions.select(F.col("row_key").alias(mark)), mark, "left_semi").drop(mark)
+    keys = dropped.select(F.col("row_key").alias(mark))
+    keys = F.broadcast(keys) if dropped.count() <= BROADCAST_KEYS else keys
+    return docs.withColumn(mark, row_key(id_col, text_col)).join(keys, mark, "left_anti").drop(mark)
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[list], list], text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, for which `keep(texts)` says true; row by row, nothing shuffles."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                yield part.filter(pa.array(keep(part.column(place).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

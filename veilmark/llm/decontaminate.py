@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import keep_rows, map_texts, row_key, words_of, written
+from veilmark.llm.common import filter_texts, map_texts, words_of
 
 #: Characters of test items in one index; a larger benchmark is matched in several passes.
 _PASS_CHARS = 4_000_000
@@ -122,11 +124,27 @@ def _index(name: str, items: list[tuple[str, int]]) -> PieceIndex:
     return _INDEXES[name]
 
 
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, edit_rate: float, min_chars: int) -> Iterator[Broadcast]:
+    """The items in broadcast passes of a bounded size: (name, [(words, budget)], [item ids of these words])."""
+    length = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    total = benchmark.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
+    passes = max(1, -(-int(total) // _PASS_CHARS))
+    numbered = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(item_col, text_col), F.lit(passes)).alias("pass"))
+    for k in range(passes):
+        by_words: dict[str, list] = {}
+        for r in numbered.filter(F.col("pass") == k).toLocalIterator():
+            words = words_of(r["text"]).decode()
+            if len(words) >= min_chars:
+                by_words.setdefault(words, []).append(r["item"])
+        items = [(w, int(edit_rate * len(w))) for w in by_words]
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, list(by_words.values())))
+
+
 def contaminations(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", edit_rate: float = 0.05, min_chars: int = 20,
 ) -> DataFrame:
-    """One row for each document and test item that it holds: doc_id, item_id, distance, end_char, row_key.
+    """One row for each document and test item that it holds: doc_id, item_id, distance, end_char.
 
     Both texts are compared as lower-cased words joined by single spaces, whole. An item of L characters
     may differ by floor(edit_rate * L) edits: it is split into one piece more than that, an index finds
@@ -137,21 +155,9 @@ def contaminations(
     with equal words give a row each, repeated documents too. The items are read in passes of a bounded size,
     each broadcast to the workers; documents do not shuffle.
     """
-    length = F.length(F.coalesce(F.col(item_text_col), F.lit("")))
-    total = benchmark.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
-    passes = max(1, -(-int(total) // _PASS_CHARS))
     id_type, item_type = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    numbered = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"), F.pmod(F.xxhash64(item_col, item_text_col), F.lit(passes)).alias("pass"))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key")).alias("id"), F.col(text_col).alias("text"))
     found = None
-    for k in range(passes):
-        by_words: dict[str, list] = {}
-        for r in numbered.filter(F.col("pass") == k).toLocalIterator():
-            words = words_of(r["text"]).decode()
-            if len(words) >= min_chars:
-                by_words.setdefault(words, []).append(r["item"])
-        items = [(w, int(edit_rate * len(w))) for w in by_words]
-        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, list(by_words.values())))
+    for sent in _passes(benchmark, item_col, item_text_col, edit_rate, min_chars):
 
         def scan(ids: list, texts: list, sent=sent) -> dict:
             name, items, names = sent.value
@@ -164,13 +170,19 @@ def contaminations(
                             column.append(value)
             return out
 
-        part = map_texts(rows, scan, f"doc_id struct<id: {id_type}, key: bigint>, item_id {item_type}, distance int, end_char bigint", "id", "text")
+        part = map_texts(docs, scan, f"doc_id {id_type}, item_id {item_type}, distance int, end_char bigint", id_col, text_col)
         found = part if found is None else found.unionByName(part)
-    return found.select(F.col("doc_id.id").alias("doc_id"), "item_id", "distance", "end_char", F.col("doc_id.key").alias("row_key"))
+    return found
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_rate: float = 0.05, min_chars: int = 20) -> DataFrame:
+    """`docs` without the documents that hold a test item; all columns stay, nothing shuffles."""
+    for sent in _passes(benchmark, item_col, item_text_col, edit_rate, min_chars):
+
+        def keep(texts: list, sent=sent) -> list:
+            name, items, _ = sent.value
+            index = _index(name, items)
+            return [not index.matches(words_of(t)) for t in texts] if items else [True] * len(texts)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that hold a test item; all columns stay."""
-    hit = written(contaminations(docs, benchmark, id_col, text_col).select("row_key").distinct())
-    keys = docs.select(row_key(id_col, text_col).alias("row_key"))
-    return keep_rows(docs, keys.join(hit, "row_key", "left_anti"), id_col, text_col)
+        docs = filter_texts(docs, keep, text_col)
+    return docs

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import keep_rows, row_key, written
+from veilmark.llm.common import drop_rows, row_key, written
 
 #: Bits of the filter in one row of the filter table: 64 words of 64 bits.
 _BUCKET_BITS = 4096
@@ -103,13 +103,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows that repeat both id and text share a row key: of those, one stays as well.
     """
-    decided = written(exact_dedup(docs, id_col, text_col))
-    kept = keep_rows(docs, decided.filter("kept"), id_col, text_col)
-    repeats = decided.filter("kept or keep_id <=> doc_id").groupBy("row_key").count().filter("count > 1")
+    keys = written(exact_dedup(docs, id_col, text_col).groupBy("row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
+    left = drop_rows(docs, keys.filter("not kept"), id_col, text_col)
+    repeats = keys.filter("kept and rows > 1").select("row_key")
     if repeats.isEmpty():
-        return kept
+        return left
     mark = f"key_{uuid.uuid4().hex[:8]}"
-    kept = kept.withColumn(mark, row_key(id_col, text_col))
-    twice = repeats.select(F.col("row_key").alias(mark))
-    once = kept.join(twice, mark, "left_anti")
-    return once.unionByName(kept.join(twice, mark, "left_semi").dropDuplicates([mark])).drop(mark)
+    marked = left.withColumn(mark, row_key(id_col, text_col))
+    twice = repeats.withColumnRenamed("row_key", mark)
+    once = marked.join(twice, mark, "left_anti")
+    return once.unionByName(marked.join(twice, mark, "left_semi").dropDuplicates([mark])).drop(mark)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import map_texts, written
+from veilmark.llm.common import filter_texts, map_texts, written
 
 #: Bits of a n-gram's hash are read at so many positions.
 _HASHES = 3
@@ -183,3 +183,13 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", t
         return {"doc_id": ids, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
     return map_texts(docs, run, f"doc_id {id_type}, lang_pred string, score double", id_col, text_col)
+
+
+def keep_known_languages(docs: DataFrame, filters: LanguageFilters, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose text is `und`, or has under `min_score` of its n-grams in its best language."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def keep(texts: list) -> list:
+        return [lang != "und" and score >= min_score for lang, score in map(sent.value.predict, texts)]
+
+    return filter_texts(docs, keep, text_col)

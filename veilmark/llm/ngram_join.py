@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veilmark.llm.common import keep_rows, map_texts, row_key, words_of, written
+from veilmark.llm.common import BROADCAST_KEYS, drop_rows, map_texts, row_key, words_of, written
 from veilmark.llm.components import connected_components
 from veilmark.llm.shingles import gram_hashes, mix, word_hashes
 
-#: Candidates up to this number are broadcast as 8-byte keys (4 MB); more are joined by a shuffle.
-_BROADCAST_KEYS = 500_000
 #: Members of a bucket that are compared in one task; larger buckets are split into blocks and pairs of blocks.
 _BLOCK = 256
 
@@ -177,7 +175,7 @@ def ngram_join(
         .join(classes.select("node", "row_key", "copies"), "node")
     )
     keys = candidates.select("row_key", "node", "copies", "buckets")
-    slim = F.broadcast(keys.select("row_key")) if candidates.count() <= _BROADCAST_KEYS else keys.select("row_key")
+    slim = F.broadcast(keys.select("row_key")) if candidates.count() <= BROADCAST_KEYS else keys.select("row_key")
     texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text")).join(slim, "row_key", "left_semi")
     with_text = texts.join(keys, "row_key").select("node", "copies", "text", F.transform("buckets", lambda b: b["bucket"]).alias("buckets"), F.explode("buckets").alias("b"))
     blocks = F.ceil(F.col("b.members") / _BLOCK).cast("int")
@@ -208,5 +206,5 @@ def ngram_join(
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each class of near copies (the smallest id); all columns stay."""
-    decided = written(ngram_join(docs, id_col, text_col).filter("kept").select("row_key"))
-    return keep_rows(docs, decided, id_col, text_col)
+    dropped = written(ngram_join(docs, id_col, text_col).filter("not kept").select("row_key").distinct())
+    return drop_rows(docs, dropped, id_col, text_col)

@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilmark.llm.common import map_texts, row_key, words_of, written
+from veilmark.llm.common import BROADCAST_KEYS, map_texts, row_key, words_of, written
 from veilmark.llm.shingles import gram_hashes, mix, word_hashes
 
 #: Windows that are compared in one task; larger groups are split into blocks and pairs of blocks.
 _BLOCK = 256
 #: The filter of shared signatures has at most so many bits (16 MiB).
 _MOST_BITS = 27
-#: Keys of exact copies up to this number are broadcast; more are joined by a shuffle.
-_BROADCAST_KEYS = 500_000
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -220,7 +218,7 @@ def repeated_passages(
     several = classes.filter("copies > 1")
     others = written(unique.join(several.select("low", "high", "n_words", "node"), ["low", "high", "n_words"]).select("row_key", "node"))
     drop = others.filter("row_key != node").select("row_key")
-    drop = F.broadcast(drop) if others.count() <= _BROADCAST_KEYS else drop
+    drop = F.broadcast(drop) if others.count() <= BROADCAST_KEYS else drop
     texts = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc"), row_key(id_col, text_col).alias("node")).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("row_key", F.col("id.node")).join(drop, "row_key", "left_anti").select("id", "text")
 
@@ -255,7 +253,7 @@ def repeated_passages(
     met = written(met)
     sizes = met.groupBy("signature").agg(F.count("*").alias("windows")).filter("windows > 1")
     crowded = written(sizes.filter(F.col("windows") > _BLOCK))
-    large = F.broadcast(crowded) if crowded.count() <= _BROADCAST_KEYS else crowded
+    large = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
     placed = met.join(large, "signature", "left")
     blocks = F.ceil(F.coalesce("windows", F.lit(1)) / _BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node", "centre"), blocks).cast("int")

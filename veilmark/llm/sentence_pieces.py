@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import chain
 
+import pyarrow as pa
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from veilmark.llm.common import map_texts
 
@@ -92,3 +96,30 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
         return out | {"ids": [e[1] for e in encoded]} if with_ids else out
 
     return map_texts(docs, run, schema, id_col, text_col)
+
+
+def with_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """`docs` with the columns n_tokens bigint, ids array<int> and round_trip boolean (taking the place of any so
+    named), row by row. round_trip is false where ids decode to another text, as for one that holds the white-space
+    mark itself.
+    """
+    with open(model_path, "rb") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    name = hashlib.sha256(model.value).hexdigest()
+    docs = docs.drop("n_tokens", "ids", "round_trip")
+    place = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                table = _table(name, model)
+                texts = [t or "" for t in part.column(place).to_pylist()]
+                ids = [table.encode(t)[1] for t in texts]
+                same = [table.sp.decode(i) == t for t, i in zip(texts, ids, strict=True)]
+                columns = [*part.columns, pa.array([len(i) for i in ids], pa.int64()), pa.array(ids), pa.array(same)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
+
+    return docs.mapInArrow(run, schema)
