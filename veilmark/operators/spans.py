@@ -37,10 +37,12 @@ class DictionaryEntry:
             re.compile(pattern)
         except re.error:
             return None
-        return _Literal(1000 + n, entity, "customDictionary", 0.95, pattern)
+        return Pattern(1000 + n, entity, "customDictionary", 0.95, pattern)
 
 
-class _Literal(Rule):
+class Pattern(Rule):
+    """A rule whose regex is taken as it stands."""
+
     @property
     def pattern(self) -> str:
         return self.regex
@@ -115,7 +117,7 @@ def drop_implausible(spans: DataFrame) -> DataFrame:
 
 def seal_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, start, end, value) of the sealed values in texts."""
-    rule = _Literal(0, "seal", "seal", 1.0, SEAL_TOKEN, ("{{",))
+    rule = Pattern(0, "seal", "seal", 1.0, SEAL_TOKEN, ("{{",))
     return extract_spans(df.filter(F.contains(F.col(text_col), F.lit("{{"))), id_col, text_col, [rule]).select("doc_id", "start", "end", "value")
 
 
@@ -157,7 +159,7 @@ def dictionary_substrings(df: DataFrame, id_col: str, text_col: str, entries: Se
     for i, e in enumerate(entries):
         if e.value.strip() and e.kind in DICTIONARY_KINDS and e.kind != "regex":
             quoted = "".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else re.sub(r"([\\.+*?()\[\]{}|^$])", r"\\\1", c) for c in e.value.strip())
-            rules.append(_Literal(1000 + i, DICTIONARY_KINDS[e.kind], "customDictionary", 0.95, quoted))
+            rules.append(Pattern(1000 + i, DICTIONARY_KINDS[e.kind], "customDictionary", 0.95, quoted))
     return extract_spans(df, id_col, text_col, rules)
 
 
