@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,12 +56,16 @@ def throttle(bursts: DataFrame, key: str = "root", spacing: int = SPACING) -> Da
             last, waiting = waiting, None
         due = now if row["immediate"] or last is None or now - last >= spacing else last + spacing
         if due == now:
-            return (now, None), {"fired_at": pd.Timestamp(now, unit="s", tz="UTC").to_pydatetime()}
-        return (last, due), {"fired_at": pd.Timestamp(due, unit="s", tz="UTC").to_pydatetime()}
+            return (now, None), {"fired_at": _time(now)}
+        return (last, due), {"fired_at": _time(due)}
 
     return fold_by_key(bursts, [key], ["fires"], step, "fired_at timestamp")
 
 
+def _time(seconds: float) -> datetime:
+    return datetime.fromtimestamp(seconds, UTC)
+
+
 def _admit(times: list[float], now: float, most: int, seconds: float) -> tuple[list[float], bool]:
     times = [t for t in times if t >= now - seconds]
     return (times + [now], True) if len(times) < most else (times, False)
