@@ -94,21 +94,24 @@ def priority() -> Column:
     )
 
 
-def resolve_overlaps(spans: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """One finding for each island of overlapping spans: that of the highest priority, ties to the earlier one; it
-    covers the whole island, and takes its value from the text where `texts` is given."""
+    covers the whole island, and its value is put together from the spans', so no text is read again."""
     order = Window.partitionBy("doc_id").orderBy("start", F.col("priority").desc(), "rule_ord", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("priority", priority()).withColumn("place", F.row_number().over(order))
     rows = rows.withColumn("new", F.when(reached.isNull() | (F.col("start") >= reached), 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    best = F.max_by(F.struct("entity_type", "value", "confidence", "source", "rule_ord"), F.struct("priority", -F.col("place"))).alias("best")
-    merged = rows.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best).select("doc_id", "start", "end", "best.*")
-    if texts is None:
-        return merged
-    source = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"))
-    sliced = F.col("whole").substr(F.col("start") + 1, F.col("end") - F.col("start"))
-    return merged.join(source, "doc_id").withColumn("value", sliced).drop("whole")
+    best = F.max_by(F.struct("entity_type", "confidence", "source", "rule_ord"), F.struct("priority", -F.col("place"))).alias("best")
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("parts")
+    merged = rows.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best, parts)
+
+    def longer(a: Column, x: Column) -> Column:
+        added = x["value"].substr(a["reach"] - x["start"] + 1, F.length(x["value"]))
+        return F.when(x["end"] > a["reach"], F.struct(x["end"].alias("reach"), F.concat(a["value"], added).alias("value"))).otherwise(a)
+
+    value = F.aggregate("parts", F.struct(F.col("start").alias("reach"), F.lit("").alias("value")), longer, lambda a: a["value"])
+    return merged.select("doc_id", "start", "end", "best.entity_type", value.alias("value"), "best.confidence", "best.source", "best.rule_ord")
 
 
 def drop_implausible(spans: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def detect(
 ) -> DataFrame:
     """The whole scan: rules and dictionary terms, overlaps resolved, false positives, sealed and ignored places left out."""
     rules = [*select_rules(enabled, disabled), *(r for i, e in enumerate(dictionary) if (r := e.rule(i)) and (enabled is None or r.type in set(enabled)))]
-    spans = drop_implausible(resolve_overlaps(extract_spans(df, id_col, text_col, rules), df, id_col, text_col))
+    spans = drop_implausible(resolve_overlaps(extract_spans(df, id_col, text_col, rules)))
     spans = drop_inside_tokens(spans, seal_tokens(df, id_col, text_col))
     if ignore_marker:
         spans = drop_inline_ignored(spans, df, id_col, text_col, ignore_marker)

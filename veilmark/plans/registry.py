@@ -44,8 +44,7 @@ def spans_by_rule(spark, sf_dir):
 
 
 def spans_resolved(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    found = spans.resolve_overlaps(spans.extract_spans(docs, "doc_id", "text", spans.select_rules(COMPARED)), docs)
+    found = spans.resolve_overlaps(spans.extract_spans(documents(spark, sf_dir), "doc_id", "text", spans.select_rules(COMPARED)))
     return found.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "entity_type", "value")
 
 
