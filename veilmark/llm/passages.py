@@ -13,22 +13,47 @@ from pyspark.sql.window import Window
 from veilmark.llm.common import BROADCAST_KEYS, map_texts, row_key, words_of, written
 from veilmark.llm.shingles import gram_hashes, mix, word_hashes
 
-#: Windows that are compared in one task; larger groups are split into blocks and pairs of blocks.
+#: Documents whose windows are compared in one task; larger groups are split into blocks and pairs of blocks.
 _BLOCK = 256
 #: The filter of shared signatures has at most so many bits (16 MiB).
 _MOST_BITS = 27
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree over `values`: every run of at least `least` values inside [l, r) that holds
-    c has its smallest value at c. Equal values: the first one wins. Narrower windows are left out."""
+def next_equal(values: np.ndarray) -> list[int]:
+    """For every place the distance to the next equal value; 0 if there is none."""
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    distance = np.zeros(len(values), np.int64)
+    distance[order[:-1][same]] = (order[1:] - order[:-1])[same]
+    return distance.tolist()
+
+
+def compact_windows(values: np.ndarray, least: int, grams: np.ndarray | None = None, repeats: list[int] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(l, c, r, run start, run end) of the Cartesian tree over `values`; windows narrower than `least` are left out.
+
+    Every run of at least `least` values inside [l, r) that holds c has its smallest value there. Of equal
+    values the first counts. Where it starts a part that repeats itself with a period of up to `least`, that part is
+    one node with two centres, the first and last place of its smallest value: what lies in [l, r) and holds
+    that value holds one of them, or lies inside the part (run start to run end), which looks alike all along.
+    """
+    grams = values if grams is None else grams
+    repeats = next_equal(grams) if repeats is None else repeats
     out, stack = [], [(0, len(values))]
     while stack:
         low, high = stack.pop()
-        if high - low >= least:
-            c = low + int(values[low:high].argmin())
-            out.append((low, c, high))
-            stack += [(low, c), (c + 1, high)]
+        if high - low < least:
+            continue
+        c = low + int(values[low:high].argmin())
+        period = repeats[c]
+        last = c
+        if 0 < period <= least and c + period < high:
+            differs = grams[c + period : high] != grams[c : high - period]
+            stop = c + period + (int(differs.argmax()) if differs.any() else len(differs))
+            last = c + (stop - 1 - c) // period * period
+            out += [(low, c, high, c, stop), (low, last, high, c, stop)]
+        else:
+            out.append((low, c, high, c, c + 1))
+        stack += [(low, c), (last + 1, high)]
     return out
 
 
@@ -44,63 +69,153 @@ class Signatures:
         self.n, self.least, self.side, self.hashes = n, least, side, hashes
         rng = np.random.default_rng(11)
         self.seeds = rng.integers(1, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(rng.integers(1, 2**63)) * np.uint64(2) + np.uint64(1)
+        self.base = rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1)
+        self.powers = self.inverses = np.empty(0, np.uint64)
+
+    def _runs(self, grams: np.ndarray) -> np.ndarray:
+        """A hash of every `side` neighbouring grams, from prefix sums over growing powers."""
+        if len(self.powers) < len(grams):
+            inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
+            self.powers = np.multiply.accumulate(np.full(2 * len(grams), self.base))
+            self.inverses = np.multiply.accumulate(np.full(2 * len(grams), inverse))
+        sums = np.zeros(len(grams) + 1, np.uint64)
+        np.add.accumulate(grams * self.powers[: len(grams)], out=sums[1:])
+        count = len(grams) - self.side + 1
+        return (sums[self.side :] - sums[:count]) * self.inverses[:count]
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(grams, signatures, centres): a signature and its window's centre for each side of each window."""
+        """(grams, signatures, windows): a signature for each side of each window, and the window's (centre, run start, run end)."""
         grams = gram_hashes(words, self.n)
-        empty = np.empty(0, np.uint64), np.empty(0, np.int64)
         if len(words) < self.n or len(grams) < self.least:
-            return grams, *empty
-        runs = np.zeros(len(grams) - self.side + 1, np.uint64)
-        factor = np.uint64(1)
-        with np.errstate(over="ignore"):
-            for i in range(self.side):
-                runs += grams[i : len(runs) + i] * factor
-                factor = factor * self.base
-        keys, centres = [], []
+            return grams, np.empty(0, np.uint64), np.empty((0, 3), np.int64)
+        runs, repeats = self._runs(grams), next_equal(grams)
+        keys, windows = [], []
         for seed in self.seeds:
-            found = compact_windows(mix(grams ^ seed), self.least)
-            c = np.array([w[1] for w in found], np.int64)
-            left, right = c[c >= self.side - 1], c[c < len(runs)]
-            keys += [mix(runs[left - self.side + 1] ^ seed), mix(runs[right] + seed)]
-            centres += [left, right]
-        keys, centres = np.concatenate(keys), np.concatenate(centres)
-        _, first = np.unique(np.stack((keys, centres.astype(np.uint64))), axis=1, return_index=True) if len(keys) else (None, [])
-        return grams, keys[first], centres[first]
+            found = np.array([w[1:2] + w[3:] for w in compact_windows(grams * seed, self.least, grams, repeats)], np.int64)
+            c = found[:, 0]
+            left, right = c >= self.side - 1, c < len(runs)
+            keys += [mix(runs[c[left] - self.side + 1] ^ seed), mix(runs[c[right]] + seed)]
+            windows += [found[left], found[right]]
+        return grams, np.concatenate(keys), np.concatenate(windows)
 
 
-def _aligned(own: np.ndarray, others: np.ndarray, centre: int, least: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which `others` share a passage with `own` around `centre`, and its bounds [start, end) in each.
+def aligned(own: np.ndarray, other: np.ndarray, centre: int, least: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows of two matrices of grams share a passage around `centre`, and its bounds [start, end) there.
 
     Grams match place by place; a run of L places with x mismatches has similarity (L - x) / (L + x). The widest
     run around the centre is taken that starts and ends with a match, has at least `least` places, and reaches
     the threshold.
     """
     allowed = (1 - threshold) / (1 + threshold)  # mismatches a place
-    match = (others == own) & (own != 0)
-    rows = np.flatnonzero(match.sum(axis=1) >= least * (1 - allowed) - 1e-9)
-    rows = rows[match[rows, centre]]
+    match = (other == own) & (own != 0)
+    rows = np.flatnonzero((match.sum(axis=1) >= least * (1 - allowed) - 1e-6) & match[:, centre])
     if not len(rows):
         return rows, rows, rows
     match = match[rows]
-    gain = np.zeros((len(rows), match.shape[1] + 1))
-    np.cumsum(np.where(match, allowed, allowed - 1), axis=1, out=gain[:, 1:])
+    gain = np.zeros((len(rows), match.shape[1] + 1), np.float32)
+    np.cumsum(np.where(match, np.float32(allowed), np.float32(allowed - 1)), axis=1, out=gain[:, 1:])
     ends = np.where(match[:, centre:], gain[:, centre + 1 :], -np.inf)
     starts = np.where(match[:, : centre + 1], gain[:, : centre + 1], np.inf)
-    most, fewest = ends.max(axis=1), starts.min(axis=1)
-    start = (starts <= most[:, None] + 1e-9).argmax(axis=1)
-    width = ends.shape[1]
-    end = centre + width - (ends >= fewest[:, None] - 1e-9)[:, ::-1].argmax(axis=1)
-    # the widest run from the leftmost start, and from the rightmost end, may be two runs: each must be long enough
-    from_start = centre + width - (ends >= gain[np.arange(len(rows)), start][:, None] - 1e-9)[:, ::-1].argmax(axis=1)
-    to_end = (starts <= gain[np.arange(len(rows)), end][:, None] + 1e-9).argmax(axis=1)
-    start = np.where(from_start - start >= least, start, to_end)
-    end = np.where(end - to_end >= least, end, from_start)
+    every, width = np.arange(len(rows)), ends.shape[1]
+
+    def last_end(least_gain: np.ndarray) -> np.ndarray:
+        return centre + width - (ends >= least_gain[:, None] - 1e-4)[:, ::-1].argmax(axis=1)
+
+    def first_start(most_gain: np.ndarray) -> np.ndarray:
+        return (starts <= most_gain[:, None] + 1e-4).argmax(axis=1)
+
+    start, end = first_start(ends.max(axis=1)), last_end(starts.min(axis=1))
+    # the widest run from the leftmost start, and that to the rightmost end, may be two runs: each must be long enough
+    from_start, to_end = last_end(gain[every, start]), first_start(gain[every, end])
+    start, end = np.where(from_start - start >= least, start, to_end), np.where(end - to_end >= least, end, from_start)
     long = end - start >= least
     return rows[long], start[long], end[long]
 
 
+#: Pairs of contexts that are compared at once.
+_PAIRS = 4096
+_NO_DOC = np.iinfo(np.int64).max
+
+
+class _Comparison:
+    """Contexts of many groups, and the pairs of them to compare; equal contexts of a group (and block) are one."""
+
+    def __init__(self, reach: int, least: int, threshold: float) -> None:
+        self.reach, self.least, self.threshold = reach, least, threshold
+        self.clear()
+
+    def clear(self) -> None:
+        self.contexts: list[bytes] = []
+        self.members: list[list[tuple]] = []
+        self.groups: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        self.size = 0
+
+    def add(self, rows: list[tuple]) -> None:
+        """The rows of one group: all pairs of one block, or those between two blocks."""
+        node = rows[0][4]
+        if all(r[4] == node for r in rows):
+            return
+        x, y = rows[0][1], rows[0][2]
+        ids: dict[tuple[bool, bytes], int] = {}
+        for r in rows:
+            key = (x != y and r[3] == y, r[10])
+            if key not in ids:
+                ids[key] = len(self.contexts)
+                self.contexts.append(r[10])
+                self.members.append([])
+            self.members[ids[key]].append(r)
+        a = np.array([i for (second, _), i in ids.items() if not second], np.int64)
+        b = a if x == y else np.array([i for (second, _), i in ids.items() if second], np.int64)
+        self.groups.append((a, b, x == y))
+        self.size += len(a) * len(b)
+
+    def _pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs to compare, a bounded number at a time; pairs of a context with itself stand for its equal members."""
+        left, right, size = [], [], 0
+        for a, b, one in self.groups:
+            step = max(1, _PAIRS // max(1, len(b)))
+            for at in range(0, len(a), step):
+                part = a[at : at + step]
+                first, second = np.repeat(part, len(b)), np.tile(b, len(part))
+                keep = second >= first if one else slice(None)
+                left.append(first[keep])
+                right.append(second[keep])
+                size += len(left[-1])
+                if size >= _PAIRS:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, size = [], [], 0
+        if size:
+            yield np.concatenate(left), np.concatenate(right)
+
+    def found(self) -> list[tuple]:
+        """(node, start, end, first_doc) of every member that shares a passage; the comparison starts anew."""
+        grams = np.frombuffer(b"".join(self.contexts), np.uint16).reshape(len(self.contexts), -1)
+        nodes = [{r[4] for r in m} for m in self.members]
+        alone = np.array([len(n) == 1 for n in nodes])
+        only = np.array([next(iter(n)) for n in nodes], np.int64)
+        doc = np.array([min((r[5] for r in m if r[5] is not None), default=_NO_DOC) for m in self.members], np.int64)
+        start, end = np.full(len(grams), 1 << 30), np.full(len(grams), -1)
+        first = doc.copy()
+        for a, b in self._pairs():
+            apart = ~(alone[a] & alone[b] & (only[a] == only[b]))
+            a, b = a[apart], b[apart]
+            hit, s, e = aligned(grams[a], grams[b], self.reach, self.least, self.threshold)
+            for own, other in ((a[hit], b[hit]), (b[hit], a[hit])):
+                np.minimum.at(start, own, s)
+                np.maximum.at(end, own, e)
+                np.minimum.at(first, own, doc[other])
+        out = []
+        for i in np.flatnonzero(end > 0).tolist():
+            first_doc = None if first[i] == _NO_DOC else int(first[i])
+            for _, _, _, _, node, _, centre, last, run_start, run_end, _ in self.members[i]:
+                low, high = centre + int(start[i]) - self.reach, last + int(end[i]) - self.reach
+                if min(high, run_end) - max(low, run_start) >= self.least:  # what repeats itself looks alike all along
+                    low, high = min(low, run_start), max(high, run_end)
+                out.append((node, low, high, first_doc))
+        self.clear()
+        return out
+
+
 def _verify(members: DataFrame, reach: int, least: int, threshold: float) -> DataFrame:
     """(node, start, end, first_doc) of verified passages, from groups (signature, x, y) read as a stream in that order."""
 
@@ -116,74 +231,53 @@ def _verify(members: DataFrame, reach: int, least: int, threshold: float) -> Dat
         if held:
             yield held
 
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], ["node", "start", "end", "first_doc"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        work = _Comparison(reach, least, threshold)
         for rows in groups(batches):
-            x, y = rows[0][1], rows[0][2]
-            nodes = np.array([r[4] for r in rows])
-            if nodes.min() == nodes.max():
-                continue
-            context = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
-            docs = [r[5] for r in rows]
-            block = np.array([r[3] for r in rows])
-            distinct, of_row = np.unique(context, axis=0, return_inverse=True)
-            of_row = of_row.ravel()
-            for k in range(len(distinct)):
-                mine = np.flatnonzero(of_row == k)
-                hit, start, end = _aligned(distinct[k], distinct, reach, least, threshold)
-                if not len(hit):
-                    continue
-                bounds = {int(h): (int(s), int(e)) for h, s, e in zip(hit, start, end, strict=True)}
-                partners = np.flatnonzero(np.isin(of_row, hit))
-                for i in mine.tolist():
-                    others = partners[(nodes[partners] != nodes[i]) & ((block[partners] != block[i]) if x != y else True)]
-                    if not len(others):
-                        continue
-                    found = [bounds[int(h)] for h in np.unique(of_row[others])]
-                    seen = [docs[j] for j in others.tolist() if docs[j] is not None]
-                    least_doc = min(seen) if seen else None
-                    centre = rows[i][6]
-                    out.append((rows[i][4], centre + min(s for s, _ in found) - reach, centre + max(e for _, e in found) - reach, least_doc))
-            if len(out) > 5000:
+            work.add(rows)
+            if work.size >= 8 * _PAIRS and (out := work.found()):
                 yield _batch(out)
-                out = []
-        if out:
+        if work.size and (out := work.found()):
             yield _batch(out)
 
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "start", "end", "first_doc"])
-
     return members.mapInArrow(verify, "node bigint, start bigint, end bigint, first_doc bigint")
 
 
-def _shared(signatures: DataFrame) -> np.ndarray:
-    """A bitmap of the signatures of at least two documents; its size is bounded, a fuller one only lets more windows by."""
-    twice = signatures.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("signature")
-    twice = written(twice)
+def _shared(signatures: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """A bitmap of the signatures of at least two documents, and the table (signature, documents) of the crowded ones.
+
+    The bitmap's size is bounded; a fuller one only lets more windows by.
+    """
+    counts = signatures.groupBy("signature").agg(F.count("*").alias("documents"))
+    twice = written(counts.filter("documents > 1"))
     bits = min(_MOST_BITS, max(16, (twice.count() * 16).bit_length()))
     slot = F.shiftrightunsigned("signature", 64 - bits)
     words = twice.groupBy((slot / 64).cast("bigint").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(signature, {64 - bits}) % 64 as int))")).alias("bits"))
     bitmap = np.zeros(1 << bits - 6, np.uint64)
     for batch in words.toArrow().to_batches():
         bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    return bitmap
+    return bitmap, twice.filter(F.col("documents") > _BLOCK)
 
 
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least_words: int = 50, threshold: float = 0.8,
-    hashes: int = 4, side: int = 16,
+    hashes: int = 3, side: int = 16,
 ) -> DataFrame:
     """One row for each passage of a document that another document has too: doc_id, start_word, end_word, n_words, class_id.
 
     Passages are runs of at least `least_words` lower-cased words (start included, end not) whose n-grams, place
     by place, reach the Jaccard similarity `threshold` with a passage of another document; passages of one document that
-    overlap or touch are one row. class_id is the smallest doc_id of the documents seen to share it.
+    overlap or touch are one row. Words that repeat with a short period count as repeated all along where enough of them are. class_id is the smallest doc_id of the documents seen to share it.
 
     Equal word sequences are one text and take part once; then all their documents get its passages, and the
     whole text is one where there are several. Every hash function orders a text's n-grams, its Cartesian tree
     gives the compact windows, and windows of different documents meet under shared signatures (`Signatures`).
     A first pass counts signatures; a filter of those that two documents have lets only such windows through the
-    second pass, which sends them with the grams around their centres. Groups above a fixed size are split into
+    second pass, which sends them with the grams around their centres (16 bits of each); windows of a document that look
+    alike and lie close go as one. Groups above a fixed size are split into
     blocks and pairs of blocks, so no group is cut short and none grows beyond a task; pairs are compared there,
     never listed. A passage found verbatim needs one hash function; more of them catch passages with changed
     words, which must keep a side of `side` n-grams beside a shared smallest one.
@@ -230,35 +324,40 @@ def repeated_passages(
             signatures.append(keys.view(np.int64))
         return {"node": np.concatenate(nodes or [[]]), "signature": np.concatenate(signatures or [[]])}
 
-    shared = docs.sparkSession.sparkContext.broadcast(_shared(map_texts(texts, count, "node bigint, signature bigint", "id", "text")))
+    bitmap, crowded = _shared(map_texts(texts, count, "node bigint, signature bigint", "id", "text"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def windows(ids: list, texts: list) -> dict:
         bitmap = shared.value
         shift = np.uint64(64 - (len(bitmap) * 64 - 1).bit_length())
-        out: dict[str, list] = {"signature": [], "node": [], "doc": [], "centre": [], "context": []}
+        out: dict[str, list] = {"signature": [], "node": [], "doc": [], "centre": [], "last": [], "run_start": [], "run_end": [], "context": []}
         for i, w in zip(ids, word_hashes([words_of(t) for t in texts]), strict=True):
-            grams, keys, centres = tools.of(w)
+            grams, keys, found = tools.of(w)
             slots = keys >> shift
             hit = (bitmap[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
             if not hit.any():
                 continue
             prints = np.zeros(len(grams) + 2 * reach, np.uint16)
             prints[reach:-reach] = np.maximum(grams >> np.uint64(48), np.uint64(1))
-            for key, c in zip(keys[hit].view(np.int64).tolist(), centres[hit].tolist(), strict=True):
-                for column, value in zip(out.values(), (key, i["node"], i["doc"], c, prints[c : c + 2 * reach + 1].tobytes()), strict=True):
+            keys, found = keys[hit].view(np.int64), found[hit]
+            order = np.lexsort((found[:, 0], keys))
+            for key, (c, run_start, run_end) in zip(keys[order].tolist(), found[order].tolist(), strict=True):
+                row = key, i["node"], i["doc"], c, c, run_start, run_end, prints[c : c + 2 * reach + 1].tobytes()
+                columns = list(out.values())
+                if columns[0] and (columns[0][-1], columns[1][-1], columns[7][-1]) == (row[0], row[1], row[7]) and c - columns[4][-1] <= least:
+                    columns[4][-1] = c
+                    continue
+                for column, value in zip(columns, row, strict=True):
                     column.append(value)
         return out
 
-    met = map_texts(texts, windows, "signature bigint, node bigint, doc bigint, centre bigint, context binary", "id", "text")
-    met = written(met)
-    sizes = met.groupBy("signature").agg(F.count("*").alias("windows")).filter("windows > 1")
-    crowded = written(sizes.filter(F.col("windows") > _BLOCK))
+    met = map_texts(texts, windows, "signature bigint, node bigint, doc bigint, centre bigint, last bigint, run_start bigint, run_end bigint, context binary", "id", "text")
     large = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
     placed = met.join(large, "signature", "left")
-    blocks = F.ceil(F.coalesce("windows", F.lit(1)) / _BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", "centre"), blocks).cast("int")
+    blocks = F.ceil(F.coalesce("documents", F.lit(1)) / _BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     placed = placed.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "doc", "centre", "context")
+    placed = placed.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "doc", "centre", "last", "run_start", "run_end", "context")
     groups = placed.repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y")
     found = _verify(groups, reach, least, threshold)
     found = found.groupBy("node", "start", "end").agg(F.min("first_doc").alias("first_doc"))
