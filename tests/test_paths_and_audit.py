@@ -1,0 +1,119 @@
+import pytest
+from pyspark.sql import functions as F
+
+from veilmark.functions import path_tables, paths
+from veilmark.operators import audit, blocks
+
+
+def check(spark, values, column):
+    df = spark.createDataFrame([(v,) for v in values], "path string")
+    return [r[0] for r in df.select(column(F.col("path"))).collect()]
+
+
+@pytest.mark.parametrize(
+    "glob,path,hit",
+    [
+        ("*.pem", "a.pem", True), ("*.pem", "x/a.pem", False), ("**/*.pem", "x/y/a.pem", True), ("**/*.pem", "a.pem", True), (".ssh/**", ".ssh/a/b", True), ("a?c", "abc", True), ("a?c", "a/c", False),
+        ("logs/", "logs/", True), ("x.y+(z)", "x.y+(z)", True), ("x.y", "xzy", False), ("**", "any/thing", True), ("ü*", "über", True), ("", "a", False),
+    ],
+)
+def test_globs(spark, glob, path, hit):
+    assert check(spark, [path], lambda p: paths.matches_glob(p, glob)) == [hit]
+
+
+@pytest.mark.parametrize(
+    "lines,path,hit",
+    [
+        (["*.pem"], "a/b.pem", True), (["/docs"], "docs/x/y", True), (["/docs"], "a/docs/x", False), (["logs/"], "a/logs/x", True), (["a/b"], "a/b/c", True), (["a/*"], "a/b", True), (["a/*"], "a/b/c", False),
+        (["*.pem", "!keep.pem"], "keep.pem", False), (["!keep.pem", "*.pem"], "keep.pem", False), (["/", "", "!"], "x", False), ([], "x", False),
+    ],
+)
+def test_ignore_lines(spark, lines, path, hit):
+    assert check(spark, [path], lambda p: paths.is_ignored(p, lines)) == [hit]
+
+
+@pytest.mark.parametrize(
+    "pattern,path,hit",
+    [
+        ("docs/**", "docs", True), ("docs/**", "docs/a/b", True), ("docs/**", "x/docs/a", False), ("**/vendor/**", "a/vendor/b", True), ("**/gen.py", "a/b/gen.py", True), ("**/a/b", "x/a/b", True),
+        ("*.lock", "x/yarn.lock", True), ("src/*.ts", "src/a.ts", True), ("src/*.ts", "src/b/a.ts", False), ("*.lock", "./yarn.lock", True), ("x", "", False), ("te*t/**", "a/test/b", True), ("a", "\\a", True),
+    ],
+)
+def test_excludes(spark, pattern, path, hit):
+    assert check(spark, [path], lambda p: paths.is_excluded(p, [pattern])) == [hit]
+
+
+def test_table_sizes():
+    assert len(path_tables.SENSITIVE_PATTERNS) == 49 and len(path_tables.privacy_rules()) == 18
+
+
+def test_resolve_and_safety(spark):
+    assert check(spark, ["a/./b/../c", "/x//y", "..", "a\\b"], paths.resolve_path) == ["a/c", "/x/y", "", "a/b"]
+    assert check(spark, ["a/b", "/a", "~/a", "a/../b", "C:\\x", ""], paths.is_safe_relative) == [True, False, False, False, False, False]
+
+
+def test_edit_owner(spark):
+    df = spark.createDataFrame([('{"pythonPath": "a", "x": 1}', '"a"'), ('{"tabSize": 2}', "2"), ("abc", "zz")], "c string, o string")
+    assert [r[0] for r in df.select(paths.edit_touches_executable(F.col("c"), F.col("o"))).collect()] == [True, False, False]
+
+
+def listing(spark, *names):
+    return spark.createDataFrame([(n, False) for n in names], "path string, is_dir boolean")
+
+
+def test_walk_is_cut_by_path(spark):
+    rows = audit.walk(listing(spark, "b", "a", "node_modules/x", "c", "a"), 2).orderBy("path").collect()
+    assert [tuple(r) for r in rows] == [("a", False), ("b", False)]
+    assert {r["complete"] for r in audit.walk(listing(spark, "b", "a"), 2).collect()} == {True}
+
+
+def test_status_and_score(spark):
+    def status(names, lines, complete=True):
+        rows = listing(spark, *names)
+        exposed = audit.exposures(rows, lines)
+        return audit.audit_status(audit.pattern_findings(exposed), audit.rule_findings(rows), audit.tool_exposures(rows, lines), complete).first()[0]
+
+    every = [g[0] for _, _, s, g, _ in path_tables.privacy_rules() if s != "informational"]
+    assert status([".env"], {}) == "fail"
+    assert status(["a.txt"], {}) == "warning"
+    assert status(every, {}) == "pass" and status(every, {}, complete=False) == "warning"
+    assert status([*every, ".npmrc"], {}) == "warning"
+    found = audit.pattern_findings(audit.exposures(listing(spark, ".env", ".npmrc", "x.log"), {}))
+    assert audit.privacy_score(found, audit.rule_findings(listing(spark, *every))).first()[0] == 100 - 25 - 10 - 4
+
+
+def test_deltas_and_drift(spark):
+    a = spark.createDataFrame([("x", True, ["p", "q"]), ("y", False, None)], "id string, satisfied boolean, paths array<string>")
+    b = spark.createDataFrame([("x", False, ["q", "r"]), ("z", True, [])], "id string, satisfied boolean, paths array<string>")
+    rows = {r["id"]: (r["change"], r["added"], r["removed"]) for r in audit.snapshot_delta(a, b).collect()}
+    assert rows == {"x": ("lost", ["r"], ["p"]), "y": ("same", [], []), "z": ("gained", [], [])}
+    files = spark.createDataFrame([(".a", " *.pem\n# no\n\n.env\r\n"), (".b", "")], "file string, contents string")
+    present = audit.parse_ignore_files(files)
+    assert sorted((r["file"], r["line"]) for r in present.collect()) == [(".a", "*.pem"), (".a", ".env")]
+    wanted = spark.createDataFrame([(".a", "*.pem"), (".a", "*.key"), (".b", "x"), (".c", "x")], "file string, line string")
+    assert sorted(map(tuple, audit.drift(wanted, present).collect())) == [(".a", "*.key"), (".b", "x"), (".c", "x")]
+    assert sorted((r["file"], r["plan"]) for r in audit.sync_plan(wanted, present, files).collect()) == [(".a", "update"), (".b", "update"), (".c", "create")]
+
+
+def test_index_takes_the_last_change(spark):
+    index = spark.createDataFrame([(".env",), ("a.pem",)], "path string")
+    changes = spark.createDataFrame([(".env", 1, True), ("b.pem", 1, False), ("b.pem", 2, True), ("c.pem", 1, True), ("c.pem", 3, False), ("d.txt", 1, False)], "path string, ts int, removed boolean")
+    assert sorted(r["path"] for r in audit.update_index(index, changes, {}).collect()) == ["a.pem", "c.pem"]
+
+
+def test_blocks():
+    text, result = blocks.upsert(None, [" a ", "a", "#x", "b"])
+    assert result == "created" and text.splitlines()[1:-1] == ["a", "b"]
+    assert blocks.upsert(text, ["a", "b"]) == (text, "unchanged")
+    longer, result = blocks.upsert("mine\n" + text + "\nend\n", ["c"])
+    assert result == "updated" and longer.startswith("mine\n") and longer.endswith("\nend\n") and "\nc\n" in longer
+    start, end = blocks.markers()
+    assert blocks.upsert(f"{start}\nx\n", ["c"])[1] == "malformed" and blocks.upsert(f"{end}\n", ["c"])[1] == "malformed"
+    assert blocks.remove("mine\n" + text) == "mine\n" and blocks.remove("mine\n") is None and blocks.remove(text) == ""
+
+
+def test_block_columns(spark):
+    text, _ = blocks.upsert("mine\n", ["a", "b"])
+    df = spark.createDataFrame([(text, ["a", "b"]), (None, ["z"]), ("x\n", None)], "contents string, wanted array<string>")
+    rows = df.select(blocks.upsert_column(F.col("contents"), F.col("wanted"))["result"].alias("r"), blocks.block_patterns(F.col("contents")).alias("p")).collect()
+    assert [r["r"] for r in rows] == ["unchanged", "created", "updated"] and rows[0]["p"] == ["a", "b"] and rows[2]["p"] is None

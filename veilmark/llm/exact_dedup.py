@@ -90,7 +90,7 @@ def exact_dedup(
     )
     maybe = probed.filter("maybe")
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    groups = maybe.groupBy("sha").agg(first_row, F.count("*").alias("group_size"))
+    groups = written(maybe.groupBy("sha").agg(first_row, F.count("*").alias("group_size")))  # a table, so that a skewed join can be split
     grouped = maybe.join(groups, "sha").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"), "row_key",

@@ -21,6 +21,9 @@ _MOST_BITS = 27
 
 def next_equal(values: np.ndarray) -> list[int]:
     """For every place the distance to the next equal value; 0 if there is none."""
+    in_order = np.sort(values)
+    if not (in_order[1:] == in_order[:-1]).any():
+        return [0] * len(values)
     order = np.argsort(values, kind="stable")
     same = values[order[1:]] == values[order[:-1]]
     distance = np.zeros(len(values), np.int64)

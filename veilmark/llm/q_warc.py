@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import shared_folder, table, written
+from veilmark.llm.common import shared_folder, small_batches, table, written
 from veilmark.llm.warc import merge_index, read_archives, write_archives
 
 
@@ -12,7 +12,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.timestamp_seconds(1_704_067_200 + F.coalesce("page_id", F.lit(0)) % 31_536_000)  # pages have no time of capture
     folder = f"{shared_folder(spark)}/archives"
     write_archives(pages, folder, date)
-    captures = written(read_archives(spark, folder, with_payload=False))
+    with small_batches(spark, 1000):  # a row is a whole page
+        captures = written(read_archives(spark, folder, with_payload=False))
     return merge_index(captures).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position", "capture",
     )
