@@ -83,7 +83,7 @@ def test_ngram_join_large_group_against_all_pairs(spark):
 def test_ngram_join_null_ids_and_empty(spark):
     a = sentence(4, 30)
     rows = ngram_join.ngram_join(docs(spark, [(None, a), (7, a), (None, "lonely text of some words here")])).collect()
-    assert sorted((str(r["doc_id"]), r["class_id"]) for r in rows) == [("7", 7), ("None", 7), ("None", None)]
+    assert sorted(((str(r["doc_id"]), r["class_id"]) for r in rows), key=str) == [("7", 7), ("None", 7), ("None", None)]
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
 
 
