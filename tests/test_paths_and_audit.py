@@ -77,7 +77,9 @@ def test_status_and_score(spark):
     assert status([".env"], {}) == "fail"
     assert status(["a.txt"], {}) == "warning"
     assert status(every, {}) == "pass" and status(every, {}, complete=False) == "warning"
-    assert status([*every, ".npmrc"], {}) == "warning"
+    assert status([*every, ".npmrc"], {}) == "fail"  # a required rule's own ignore file leaves it open
+    rows = listing(spark, *every, ".npmrc")
+    assert audit.audit_status(audit.pattern_findings(audit.exposures(rows, {})), audit.rule_findings(rows)).first()[0] == "warning"
     found = audit.pattern_findings(audit.exposures(listing(spark, ".env", ".npmrc", "x.log"), {}))
     assert audit.privacy_score(found, audit.rule_findings(listing(spark, *every))).first()[0] == 100 - 25 - 10 - 4
 

@@ -34,14 +34,16 @@ def debounce(changes: DataFrame, key: str = "root", quiet: int = QUIET) -> DataF
     """One row a burst: key, started, fires (the quiet period after its last change), n, paths, immediate.
 
     A session window, so it runs on a batch or, behind a watermark, on a stream; counts combine before the shuffle.
+    A change that comes exactly `quiet` seconds after the last one starts a new burst; as session windows that touch
+    are one, the window's gap is a microsecond shorter.
     """
-    window = F.session_window("ts", f"{quiet} seconds")
+    window = F.session_window("ts", f"{quiet * 1_000_000 - 1} microseconds")
     columns = [F.count("*").alias("n")]
     if "path" in changes.columns:
         columns.append(F.array_sort(F.collect_set("path")).alias("paths"))
     if "immediate" in changes.columns:
         columns.append(F.bool_or("immediate").alias("immediate"))
-    return changes.groupBy(key, window.alias("w")).agg(*columns).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("fires"), *[c for c in ("n", "paths", "immediate") if c == "n" or (c == "paths" and "path" in changes.columns) or (c == "immediate" and "immediate" in changes.columns)])
+    return changes.groupBy(key, window.alias("w")).agg(*columns).select(key, F.col("w.start").alias("started"), (F.col("w.end") + F.expr("INTERVAL '0.000001' SECOND")).alias("fires"), *[c for c in ("n", "paths", "immediate") if c == "n" or (c == "paths" and "path" in changes.columns) or (c == "immediate" and "immediate" in changes.columns)])
 
 
 def throttle(bursts: DataFrame, key: str = "root", spacing: int = SPACING) -> DataFrame:
@@ -137,4 +139,5 @@ def hash_chain(entries: DataFrame, ledger: str = "ledger", order: str = "seq", b
 def broken_links(lines: DataFrame, ledger: str = "ledger", order: str = "seq") -> DataFrame:
     """Lines of a chain (line string) whose previousHash is not the hash of the line before."""
     before = F.sha2(F.lag("line").over(Window.partitionBy(ledger).orderBy(order)), 256)
-    return lines.filter(~F.get_json_object("line", "$.previousHash").eqNullSafe(before))
+    broken = ~F.get_json_object("line", "$.previousHash").eqNullSafe(before)
+    return lines.select("*", broken.alias("__broken")).filter("__broken").drop("__broken")
