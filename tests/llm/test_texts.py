@@ -111,7 +111,7 @@ def test_contaminations_awkward(spark):
     rows = [(1, f"x {item.upper()}! y"), (2, None), (3, ""), (4, sentence(2, 40)), (5, item), (5, item), (None, f"{item}")]
     bench = spark.createDataFrame([(7, item), (8, item), (9, None), (10, "too short"), (11, "")], "item_id bigint, text string")
     found = decontaminate.contaminations(docs(spark, rows), bench).collect()
-    assert sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in found) == [(d, i, 0) for d in ("1", "5", "5", "None") for i in (7, 8)]
+    assert sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in found) == sorted((d, i, 0) for d in ("1", "5", "5", "None") for i in (7, 8))
     df = docs(spark, rows)
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
