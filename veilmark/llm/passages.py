@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,23 +102,29 @@ class Signatures:
         return grams, np.concatenate(keys), np.concatenate(windows)
 
 
-def aligned(own: np.ndarray, other: np.ndarray, centre: int, least: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def aligned(own: np.ndarray, other: np.ndarray, centre: int, least: int, threshold: float, finer: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which rows of two matrices of grams share a passage around `centre`, and its bounds [start, end) there.
 
     Grams match place by place; a run of L places with x mismatches has similarity (L - x) / (L + x). The widest
-    run around the centre is taken that starts and ends with a match, has at least `least` places, and reaches
-    the threshold.
+    run around the centre is taken that starts and ends with two neighbouring matches, has at least `least` places,
+    and reaches the threshold. A match may be chance, as a gram is 16 bits of a hash, and does occur in a group of
+    many thousand pairs; so `finer(rows)` says by more bits which places of the candidate rows really match, and
+    one match alone never widens a passage.
     """
     allowed = (1 - threshold) / (1 + threshold)  # mismatches a place
     match = (other == own) & (own != 0)
     rows = np.flatnonzero((match.sum(axis=1) >= least * (1 - allowed) - 1e-6) & match[:, centre])
     if not len(rows):
         return rows, rows, rows
-    match = match[rows]
+    match = match[rows] if finer is None else match[rows] & finer(rows)
     gain = np.zeros((len(rows), match.shape[1] + 1), np.float32)
     np.cumsum(np.where(match, np.float32(allowed), np.float32(allowed - 1)), axis=1, out=gain[:, 1:])
-    ends = np.where(match[:, centre:], gain[:, centre + 1 :], -np.inf)
-    starts = np.where(match[:, : centre + 1], gain[:, : centre + 1], np.inf)
+    edge = match[:, centre:].copy()
+    edge[:, 1:] &= match[:, centre:-1]
+    ends = np.where(edge, gain[:, centre + 1 :], -np.inf)
+    edge = match[:, : centre + 1].copy()
+    edge[:, :-1] &= match[:, 1 : centre + 1]
+    starts = np.where(edge, gain[:, : centre + 1], np.inf)
     every, width = np.arange(len(rows)), ends.shape[1]
 
     def last_end(least_gain: np.ndarray) -> np.ndarray:
@@ -192,7 +198,9 @@ class _Comparison:
 
     def found(self) -> list[tuple]:
         """(node, start, end, first_doc) of every member that shares a passage; the comparison starts anew."""
-        grams = np.frombuffer(b"".join(self.contexts), np.uint16).reshape(len(self.contexts), -1)
+        prints = np.frombuffer(b"".join(self.contexts), np.uint8).reshape(len(self.contexts), -1)
+        width = prints.shape[1] // 3
+        grams, more = np.ascontiguousarray(prints[:, : 2 * width]).view(np.uint16), prints[:, 2 * width :]
         nodes = [{r[4] for r in m} for m in self.members]
         alone = np.array([len(n) == 1 for n in nodes])
         only = np.array([next(iter(n)) for n in nodes], np.int64)
@@ -202,7 +210,7 @@ class _Comparison:
         for a, b in self._pairs():
             apart = ~(alone[a] & alone[b] & (only[a] == only[b]))
             a, b = a[apart], b[apart]
-            hit, s, e = aligned(grams[a], grams[b], self.reach, self.least, self.threshold)
+            hit, s, e = aligned(grams[a], grams[b], self.reach, self.least, self.threshold, lambda rows, a=a, b=b: more[a[rows]] == more[b[rows]])
             for own, other in ((a[hit], b[hit]), (b[hit], a[hit])):
                 np.minimum.at(start, own, s)
                 np.maximum.at(end, own, e)
@@ -279,7 +287,7 @@ def repeated_passages(
     whole text is one where there are several. Every hash function orders a text's n-grams, its Cartesian tree
     gives the compact windows, and windows of different documents meet under shared signatures (`Signatures`).
     A first pass counts signatures; a filter of those that two documents have lets only such windows through the
-    second pass, which sends them with the grams around their centres (16 bits of each); windows of a document that look
+    second pass, which sends them with the grams around their centres (24 bits of each); windows of a document that look
     alike and lie close go as one. Groups above a fixed size are split into
     blocks and pairs of blocks, so no group is cut short and none grows beyond a task; pairs are compared there,
     never listed. A passage found verbatim needs one hash function; more of them catch passages with changed
@@ -342,10 +350,12 @@ def repeated_passages(
                 continue
             prints = np.zeros(len(grams) + 2 * reach, np.uint16)
             prints[reach:-reach] = np.maximum(grams >> np.uint64(48), np.uint64(1))
+            more = np.zeros(len(prints), np.uint8)
+            more[reach:-reach] = grams.astype(np.uint8)
             keys, found = keys[hit].view(np.int64), found[hit]
             order = np.lexsort((found[:, 0], keys))
             for key, (c, run_start, run_end) in zip(keys[order].tolist(), found[order].tolist(), strict=True):
-                row = key, i["node"], i["doc"], c, c, run_start, run_end, prints[c : c + 2 * reach + 1].tobytes()
+                row = key, i["node"], i["doc"], c, c, run_start, run_end, prints[c : c + 2 * reach + 1].tobytes() + more[c : c + 2 * reach + 1].tobytes()
                 columns = list(out.values())
                 if columns[0] and (columns[0][-1], columns[1][-1], columns[7][-1]) == (row[0], row[1], row[7]) and c - columns[4][-1] <= least:
                     columns[4][-1] = c
