@@ -149,6 +149,15 @@ def test_passages_awkward(spark):
     ]
 
 
+def test_passages_with_inserted_and_removed_words(spark):
+    p, q, long = sentence(1, 95).split(), sentence(2, 95).split(), sentence(3, 300).split()
+    often = [w for i in range(0, 300, 45) for w in [*long[i : i + 45], f"new{i}"]]
+    texts = [p, [*p[:47], "inserted", *p[47:]], q, [*q[:44], *q[46:]], long, often]
+    rows = [(i, f"{sentence(100 + i, 30)} {' '.join(w)} {sentence(200 + i, 30)}") for i, w in enumerate(texts)]
+    got = {r["doc_id"]: (r["start_word"], r["end_word"], r["class_id"]) for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {0: (30, 125, 0), 1: (30, 126, 0), 2: (30, 125, 2), 3: (30, 123, 2), 4: (30, 330, 4), 5: (30, 336, 4)}
+
+
 def test_passages_large_group(spark):
     p = sentence(1, 70)
     rows = [(i, f"{sentence(100 + i, 30)} {p} {sentence(5000 + i, 30)}") for i in range(600)]

@@ -102,30 +102,20 @@ class Signatures:
         return grams, np.concatenate(keys), np.concatenate(windows)
 
 
-def aligned(own: np.ndarray, other: np.ndarray, centre: int, least: int, threshold: float, finer: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which rows of two matrices of grams share a passage around `centre`, and its bounds [start, end) there.
-
-    Grams match place by place; a run of L places with x mismatches has similarity (L - x) / (L + x). The widest
-    run around the centre is taken that starts and ends with two neighbouring matches, has at least `least` places,
-    and reaches the threshold. A match may be chance, as a gram is 16 bits of a hash, and does occur in a group of
-    many thousand pairs; so `finer(rows)` says by more bits which places of the candidate rows really match, and
-    one match alone never widens a passage.
+def _widest(match: np.ndarray, gains: np.ndarray, centre: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, start, end) of the widest run around the centre in every row of `match` that has one.
+
+    It starts and ends with two neighbouring matches, has at least `least` places, and its gains sum to 0 or more.
     """
-    allowed = (1 - threshold) / (1 + threshold)  # mismatches a place
-    match = (other == own) & (own != 0)
-    rows = np.flatnonzero((match.sum(axis=1) >= least * (1 - allowed) - 1e-6) & match[:, centre])
-    if not len(rows):
-        return rows, rows, rows
-    match = match[rows] if finer is None else match[rows] & finer(rows)
-    gain = np.zeros((len(rows), match.shape[1] + 1), np.float32)
-    np.cumsum(np.where(match, np.float32(allowed), np.float32(allowed - 1)), axis=1, out=gain[:, 1:])
+    gain = np.zeros((len(match), match.shape[1] + 1), np.float32)
+    np.cumsum(gains, axis=1, out=gain[:, 1:])
     edge = match[:, centre:].copy()
     edge[:, 1:] &= match[:, centre:-1]
     ends = np.where(edge, gain[:, centre + 1 :], -np.inf)
     edge = match[:, : centre + 1].copy()
     edge[:, :-1] &= match[:, 1 : centre + 1]
     starts = np.where(edge, gain[:, : centre + 1], np.inf)
-    every, width = np.arange(len(rows)), ends.shape[1]
+    every, width = np.arange(len(match)), ends.shape[1]
 
     def last_end(least_gain: np.ndarray) -> np.ndarray:
         return centre + width - (ends >= least_gain[:, None] - 1e-4)[:, ::-1].argmax(axis=1)
@@ -137,8 +127,85 @@ def aligned(own: np.ndarray, other: np.ndarray, centre: int, least: int, thresho
     # the widest run from the leftmost start, and that to the rightmost end, may be two runs: each must be long enough
     from_start, to_end = last_end(gain[every, start]), first_start(gain[every, end])
     start, end = np.where(from_start - start >= least, start, to_end), np.where(end - to_end >= least, end, from_start)
-    long = end - start >= least
-    return rows[long], start[long], end[long]
+    long = np.flatnonzero(end - start >= least)
+    return long, start[long], end[long]
+
+
+def _chain(own: np.ndarray, other: np.ndarray, centre: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(match, drift, skipped) of a chain of matches that leaves the centre on both sides and may change its diagonal.
+
+    Where the diagonal it is on ends, it goes on along the nearest one, up to `band` places off, that has two
+    neighbouring matches there. drift is the matched place's distance in `other`, skipped the number of places
+    of `other` between it and the match before it (seen from the centre).
+    """
+    n, width = own.shape
+    padded = np.zeros((n, width + 2 * band), other.dtype)
+    padded[:, band : band + width] = other
+    on = np.empty((width, 2 * band + 1, n), bool)
+    for s in range(2 * band + 1):
+        on[:, s] = ((own == padded[:, s : s + width]) & (own != 0)).T
+    match, drift, skipped = np.zeros((n, width), bool), np.zeros((n, width), np.int32), np.zeros((n, width), np.int32)
+    match[:, centre] = on[centre, band]
+    every, shifts = np.arange(n), np.arange(-band, band + 1)[:, None]
+    for step in (1, -1):
+        at, reached = np.zeros(n, np.int64), np.full(n, centre)
+        for i in range(centre + step, width if step > 0 else -1, step):
+            hit = on[i, at + band, every] & (step * (i + at - reached) > 0)
+            lost = np.flatnonzero(~hit)
+            if len(lost) and 0 <= i + step < width:
+                found = on[i][:, lost] & on[i + step][:, lost] & (step * (i + shifts - reached[lost]) > 0)
+                far = np.where(found, np.abs(shifts - at[lost]), 1 << 20)
+                nearest = far.argmin(axis=0)
+                turned = found[nearest, np.arange(len(lost))]
+                at[lost[turned]] = nearest[turned] - band
+                hit[lost[turned]] = True
+            match[:, i] = hit
+            drift[:, i] = at
+            skipped[hit, i] = (step * (i + at - reached) - 1)[hit]
+            reached = np.where(hit, i + at, reached)
+    return match, drift, skipped
+
+
+def aligned(own: np.ndarray, other: np.ndarray, centre: int, least: int, threshold: float, finer: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], band: int) -> tuple[np.ndarray, ...]:
+    """Which rows of two matrices of grams share a passage around `centre`, and its bounds in each: (rows, start, end, other start, other end).
+
+    A first comparison goes place by place; a run of L places with x mismatches has similarity (L - x) / (L + x).
+    A second one goes along chains of diagonals, so that a passage goes on behind inserted and removed words: m matches
+    with x places of the one and y of the other between them have similarity m / (m + x + y). The widest
+    run around the centre is taken that starts and ends with two neighbouring matches, has at least `least` places in both,
+    and reaches the threshold; a row that has one by each comparison is there twice. A match may be chance, as a gram is
+    16 bits of a hash, and does occur in a group of many thousand pairs; so `finer(rows)` gives both sides of the
+    candidate rows with more bits, and one match alone never widens a passage.
+    """
+    allowed = (1 - threshold) / (1 + threshold)  # mismatches a place
+    there = own != 0
+    match = (other == own) & there
+    count = match.sum(axis=1)
+    rows = np.flatnonzero((count >= least * (1 - allowed) - 1e-6) & match[:, centre])
+    out = []
+    if len(rows):
+        x, y = finer(rows)
+        same = match[rows] & (x == y)
+        long, start, end = _widest(same, np.where(same, np.float32(allowed), np.float32(allowed - 1)), centre, least)
+        out.append((rows[long], start, end, start, end))
+    rows = np.flatnonzero(match[:, centre] & (count < np.maximum(there.sum(axis=1), (other != 0).sum(axis=1))))
+    if len(rows):
+        near, width = np.zeros((len(rows), own.shape[1]), bool), own.shape[1]
+        left, right = own[rows], np.zeros((len(rows), width + 2 * band), other.dtype)
+        right[:, band : band + width] = other[rows]
+        for s in range(2 * band + 1):
+            near |= left == right[:, s : s + width]
+        near &= there[rows]
+        off = near & ~match[rows]  # only two neighbouring matches lead to another diagonal
+        rows = rows[(near.sum(axis=1) >= threshold * least - 1e-6) & (off[:, 1:] & off[:, :-1]).any(axis=1)]
+    if len(rows):
+        same, drift, skipped = _chain(*finer(rows), centre, band)
+        bonus = np.float32((1 - threshold) / threshold)
+        long, start, end = _widest(same, np.where(same, bonus - skipped, np.float32(-1)), centre, least)
+        other_start, other_end = start + drift[long, start], end + drift[long, end - 1]
+        both = other_end - other_start >= least
+        out.append((rows[long[both]], *(c[both] for c in (start, end, other_start, other_end))))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.empty(0, np.int64),) * 5
 
 
 #: Pairs of contexts that are compared at once.
@@ -149,8 +216,8 @@ _NO_DOC = np.iinfo(np.int64).max
 class _Comparison:
     """Contexts of many groups, and the pairs of them to compare; equal contexts of a group (and block) are one."""
 
-    def __init__(self, reach: int, least: int, threshold: float) -> None:
-        self.reach, self.least, self.threshold = reach, least, threshold
+    def __init__(self, reach: int, least: int, threshold: float, band: int) -> None:
+        self.reach, self.least, self.threshold, self.band = reach, least, threshold, band
         self.clear()
 
     def clear(self) -> None:
@@ -201,6 +268,10 @@ class _Comparison:
         prints = np.frombuffer(b"".join(self.contexts), np.uint8).reshape(len(self.contexts), -1)
         width = prints.shape[1] // 3
         grams, more = np.ascontiguousarray(prints[:, : 2 * width]).view(np.uint16), prints[:, 2 * width :]
+
+        def whole(contexts: np.ndarray) -> np.ndarray:
+            return grams[contexts].astype(np.uint32) << np.uint32(8) | more[contexts]
+
         nodes = [{r[4] for r in m} for m in self.members]
         alone = np.array([len(n) == 1 for n in nodes])
         only = np.array([next(iter(n)) for n in nodes], np.int64)
@@ -210,8 +281,8 @@ class _Comparison:
         for a, b in self._pairs():
             apart = ~(alone[a] & alone[b] & (only[a] == only[b]))
             a, b = a[apart], b[apart]
-            hit, s, e = aligned(grams[a], grams[b], self.reach, self.least, self.threshold, lambda rows, a=a, b=b: more[a[rows]] == more[b[rows]])
-            for own, other in ((a[hit], b[hit]), (b[hit], a[hit])):
+            hit, *bounds = aligned(grams[a], grams[b], self.reach, self.least, self.threshold, lambda rows, a=a, b=b: (whole(a[rows]), whole(b[rows])), self.band)
+            for own, other, s, e in ((a[hit], b[hit], *bounds[:2]), (b[hit], a[hit], *bounds[2:])):
                 np.minimum.at(start, own, s)
                 np.maximum.at(end, own, e)
                 np.minimum.at(first, own, doc[other])
@@ -227,7 +298,7 @@ class _Comparison:
         return out
 
 
-def _verify(members: DataFrame, reach: int, least: int, threshold: float) -> DataFrame:
+def _verify(members: DataFrame, reach: int, least: int, threshold: float, band: int) -> DataFrame:
     """(node, start, end, first_doc) of verified passages, from groups (signature, x, y) read as a stream in that order."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -246,7 +317,7 @@ def _verify(members: DataFrame, reach: int, least: int, threshold: float) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], ["node", "start", "end", "first_doc"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = _Comparison(reach, least, threshold)
+        work = _Comparison(reach, least, threshold, band)
         for rows in groups(batches):
             work.add(rows)
             if work.size >= 8 * _PAIRS and (out := work.found()):
@@ -279,9 +350,9 @@ def repeated_passages(
 ) -> DataFrame:
     """One row for each passage of a document that another document has too: doc_id, start_word, end_word, n_words, class_id.
 
-    Passages are runs of at least `least_words` lower-cased words (start included, end not) whose n-grams, place
-    by place, reach the Jaccard similarity `threshold` with a passage of another document; passages of one document that
-    overlap or touch are one row. Words that repeat with a short period count as repeated all along where enough of them are. class_id is the smallest doc_id of the documents seen to share it.
+    Passages are runs of at least `least_words` lower-cased words (start included, end not) whose n-grams, in
+    order, reach the Jaccard similarity `threshold` with a passage of another document, whether words between them are
+    substituted, inserted or removed; passages of one document that overlap or touch are one row. Words that repeat with a short period count as repeated all along where enough of them are. class_id is the smallest doc_id of the documents seen to share it.
 
     Equal word sequences are one text and take part once; then all their documents get its passages, and the
     whole text is one where there are several. Every hash function orders a text's n-grams, its Cartesian tree
@@ -300,6 +371,8 @@ def repeated_passages(
     if 2 * side - 1 > least:
         raise ValueError("a side must fit twice into the shortest passage")
     reach = least
+    # the most words inserted at one place of a passage whose two sides are each too short
+    band = max(1, int(2 * (least - 1) * (1 - threshold) / threshold + 1e-6) - 2 * (n - 1))
     tools = Signatures(n, least, side, hashes)
     id_type = dict(docs.dtypes)[id_col]
 
@@ -372,7 +445,7 @@ def repeated_passages(
     placed = placed.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "doc", "centre", "last", "run_start", "run_end", "context")
     groups = placed.repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y")
-    found = _verify(groups, reach, least, threshold)
+    found = _verify(groups, reach, least, threshold, band)
     found = found.groupBy("node", "start", "end").agg(F.min("first_doc").alias("first_doc"))
 
     whole = several.select("node", F.lit(0).cast("bigint").alias("start"), (F.col("n_words") - n + 1).alias("end"), "first_doc")
