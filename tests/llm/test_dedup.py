@@ -158,6 +158,13 @@ def test_passages_with_inserted_and_removed_words(spark):
     assert got == {0: (30, 125, 0), 1: (30, 126, 0), 2: (30, 125, 2), 3: (30, 123, 2), 4: (30, 330, 4), 5: (30, 336, 4)}
 
 
+def test_passages_keep_links_through_a_third_text(spark):
+    p, q = sentence(1, 60), sentence(2, 60)
+    rows = [(1, f"{sentence(11, 30)} {p} {sentence(12, 30)}"), (3, f"{sentence(13, 30)} {q} {sentence(14, 30)}"), (5, f"{sentence(15, 30)} {p} {q}"), (7, f"{p} {sentence(16, 90)} {sentence(3, 60)}"), (8, sentence(3, 60))]
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in passages.repeated_passages(docs(spark, rows)).collect())
+    assert got == [(1, 30, 90, 1), (3, 30, 90, 1), (5, 30, 150, 1), (7, 0, 60, 1), (7, 150, 210, 7), (8, 0, 60, 7)]
+
+
 def test_passages_large_group(spark):
     p = sentence(1, 70)
     rows = [(i, f"{sentence(100 + i, 30)} {p} {sentence(5000 + i, 30)}") for i in range(600)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilmark.llm.common import BROADCAST_KEYS, map_texts, row_key, words_of, written
+from veilmark.llm.components import connected_components
 from veilmark.llm.shingles import gram_hashes, mix, word_hashes
 
 #: Documents whose windows are compared in one task; larger groups are split into blocks and pairs of blocks.
@@ -210,7 +211,6 @@ def aligned(own: np.ndarray, other: np.ndarray, centre: int, least: int, thresho
 
 #: Pairs of contexts that are compared at once.
 _PAIRS = 4096
-_NO_DOC = np.iinfo(np.int64).max
 
 
 class _Comparison:
@@ -264,7 +264,11 @@ class _Comparison:
             yield np.concatenate(left), np.concatenate(right)
 
     def found(self) -> list[tuple]:
-        """(node, start, end, first_doc) of every member that shares a passage; the comparison starts anew."""
+        """(node, start, end, doc, link node, link place) of every member that shares a passage; the comparison starts anew.
+
+        Members that pairs connect have one link, the first of their places: a place stands inside the passages
+        around it, so equal links are passages of one class whatever group they come from.
+        """
         prints = np.frombuffer(b"".join(self.contexts), np.uint8).reshape(len(self.contexts), -1)
         width = prints.shape[1] // 3
         grams, more = np.ascontiguousarray(prints[:, : 2 * width]).view(np.uint16), prints[:, 2 * width :]
@@ -275,31 +279,40 @@ class _Comparison:
         nodes = [{r[4] for r in m} for m in self.members]
         alone = np.array([len(n) == 1 for n in nodes])
         only = np.array([next(iter(n)) for n in nodes], np.int64)
-        doc = np.array([min((r[5] for r in m if r[5] is not None), default=_NO_DOC) for m in self.members], np.int64)
         start, end = np.full(len(grams), 1 << 30), np.full(len(grams), -1)
-        first = doc.copy()
+        up = list(range(len(grams)))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
         for a, b in self._pairs():
             apart = ~(alone[a] & alone[b] & (only[a] == only[b]))
             a, b = a[apart], b[apart]
             hit, *bounds = aligned(grams[a], grams[b], self.reach, self.least, self.threshold, lambda rows, a=a, b=b: (whole(a[rows]), whole(b[rows])), self.band)
-            for own, other, s, e in ((a[hit], b[hit], *bounds[:2]), (b[hit], a[hit], *bounds[2:])):
+            for own, s, e in ((a[hit], *bounds[:2]), (b[hit], *bounds[2:])):
                 np.minimum.at(start, own, s)
                 np.maximum.at(end, own, e)
-                np.minimum.at(first, own, doc[other])
-        out = []
+            for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
+                x, y = top(x), top(y)
+                up[max(x, y)] = min(x, y)
+        out, links = [], {}
         for i in np.flatnonzero(end > 0).tolist():
-            first_doc = None if first[i] == _NO_DOC else int(first[i])
-            for _, _, _, _, node, _, centre, last, run_start, run_end, _ in self.members[i]:
+            place = min((r[4], r[6]) for r in self.members[i])
+            links[top(i)] = min(place, links.get(top(i), place))
+        for i in np.flatnonzero(end > 0).tolist():
+            for _, _, _, _, node, doc, centre, last, run_start, run_end, _ in self.members[i]:
                 low, high = centre + int(start[i]) - self.reach, last + int(end[i]) - self.reach
                 if min(high, run_end) - max(low, run_start) >= self.least:  # what repeats itself looks alike all along
                     low, high = min(low, run_start), max(high, run_end)
-                out.append((node, low, high, first_doc))
+                out.append((node, low, high, doc, *links[top(i)]))
         self.clear()
         return out
 
 
 def _verify(members: DataFrame, reach: int, least: int, threshold: float, band: int) -> DataFrame:
-    """(node, start, end, first_doc) of verified passages, from groups (signature, x, y) read as a stream in that order."""
+    """(node, start, end, doc, link_node, link_at) of verified passages, from groups (signature, x, y) read as a stream in that order."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
@@ -314,7 +327,7 @@ def _verify(members: DataFrame, reach: int, least: int, threshold: float, band:
             yield held
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], ["node", "start", "end", "first_doc"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], ["node", "start", "end", "doc", "link_node", "link_at"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _Comparison(reach, least, threshold, band)
@@ -325,7 +338,7 @@ def _verify(members: DataFrame, reach: int, least: int, threshold: float, band:
         if work.size and (out := work.found()):
             yield _batch(out)
 
-    return members.mapInArrow(verify, "node bigint, start bigint, end bigint, first_doc bigint")
+    return members.mapInArrow(verify, "node bigint, start bigint, end bigint, doc bigint, link_node bigint, link_at bigint")
 
 
 def _shared(signatures: DataFrame) -> tuple[np.ndarray, DataFrame]:
@@ -352,7 +365,9 @@ def repeated_passages(
 
     Passages are runs of at least `least_words` lower-cased words (start included, end not) whose n-grams, in
     order, reach the Jaccard similarity `threshold` with a passage of another document, whether words between them are
-    substituted, inserted or removed; passages of one document that overlap or touch are one row. Words that repeat with a short period count as repeated all along where enough of them are. class_id is the smallest doc_id of the documents seen to share it.
+    substituted, inserted or removed; passages of one document that overlap or touch are one row. Words that repeat with a short period count as repeated all along where enough of them are. class_id is the smallest
+    doc_id of the passage's class: rows that share a passage are linked, and classes are the connected
+    components, so no link between different texts is lost (two passages that touch in one document are one row, and link theirs).
 
     Equal word sequences are one text and take part once; then all their documents get its passages, and the
     whole text is one where there are several. Every hash function orders a text's n-grams, its Cartesian tree
@@ -446,16 +461,20 @@ def repeated_passages(
     placed = placed.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "doc", "centre", "last", "run_start", "run_end", "context")
     groups = placed.repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y")
     found = _verify(groups, reach, least, threshold, band)
-    found = found.groupBy("node", "start", "end").agg(F.min("first_doc").alias("first_doc"))
+    found = found.groupBy("node", "link_node", "link_at", "start", "end").agg(F.min("doc").alias("doc"))
 
-    whole = several.select("node", F.lit(0).cast("bigint").alias("start"), (F.col("n_words") - n + 1).alias("end"), "first_doc")
-    spans = found.unionByName(whole)
+    whole = several.select("node", F.lit(0).cast("bigint").alias("start"), (F.col("n_words") - n + 1).alias("end"), F.col("first_doc").alias("doc"))
+    spans = found.unionByName(whole, allowMissingColumns=True)
     order = Window.partitionBy("node").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(reached.isNull() | (F.col("start") + 1 - n > reached), 1).otherwise(0))
-    spans = spans.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = written(spans.groupBy("node", "island").agg(F.min("start").alias("start_word"), (F.max("end") + n - 1).alias("end_word"), F.min("first_doc").alias("first_doc")))
+    spans = spans.withColumn("island", F.xxhash64("node", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    spans = written(spans.groupBy("node", "island", "link_node", "link_at").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("doc").alias("doc")))
+    islands = spans.groupBy("node", "island").agg(F.min("start").alias("start_word"), (F.max("end") + n - 1).alias("end_word"), F.min("doc").alias("doc"))
+    linked = spans.filter("link_node is not null").select("link_node", "link_at", "island")
+    least_of = linked.groupBy("link_node", "link_at").agg(F.min("island").alias("b"))
+    roots = connected_components(linked.join(least_of, ["link_node", "link_at"]).select(F.col("island").alias("a"), "b").distinct())
+    islands = written(islands.join(roots.select(F.col("node").alias("island"), "root"), "island", "left").withColumn("root", F.coalesce("root", "island")))
+    islands = islands.join(islands.groupBy("root").agg(F.min("doc").alias("class_id")), "root")
     holders = unique.select("row_key", "doc_id").join(others, "row_key", "left").select("doc_id", F.coalesce("node", "row_key").alias("node"))
-    return holders.join(spans, "node").select(
-        "doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.least("doc_id", "first_doc").alias("class_id"),
-    )
+    return holders.join(islands, "node").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "class_id")
