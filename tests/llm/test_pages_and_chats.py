@@ -36,6 +36,18 @@ def test_main_text_of_a_page(html, text):
     assert main_text.Page(html).text() == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<div class='layout has-sidebar'><article>a</article></div>", "a"), ("<div class='comments'><main>m</main></div>", "m"), ("<div id='with-banner'><article>a</article><div class='sidebar'>s</div></div>", "a"),
+        ("<article>a<div class='related'><p>no</p></div><h2 id='related-work'>R</h2><section id='notice'>n</section><p class='social-science'>s</p><p id='share-prices'>p</p></article>", "a\nR\nn\ns\np"),
+        ("<article>a</article><div class='related'><article>teaser</article></div>", "a"), ("<article>a<div id='comments'>no</div></article>", "a"), ("<nav><article>menu</article></nav>", ""),
+    ],
+)
+def test_layout_and_title_names_are_no_noise(html, text):
+    assert main_text.Page(html).text() == text
+
+
 def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
     rng = random.Random(1)
     rows = [(i, f"http://a.org/{i}", f"<div class='top'><p>Same offer</p><p>On every page</p></div><div class='body'><p>Own {rng.random()}</p></div>") for i in range(20)]

@@ -24,6 +24,7 @@ NOISE_WORDS = frozenset(
     "related recommended newsletter subscribe popup modal overlay signup login toolbar pagination pager widget skip".split()
 )
 _CONTENT_ROOTS = ("article", "main")
+_TITLED = frozenset("h1 h2 h3 h4 h5 h6 section a span".split())
 _WORD = re.compile(r"[a-z0-9]+")
 #: Removal lists of hosts up to this number are broadcast; more are joined by a shuffle.
 _BROADCAST_PATHS = 100_000
@@ -48,6 +49,18 @@ class Page:
 
     def __init__(self, html: str | None) -> None:
         self.root = parse(html)
+        self.above_roots: set[int] = set()
+        for node in _nodes(self.root):
+            up = node.parent if node.tag in _CONTENT_ROOTS else None
+            while up is not None and id(up) not in self.above_roots:
+                self.above_roots.add(id(up))
+                up = up.parent
+        self._classify(True)
+        if self.above_roots and not self.has_root:
+            self._classify(False)
+
+    def _classify(self, named: bool) -> None:
+        """Path and kind of every element; `named`: whether class names make noise of what holds an article or main."""
         self.path: dict[int, int] = {}
         self.kind: dict[int, str] = {}
         holds_root: set[int] = set()
@@ -56,7 +69,7 @@ class Page:
             attributes = node.attributes()
             style = f"{node.tag}.{'.'.join(sorted(attributes.get('class', '').lower().split()))}"
             self.path[id(node)] = _hash(f"{above}/{style}")
-            self.kind[id(node)] = self._prior(node, attributes)
+            self.kind[id(node)] = self._prior(node, attributes, named)
             if node.tag in _CONTENT_ROOTS and self.kind[id(node)] != "noise" and self.kind[id(node.parent)] not in ("dropped", "noise"):
                 self.kind[id(node)] = "content" if node.tag == "article" else "main"
                 up = node.parent
@@ -67,7 +80,7 @@ class Page:
         self.has_root = bool(holds_root)
         self.holds_root = holds_root
 
-    def _prior(self, node: Node, attributes: dict[str, str]) -> str:
+    def _prior(self, node: Node, attributes: dict[str, str], named: bool) -> str:
         """dropped: no text at all; noise: named as something beside the main text; inner: in a content root; plain."""
         above = self.kind.get(id(node.parent), "plain")
         if above == "dropped" or node.tag in RAW or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
@@ -76,7 +89,13 @@ class Page:
             return "noise"
         inner = above in ("content", "main", "inner")
         if node.tag not in ("html", "body", "#root", *_CONTENT_ROOTS):
-            words = set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+            classes, own_id = attributes.get("class", "").lower(), attributes.get("id", "").lower()
+            if id(node) in self.above_roots:  # layout names like has-sidebar
+                words = set(classes.split()) if named else set()
+            elif inner:  # ids of headings and sections come from their titles
+                words = {*classes.split(), *([] if node.tag in _TITLED else [own_id])}
+            else:
+                words = set(_WORD.findall(f"{classes} {own_id}"))
             if node.tag in NOISE_TAGS or attributes.get("role", "").lower() in NOISE_ROLES or words & NOISE_WORDS:
                 return "noise"
             if node.tag == "header" and not inner:
@@ -213,7 +232,9 @@ def main_texts(pages: DataFrame, min_pages: int = 5, threshold: float = 0.25) ->
     A first pass builds the style tree of every host and lists its branches of low importance; a second one
     removes those from each page, and what its elements, roles or class names call a menu, header, footer,
     sidebar, notice, advert, form or comment. Pages with an article (else a main element) give that element's
-    text, whose blocks importance doesn't touch: a text that other pages copy is still main text there.
+    text, whose blocks importance doesn't touch: a text that other pages copy is still main text there. Inside it, and on
+    what holds it, only a whole class name (inside also a whole id, but not of a heading or section) counts, not a part
+    between hyphens; where such a name would leave a page without any article or main element, it doesn't count.
 
     Character references are decoded, white space in a block is one space, blocks join by a newline; nothing
     is capped. A null page, and one without main text, gives an empty text. A null url belongs to the host
