@@ -97,6 +97,17 @@ def test_deltas_and_drift(spark):
     assert sorted((r["file"], r["plan"]) for r in audit.sync_plan(wanted, present, files).collect()) == [(".a", "update"), (".b", "update"), (".c", "create")]
 
 
+def test_delta_of_snapshots_as_rows(spark):
+    from veilmark.plans import registry
+
+    states = [spark.createDataFrame(r, "id string, satisfied boolean") for r in ([("x", True), ("y", False)], [("x", False), ("z", True)])]
+    paths = [spark.createDataFrame(r, "id string, path string") for r in ([("x", "p"), ("x", "q"), ("x", "q"), ("y", None)], [("x", "q"), ("x", "r"), ("x", "s"), ("z", "p")])]
+    rows = {r["id"]: (r["was"], r["now"], r["change"], r["added"], r["removed"]) for r in audit.delta_counts(*states, *paths).collect()}
+    assert rows == {"x": (True, False, "lost", 2, 1), "y": (False, False, "same", 0, 0), "z": (False, True, "gained", 1, 0)}
+    plan = registry.audit_delta(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array" not in plan  # no row holds all of an id's paths
+
+
 def test_index_takes_the_last_change(spark):
     index = spark.createDataFrame([(".env",), ("a.pem",)], "path string")
     changes = spark.createDataFrame([(".env", 1, True), ("b.pem", 1, False), ("b.pem", 2, True), ("c.pem", 1, True), ("c.pem", 3, False), ("d.txt", 1, False)], "path string, ts int, removed boolean")

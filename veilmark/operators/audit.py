@@ -128,6 +128,23 @@ def snapshot_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def delta_counts(before: DataFrame, after: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """`snapshot_delta` for snapshots of any size, kept as rows: states (id, satisfied) and paths (id, path); added and removed are counts.
+
+    Every step is a count with partial aggregates, so neither an id's paths nor all of a table meet in one row or task.
+    """
+    none = F.lit(None).cast("boolean")
+    sides = old.select("id", "path", F.lit(1).alias("side")).unionByName(new.select("id", "path", F.lit(2).alias("side"))).filter("path is not null")
+    sides = sides.groupBy("id", "path").agg(F.bit_or("side").alias("sides"))
+    rows = sides.select("id", none.alias("was"), none.alias("now"), (F.col("sides") == 2).cast("int").alias("added"), (F.col("sides") == 1).cast("int").alias("removed"))
+    states = before.select("id", F.col("satisfied").alias("was"), none.alias("now")).unionByName(after.select("id", none.alias("was"), F.col("satisfied").alias("now")))
+    rows = rows.unionByName(states.select("*", F.lit(0).alias("added"), F.lit(0).alias("removed")))
+    was, now = F.coalesce("was", F.lit(False)), F.coalesce("now", F.lit(False))
+    return rows.groupBy("id").agg(F.bool_or("was").alias("was"), F.bool_or("now").alias("now"), F.sum("added").alias("added"), F.sum("removed").alias("removed")).select(
+        "id", was.alias("was"), now.alias("now"), F.when(was == now, "same").when(now, "gained").otherwise("lost").alias("change"), "added", "removed"
+    )
+
+
 def status_rank(status: Column) -> Column:
     return F.when(status == "fail", 2).when(status == "warning", 1).otherwise(0)
 

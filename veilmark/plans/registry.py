@@ -184,15 +184,19 @@ def privacy_score(spark, sf_dir):
     return audit.privacy_score(audit.pattern_findings(exposed), audit.rule_findings(listing(spark, sf_dir)))
 
 
-def _snapshot(rows: DataFrame, keep: Column) -> DataFrame:
-    kept = rows.filter(keep)
-    return kept.groupBy(F.col("o_orderpriority").alias("id")).agg((F.count(F.when(F.col("o_orderstatus") == "O", 1)) > 2).alias("satisfied"), F.array_distinct(F.collect_list(F.col("o_custkey").cast("string"))).alias("paths"))
+def _snapshot(rows: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """States (id, satisfied) and paths (id, path) of the rows to keep."""
+    kept = rows.filter(keep).withColumnRenamed("o_orderpriority", "id")
+    states = kept.groupBy("id").agg((F.count(F.when(F.col("o_orderstatus") == "O", 1)) > 2).alias("satisfied"))
+    return states, kept.select("id", F.col("o_custkey").cast("string").alias("path"))
 
 
 def audit_delta(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    delta = audit.snapshot_delta(_snapshot(orders, F.col("o_orderkey") % 3 != 0), _snapshot(orders, F.col("o_orderkey") % 3 != 1))
-    return delta.select("id", "was", "now", "change", F.size("added").alias("added"), F.size("removed").alias("removed"))
+    before, old = _snapshot(orders, F.col("o_orderkey") % 3 != 0)
+    after, new = _snapshot(orders, F.col("o_orderkey") % 3 != 1)
+    delta = audit.delta_counts(before, after, old, new)
+    return delta.select("id", "was", "now", "change", F.col("added").cast("int").alias("added"), F.col("removed").cast("int").alias("removed"))
 
 
 def drift(spark, sf_dir):
