@@ -14,27 +14,27 @@ from veilmark.llm.sentence_pieces import with_pieces
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled documents teach; null, letterless and foreign ones go."""
+    """Documents in one of the languages that the labelled documents teach; null, letterless and foreign ones go. Repeated rows share their lot."""
     return keep_known_languages(docs, fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest doc_id."""
+    """Of equal texts, the one with the smallest doc_id; null and empty texts are equal, and of repeated rows one stays."""
     return drop_exact_copies(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the one with the smallest doc_id."""
+    """Of each class of near copies, the one with the smallest doc_id; null and wordless texts stay."""
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the table benchmark."""
+    """Documents that hold no item of the table benchmark; null texts hold none, and an empty benchmark drops nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and whether these decode to the text."""
+    """The documents with their token ids, and whether these decode to the text; a null or empty text has the end id alone."""
     return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

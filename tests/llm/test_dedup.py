@@ -90,7 +90,7 @@ def test_ngram_join_null_ids_and_empty(spark):
 def test_similar_equals_sets():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
-    left, right = ngram_join.similar(sets, 0.5)
+    left, right = np.nonzero(ngram_join.similar(sets, 0.5))
     wanted = {(i, j) for i in range(80) for j in range(i + 1, 80) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
     assert set(zip(left.tolist(), right.tolist(), strict=True)) == wanted
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,10 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is unset (tests on one machine) a temporary folder takes its place.
+    Only on one machine (a local master, as in tests) may that setting be unset; a temporary folder takes its
+    place there. On a cluster that would be a folder executors don't share, so it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="veilmark-shared-")
     return f"{base.rstrip('/')}/veilmark-{uuid.uuid4().hex}"
 
@@ -46,6 +51,14 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` gave and no result needs any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for what runs inside; for tables of large rows."""
@@ -64,29 +77,60 @@ def words_of(text: str | None) -> bytes:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A hash of a row's id and text, by which a decision finds its row again."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """128 bits of a row's id and text as hex, by which a decision finds its row again; nulls differ from empty values."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.md5(F.concat_ws("|", *parts))
+
+
+#: Rows of a batch, and bytes of texts, that are handled at once; a longer text goes alone.
+_PART_ROWS, _PART_BYTES = 500, 2 << 20
+#: Bytes of an Arrow batch on its way to a worker: Spark's own bound is 10,000 rows, whatever their size.
+_BATCH_BYTES = 8 << 20
+
+
+def parts(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, bounded by rows and by the bytes of the string column at `place`."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start >= _PART_ROWS or size + n > _PART_BYTES):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, where it sets no lower bound itself; the setting stays, as plans run later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > _BATCH_BYTES:
+        spark.conf.set(name, str(_BATCH_BYTES))
 
 
 def map_texts(
-    df: DataFrame, fn: Callable[[list, list], dict], schema: str, id_col: str, text_col: str
-) -> DataFrame:
-    """Runs `fn(ids, texts) -> columns` over Arrow batches of `df`; rows keep their partitions, nothing shuffles."""
+    df: DataFrame, fn: Callable[[list, list], dict] | None, schema: str, id_col: str, text_col: str, setup: Callable[[], Callable[[list, list], dict]] | None = None
+) -> DataFrame:
+    """Runs `fn(ids, texts) -> columns` over bounded slices of `df`; rows keep their partitions, nothing shuffles.
+
+    `setup()` gives that function anew for each task, so what it holds goes when the task ends.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = setup() if setup else fn
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                out = fn(part.column(0).to_pylist(), part.column(1).to_pylist())
+            for part in parts(batch, 1):
+                out = work(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
 
     return rows.mapInArrow(run, schema)
 
 
-#: Row keys up to this number are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
+#: Row keys up to this number are broadcast (32 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,13 +145,16 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_
 
 
 def filter_texts(docs: DataFrame, keep: Callable[[list], list], text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all columns, for which `keep(texts)` says true; row by row, nothing shuffles."""
+    """The rows of `docs`, with all columns, for which `keep(texts)` says true; row by row, nothing shuffles.
+
+    A null text is passed to `keep` as None; repeated rows are decided alike.
+    """
     place = docs.columns.index(text_col)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in parts(batch, place):
                 yield part.filter(pa.array(keep(part.column(place).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

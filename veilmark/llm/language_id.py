@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ _SLICE = 1 << 18
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For every code point: whether it is a letter or a combining mark of one."""
-    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    """For every code point: whether it is a letter, or a combining mark, which is a part of its letter."""
+    return np.fromiter((chr(c).isalpha() or category(chr(c)) in ("Mn", "Mc", "Me") for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def gram_hashes(text: str | None, n: int) -> np.ndarray:
@@ -186,7 +187,11 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", t
 
 
 def keep_known_languages(docs: DataFrame, filters: LanguageFilters, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text is `und`, or has under `min_score` of its n-grams in its best language."""
+    """`docs` without the rows whose text is `und`, or has under `min_score` of its n-grams in its best language.
+
+    Null texts and texts without a letter are `und`: they go. Each row is decided by its text alone, so repeated
+    rows share their lot; without any learned language all rows go; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def keep(texts: list) -> list:

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veilmark.llm.common import BROADCAST_KEYS, drop_rows, map_texts, row_key, words_of, written
+from veilmark.llm.common import BROADCAST_KEYS, bound_batches, drop_rows, map_texts, parts, row_key, words_of, written
 from veilmark.llm.components import connected_components
 from veilmark.llm.shingles import gram_hashes, mix, word_hashes
 
-#: Members of a bucket that are compared in one task; larger buckets are split into blocks and pairs of blocks.
-_BLOCK = 256
+#: Members of a bucket, and n-grams of theirs, that are compared at once; larger buckets are split into blocks and pairs of blocks.
+_BLOCK, _BLOCK_GRAMS = 512, 400_000
 
 
 def bands_and_rows(threshold: float, recall: float, max_rows: int = 5) -> tuple[int, int]:
@@ -55,48 +55,66 @@ def _sketches(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_
 
     id_type = dict(docs.dtypes)[id_col]
     texts = docs.select(F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key")).alias("id"), F.col(text_col).alias("text"))
-    found = map_texts(texts, sketch, f"doc_id struct<id: {id_type}, key: bigint>, size int, low bigint, high bigint, bands array<bigint>", "id", "text")
+    found = map_texts(texts, sketch, f"doc_id struct<id: {id_type}, key: string>, size int, low bigint, high bigint, bands array<bigint>", "id", "text")
     return found.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.key").alias("row_key"), "size", "low", "high", "bands")
 
 
-def similar(sets: list[np.ndarray], threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of sets with Jaccard similarity of at least the threshold; with `split`, i < split <= j only."""
-    sizes = np.array([len(s) for s in sets], np.float64)
-    _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+def _together(numbers: list[np.ndarray]) -> np.ndarray:
+    """For each pair of sets of numbers, how many they share: products of membership matrices, a slice of numbers at a time."""
+    owner = np.repeat(np.arange(len(numbers)), [len(s) for s in numbers])
+    _, number, counts = np.unique(np.concatenate(numbers), return_inverse=True, return_counts=True)
     shared = counts[number] > 1
     renumber = np.cumsum(counts > 1) - 1
     owner, number = owner[shared], renumber[number[shared]]
     order = np.argsort(number, kind="stable")
     owner, number = owner[order], number[order]
-    together = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(numbers), len(numbers)), np.float32)
     last = int(number[-1]) + 1 if len(number) else 0
-    for start in range(0, last, 4096):
-        a, b = np.searchsorted(number, (start, start + 4096))
-        has = np.zeros((len(sets), min(4096, last - start)), np.float32)
+    for start in range(0, last, 2048):
+        a, b = np.searchsorted(number, (start, start + 2048))
+        has = np.zeros((len(numbers), min(2048, last - start)), np.float32)
         has[owner[a:b], number[a:b] - start] = 1
-        together += has @ has.T
+        out += has @ has.T
+    return out
+
+
+def similar(sets: list[np.ndarray], threshold: float, split: int | None = None) -> np.ndarray:
+    """The matrix of pairs (i < j) of sets with Jaccard similarity of at least the threshold; with `split`, i < split <= j only."""
+    sizes = np.array([len(s) for s in sets], np.float64)
+    together = _together(sets)
     union = sizes[:, None] + sizes[None, :] - together
-    with np.errstate(invalid="ignore", divide="ignore"):
-        hit = together >= threshold * union - 1e-6
-    hit &= np.triu(np.ones_like(hit), 1) & (together > 0)
+    hit = (together >= threshold * union - 1e-6) & (together > 0)
+    hit &= np.triu(np.ones_like(hit), 1)
     if split is not None:
         hit[split:] = False
         hit[:, :split] = False
-    return np.nonzero(hit)
+    return hit
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row that links reach."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
 
 def _verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(node, linked, linked_rows, root) of each group (bucket, x, y) of `members`, read as a stream in that order.
+    """(node, linked_rows, root) of each group (bucket, x, y) of `members`, read as a stream in that order.
 
     A pair counts in the smallest of the buckets it shares, so its links add up without listing pairs.
     """
+    place = members.columns.index("text")
+    bound_batches(members.sparkSession)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         held: list[dict] = []
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for row in batch.slice(start, 256).to_pylist():
+            for part in parts(batch, place):
+                for row in part.to_pylist():
                     if held and (row["bucket"], row["x"], row["y"]) != (held[0]["bucket"], held[0]["x"], held[0]["y"]):
                         yield held
                         held = []
@@ -109,33 +127,24 @@ def _verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
             rows = list({r["node"]: r for r in sorted(rows, key=lambda r: r["block"])}.values())
             bucket, x, y = rows[0]["bucket"], rows[0]["x"], rows[0]["y"]
             split = None if x == y else sum(r["block"] == x for r in rows)
+            if len(rows) < 2 or split == len(rows):
+                continue
             sets = [np.unique(gram_hashes(w, n)) for w in word_hashes([words_of(r["text"]) for r in rows])]
-            left, right = similar(sets, threshold, split)
-            if not len(left):
+            hit = similar(sets, threshold, split)
+            hit |= hit.T
+            touched = np.flatnonzero(hit.any(axis=1))
+            if not len(touched):
                 continue
-            linked, linked_rows, root = [0] * len(rows), [0] * len(rows), list(range(len(rows)))
-            buckets = [set(r["buckets"]) for r in rows]
-
-            def find(i: int, root: list = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                if min(buckets[i] & buckets[j]) == bucket:
-                    for a, b in ((i, j), (j, i)):
-                        linked[a] += 1
-                        linked_rows[a] += rows[b]["copies"]
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-            touched = sorted({*left.tolist(), *right.tolist()})
+            root = _roots(hit)
+            smaller = [np.array([b for b in r["buckets"] if b < bucket], np.int64) for r in rows]
+            first = hit & (_together(smaller) == 0)
+            linked_rows = first @ np.array([r["copies"] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v[i] for i in touched], pa.int64()) for v in ([r["node"] for r in rows], linked, linked_rows, [rows[find(i)]["node"] for i in range(len(rows))])],
-                ["node", "linked", "linked_rows", "root"],
+                [pa.array([rows[i]["node"] for i in touched], pa.string()), pa.array(linked_rows[touched], pa.int64()), pa.array([rows[i]["node"] for i in root[touched]], pa.string())],
+                ["node", "linked_rows", "root"],
             )
 
-    return members.mapInArrow(verify, "node bigint, linked bigint, linked_rows bigint, root bigint")
+    return members.mapInArrow(verify, "node string, linked_rows bigint, root string")
 
 
 def ngram_join(
@@ -151,8 +160,8 @@ def ngram_join(
     shares a band with probability `recall`; only band hashes shuffle. Buckets with the same members are one.
     The texts of members of shared buckets then meet, each pair is verified on its full sets, and links are
     counted where the pair's first shared bucket is; pairs are never listed. A bucket above a fixed number of
-    members is split into blocks, and each pair of blocks is a task's group of bounded size, so the count
-    stays whole; its work grows with the square of the number of *different* texts in a bucket.
+    members, or of n-grams of theirs, is split into blocks, and each pair of blocks is a task's group of bounded size, so the count
+    stays whole; its work, and the rows sent by a 512th, grow with the square of the number of *different* texts in a bucket.
 
     A text of fewer than n words is one gram; a null text, and one without words, links with nothing. Rows
     with a null id get class_id null unless an equal set or a link has an id. Of rows that repeat id and
@@ -165,20 +174,20 @@ def ngram_join(
         full.groupBy("low", "high", "size").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"),
             F.count("*").alias("copies"), F.first("bands").alias("bands"),
-        ).select(F.xxhash64("low", "high", "size").alias("node"), "low", "high", "size", "first.doc_id", "first.row_key", "copies", "bands")
+        ).select(F.concat_ws("-", F.hex("low"), F.hex("high"), "size").alias("node"), "low", "high", "size", "first.doc_id", "first.row_key", "copies", "bands")
     )
-    placed = classes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("also")).filter("members > 1")
-    kept_buckets = written(crowded.groupBy("members", "who", "also").agg(F.min("bucket").alias("bucket")).select("bucket", "members"))
+    placed = classes.select("node", "size", F.posexplode("bands").alias("band", "hash")).select("node", "size", F.xxhash64("band", "hash").alias("bucket"))
+    crowded = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("also")).filter("members > 1")
+    kept_buckets = written(crowded.groupBy("members", "who", "also").agg(F.min(F.struct("bucket", "grams")).alias("b")).select("b.bucket", "members", "b.grams"))
     candidates = written(
-        placed.join(kept_buckets, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "members")).alias("buckets"))
+        placed.join(kept_buckets, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "members", "grams")).alias("buckets"))
         .join(classes.select("node", "row_key", "copies"), "node")
     )
     keys = candidates.select("row_key", "node", "copies", "buckets")
     slim = F.broadcast(keys.select("row_key")) if candidates.count() <= BROADCAST_KEYS else keys.select("row_key")
     texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text")).join(slim, "row_key", "left_semi")
     with_text = texts.join(keys, "row_key").select("node", "copies", "text", F.transform("buckets", lambda b: b["bucket"]).alias("buckets"), F.explode("buckets").alias("b"))
-    blocks = F.ceil(F.col("b.members") / _BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("b.members") / _BLOCK), F.ceil(F.col("b.grams") / _BLOCK_GRAMS)).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     members = with_text.select("node", "copies", "text", "buckets", F.col("b.bucket").alias("bucket"), block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     members = members.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other")
@@ -205,6 +214,10 @@ def ngram_join(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each class of near copies (the smallest id); all columns stay."""
+    """`docs` with one document of each class of near copies (the smallest id); all columns stay.
+
+    Null texts and texts without words are near nothing and stay. Rows of a class with equal ids stay or go
+    together where their texts are equal too; of a class without ids all stay. An empty table stays empty.
+    """
     dropped = written(ngram_join(docs, id_col, text_col).filter("not kept").select("row_key").distinct())
     return drop_rows(docs, dropped, id_col, text_col)

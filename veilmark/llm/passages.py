@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilmark.llm.common import BROADCAST_KEYS, map_texts, row_key, words_of, written
+from veilmark.llm.common import BROADCAST_KEYS, bound_batches, map_texts, row_key, words_of, written
 from veilmark.llm.components import connected_components
 from veilmark.llm.shingles import gram_hashes, mix, word_hashes
 
@@ -276,9 +276,9 @@ class _Comparison:
         def whole(contexts: np.ndarray) -> np.ndarray:
             return grams[contexts].astype(np.uint32) << np.uint32(8) | more[contexts]
 
-        nodes = [{r[4] for r in m} for m in self.members]
+        nodes, number = [{r[4] for r in m} for m in self.members], {}
         alone = np.array([len(n) == 1 for n in nodes])
-        only = np.array([next(iter(n)) for n in nodes], np.int64)
+        only = np.array([number.setdefault(next(iter(n)), len(number)) for n in nodes], np.int64)
         start, end = np.full(len(grams), 1 << 30), np.full(len(grams), -1)
         up = list(range(len(grams)))
 
@@ -327,7 +327,8 @@ def _verify(members: DataFrame, reach: int, least: int, threshold: float, band:
             yield held
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], ["node", "start", "end", "doc", "link_node", "link_at"])
+        names = ["node", "start", "end", "doc", "link_node", "link_at"]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("node") else pa.int64()) for n, c in zip(names, zip(*set(out), strict=True), strict=True)], names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _Comparison(reach, least, threshold, band)
@@ -338,7 +339,8 @@ def _verify(members: DataFrame, reach: int, least: int, threshold: float, band:
         if work.size and (out := work.found()):
             yield _batch(out)
 
-    return members.mapInArrow(verify, "node bigint, start bigint, end bigint, doc bigint, link_node bigint, link_at bigint")
+    bound_batches(members.sparkSession)
+    return members.mapInArrow(verify, "node string, start bigint, end bigint, doc bigint, link_node string, link_at bigint")
 
 
 def _shared(signatures: DataFrame) -> tuple[np.ndarray, DataFrame]:
@@ -401,7 +403,7 @@ def repeated_passages(
         return out
 
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key")).alias("id"), F.col(text_col).alias("text"))
-    members = map_texts(keyed, sequences, f"doc_id struct<id: {id_type}, key: bigint>, n_words bigint, low bigint, high bigint", "id", "text")
+    members = map_texts(keyed, sequences, f"doc_id struct<id: {id_type}, key: string>, n_words bigint, low bigint, high bigint", "id", "text")
     members = written(members.filter(F.col("n_words") >= least_words).select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.key").alias("row_key"), "n_words", "low", "high"))
     unique = members.dropDuplicates(["row_key"])
     classes = written(
@@ -416,14 +418,10 @@ def repeated_passages(
     texts = texts.withColumn("row_key", F.col("id.node")).join(drop, "row_key", "left_anti").select("id", "text")
 
     def count(ids: list, texts: list) -> dict:
-        nodes, signatures = [], []
-        for i, w in zip(ids, word_hashes([words_of(t) for t in texts]), strict=True):
-            keys = np.unique(tools.of(w)[1])
-            nodes.append(np.full(len(keys), i["node"], np.int64))
-            signatures.append(keys.view(np.int64))
-        return {"node": np.concatenate(nodes or [[]]), "signature": np.concatenate(signatures or [[]])}
+        found = [np.unique(tools.of(w)[1]).view(np.int64) for w in word_hashes([words_of(t) for t in texts])]
+        return {"signature": np.concatenate(found or [[]])}
 
-    bitmap, crowded = _shared(map_texts(texts, count, "node bigint, signature bigint", "id", "text"))
+    bitmap, crowded = _shared(map_texts(texts, count, "signature bigint", "id", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def windows(ids: list, texts: list) -> dict:
@@ -452,7 +450,7 @@ def repeated_passages(
                     column.append(value)
         return out
 
-    met = map_texts(texts, windows, "signature bigint, node bigint, doc bigint, centre bigint, last bigint, run_start bigint, run_end bigint, context binary", "id", "text")
+    met = map_texts(texts, windows, "signature bigint, node string, doc bigint, centre bigint, last bigint, run_start bigint, run_end bigint, context binary", "id", "text")
     large = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
     placed = met.join(large, "signature", "left")
     blocks = F.ceil(F.coalesce("documents", F.lit(1)) / _BLOCK).cast("int")
@@ -468,7 +466,7 @@ def repeated_passages(
     order = Window.partitionBy("node").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(reached.isNull() | (F.col("start") + 1 - n > reached), 1).otherwise(0))
-    spans = spans.withColumn("island", F.xxhash64("node", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    spans = spans.withColumn("island", F.concat_ws("/", "node", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
     spans = written(spans.groupBy("node", "island", "link_node", "link_at").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("doc").alias("doc")))
     islands = spans.groupBy("node", "island").agg(F.min("start").alias("start_word"), (F.max("end") + n - 1).alias("end_word"), F.min("doc").alias("doc"))
     linked = spans.filter("link_node is not null").select("link_node", "link_at", "island")
