@@ -77,11 +77,60 @@ def test_seal_vector_and_errors(spark):
 
 def test_mask_numbers_and_restores(spark):
     docs = spark.createDataFrame([(0, "ü joe@x.org 10.0.0.1 joe@x.org ann@x.org"), (1, "plain")], "doc_id int, text string")
-    rows = {r["doc_id"]: r for r in rewrite.mask(docs, spans.detect(docs)).withColumn("back", rewrite.restore(F.col("text"), F.col("mapping"))).collect()}
+    rows = {r["doc_id"]: r for r in rewrite.mask(spans.with_findings(docs)).withColumn("back", rewrite.restore(F.col("text"), F.col("mapping"))).collect()}
     assert rows[0]["text"] == "ü {{EMAIL_1}} {{IP_1}} {{EMAIL_1}} {{EMAIL_2}}"
     assert rows[0]["back"] == "ü joe@x.org 10.0.0.1 joe@x.org ann@x.org" and rows[1]["text"] == "plain"
 
 
+ROWS = [(1, "a long text with mail ann@corp.example"), (1, "zed@corp.example and a later text"), (None, "mail a@b.co"), (None, None), (2, ""), (2, "mail a@b.co"), (2, "mail a@b.co")]
+
+
+def test_null_and_repeated_ids_are_rewritten(spark):
+    df = spark.createDataFrame([(i, t, "x", [1]) for i, t in ROWS], "doc_id int, text string, mapping string, places array<int>")
+    rows = spans.with_findings(df)
+    masked = rewrite.mask(rows)
+    assert sorted(str(r["text"]) for r in masked.collect()) == sorted(["a long text with mail {{EMAIL_1}}", "{{EMAIL_1}} and a later text", "mail {{EMAIL_1}}", "None", "", "mail {{EMAIL_1}}", "mail {{EMAIL_1}}"])
+    assert "Exchange" not in masked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(r[0]) for r in masked.select(rewrite.restore(F.col("text"), F.col("mapping"))).collect()) == sorted(str(t) for _, t in ROWS)
+    assert not [r for r in rewrite.redact(rows).collect() if "@" in (r["text"] or "")]
+    sealed = rewrite.seal_findings(rows, KEY)
+    assert not [r for r in sealed.collect() if "@" in (r["text"] or "")]
+    opened = rewrite.unseal(sealed, KEY)
+    assert opened.columns == ["doc_id", "text", "mapping", "places", "findings"]
+    assert sorted(str(r["text"]) for r in opened.collect()) == sorted(str(t) for _, t in ROWS)
+    found = spans.detect(df).collect()
+    assert all(v[r["start"] : r["end"]] == r["value"] for r in found for v in [next(t for i, t in ROWS if i == r["doc_id"] and t and r["value"] in t)]) and len(found) == 5
+
+
+def test_authenticated_tokens_are_left_out(spark):
+    live = "AKIA" + "ABCDEFGHIJ234567"
+    token = spark.range(1).select(rewrite.seal_value(F.lit("joe@x.org"), F.lit("EMAIL"), KEY)).first()[0]
+    assert found(spark, f"{token} {live}", key=KEY) == [(0, "awsAccessKeyId", live)]
+    assert found(spark, f"{token} {live}", key=bytes(32))[-1] == (0, "awsAccessKeyId", live)
+
+
+def test_many_findings_keep_their_places(spark):
+    text = " ".join(f"u{i}@x{i}.org" for i in range(1500))
+    df = spark.createDataFrame([(0, text)], "doc_id int, text string")
+    rows = spans.detect(df, enabled=["email"]).collect()
+    assert len(rows) == 1500 and all(text[r["start"] : r["end"]] == r["value"] for r in rows)
+    assert rewrite.mask(spans.with_findings(df, enabled=["email"])).first()["text"].endswith("{{EMAIL_1500}}")
+
+
+def test_scrub_summary(spark):
+    df = spans.with_findings(spark.createDataFrame([("a@b.co c@d.co",), ("none",), (None,), ("x@y.zz " * 20,)], "text string"))
+    assert tuple(rewrite.scrub_summary(df, limit=100).first()) == (1, 2, 1)
+
+
+def test_outermost_regions(spark):
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 3), s := rng.randint(0, 30), s + rng.randint(1, 10), i) for i in range(80)]
+    got = spans.outermost(spark.createDataFrame(rows, "page int, start int, end int, n int"), "page").collect()
+    key = lambda r: (r[1], -r[2], r[3])
+    wanted = [r for r in rows if not any(o[0] == r[0] and o[1] <= r[1] and o[2] >= r[2] and o != r and key(o) < key(r) for o in rows)]
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
 @pytest.mark.parametrize(
     "total,critical,tier,wanted",
     [

@@ -9,7 +9,7 @@ from veilmark.functions.catalog import CRITICAL, PLACEHOLDER_WORDS, SECRET
 
 _IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 #: Shapes that look like phone numbers and are none: dates, clocks, postcodes, addresses, social security numbers, coordinates.
-_NO_PHONE = "|".join(
+NO_PHONE = "|".join(
     [r"\d{4}-\d{2}-\d{2}", r"\d{4}\.\d{2}\.\d{2}", r"(?:[01]?\d|2[0-3])\.[0-5]\d\.[0-5]\d", r"\d{5}-\d{4}", _IPV4, r"\d{3}-\d{2}-\d{4}", r"\d{1,3}\.\d+\s+\d{1,3}\.\d+", r"\d+"]
 )
 
@@ -37,7 +37,7 @@ def iban_valid(value: Column) -> Column:
 
 def phone_plausible(value: Column) -> Column:
     t = F.trim(value)
-    return ~t.rlike(f"^(?:{_NO_PHONE})$") & F.length(digits(t)).between(8, 15) & (F.length(F.regexp_replace(t, r"[^.]", "")) < 3)
+    return ~t.rlike(f"^(?:{NO_PHONE})$") & F.length(digits(t)).between(8, 15) & (F.length(F.regexp_replace(t, r"[^.]", "")) < 3)
 
 
 def jwt_plausible(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from veilmark.functions import text as X
 from veilmark.functions.paths import any_of, artifact_class, is_excluded, is_suspicious, looks_executable
-from veilmark.operators.spans import detect
+from veilmark.operators.spans import with_findings
 
 _COMMAND = ("$.command", "$.tool_input.command")
 _PATH = ("$.file_path", "$.path", "$.tool_input.file_path", "$.tool_input.path", "$.tool_input.notebook_path")
@@ -62,10 +62,11 @@ def text_gate(events: DataFrame, id_col: str = "event_id", payload_col: str = "p
     A critical secret denies (mode deny), asks (ask) or is observed (observe); other findings ask at most.
     """
     text = F.coalesce(X.json_field(F.col(payload_col), *_PROMPT), F.array_join(X.json_strings(F.col(payload_col)), "\n"))
-    texts = events.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    found = detect(texts).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("entity_type")), " ").alias("reasons"), F.bool_or(F.col("source") == "secret").alias("secret"))
-    decision = F.when(F.col("reasons").isNull() | F.lit(mode == "observe"), "allow").when(F.col("secret"), mode).otherwise("ask" if mode != "observe" else "allow")
-    return texts.join(found, "doc_id", "left").select(F.col("doc_id").alias(id_col), decision.alias("decision"), F.coalesce("reasons", F.lit("")).alias("reasons"))
+    rows = with_findings(events.select(F.col(id_col), text.alias("text")))
+    found = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["entity_type"]))), " ")
+    secret = F.exists("findings", lambda f: f["source"] == "secret")
+    decision = F.when((F.size("findings") == 0) | F.lit(mode == "observe"), "allow").when(secret, mode).otherwise("ask")
+    return rows.select(id_col, decision.alias("decision"), found.alias("reasons"))
 
 
 def call_gate(calls: DataFrame, allow: tuple[str, ...] = (), deny: tuple[str, ...] = ()) -> DataFrame:

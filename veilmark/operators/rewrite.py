@@ -1,51 +1,57 @@
-"""Texts rewritten at their findings: masked, restored, redacted, sealed and unsealed."""
+"""Texts rewritten at their findings: masked, restored, redacted, sealed and unsealed.
+
+All take rows with their findings in an array (`spans.with_findings`) and give the same rows back with the text replaced,
+whatever their ids are; nothing shuffles.
+"""
 
 from __future__ import annotations
 
-import base64
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from veilmark.functions.catalog import ENTITY_TYPES, SEAL_TOKEN
-from veilmark.operators.spans import seal_tokens
 
-#: Sealed values larger than this (bytes) are refused.
-SEAL_LIMIT = 65_536
+from veilmark.functions.catalog import ENTITY_TYPES
+from veilmark.functions.seal import SEAL_LIMIT, open_token, parse_key, seal_value
+from veilmark.operators.spans import let, listed, quoted, with_tokens
 
 
 def _lookup(entity_type: Column, place: int) -> Column:
     return F.create_map(*[F.lit(x) for row in ENTITY_TYPES for x in (row[0], row[place])])[entity_type]
 
 
-def rebuild(docs: DataFrame, replaced: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): each text with its non-overlapping places (doc_id, start, end, replacement) replaced; null replacements give a null text."""
-    places = replaced.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("places"))
-    text = F.col("original")
-    gaps = F.transform("places", lambda p, i: F.concat(text.substr(F.when(i == 0, 1).otherwise(F.get("places", i - 1)["end"] + 1), p["start"] - F.when(i == 0, 0).otherwise(F.get("places", i - 1)["end"])), p["replacement"]))
-    tail = text.substr(F.element_at("places", -1)["end"] + 1, F.length(text))
-    complete = ~F.exists("places", lambda p: p["replacement"].isNull())
-    out = F.when(F.col("places").isNull(), text).when(complete, F.concat(F.array_join(gaps, ""), tail))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("original")).join(places, "doc_id", "left").select("doc_id", out.alias("text"))
+def rebuild(text_col: str, places: str) -> Column:
+    """A text with its non-overlapping places (start, end, replacement), an array in order, replaced; a null replacement gives a null text."""
+    piece = f"concat(substring(`{text_col}`, b + 1, x.start - b), x.replacement)"
+    pieces = "transform(p, (x, i) -> " + let("b", "coalesce(get(p, i - 1).end, 0)", piece) + ")"
+    tail = f"substring(`{text_col}`, p[size(p) - 1].end + 1)"
+    return F.expr(f"if(size({places}) = 0, `{text_col}`, {let('p', places, f'if(exists(p, x -> x.replacement is null), null, concat(array_join({pieces}, {quoted(str())}), {tail}))')})")
+
 
+def _replaced(df: DataFrame, text_col: str, findings_col: str, replacement) -> DataFrame:
+    places = f"places_{uuid4().hex[:8]}"
+    rows = df.withColumn(places, F.transform(findings_col, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), replacement(f).alias("replacement"))))
+    return rows.withColumn(text_col, rebuild(text_col, places)).drop(places)
 
-def mask_placeholders(findings: DataFrame) -> DataFrame:
-    """`findings` with a column replacement: {{PREFIX_n}}, numbered by first place for each document and prefix; an
-    equal value of a document keeps its placeholder, whatever its later type."""
-    first = Window.partitionBy("doc_id", "value").orderBy("start", "end")
-    firsts = findings.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    numbered = firsts.withColumn("prefix", _lookup(F.col("entity_type"), 1)).withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "prefix").orderBy("start", "end")))
-    names = numbered.select("doc_id", "value", F.concat(F.lit("{{"), "prefix", F.lit("_"), F.col("number").cast("string"), F.lit("}}")).alias("replacement"))
-    return findings.join(names, ["doc_id", "value"])
 
+def placeholders(findings_col: str) -> Column:
+    """array<struct<placeholder, value>>: {{PREFIX_n}} for each different value of a text's findings, numbered by first place for
+    each prefix; an equal value keeps its placeholder, whatever its later type."""
+    prefixes = "map(" + ", ".join(f"'{t}', '{p}'" for t, p, *_ in ENTITY_TYPES) + ")"
+    firsts = let("v", f"transform(`{findings_col}`, x -> x.value)", f"filter(`{findings_col}`, (x, i) -> array_position(v, x.value) = i + 1)")
+    named = f"transform({firsts}, x -> struct(x.value as value, {prefixes}[x.entity_type] as prefix))"
+    nth = "size(filter(slice(f, 1, i + 1), y -> y.prefix = x.prefix))"
+    token = "concat('{{', x.prefix, '_', cast(" + nth + " as string), '}}')"
+    return F.expr(let("f", named, f"transform(f, (x, i) -> struct({token} as placeholder, x.value as value))"))
 
-def mask(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, mapping map<placeholder, value>): texts with their (resolved) findings masked."""
-    named = mask_placeholders(findings)
-    mapping = named.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("replacement", "value"))).alias("mapping"))
-    empty = F.create_map().cast("map<string,string>")
-    return rebuild(docs, named, id_col, text_col).join(mapping, "doc_id", "left").withColumn("mapping", F.coalesce("mapping", empty))
+
+def mask(df: DataFrame, text_col: str = "text", findings_col: str = "findings") -> DataFrame:
+    """`df` with its texts' findings masked, and mapping map<placeholder, value> (taking the place of a column so named)."""
+    names = f"names_{uuid4().hex[:8]}"
+    rows = df.drop("mapping").withColumn(names, placeholders(findings_col))
+    by_value = lambda f: F.get(F.filter(F.col(names), lambda n: n["value"] == f["value"]), F.lit(0))["placeholder"]
+    rows = _replaced(rows, text_col, findings_col, by_value)
+    return rows.withColumn("mapping", F.map_from_entries(names)).drop(names)
 
 
 def restore(text: Column, mapping: Column) -> Column:
@@ -53,10 +59,9 @@ def restore(text: Column, mapping: Column) -> Column:
     return F.aggregate(F.map_entries(mapping), text, lambda t, e: F.replace(t, e["key"], e["value"]))
 
 
-def redact(docs: DataFrame, findings: DataFrame, prefix: str = "VEIL", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): findings replaced by <prefix>_REDACTED_<label>."""
-    label = F.concat(F.lit(f"{prefix}_REDACTED_"), _lookup(F.col("entity_type"), 5))
-    return rebuild(docs, findings.withColumn("replacement", label), id_col, text_col)
+def redact(df: DataFrame, prefix: str = "VEIL", text_col: str = "text", findings_col: str = "findings") -> DataFrame:
+    """`df` with findings replaced by <prefix>_REDACTED_<label>."""
+    return _replaced(df, text_col, findings_col, lambda f: F.concat(F.lit(f"{prefix}_REDACTED_"), _lookup(f["entity_type"], 5)))
 
 
 def redact_values(text: Column, values: Column) -> Column:
@@ -65,51 +70,33 @@ def redact_values(text: Column, values: Column) -> Column:
     return F.aggregate(ordered, text, lambda t, v: F.replace(t, v, F.lit("***")))
 
 
-def seal_value(value: Column, label: Column, key: bytes, nonce: Column | None = None) -> Column:
-    """{{LABEL:v1.<base64url(nonce, AES-256-GCM cipher text, tag)>}} with the label as additional data; null beyond SEAL_LIMIT.
-
-    Without `nonce` each evaluation draws a new one: write the result before using it twice. A nonce column is
-    for tests, and must never repeat for a key.
-    """
-    arguments = [value.cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), nonce if nonce is not None else F.lit(b""), label.cast("binary")]
-    raw = F.call_function("aes_encrypt", *arguments)
-    packed = F.rtrim(F.translate(F.base64(raw), "+/\r\n", "-_"), F.lit("="))
-    return F.when(F.octet_length(value) <= SEAL_LIMIT, F.concat(F.lit("{{"), label, F.lit(":v1."), packed, F.lit("}}")))
+def scrub_summary(df: DataFrame, limit: int = 2 << 20, text_col: str = "text", findings_col: str = "findings") -> DataFrame:
+    """One row on a redaction: texts touched, findings redacted, and texts of over `limit` bytes, which are left alone as errors."""
+    large = F.octet_length(F.col(text_col)) > limit
+    n = F.size(findings_col)
+    return df.agg(
+        F.count(F.when((n > 0) & ~large, 1)).alias("touched"), F.coalesce(F.sum(F.when(~large, n)), F.lit(0)).cast("bigint").alias("redactions"), F.count(F.when(large, 1)).alias("errors")
+    )
 
 
-def open_token(token: Column, key: bytes) -> Column:
-    """The value of one token; null if it is no token, is of another key or label, or was changed."""
-    label, packed = F.regexp_extract(token, f"^{SEAL_TOKEN}$", 1), F.regexp_extract(token, f"^{SEAL_TOKEN}$", 2)
-    padded = F.rpad(F.translate(packed, "-_", "+/"), (F.ceil(F.length(packed) / 4) * 4).cast("int"), "=")
-    raw = F.try_to_binary(padded, F.lit("base64"))
-    opened = F.call_function("try_aes_decrypt", raw, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), label.cast("binary"))
-    return F.when((label != "") & (F.length(raw) >= 28), opened.cast("string"))
+def seal_findings(df: DataFrame, key: bytes, text_col: str = "text", findings_col: str = "findings") -> DataFrame:
+    """`df` with findings sealed under their prefix; a text with one that is too large is null."""
+    return _replaced(df, text_col, findings_col, lambda f: seal_value(f["value"], _lookup(f["entity_type"], 1), key))
 
 
-def seal_findings(docs: DataFrame, findings: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): findings sealed under their prefix; a text with one that is too large is null."""
-    sealed = findings.withColumn("replacement", seal_value(F.col("value"), _lookup(F.col("entity_type"), 1), key))
-    return rebuild(docs, sealed, id_col, text_col)
+def unseal(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """`df` with every token replaced by its value; a text with a token that doesn't open is null."""
+    tokens = f"tokens_{uuid4().hex[:8]}"
+    return _replaced(with_tokens(df, text_col, tokens), text_col, tokens, lambda t: open_token(t["value"], key)).drop(tokens)
 
 
-def unseal(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): every token replaced by its value; a text with a token that doesn't open is null."""
-    tokens = seal_tokens(docs, id_col, text_col).withColumn("replacement", open_token(F.col("value"), key))
-    return rebuild(docs, tokens, id_col, text_col)
-
-
-def authenticated_tokens(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def authenticated_tokens(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The tokens of texts that open under the key: doc_id, start, end, value."""
-    return seal_tokens(docs, id_col, text_col).filter(open_token(F.col("value"), key).isNotNull())
-
-
-def parse_key(text: str) -> bytes:
-    """A 32-byte key from base64, with or without url alphabet and padding."""
-    plain = text.strip().translate(str.maketrans("-_", "+/")).rstrip("=")
-    key = base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-    if len(key) != 32:
-        raise ValueError("a key has 32 bytes")
-    return key
+    rows = with_tokens(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "tokens")
+    return listed(rows, F.col("tokens"), "doc_id").filter(open_token(F.col("value"), key).isNotNull()).select("doc_id", "start", "end", "value")
 
 
-__all__ = ["authenticated_tokens", "mask", "mask_placeholders", "open_token", "parse_key", "rebuild", "redact", "redact_values", "restore", "seal_findings", "seal_value", "unseal"]
+__all__ = [
+    "SEAL_LIMIT", "authenticated_tokens", "mask", "open_token", "parse_key", "placeholders", "rebuild", "redact", "redact_values", "restore", "scrub_summary",
+    "seal_findings", "seal_value", "unseal",
+]

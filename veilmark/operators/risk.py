@@ -26,8 +26,19 @@ def assess(total: Column, critical: Column, tier: Column) -> Column:
     return F.struct(score.cast("int").alias("score"), level.alias("level"), action.alias("action"), critical.alias("has_critical"))
 
 
+def with_risk(df: DataFrame, findings_col: str = "findings", tier: Column | None = None) -> DataFrame:
+    """Rows with their findings in an array, with score, level, action, has_critical and n_findings; without findings low and allow."""
+    total = F.aggregate(F.col(findings_col), F.lit(0), lambda a, f: a + F.coalesce(weight(f["entity_type"]), F.lit(0)))
+    critical = F.exists(F.col(findings_col), lambda f: f["entity_type"].isin(*CRITICAL))
+    names = ("score", "level", "action", "has_critical", "n_findings")
+    kept = [c for c in df.columns if c not in names]
+    rows = df.select(*kept, total.alias("total"), critical.alias("critical"), (tier if tier is not None else F.lit("neutral")).alias("tier"))
+    risk = assess(F.col("total"), F.col("critical"), F.col("tier"))
+    return rows.select(*kept, risk.alias("risk")).select(*kept, "risk.*", F.size(findings_col).cast("bigint").alias("n_findings"))
+
+
 def document_risk(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", tier: Column | None = None) -> DataFrame:
-    """One row a document: doc_id, score, level, action, has_critical, n_findings; without findings low and allow."""
+    """The same for a table of findings: one row a document, whose id must name it alone."""
     sums = findings.groupBy("doc_id").agg(F.sum(weight(F.col("entity_type"))).alias("total"), F.bool_or(F.col("entity_type").isin(*CRITICAL)).alias("critical"), F.count("*").alias("n_findings"))
     base = docs.select(F.col(id_col).alias("doc_id"), (tier if tier is not None else F.lit("neutral")).alias("tier"))
     risk = assess(F.coalesce("total", F.lit(0)), F.coalesce("critical", F.lit(False)), F.col("tier"))
@@ -46,9 +57,10 @@ def gate_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def scan_summary(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row: documents scanned, documents with findings, findings."""
-    return docs.agg(F.count("*").alias("scanned")).crossJoin(findings.agg(F.count_distinct("doc_id").alias("with_findings"), F.count("*").alias("findings")))
+def scan_summary(df: DataFrame, findings_col: str = "findings") -> DataFrame:
+    """One row on rows with their findings: texts scanned, texts with findings, findings."""
+    n = F.size(findings_col)
+    return df.agg(F.count("*").alias("scanned"), F.count(F.when(n > 0, 1)).alias("with_findings"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("findings"))
 
 
 def fails(findings: DataFrame, fail_on: str = "block") -> DataFrame:

@@ -1,17 +1,23 @@
-"""Span extraction, overlap resolution, filters: the scan of texts for secrets and personal data."""
+"""Span extraction, overlap resolution, filters: the scan of texts for secrets and personal data.
+
+A text's findings are an array in its own row, so nothing shuffles, and rows without an id or with a repeated one are
+scanned like all others. `detect` and `extract_spans` list them as rows where a table of findings is wanted.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilmark.functions.catalog import DICTIONARY_KINDS, RULES, SEAL_TOKEN, SEAL_TOKEN_INNER, Rule
-from veilmark.functions.checks import is_critical, is_secret, plausible
+from veilmark.functions.catalog import CRITICAL, DICTIONARY_KINDS, RULES, SEAL_TOKEN, SEAL_TOKEN_INNER, SECRET, Rule
+from veilmark.functions.checks import is_secret, plausible
+from veilmark.functions.seal import open_token
 
 
 @dataclass(frozen=True)
@@ -54,35 +60,164 @@ def select_rules(enabled: Iterable[str] | None = None, disabled: Iterable[str] =
     return [r for r in RULES if (wanted is None or r.type in wanted) and r.type not in set(disabled)]
 
 
-def _pieces(text: Column, rule: Rule) -> Column:
-    """Every match of a rule with the length of the text before it since the last one; empty where a guard misses."""
-    gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    each = F.transform(found, lambda v, i: F.struct(F.lit(rule.ord).alias("rule_ord"), i.alias("n"), F.length(F.get(gaps, i)).alias("gap"), v.alias("value")))
-    none = F.array().cast("array<struct<rule_ord:int,n:int,gap:int,value:string>>")
-    if rule.guard:
-        lower = F.lower(text)
-        hit = F.lit(False)
-        for literal in rule.guard:
-            hit = hit | F.contains(lower, F.lit(literal))
-        return F.when(hit, each).otherwise(none)
-    return each
+#: A span while overlaps are resolved: arrays of these sort into the order in which spans are looked at.
+_RAW = "array<struct<start:int,rank:int,rule_ord:int,end:int,entity_type:string,value:string,confidence:double,source:string>>"
+#: Running totals are built in parts of this many numbers, as an array grows by copies.
+_PART = 256
+
+
+_NONE = f"cast(array() as {_RAW})"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL of `body` with `name` standing for `value`, which is computed once; for expressions with lambda functions."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running_totals(numbers: str, tag: str) -> str:
+    """SQL of the running totals of an array of integers; `tag` keeps its variables' names apart from others'."""
+    add = f"cast(array() as array<int>), (a{tag}, x{tag}) -> concat(a{tag}, array(coalesce(get(a{tag}, size(a{tag}) - 1), 0) + x{tag}))"
+    parts = f"transform(sequence(1, greatest(size(n{tag}), 1), {_PART}), i{tag} -> aggregate(slice(n{tag}, i{tag}, {_PART}), {add}))"
+    before = f"aggregate(transform(p{tag}, q{tag} -> coalesce(get(q{tag}, size(q{tag}) - 1), 0)), {add})"
+    total = f"flatten(transform(p{tag}, (r{tag}, j{tag}) -> transform(r{tag}, y{tag} -> y{tag} + coalesce(get(b{tag}, j{tag} - 1), 0))))"
+    return let(f"n{tag}", numbers, let(f"p{tag}", parts, let(f"b{tag}", before, total)))
+
+
+def islands(spans: str) -> str:
+    """SQL of spans (start, end, ...) in order of their starts as arrays of overlapping ones; `spans` must not be empty.
+
+    The i-th span opens an island if the i-1 before it have all ended, and that is so if the (i-1)-th smallest end
+    does not lie behind its start.
+    """
+    opens = "filter(sequence(0, size(s) - 1), i -> i = 0 or get(ends, i - 1) <= get(s, i).start)"
+    groups = "transform(firsts, (i, k) -> slice(s, i + 1, coalesce(get(firsts, k + 1), size(s)) - i))"
+    return let("s", spans, let("ends", "sort_array(transform(s, x -> x.end))", let("firsts", opens, groups)))
+
+
+def quoted(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _rank(rule: Rule) -> int:
+    """What a rule's findings weigh in an overlap."""
+    fixed = {"highEntropyString": 95, "creditCardLike": 120, "ipAddress": 115, "phone": 85}
+    if rule.type in SECRET:
+        return fixed.get(rule.type, 1000)
+    return fixed.get(rule.type) or {"customDictionary": 500, "regex": 100, "ai": 90}.get(rule.source, 1000)
+
+
+def _matches(text: str, found: str, place: int, rule: Rule) -> str:
+    """SQL of a rule's matches with the length from the end of the last one, null where there is none: a text is split only where
+    it has a match."""
+    return f"if(size({found}) > 0, struct({place} as k, filter(zip_with({found}, split({text}, {quoted(rule.pattern)}, -1), (v, gap) -> struct(v as value, length(gap) + length(v) as step)), x -> x.value is not null) as m), null)"
+
+
+def _placed(matches: str, rules: Sequence[Rule]) -> str:
+    """SQL of all rules' matches as spans: running totals of the lengths are their ends."""
+    facts = ", ".join(f"struct({-_rank(r)} as rank, {r.ord} as rule_ord, '{r.type}' as entity_type, cast({r.confidence} as double) as confidence, '{r.source}' as source)" for r in rules)
+    fields = "struct(e - length(x.value) as start, u.rank as rank, u.rule_ord as rule_ord, e as end, u.entity_type as entity_type, x.value as value, u.confidence as confidence, u.source as source)"
+    spans = let("u", f"array({facts})[r.k]", f"zip_with(r.m, {running_totals('transform(r.m, x -> x.step)', '')}, (x, e) -> {fields})")
+    return f"flatten(transform(filter({matches}, r -> r is not null), r -> {spans}))"
+
+
+def with_spans(df: DataFrame, text_col: str, rules: Sequence[Rule], column: str) -> DataFrame:
+    """`df` with every leftmost non-overlapping match of each rule in an array `column`; a null text has none.
+
+    One projection lower-cases the text for the guards, one holds each rule's matches, and one their places. They are
+    written as SQL, as hundreds of nested functions are read much faster than built call by call.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != column]
+    if not rules:
+        return df.select(*kept, F.expr(_NONE).alias(column))
+    mark = uuid4().hex[:8]
+    text, low = f"coalesce(`{text_col}`, '')", f"low_{mark}"
+
+    def matches(rule: Rule) -> str:
+        found = f"regexp_extract_all({text}, {quoted(rule.pattern)}, 0)"
+        hit = " or ".join(f"contains({low}, {quoted(literal)})" for literal in rule.guard)
+        return f"if({hit}, {found}, cast(array() as array<string>))" if hit else found
+
+    out = df.select(*kept, F.expr(f"lower({text})").alias(low))
+    out = out.select(*kept, *[F.expr(matches(r)).alias(f"m{i}_{mark}") for i, r in enumerate(rules)])
+    found = ", ".join(_matches(text, f"m{i}_{mark}", i, r) for i, r in enumerate(rules))
+    return out.select(*kept, F.expr(f"cast({_placed(f'array({found})', rules)} as {_RAW})").alias(column))
+
+
+def _resolved(spans: str) -> str:
+    """SQL of one span for each island of overlapping ones: of the highest rank, ties to the earlier one; it covers the whole
+    island, and its value is put together from the spans', so no text is read again."""
+    longer = "if(x.end > a.reach, struct(x.end as reach, concat(a.value, substring(x.value, a.reach - x.start + 1, length(x.value))) as value), a)"
+    whole = f"aggregate(g, struct(g[0].start as reach, '' as value), (a, x) -> {longer}, a -> a.value)"
+    best = "array_min(transform(g, x -> struct(x.rank, x.start, x.rule_ord, x.end, x.entity_type, x.confidence, x.source)))"
+    fields = (
+        f"struct(g[0].start as start, b.rank as rank, b.rule_ord as rule_ord, array_max(transform(g, x -> x.end)) as end, b.entity_type as entity_type, "
+        f"if(size(g) = 1, g[0].value, {whole}) as value, b.confidence as confidence, b.source as source)"
+    )
+    return f"if(size({spans}) > 0, transform({islands(f'sort_array({spans})')}, g -> {let('b', best, fields)}), {_NONE})"
+
+
+def _public(spans: str) -> str:
+    names = ("start", "end", "entity_type", "value", "confidence", "source", "rule_ord")
+    return f"transform({spans}, x -> struct({', '.join(f'x.{n} as {n}' for n in names)}))"
+
+
+def _ignored_lines(text: str, marker: str) -> str:
+    """SQL of the places (start, end) of lines that hold `marker`, or follow one that holds `marker`-next-line."""
+    here, following = quoted(marker), quoted(f"{marker}-next-line")
+    off = f"(contains(x, {here}) and not contains(x, {following})) or coalesce(contains(get(lines, i - 1), {following}), false)"
+    rows = f"zip_with({running_totals('transform(lines, x -> length(x) + 1)', '')}, transform(lines, (x, i) -> struct(length(x) as n, {off} as off)), (e, x) -> struct(e - x.n - 1 as start, e as end, x.off as off))"
+    return f"if(contains({text}, {here}), {let('lines', f'split({text}, {quoted(chr(10))}, -1)', f'filter({rows}, x -> x.off)')}, cast(array() as array<struct<start:int,end:int,off:boolean>>))"
 
 
 def extract_spans(df: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
     """Every leftmost non-overlapping match of each rule: doc_id, start, end (characters), entity_type, value,
-    confidence, source, rule_ord. Only matches leave the scan; they shuffle once, by document, for the offsets."""
-    if not rules:
-        return df.sparkSession.createDataFrame([], f"doc_id {dict(df.dtypes)[id_col]}, start int, end int, entity_type string, value string, confidence double, source string, rule_ord int")
-    found = df.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(*[_pieces(F.col(text_col), r) for r in rules])).alias("m"))
-    found = found.select("doc_id", "m.*").repartition("doc_id")
-    order = Window.partitionBy("doc_id", "rule_ord").orderBy("n")
-    before = F.sum(F.col("gap") + F.length("value")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    end = before.cast("int")
+    confidence, source, rule_ord. Null texts have none; nothing shuffles."""
+    rows = with_spans(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", rules, "spans")
+    return listed(rows, F.expr(_public("spans")), "doc_id")
+
+
+def with_findings(
+    df: DataFrame, text_col: str = "text", enabled: Iterable[str] | None = None, disabled: Iterable[str] = (), dictionary: Sequence[DictionaryEntry] = (),
+    secrets_only: bool = False, ignore_marker: str | None = None, key: bytes | None = None, column: str = "findings",
+) -> DataFrame:
+    """`df` with an array `column` of each text's findings, in order of their places.
+
+    Rules and dictionary terms are matched, overlaps resolved, and false positives left out; so are findings within a
+    sealed value, but for critical ones that aren't the token's own frame (with `key`: all within a token that opens
+    under it), and on lines with `ignore_marker`. Every row is decided alone: ids play no part, nulls have no findings.
+    """
+    rules = [*select_rules(enabled, disabled), *(r for i, e in enumerate(dictionary) if (r := e.rule(i)) and (enabled is None or r.type in set(enabled)))]
+    tokens = f"tokens_{uuid4().hex[:8]}"
+    kept = [F.col(f"`{c}`") for c in df.columns if c != column]
+    out = with_spans(with_spans(df, text_col, rules, column), text_col, [_SEAL_RULE], tokens)
+    out = out.select(*kept, F.expr(_resolved(f"`{column}`")).alias(column), tokens)
+    frames = F.col(tokens) if key is None else F.filter(tokens, lambda t: open_token(t["value"], key).isNotNull())
+    out = out.select(*kept, F.filter(column, lambda f: plausible(f["entity_type"], f["value"])).alias(column), frames.alias(tokens))
+
+    critical = f"f.entity_type in ({', '.join(map(quoted, CRITICAL))})"
+    own = "false" if key is not None else f"{critical} and not rlike(f.value, {quoted(SEAL_TOKEN_INNER)})"
+    found = f"if(size({tokens}) > 0, filter(`{column}`, f -> {own} or not exists({tokens}, t -> f.start >= t.start and f.end <= t.end)), `{column}`)"
+    if secrets_only:
+        found = f"filter({found}, f -> {critical})"
+    if ignore_marker:
+        lines = f"lines_{tokens}"
+        out = out.select(*kept, column, tokens, F.expr(_ignored_lines(f"coalesce(`{text_col}`, '')", ignore_marker)).alias(lines))
+        found = f"filter({found}, f -> not exists({lines}, r -> f.start >= r.start and f.start < r.end))"
+    return out.select(*kept, F.expr(_public(found)).alias(column))
+
+
+def listed(df: DataFrame, spans: Column, *kept: str) -> DataFrame:
+    """The elements of an array of spans as rows. An outer explode: for an inner one the optimizer would filter on the array's size
+    first, and so compute the whole scan a second time."""
+    return df.select(*kept, F.inline_outer(spans)).filter("start is not null")
 
-    def by_rule(field: str) -> Column:
-        return F.create_map(*[F.lit(x) for r in rules for x in (r.ord, getattr(r, field))])[F.col("rule_ord")]
 
-    return found.select("doc_id", (end - F.length("value")).alias("start"), end.alias("end"), by_rule("type").alias("entity_type"), "value", by_rule("confidence").alias("confidence"), by_rule("source").alias("source"), "rule_ord")
+def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The whole scan as a table of findings: doc_id, start, end, entity_type, value, confidence, source, rule_ord;
+    `options` are those of `with_findings`."""
+    rows = with_findings(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **options)
+    return listed(rows, F.col("findings"), "doc_id")
 
 
 def priority() -> Column:
@@ -95,65 +230,39 @@ def priority() -> Column:
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
-    """One finding for each island of overlapping spans: that of the highest priority, ties to the earlier one; it
-    covers the whole island, and its value is put together from the spans', so no text is read again."""
-    order = Window.partitionBy("doc_id").orderBy("start", F.col("priority").desc(), "rule_ord", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.withColumn("priority", priority()).withColumn("place", F.row_number().over(order))
-    rows = rows.withColumn("new", F.when(reached.isNull() | (F.col("start") >= reached), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    best = F.max_by(F.struct("entity_type", "confidence", "source", "rule_ord"), F.struct("priority", -F.col("place"))).alias("best")
-    parts = F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("parts")
-    merged = rows.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best, parts)
-
-    def longer(a: Column, x: Column) -> Column:
-        added = x["value"].substr(a["reach"] - x["start"] + 1, F.length(x["value"]))
-        return F.when(x["end"] > a["reach"], F.struct(x["end"].alias("reach"), F.concat(a["value"], added).alias("value"))).otherwise(a)
-
-    value = F.aggregate("parts", F.struct(F.col("start").alias("reach"), F.lit("").alias("value")), longer, lambda a: a["value"])
-    return merged.select("doc_id", "start", "end", "best.entity_type", value.alias("value"), "best.confidence", "best.source", "best.rule_ord")
+    """The same resolution for a table of spans from several sources (rules, dictionaries, a model), whose doc_id names one text."""
+    fields = F.struct("start", (-priority()).alias("rank"), "rule_ord", "end", "entity_type", "value", "confidence", "source")
+    rows = spans.groupBy("doc_id").agg(F.collect_list(fields).cast(_RAW).alias("spans"))
+    return listed(rows, F.expr(_public(_resolved("spans"))), "doc_id")
 
 
 def drop_implausible(spans: DataFrame) -> DataFrame:
     return spans.filter(plausible(F.col("entity_type"), F.col("value")))
 
 
-def seal_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, start, end, value) of the sealed values in texts."""
-    rule = Pattern(0, "seal", "seal", 1.0, SEAL_TOKEN, ("{{",))
-    return extract_spans(df.filter(F.contains(F.col(text_col), F.lit("{{"))), id_col, text_col, [rule]).select("doc_id", "start", "end", "value")
+_SEAL_RULE = Pattern(0, "seal", "seal", 1.0, SEAL_TOKEN, ("{{",))
 
 
-def drop_inside_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Leaves out findings within a sealed value, but for critical ones that aren't the token's own frame."""
-    ranges = tokens.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    inside = F.exists("ranges", lambda r: (F.col("start") >= r["start"]) & (F.col("end") <= r["end"]))
-    keep = ~F.coalesce(inside, F.lit(False)) | (is_critical(F.col("entity_type")) & ~F.col("value").rlike(SEAL_TOKEN_INNER))
-    return spans.join(ranges, "doc_id", "left").filter(keep).drop("ranges")
+def with_tokens(df: DataFrame, text_col: str, column: str) -> DataFrame:
+    """`df` with an array `column` of the sealed values (start, end, value, ...) in its texts."""
+    out = with_spans(df, text_col, [_SEAL_RULE], column)
+    return out.withColumn(column, F.expr(_public(f"`{column}`")))
 
 
-def drop_inline_ignored(spans: DataFrame, texts: DataFrame, id_col: str, text_col: str, marker: str) -> DataFrame:
-    """Leaves out findings whose line holds `marker`, or whose previous line holds `marker`-next-line."""
-    source = texts.filter(F.contains(F.col(text_col), F.lit(marker))).select(F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("lines"), F.col(text_col).alias("whole"))
-    head = F.left(F.col("whole"), F.col("start"))
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    following = f"{marker}-next-line"
-    here, above = F.get("lines", line), F.when(line > 0, F.get("lines", line - 1))
-    ignored = (F.contains(here, F.lit(marker)) & ~F.contains(here, F.lit(following))) | F.coalesce(F.contains(above, F.lit(following)), F.lit(False))
-    return spans.join(source, "doc_id", "left").filter(~F.coalesce(ignored, F.lit(False))).drop("lines", "whole")
+def seal_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, start, end, value) of the sealed values in texts."""
+    return extract_spans(df, id_col, text_col, [_SEAL_RULE]).select("doc_id", "start", "end", "value")
 
 
-def detect(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", enabled: Iterable[str] | None = None, disabled: Iterable[str] = (),
-    dictionary: Sequence[DictionaryEntry] = (), secrets_only: bool = False, ignore_marker: str | None = None,
-) -> DataFrame:
-    """The whole scan: rules and dictionary terms, overlaps resolved, false positives, sealed and ignored places left out."""
-    rules = [*select_rules(enabled, disabled), *(r for i, e in enumerate(dictionary) if (r := e.rule(i)) and (enabled is None or r.type in set(enabled)))]
-    spans = drop_implausible(resolve_overlaps(extract_spans(df, id_col, text_col, rules)))
-    spans = drop_inside_tokens(spans, seal_tokens(df, id_col, text_col))
-    if ignore_marker:
-        spans = drop_inline_ignored(spans, df, id_col, text_col, ignore_marker)
-    return spans.filter(is_critical(F.col("entity_type"))) if secrets_only else spans
+def outermost(regions: DataFrame, group: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Regions of each group that lie in no other one; of equal regions the one that sorts first by its other columns.
+
+    In order of start (the wider first), a region lies in an earlier one if it ends no later than one of them does.
+    """
+    others = [c for c in regions.columns if c not in (group, start, end)]
+    order = Window.partitionBy(group).orderBy(F.col(start), F.col(end).desc(), *others)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return regions.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col(end) > F.col("reach"))).drop("reach")
 
 
 def dictionary_substrings(df: DataFrame, id_col: str, text_col: str, entries: Sequence[DictionaryEntry]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veilmark.functions.catalog import ENTITY_TYPES, PLACEHOLDER_WORDS, RULES
+from veilmark.functions.checks import NO_PHONE
 from veilmark.functions.path_tables import SENSITIVE_PATTERNS, privacy_rules
 from veilmark.plans import samples as S
 
@@ -29,24 +30,42 @@ _CRITICAL = _list([t for t, _, _, c, _, _ in ENTITY_TYPES if c])
 _TYPES = f"types AS (SELECT * FROM (VALUES {_values([(t, p, w, label) for t, p, _, _, w, label in ENTITY_TYPES])}) v(entity_type, prefix, weight, label))"
 
 
+#: DuckDB's regexes have no look-around. A mark behind every character that is no ASCII letter or digit stands for "no
+#: such character before"; the character behind a match is matched too, and its own mark is left for the next match.
+_MARK = ""
+_PHONE = (
+    r"(?:^|M)((?:\+M\d{1,3}(?:(?:[ \t\-.]M)*(?:\(M)?\d{1,4}(?:\)M)?){2,6}|8[ \t\-]M(?:\(M)?\d{3}(?:\)M)?(?:[ \t\-]M\d{2,4}){3}"
+    r"|(?:\(M)?\d{2,4}(?:\)M)?[ \t\-.]M\d{2,4}(?:[ \t\-.]M\d{2,4}){1,3}))(?:[^0-9]|$)"
+).replace("M", _MARK)
+
+
 def _raw(rules, name: str, id_col: str, text_col: str) -> str:
     """CTE raw(doc_id, rule_ord, entity_type, source, start, end, value) of matches with their offsets."""
     parts = []
     for ord_, entity, source, pattern in rules:
         p = _q(pattern)
-        parts.append(
-            f"SELECT {id_col} AS doc_id, {ord_} AS rule_ord, '{entity}' AS entity_type, '{source}' AS kind, generate_subscripts(m, 1) AS n, unnest(m) AS value, unnest(g[1:len(m)]) AS gap "
-            f"FROM (SELECT {id_col}, regexp_extract_all({text_col}, {p}) AS m, string_split_regex({text_col}, {p}) AS g FROM {name} WHERE regexp_matches({text_col}, {p}))"
-        )
+        head = f"SELECT {id_col} AS doc_id, {ord_} AS rule_ord, '{entity}' AS entity_type, '{source}' AS kind, generate_subscripts(m, 1) AS n, "
+        if entity == "phone":
+            marked = f"regexp_replace({text_col}, '([^A-Za-z0-9])', '\\1{_MARK}', 'g')"
+            bare = "replace({}, '" + _MARK + "', '')"
+            parts.append(
+                head + f"{bare.format('unnest(v)')} AS value, {bare.format('unnest(m)')} AS whole, {bare.format('unnest(g[1:len(m)])')} AS gap "
+                f"FROM (SELECT {id_col}, regexp_extract_all(t, {p}, 1) AS v, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS g FROM (SELECT {id_col}, {marked} AS t FROM {name}) WHERE regexp_matches(t, {p}))"
+            )
+        else:
+            parts.append(
+                head + f"unnest(m) AS value, unnest(m) AS whole, unnest(g[1:len(m)]) AS gap "
+                f"FROM (SELECT {id_col}, regexp_extract_all({text_col}, {p}) AS m, string_split_regex({text_col}, {p}) AS g FROM {name} WHERE regexp_matches({text_col}, {p}))"
+            )
     matches = " UNION ALL ".join(parts)
     return f"""matches AS ({matches}), raw AS (
-        SELECT doc_id, rule_ord, entity_type, kind, value, e - length(value) AS start, e AS "end" FROM (
-            SELECT *, sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, rule_ord ORDER BY n) AS e FROM matches))"""
+        SELECT doc_id, rule_ord, entity_type, kind, value, e - length(whole) AS start, e - length(whole) + length(value) AS "end" FROM (
+            SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, rule_ord ORDER BY n) AS e FROM matches))"""
 
 
-def _rules(types) -> list[tuple]:
-    plain = r"(?i)[A-Za-z0-9+/=_-]{40,}"  # maximal runs: the lookarounds of the rule add nothing
-    return [(r.ord, r.type, r.source, plain if r.type == "highEntropyString" else r.pattern) for r in RULES if r.type in types]
+def _rules(types=None) -> list[tuple]:
+    instead = {"highEntropyString": r"(?i)[A-Za-z0-9+/=_-]{40,}", "phone": _PHONE}  # maximal runs: the first one's look-around adds nothing
+    return [(r.ord, r.type, r.source, instead.get(r.type, r.pattern)) for r in RULES if types is None or r.type in types]
 
 
 def _resolved(name: str, id_col: str, text_col: str) -> str:
@@ -55,8 +74,8 @@ def _resolved(name: str, id_col: str, text_col: str) -> str:
         ordered AS (SELECT *, max("end") OVER w AS reached, row_number() OVER (PARTITION BY doc_id ORDER BY start, priority DESC, rule_ord, "end") AS place FROM weighed
             WINDOW w AS (PARTITION BY doc_id ORDER BY start, priority DESC, rule_ord, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         islands AS (SELECT *, sum(CASE WHEN reached IS NULL OR start >= reached THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM ordered),
-        merged AS (SELECT doc_id, min(start) AS start, max("end") AS "end", arg_max(entity_type, priority * 1000000 - place) AS entity_type FROM islands GROUP BY doc_id, island),
-        resolved AS (SELECT m.doc_id, m.start::INT AS start, m."end"::INT AS "end", m.entity_type, substring(t.{text_col}, m.start::INT + 1, (m."end" - m.start)::INT) AS value FROM merged m JOIN {name} t ON t.{id_col} = m.doc_id)"""
+        merged AS (SELECT doc_id, min(start) AS start, max("end") AS "end", arg_max(entity_type, priority * 1000000 - place) AS entity_type, arg_max(kind, priority * 1000000 - place) AS kind FROM islands GROUP BY doc_id, island),
+        resolved AS (SELECT m.doc_id, m.start::INT AS start, m."end"::INT AS "end", m.entity_type, m.kind, substring(t.{text_col}, m.start::INT + 1, (m."end" - m.start)::INT) AS value FROM merged m JOIN {name} t ON t.{id_col} = m.doc_id)"""
 
 
 _DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
@@ -74,14 +93,16 @@ def _found(name="docs", id_col="doc_id", text_col="text") -> str:
     words = "|".join(PLACEHOLDER_WORDS)
     return f"""found AS (SELECT * FROM resolved WHERE CASE entity_type
             WHEN 'money' THEN NOT regexp_matches(value, '^\\$\\d$')
+            WHEN 'phone' THEN NOT regexp_full_match(trim(value), '{NO_PHONE}') AND length({_DIGITS}) BETWEEN 8 AND 15 AND length(value) - length(replace(value, '.', '')) < 3
+            WHEN 'jwt' THEN len(string_split(value, '.')) = 3 AND coalesce(list_contains(TRY(json_keys(TRY(decode(from_base64(rpad(translate(split_part(value, '.', 1), '-_', '+/'), ((length(split_part(value, '.', 1)) + 3) // 4 * 4)::INT, '=')))))), 'alg'), false)
             WHEN 'creditCardLike' THEN length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN.format(d=_DIGITS)}
             WHEN 'iban' THEN {_iban("upper(value)")}
             WHEN 'highEntropyString' THEN NOT regexp_matches(value, '^[A-Za-z_][A-Za-z0-9_]*$') AND NOT (contains(value, '/') AND NOT regexp_matches(value, '[+=]')) AND regexp_matches(value, '[0-9+=]')
             ELSE NOT list_contains({_SECRET}, entity_type) OR NOT (regexp_matches(value, '[<>]|\\{{\\{{|\\$\\{{|%\\(|\\*\\*\\*\\*|\\.\\.\\.\\.') OR regexp_matches(lower(value), '{words}')) END)"""
 
 
-def sql(compared: list[str]) -> dict[str, str]:
-    rules = _rules(compared)
+def sql() -> dict[str, str]:
+    rules = _rules()
     raw = f"WITH {_DOCS}, {_TYPES}, {_raw(rules, 'docs', 'doc_id', 'text')}"
     resolved = f"{raw}, {_resolved('docs', 'doc_id', 'text')}"
     found = f"{resolved}, {_found()}"
@@ -113,6 +134,8 @@ def sql(compared: list[str]) -> dict[str, str]:
         "spans_by_rule": f"{raw} SELECT rule_ord, entity_type, count(*) AS n, sum(start)::BIGINT AS starts, sum(length(value))::BIGINT AS chars FROM raw GROUP BY ALL",
         "spans_resolved": f"{resolved} SELECT doc_id, start AS span_start, \"end\" AS span_end, entity_type, value FROM resolved",
         "findings_all": f"{found} SELECT doc_id, start AS span_start, \"end\" AS span_end, entity_type, CASE WHEN length(value) > 48 THEN left(value, 48) || '…' ELSE value END AS preview FROM found",
+        "findings_every_type": f"{found} SELECT entity_type, count(*) AS n FROM found GROUP BY 1",
+        "text_gate": f"{found}, gated AS (SELECT d.doc_id, CASE WHEN count(f.doc_id) = 0 THEN 'allow' WHEN bool_or(f.kind = 'secret') THEN 'deny' ELSE 'ask' END AS decision FROM docs d LEFT JOIN found f USING (doc_id) GROUP BY 1) SELECT decision, count(*) AS n FROM gated GROUP BY 1",
         "findings_by_type": f"{found} SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM found GROUP BY 1",
         "findings_unique": f"{found} SELECT doc_id, start AS span_start, \"end\" AS span_end, entity_type FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY start, \"end\") = 1",
         "findings_not_ignored": f"WITH {_DOCS}, {_TYPES}, {_raw(key_rules, 'docs', 'doc_id', 'text')}, {_resolved('docs', 'doc_id', 'text')}, {_found()} SELECT f.doc_id, start AS span_start, \"end\" AS span_end FROM found f JOIN docs d USING (doc_id) WHERE NOT contains(string_split(text, chr(10))[len(string_split(left(text, start), chr(10)))], '{S.IGNORE_MARK}')",
@@ -137,7 +160,7 @@ def sql(compared: list[str]) -> dict[str, str]:
         "rule_findings": f"WITH {labelled} SELECT CASE path WHEN '.cursorignore' THEN 'cursor-ignore' ELSE 'agents-md' END AS rule, count(DISTINCT path) AS n_files FROM labelled WHERE path IN ('.cursorignore', 'AGENTS.md') GROUP BY 1",
         "tool_exposures": f"WITH {labelled}, sensitive AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted), scans AS (SELECT * FROM (VALUES {_values([(r[0], r[3][0]) for r in privacy_rules() if r[4]])}) v(rule, file)) SELECT rule, count(*) AS n FROM scans, sensitive WHERE NOT (file = '.cursorignore' AND (path LIKE 'logs/%' OR (path LIKE '%.pem' AND path != 'keep.pem'))) AND NOT (file = '.aiexclude' AND path = '.env') GROUP BY 1",
         "audit_status": f"WITH {labelled}, {exposed}, {patterns} SELECT CASE WHEN count(*) FILTER (severity = 'required') > 0 THEN 'fail' ELSE 'warning' END AS status FROM exposed JOIN patterns USING (pattern)",
-        "privacy_score": f"WITH {labelled}, lost AS (SELECT DISTINCT path, CASE path WHEN 'app/.env.local' THEN 25 ELSE 4 END AS points FROM labelled WHERE path IN ('app/.env.local', 'db/backup.sql.gz')) SELECT greatest(0, 100 - coalesce(sum(points), 0) - 12 * 3)::BIGINT AS score FROM lost",
+        "privacy_score": f"WITH {labelled}, {patterns}, lost AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted) SELECT greatest(0, 100 - coalesce(sum(CASE severity WHEN 'required' THEN 25 WHEN 'recommended' THEN 10 ELSE 4 END), 0) - 12 * 3)::BIGINT AS score FROM lost JOIN patterns USING (pattern)",
         "audit_delta": f"WITH a AS ({snapshot.format(0)}), b AS ({snapshot.format(1)}) SELECT id, coalesce(a.satisfied, false) AS was, coalesce(b.satisfied, false) AS now, CASE WHEN coalesce(a.satisfied, false) = coalesce(b.satisfied, false) THEN 'same' WHEN b.satisfied THEN 'gained' ELSE 'lost' END AS change, len(list_filter(coalesce(b.paths, []), lambda x: NOT list_contains(coalesce(a.paths, []), x)))::INT AS added, len(list_filter(coalesce(a.paths, []), lambda x: NOT list_contains(coalesce(b.paths, []), x)))::INT AS removed FROM a FULL JOIN b USING (id)",
         "drift": "SELECT DISTINCT n_regionkey::VARCHAR AS file, n_name AS line FROM nation WHERE n_nationkey % 3 != 0",
         "repository_urls": f"SELECT page_id, ({_list([r[1] for r in S.REPOSITORIES])})[page_id % {len(S.REPOSITORIES)} + 1] AS url FROM pages",
@@ -148,7 +171,7 @@ def sql(compared: list[str]) -> dict[str, str]:
         "event_debounce": "WITH gaps AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), bursts AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM gaps) SELECT user_id AS root, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS fires, count(*) AS n FROM bursts GROUP BY user_id, burst",
         "event_relevance": f"WITH {labelled} SELECT doc_id, pattern IS NOT NULL AS immediate FROM labelled WHERE (pattern IS NOT NULL OR path IN ('.cursorignore', 'AGENTS.md')) AND path NOT LIKE '.git/%'",
         "job_latest_state": "SELECT 'job-' || (event_id % 997)::VARCHAR AS job_id, arg_max(user_id::VARCHAR, ts + to_microseconds(event_id)) AS repo_url, arg_max((['queued', 'running', 'completed', 'failed'])[event_id % 4 + 1], ts + to_microseconds(event_id)) AS status FROM events GROUP BY event_id % 997",
-        "blob_probe": f"WITH {_DOCS} SELECT doc_id, 'base64' AS kind, sha256(left(text, 120)) AS decoded, true AS accepted FROM docs WHERE strlen(left(text, 120)) >= 16",
+        "blob_probe": rf"WITH {_DOCS}, whole AS (SELECT doc_id, text AS decoded FROM docs WHERE strlen(text) BETWEEN 16 AND 64000 AND length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g')) * 4 >= length(text) * 3) SELECT doc_id, 'base64' AS kind, sha256(decoded) AS decoded, true AS accepted FROM whole",
         "text_chunks": "SELECT doc_id, n::INT AS n, (n * 3800)::INT AS span_start, length(substring(text, (n * 3800 + 1)::INT, 4000))::INT AS chars FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text) - 201, 0) // 3800 + 1)) AS n) WHERE text IS NOT NULL",
         "label_spans": f"WITH t AS (SELECT user_id AS doc, event_id AS pos, ({_list(S.TOKEN_LABELS)})[floor(value)::BIGINT % {len(S.TOKEN_LABELS)} + 1] AS label, (event_id % 100) / 100 AS confidence FROM events), e AS (SELECT *, CASE WHEN label != 'O' THEN substring(label, 3) END AS entity FROM t), b AS (SELECT *, CASE WHEN left(label, 1) IN ('I', 'E') AND lag(entity) OVER w = entity AND left(lag(label) OVER w, 1) NOT IN ('E', 'S') THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos)), s AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM b) SELECT doc, min(pos) * 10 AS span_start, max(pos) * 10 + 5 AS span_end, first(entity) AS label, min(confidence) AS confidence FROM s WHERE entity IS NOT NULL GROUP BY doc, span",
         "best_labels": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS label, round(1 / list_sum(list_transform(embedding, lambda x: exp((x - list_max(embedding))::DOUBLE))), 5) AS confidence FROM embeddings",

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import checks, paths, text
-from veilmark.functions.catalog import RULES
 from veilmark.operators import audit, blobs, entities, gates, rewrite, risk, spans
 from veilmark.plans import oracle
 from veilmark.plans import samples as S
-from veilmark.session import table
+from veilmark.session import spread, table
 from veilmark.streaming import events as stream
 
-#: Types that DuckDB's regexes can express too.
-COMPARED = [r.type for r in RULES if r.type not in ("phone", "jwt")]
 KEY = bytes(range(32))
 
 
@@ -24,12 +21,17 @@ def _dealt(values: list[str], number: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each with one of the sample texts behind its own."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _dealt(S.FINDINGS, F.col("doc_id"))).alias("text"))
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their findings in an array."""
+    return spans.with_findings(documents(spark, sf_dir))
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.detect(documents(spark, sf_dir), enabled=COMPARED)
+    return spans.detect(documents(spark, sf_dir))
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +41,12 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans_by_rule(spark, sf_dir):
-    found = spans.extract_spans(documents(spark, sf_dir), "doc_id", "text", spans.select_rules(COMPARED))
+    found = spans.extract_spans(documents(spark, sf_dir), "doc_id", "text")
     return found.groupBy("rule_ord", "entity_type").agg(F.count("*").alias("n"), F.sum("start").cast("bigint").alias("starts"), F.sum(F.length("value")).cast("bigint").alias("chars"))
 
 
 def spans_resolved(spark, sf_dir):
-    found = spans.resolve_overlaps(spans.extract_spans(documents(spark, sf_dir), "doc_id", "text", spans.select_rules(COMPARED)))
+    found = spans.resolve_overlaps(spans.extract_spans(documents(spark, sf_dir), "doc_id", "text"))
     return found.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "entity_type", "value")
 
 
@@ -70,7 +72,7 @@ def findings_not_ignored(spark, sf_dir):
 
 
 def critical_docs(spark, sf_dir):
-    return spans.detect(documents(spark, sf_dir), enabled=COMPARED, secrets_only=True).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return spans.detect(documents(spark, sf_dir), secrets_only=True).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def gate_summary(spark, sf_dir):
@@ -78,47 +80,38 @@ def gate_summary(spark, sf_dir):
 
 
 def scan_summary(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return risk.scan_summary(docs, findings(spark, sf_dir))
+    return risk.scan_summary(scanned(spark, sf_dir))
 
 
 def risk_by_source(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    scored = risk.document_risk(docs, findings(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id")
+    scored = risk.with_risk(scanned(spark, sf_dir))
     return scored.groupBy("source", "level", "action").agg(F.count("*").alias("n"), F.sum("score").cast("bigint").alias("score"))
 
 
 def risk_tiered(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("path", _dealt([p[0] for p in S.PATHS], F.col("doc_id")))
-    return risk.document_risk(docs, findings(spark, sf_dir), tier=paths.sensitivity_tier(F.col("path"))).select("doc_id", "score", "level", "action")
+    rows = scanned(spark, sf_dir)
+    return risk.with_risk(rows, tier=paths.sensitivity_tier(_dealt([p[0] for p in S.PATHS], F.col("doc_id")))).select("doc_id", "score", "level", "action")
 
 
 def label_quality_vs_risk(spark, sf_dir):
-    scored = risk.document_risk(documents(spark, sf_dir), findings(spark, sf_dir))
+    scored = risk.with_risk(scanned(spark, sf_dir)).select("doc_id", "level")
     return scored.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic", "level").agg(F.count("*").alias("n"))
 
 
 def masked_docs(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    masked = rewrite.mask(docs, findings(spark, sf_dir))
-    return masked.select("doc_id", F.sha2("text", 256).alias("masked"), F.size("mapping").alias("placeholders"))
+    return rewrite.mask(scanned(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("masked"), F.size("mapping").alias("placeholders"))
 
 
 def restored_docs(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    masked = rewrite.mask(docs, findings(spark, sf_dir))
-    return masked.select("doc_id", F.sha2(rewrite.restore(F.col("text"), F.col("mapping")), 256).alias("restored"))
+    return rewrite.mask(scanned(spark, sf_dir)).select("doc_id", F.sha2(rewrite.restore(F.col("text"), F.col("mapping")), 256).alias("restored"))
 
 
 def redacted_docs(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return rewrite.redact(docs, findings(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("redacted"))
+    return rewrite.redact(scanned(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("redacted"))
 
 
 def seal_roundtrip(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    sealed = rewrite.seal_findings(docs, findings(spark, sf_dir), KEY)
-    return rewrite.unseal(sealed, KEY).select("doc_id", F.sha2("text", 256).alias("opened"))
+    return rewrite.unseal(rewrite.seal_findings(scanned(spark, sf_dir), KEY), KEY).select("doc_id", F.sha2("text", 256).alias("opened"))
 
 
 def dictionary_hits(spark, sf_dir):
@@ -133,7 +126,7 @@ def dictionary_substrings(spark, sf_dir):
 
 
 def page_findings(spark, sf_dir):
-    found = spans.detect(table(spark, sf_dir, "pages"), "page_id", "html", enabled=["email", "ipAddress", "apiKeyGeneric", "creditCardLike"])
+    found = spans.detect(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html", enabled=["email", "ipAddress", "apiKeyGeneric", "creditCardLike"])
     return found.select(F.col("doc_id").alias("page_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "entity_type")
 
 
@@ -180,7 +173,7 @@ def audit_status(spark, sf_dir):
 
 
 def privacy_score(spark, sf_dir):
-    exposed = audit.exposures(listing(spark, sf_dir).filter("path like '%.sql.gz' or path like '%.local'"), {})
+    exposed = audit.exposures(listing(spark, sf_dir), {})
     return audit.privacy_score(audit.pattern_findings(exposed), audit.rule_findings(listing(spark, sf_dir)))
 
 
@@ -271,8 +264,9 @@ def ledger_chain(spark, sf_dir):
 
 
 def blob_probe(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("x "), F.base64(F.left("text", F.lit(120)).cast("binary")), F.lit(" y")).alias("text"))
-    rows = rows.withColumn("text", F.regexp_replace("text", r"\r?\n", ""))
+    """Every whole text, encoded: those beyond a blob's most bytes are none."""
+    encoded = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\r?\n", "")
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("x "), encoded, F.lit(" y")).alias("text"))
     return blobs.decode_blobs(rows).select("doc_id", "kind", F.sha2("decoded", 256).alias("decoded"), "accepted")
 
 
@@ -308,4 +302,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return oracle.sql(COMPARED)
+    return oracle.sql()

@@ -18,6 +18,8 @@ FINDINGS = [
     "gsk_" + _A[:24] + " glpat-" + _A[:22] + " hf_" + _A[:32] + " npm_" + _A[:36],
     "blob " + "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo" + "0123456789+/=abc",
     "skip this token = " + _A[:25] + " # scan-ok",
+    "call +1 415 555 2671, (415) 555-2671 8 (495) 123-45-67 or 020 7946 0958-12 not 2024-01-02 nor 10.20.30.40 nor a415-555-2671",
+    "session " + "eyJ" + "hbGciOiJub25lIn0.eyJhIjoxfQ.c2ln" + " and " + "eyJ" + "0eXAiOiJ4In0.eyJhIjoxfQ.c2ln",
 ]
 #: Mark of a line whose findings don't count.
 IGNORE_MARK = "scan-ok"

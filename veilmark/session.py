@@ -21,6 +21,20 @@ def get_session(app: str = "veilmark", cores: str | None = None) -> SparkSession
     )
 
 
+#: Bytes of a table for each core below which its few row groups would leave most cores idle.
+_SMALL = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores, as a row group is the least that a task reads; a larger one as it is.
+
+    For scans that work hard on every row. The size is that of the files, known without reading them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < _SMALL * cores else df
