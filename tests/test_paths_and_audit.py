@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import path_tables, paths
-from veilmark.operators import audit, blocks
+from veilmark.operators import audit, blocks, policy
 
 
 def check(spark, values, column):
@@ -130,3 +130,34 @@ def test_block_columns(spark):
     df = spark.createDataFrame([(text, ["a", "b"]), (None, ["z"]), ("x\n", None)], "contents string, wanted array<string>")
     rows = df.select(blocks.upsert_column(F.col("contents"), F.col("wanted"))["result"].alias("r"), blocks.block_patterns(F.col("contents")).alias("p")).collect()
     assert [r["r"] for r in rows] == ["unchanged", "created", "updated"] and rows[0]["p"] == ["a", "b"] and rows[2]["p"] is None
+
+
+def test_ignore_settings(spark):
+    files = [
+        ("ignore:\n  commit: true\n  tools:\n    - Cursor\n    - 'claude' # note\nother:\n  commit: false\n", (True, ["cursor", "claude"])),
+        ("ignore: # all\n  tools: [a, \"b\", ]\n", (False, ["a", "b"])),
+        ("# ignore:\nother:\n  tools: [a]\n", (False, None)),
+        ("ignore:\n  tools:\n  commit: TRUE\n    - x\n", (True, None)),
+        ("", (False, None)),
+    ]
+    rows = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(files)], "i int, f string").select("i", policy.ignore_settings(F.col("f")).alias("s")).orderBy("i").collect()
+    assert [(r["s"]["commit"], r["s"]["tools"]) for r in rows] == [w for _, w in files]
+
+
+def test_selection(spark):
+    picks = spark.createDataFrame([(1, 0, "a.TXT", False), (1, 1, "b.exe", False), (1, 2, "a.TXT", False), (2, 0, "a.txt", False), (2, 1, "d", True), (3, 0, "x.bin", False)], "pick int, n int, path string, is_dir boolean")
+    assert sorted(map(tuple, policy.selection(picks, ["txt"]).collect())) == [(1, "documents", ["a.TXT"]), (2, "directory", ["d"])]
+
+
+def test_resolve_configuration():
+    rules, skipped = policy.resolve_configuration(path_tables.privacy_rules(), ["cursor-ignore", "llm-ignore"], [" build ", "", "build"])
+    assert skipped == ["build"] and len(rules) == 17 and "cursor-ignore" in [r[0] for r in rules]
+    assert policy.missing_lines({"a": ["x"], "b": []}, ["x", "y", "x"]) == {"a": ["y"], "b": ["x", "y"]}
+
+
+def test_config_lookup(spark):
+    tree = '{"a": {"s": "x", "n": 1, "l": ["p", 2, "q"], "b": true}}'
+    df = spark.createDataFrame([(tree,), (None,)], "t string")
+    got = [df.select(*[c.alias(f"c{i}") for i, c in enumerate(policy.config_lookup(F.col("t"), "a", k))]).collect() for k in ("s", "n", "l", "b", "none")]
+    assert [tuple(g[0]) for g in got] == [("x", [], None), (None, [], None), (None, ["p", "q"], None), (None, [], True), (None, [], None)]
+    assert all(tuple(g[1]) == (None, [], None) for g in got)

@@ -61,23 +61,28 @@ SENSITIVE_PATTERNS = [
 
 
 def privacy_rules(product: str = "veilmark") -> list[tuple[str, str | None, str, list[str], bool]]:
-    """Rules of the audit: id, tool, severity, globs, whether its ignore file is checked for exposures."""
+    """Rules of the audit: id, tool, severity, globs, whether its ignore file is checked for exposures; the first glob is the file a fix writes."""
     #: Fixed values; the files of two tools carry the product's name.
-    ignore_files = [
-        ("cursor-ignore", "cursor", "required", ".cursorignore"), ("cursor-indexing-ignore", "cursor", "recommended", ".cursorindexingignore"),
-        ("copilot-exclude", "copilot", "recommended", ".aiexclude"), ("continue-ignore", "continue", "recommended", ".continueignore"),
-        ("codeium-ignore", "windsurf", "recommended", ".codeiumignore"), ("claude-ignore", "claude", "recommended", ".claudeignore"),
-        ("gemini-ignore", "gemini", "recommended", ".geminiignore"), ("llm-ignore", "llm", "recommended", ".llmignore"),
-        ("aider-ignore", "aider", "recommended", ".aiderignore"), ("cline-ignore", "cline", "recommended", ".clineignore"),
-        ("roo-ignore", "roo", "recommended", ".rooignore"), ("zed-ignore", "zed", "recommended", ".zedignore"), ("cody-ignore", "cody", "recommended", ".codyignore"),
-    ]
-    others = [
+    return [
+        ("cursor-ignore", "cursor", "required", [".cursorignore"], True),
+        ("cursor-indexing-ignore", "cursor", "recommended", [".cursorindexingignore"], True),
         ("cursor-project-rules", "cursor", "recommended", [f".cursor/rules/{product}_privacy.mdc", ".cursor/rules/privacy.mdc"], False),
         ("claude-project-rules", "claude", "recommended", [f".claude/rules/{product}_privacy.md"], False),
-        ("agents-md", None, "informational", ["AGENTS.md"], False), ("claude-md", "claude", "informational", ["CLAUDE.md"], False),
+        ("copilot-exclude", "copilot", "recommended", [".aiexclude"], True),
+        ("continue-ignore", "continue", "recommended", [".continueignore"], True),
+        ("codeium-ignore", "windsurf", "recommended", [".codeiumignore"], True),
+        ("claude-ignore", "claude", "recommended", [".claudeignore"], True),
+        ("gemini-ignore", "gemini", "recommended", [".geminiignore"], True),
+        ("llm-ignore", "llm", "recommended", [".llmignore"], True),
+        ("aider-ignore", "aider", "recommended", [".aiderignore"], True),
+        ("cline-ignore", "cline", "recommended", [".clineignore"], True),
+        ("roo-ignore", "roo", "recommended", [".rooignore"], True),
+        ("zed-ignore", "zed", "recommended", [".zedignore"], True),
+        ("cody-ignore", "cody", "recommended", [".codyignore"], True),
+        ("agents-md", None, "informational", ["AGENTS.md"], False),
+        ("claude-md", "claude", "informational", ["CLAUDE.md"], False),
         ("git-ignore", None, "informational", [".gitignore"], False),
-    ]
-    return [(i, tool, severity, [file], True) for i, tool, severity, file in ignore_files] + others
+    ]
 
 
 #: Paths that are no exposure.

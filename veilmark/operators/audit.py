@@ -154,10 +154,10 @@ def worst_status(rows: DataFrame) -> DataFrame:
 
 
 def degraded(audits: DataFrame) -> DataFrame:
-    """Audits (root, ts, status, exposed array) with degraded: whether the status rose or a new path is exposed since the last one of its root."""
+    """Audits (root, ts, status, exposed array) with degraded: whether the status rose or a new path is exposed since the last one of its root; a root's first is not."""
     order = Window.partitionBy("root").orderBy("ts")
     before, seen = F.lag("status").over(order), F.lag("exposed").over(order)
-    worse = status_rank(F.col("status")) > status_rank(before)
+    worse = before.isNotNull() & (status_rank(F.col("status")) > status_rank(before))
     fresh = F.size(F.array_except("exposed", seen)) > 0
     return audits.withColumn("degraded", F.coalesce(worse | fresh, F.lit(False)))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from veilmark.functions import text as X
 from veilmark.functions.paths import any_of, artifact_class, is_excluded, is_suspicious, looks_executable
+from veilmark.operators.rewrite import redact_values, seal_findings
 from veilmark.operators.spans import with_findings
 
 _COMMAND = ("$.command", "$.tool_input.command")
@@ -27,18 +28,30 @@ def _decision(deny: dict[str, Column], ask: dict[str, Column]) -> Column:
 def shell_gate(payload: Column, ignored: tuple[str, ...] = (), program: str = "veilmark") -> Column:
     """A command: it may not change the policy, unseal, configure git, poison the environment, reach containers or touch guarded files."""
     command = F.coalesce(X.json_field(payload, *_COMMAND), F.lit(""))
-    paths = X.path_candidates(command)
     covered = [p if not p.endswith("/") else f"{p}**" for p in ignored]
-    deny = {
-        "policy": command.rlike(rf"(?:^|[\s;&|/]){program}\s+policy\s+(?:trust|forget)\b"),
-        "unseal": command.rlike(rf"(?:^|[\s;&|/]){program}\s+unseal\b"),
-        "git-config": X.git_config_mutation(command),
-        "environment": X.environment_poisoning(command).isNotNull(),
-        "container": X.container_access(command),
-        "artifact": F.exists(paths, lambda p: artifact_class(p)["enforcement"] == "deny"),
-        "ignored": F.exists(paths, lambda p: is_excluded(p, covered) | is_excluded(F.concat(p, F.lit("/x")), covered)) if covered else F.lit(False),
-    }
-    return _decision(deny, {"sensitive-path": F.exists(paths, is_suspicious)})
+
+    def judged(path: Column) -> Column:
+        return F.struct(
+            (artifact_class(path)["enforcement"] == "deny").alias("artifact"), is_suspicious(path).alias("suspicious"),
+            ((is_excluded(path, covered) | is_excluded(F.concat(path, F.lit("/x")), covered)) if covered else F.lit(False)).alias("ignored"),
+        )
+
+    def decided(pair: Column) -> Column:
+        c, paths = pair["command"], pair["paths"]
+        deny = {
+            "policy": c.rlike(rf"(?:^|[\s;&|/]){program}\s+policy\s+(?:trust|forget)\b"),
+            "unseal": c.rlike(rf"(?:^|[\s;&|/]){program}\s+unseal\b"),
+            "git-config": X.git_config_mutation(c),
+            "environment": X.environment_poisoning(c).isNotNull(),
+            "container": X.container_access(c),
+            "artifact": F.exists(paths, lambda p: F.coalesce(p["artifact"], F.lit(False))),
+            "ignored": F.exists(paths, lambda p: p["ignored"]),
+        }
+        return _decision(deny, {"sensitive-path": F.exists(paths, lambda p: p["suspicious"])})
+
+    # each candidate path is found and judged once
+    pair = F.transform(F.array(command), lambda c: F.struct(c.alias("command"), F.transform(X.path_candidates(c), judged).alias("paths")))
+    return F.get(F.transform(pair, decided), F.lit(0))
 
 
 def read_gate(payload: Column, excluded: tuple[str, ...] = ()) -> Column:
@@ -69,14 +82,62 @@ def text_gate(events: DataFrame, id_col: str = "event_id", payload_col: str = "p
     return rows.select(id_col, decision.alias("decision"), found.alias("reasons"))
 
 
-def call_gate(calls: DataFrame, allow: tuple[str, ...] = (), deny: tuple[str, ...] = ()) -> DataFrame:
-    """Calls (server, tool, payload) with decision: an allow list refuses all else, then guarded paths in arguments ask."""
-    server = F.lower("server")
-    listed = any_of(server == x.lower() for x in allow)
-    refused = any_of(server == x.lower() for x in deny if x != "*")
-    closed = ("*" in deny) & (~listed) if "*" in deny else refused
-    guarded = F.exists(X.json_strings(F.col("payload")), is_suspicious)
-    return calls.withColumn("decision", F.when(closed if "*" in deny else refused, "deny").when(guarded, "ask").otherwise("allow"))
+def _server_refused(server: Column, allow: tuple[str, ...], deny: tuple[str, ...]) -> Column:
+    """Whether a server is denied, by name or, with `*`, because it isn't allowed."""
+    name = F.lower(F.coalesce(server, F.lit("")))
+    named = any_of(name == x.lower() for x in deny if x != "*")
+    return named | ~any_of(name == x.lower() for x in allow) if "*" in deny else named
+
+
+def call_gate(calls: DataFrame, allow: tuple[str, ...] = (), deny: tuple[str, ...] = (), mode: str = "ask", secrets_only: bool = False) -> DataFrame:
+    """Calls (server, payload: the arguments) with decision, reason and n_findings.
+
+    A guarded path in the arguments, else a refused server, else what a scan of the whole arguments finds is the reason; the
+    mode (observe, ask or deny) says what comes of it. A payload that is no JSON is denied in mode deny, else let by.
+    """
+    rows = with_findings(calls, "payload", secrets_only=secrets_only)
+    n = F.size("findings")
+    valid = F.col("payload").isNull() | F.get_json_object(F.concat(F.lit('{"v":'), "payload", F.lit("}")), "$").isNotNull()
+    reason = (
+        F.when(~valid, F.when(F.lit(mode == "deny"), "unreadable"))
+        .when(F.coalesce(F.exists(X.json_strings(F.col("payload")), is_suspicious), F.lit(False)), "path")
+        .when(_server_refused(F.col("server"), allow, deny), "server")
+        .when(n > 0, "findings")
+    )
+    decided = F.when(F.col("reason").isNull() | F.lit(mode == "observe"), "allow").otherwise(mode)
+    return rows.select("*", n.alias("n_findings"), reason.alias("reason")).withColumn("decision", decided).drop("findings")
+
+
+def response_gate(responses: DataFrame, mode: str = "observe", key: bytes | None = None, text_col: str = "text", secrets_only: bool = False) -> DataFrame:
+    """Responses with n_findings, action and their text: pass without findings or in mode observe; warn; seal with the text sealed under
+    `key`, or withhold (text null) where that can't be done or there is no key."""
+    rows = with_findings(responses, text_col, secrets_only=secrets_only)
+    n = F.size("findings")
+    rows = rows.withColumn("n_findings", n)
+    if mode == "seal" and key is not None:
+        rows = seal_findings(rows, key, text_col)
+    elif mode == "seal":
+        rows = rows.withColumn(text_col, F.when(n == 0, F.col(text_col)))
+    action = F.when((F.col("n_findings") == 0) | F.lit(mode == "observe"), "pass").when(F.lit(mode == "warn"), "warn").when(F.col(text_col).isNull(), "withhold").otherwise("seal")
+    return rows.withColumn("action", action).drop("findings")
+
+
+def search_gate(events: DataFrame, files: DataFrame, refuse_all: bool = False, limit: int = 2 << 20, secrets_only: bool = False) -> DataFrame:
+    """Searches (event_id, payload) with decision and n_findings: denied where the file (path, text) they look into has findings, or always
+    with `refuse_all` (a search's hits can't be sealed). Files are scanned once, then joined by path; larger ones aren't read."""
+    scanned = with_findings(files.filter(F.octet_length("text") <= limit), secrets_only=secrets_only).select("path", F.size("findings").alias("n"))
+    path = X.json_field(F.col("payload"), "$.tool_input.path", "$.tool_input.file_path", "$.path", "$.file_path")
+    rows = events.select("event_id", path.alias("path")).join(scanned.groupBy("path").agg(F.sum("n").alias("n_findings")), "path", "left")
+    n = F.coalesce("n_findings", F.lit(0))
+    return rows.select("event_id", F.when((n > 0) | F.lit(refuse_all), "deny").otherwise("allow").alias("decision"), n.alias("n_findings"))
+
+
+def task_gate(events: DataFrame, mode: str = "deny", id_col: str = "event_id", payload_col: str = "payload", secrets_only: bool = False) -> DataFrame:
+    """Tasks handed to another agent, with decision and n_findings: findings deny in the modes ask and deny (nobody can be asked there)."""
+    task = F.coalesce(*[F.nullif(X.json_field(F.col(payload_col), p), F.lit("")) for p in ("$.task", "$.prompt", "$.description", "$.tool_input.task", "$.tool_input.prompt", "$.tool_input.description")])
+    rows = with_findings(events.select(F.col(id_col), task.alias("text")), secrets_only=secrets_only)
+    n = F.size("findings")
+    return rows.select(id_col, F.when((n > 0) & F.lit(mode != "observe"), "deny").otherwise("allow").alias("decision"), n.alias("n_findings"))
 
 
 def _score(pattern: Column) -> Column:
@@ -122,7 +183,5 @@ def server_inventory(configs: DataFrame, risky: tuple[str, ...] = ("*shell*", "*
 
 def shell_audit(events: DataFrame, findings: DataFrame) -> DataFrame:
     """Commands (doc_id, command) whose output had findings, with the found values hidden: doc_id, command, types."""
-    from veilmark.operators.rewrite import redact_values
-
     found = findings.groupBy("doc_id").agg(F.collect_set("value").alias("values"), F.array_join(F.array_sort(F.collect_set("entity_type")), ",").alias("types"))
     return events.join(found, "doc_id").select("doc_id", redact_values(F.col("command"), F.col("values")).alias("command"), "types")

@@ -8,7 +8,7 @@ from veilmark.functions.path_tables import SENSITIVE_PATTERNS, privacy_rules
 from veilmark.plans import samples as S
 
 
-def _q(value) -> str:
+def quote(value) -> str:
     if value is None:
         return "NULL"
     if isinstance(value, bool):
@@ -16,18 +16,18 @@ def _q(value) -> str:
     return str(value) if isinstance(value, int | float) else "'" + value.replace("'", "''") + "'"
 
 
-def _list(values) -> str:
-    return "[" + ", ".join(map(_q, values)) + "]"
+def listed(values) -> str:
+    return "[" + ", ".join(map(quote, values)) + "]"
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(map(_q, r)) + ")" for r in rows)
+def values(rows) -> str:
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
-_DOCS = f"docs AS (SELECT doc_id, source, coalesce(text, '') || chr(10) || {_list(S.FINDINGS)}[doc_id % {len(S.FINDINGS)} + 1] AS text FROM documents)"
-_SECRET = _list([t for t, _, s, _, _, _ in ENTITY_TYPES if s])
-_CRITICAL = _list([t for t, _, _, c, _, _ in ENTITY_TYPES if c])
-_TYPES = f"types AS (SELECT * FROM (VALUES {_values([(t, p, w, label) for t, p, _, _, w, label in ENTITY_TYPES])}) v(entity_type, prefix, weight, label))"
+_DOCS = f"docs AS (SELECT doc_id, source, coalesce(text, '') || chr(10) || {listed(S.FINDINGS)}[doc_id % {len(S.FINDINGS)} + 1] AS text FROM documents)"
+_SECRET = listed([t for t, _, s, _, _, _ in ENTITY_TYPES if s])
+CRITICAL = listed([t for t, _, _, c, _, _ in ENTITY_TYPES if c])
+_TYPES = f"types AS (SELECT * FROM (VALUES {values([(t, p, w, label) for t, p, _, _, w, label in ENTITY_TYPES])}) v(entity_type, prefix, weight, label))"
 
 
 #: DuckDB's regexes have no look-around. A mark behind every character that is no ASCII letter or digit stands for "no
@@ -43,7 +43,7 @@ def _raw(rules, name: str, id_col: str, text_col: str) -> str:
     """CTE raw(doc_id, rule_ord, entity_type, source, start, end, value) of matches with their offsets."""
     parts = []
     for ord_, entity, source, pattern in rules:
-        p = _q(pattern)
+        p = quote(pattern)
         head = f"SELECT {id_col} AS doc_id, {ord_} AS rule_ord, '{entity}' AS entity_type, '{source}' AS kind, generate_subscripts(m, 1) AS n, "
         if entity == "phone":
             marked = f"regexp_replace({text_col}, '([^A-Za-z0-9])', '\\1{_MARK}', 'g')"
@@ -101,13 +101,35 @@ def _found(name="docs", id_col="doc_id", text_col="text") -> str:
             ELSE NOT list_contains({_SECRET}, entity_type) OR NOT (regexp_matches(value, '[<>]|\\{{\\{{|\\$\\{{|%\\(|\\*\\*\\*\\*|\\.\\.\\.\\.') OR regexp_matches(lower(value), '{words}')) END)"""
 
 
+def labelled() -> str:
+    """CTE labelled: a path for every document with what was labelled by hand."""
+    return f"labelled AS (SELECT doc_id, p.* FROM documents, (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {values(S.PATHS)}) v(path, pattern, allowlisted, ignored, excluded, tier, suspicious, artifact)) p WHERE p.k = doc_id % {len(S.PATHS)})"
+
+
+def patterns() -> str:
+    return f"patterns AS (SELECT * FROM (VALUES {values([(i, s) for i, s, _, _ in SENSITIVE_PATTERNS])}) v(pattern, severity))"
+
+
+EXPOSED = "exposed AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted AND NOT ignored)"
+
+
+def dealt(texts, column: str) -> str:
+    return f"({listed(texts)})[{column} % {len(texts)} + 1]"
+
+
+def found(docs: str = _DOCS, without=()) -> str:
+    """WITH ... found: the findings of the texts of a CTE docs(doc_id, text), by all rules but those of some types."""
+    rules = [r for r in _rules() if r[1] not in without]
+    return f"WITH {docs}, {_TYPES}, {_raw(rules, 'docs', 'doc_id', 'text')}, {_resolved('docs', 'doc_id', 'text')}, {_found()}"
+
+
 def sql() -> dict[str, str]:
     rules = _rules()
     raw = f"WITH {_DOCS}, {_TYPES}, {_raw(rules, 'docs', 'doc_id', 'text')}"
     resolved = f"{raw}, {_resolved('docs', 'doc_id', 'text')}"
     found = f"{resolved}, {_found()}"
     level = "CASE WHEN critical THEN 3 WHEN s < 20 THEN 0 WHEN s < 50 THEN 1 ELSE 2 END"
-    sums = f"""sums AS (SELECT d.doc_id, d.source, coalesce(sum(weight), 0) AS total, coalesce(bool_or(list_contains({_CRITICAL}, f.entity_type)), false) AS critical
+    sums = f"""sums AS (SELECT d.doc_id, d.source, coalesce(sum(weight), 0) AS total, coalesce(bool_or(list_contains({CRITICAL}, f.entity_type)), false) AS critical
         FROM docs d LEFT JOIN found f USING (doc_id) LEFT JOIN types t ON t.entity_type = f.entity_type GROUP BY d.doc_id, d.source)"""
     names = "['low', 'medium', 'high', 'critical']", "['allow', 'warn', 'mask', 'block']"
     risk = f"risk AS (SELECT *, ({names[0]})[{level} + 1] AS level, ({names[1]})[{level} + 1] AS action, CASE WHEN critical THEN greatest(total, 100) ELSE s END AS score FROM (SELECT *, least(total, 75) AS s FROM sums))"
@@ -117,9 +139,8 @@ def sql() -> dict[str, str]:
     masks = """firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY start, "end") AS nth FROM found),
         numbered AS (SELECT f.doc_id, value, '{{' || prefix || '_' || row_number() OVER (PARTITION BY doc_id, prefix ORDER BY start, "end") || '}}' AS replacement FROM firsts f JOIN types USING (entity_type) WHERE nth = 1),
         named AS (SELECT f.doc_id, f.start, f."end", replacement FROM found f JOIN numbered n ON n.doc_id = f.doc_id AND n.value = f.value)"""
-    labelled = f"labelled AS (SELECT doc_id, p.* FROM documents, (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_values(S.PATHS)}) v(path, pattern, allowlisted, ignored, excluded, tier, suspicious, artifact)) p WHERE p.k = doc_id % {len(S.PATHS)})"
-    patterns = f"patterns AS (SELECT * FROM (VALUES {_values([(i, s) for i, s, _, _ in SENSITIVE_PATTERNS])}) v(pattern, severity))"
-    exposed = "exposed AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted AND NOT ignored)"
+    labels, exposed = labelled(), EXPOSED
+    pattern_rows = patterns()
     words = [(1000 + i, {"client": "customClient", "company": "customCompany", "sensitiveTerm": "customSensitiveTerm", "internalDomain": "customInternalDomain"}[k], v) for i, (k, v) in enumerate(S.TERMS)]
     terms = [(n, t, "customDictionary", rf"\b{v}\b") for n, t, v in words if t != "customInternalDomain"]
     substrings = [(n, t, "customDictionary", "(?i)" + v.replace(".", r"\.")) for n, t, v in words]
@@ -127,8 +148,8 @@ def sql() -> dict[str, str]:
     key_rules = _rules(["apiKeyGeneric"])
     tiers = "CASE WHEN tier = 'secretsConfig' THEN total ELSE least(total, 75) END"
     step = "CASE WHEN critical THEN 3 WHEN tier = 'secretsConfig' THEN base + 1 WHEN tier = 'docsOrTests' THEN least(base, 1) ELSE base END"
-    servers = f"({_list(S.SERVERS)})[event_id % {len(S.SERVERS)} + 1]"
-    tools = f"({_list(S.TOOLS)})[user_id % {len(S.TOOLS)} + 1]"
+    servers = f"({listed(S.SERVERS)})[event_id % {len(S.SERVERS)} + 1]"
+    tools = f"({listed(S.TOOLS)})[user_id % {len(S.TOOLS)} + 1]"
     snapshot = "SELECT o_orderpriority AS id, count(*) FILTER (o_orderstatus = 'O') > 2 AS satisfied, list(DISTINCT o_custkey) AS paths FROM orders WHERE o_orderkey % 3 != {} GROUP BY 1"
     return {
         "spans_by_rule": f"{raw} SELECT rule_ord, entity_type, count(*) AS n, sum(start)::BIGINT AS starts, sum(length(value))::BIGINT AS chars FROM raw GROUP BY ALL",
@@ -139,11 +160,11 @@ def sql() -> dict[str, str]:
         "findings_by_type": f"{found} SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM found GROUP BY 1",
         "findings_unique": f"{found} SELECT doc_id, start AS span_start, \"end\" AS span_end, entity_type FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY start, \"end\") = 1",
         "findings_not_ignored": f"WITH {_DOCS}, {_TYPES}, {_raw(key_rules, 'docs', 'doc_id', 'text')}, {_resolved('docs', 'doc_id', 'text')}, {_found()} SELECT f.doc_id, start AS span_start, \"end\" AS span_end FROM found f JOIN docs d USING (doc_id) WHERE NOT contains(string_split(text, chr(10))[len(string_split(left(text, start), chr(10)))], '{S.IGNORE_MARK}')",
-        "critical_docs": f"{found} SELECT doc_id, count(*) AS n FROM found WHERE list_contains({_CRITICAL}, entity_type) GROUP BY 1",
-        "gate_summary": f"{found} SELECT doc_id, count(*) AS n, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types, bool_or(list_contains({_CRITICAL}, entity_type)) AS has_secrets FROM found GROUP BY 1",
+        "critical_docs": f"{found} SELECT doc_id, count(*) AS n FROM found WHERE list_contains({CRITICAL}, entity_type) GROUP BY 1",
+        "gate_summary": f"{found} SELECT doc_id, count(*) AS n, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types, bool_or(list_contains({CRITICAL}, entity_type)) AS has_secrets FROM found GROUP BY 1",
         "scan_summary": f"{found} SELECT (SELECT count(*) FROM docs) AS scanned, count(DISTINCT doc_id) AS with_findings, count(*) AS findings FROM found",
         "risk_by_source": f"{found}, {sums}, {risk} SELECT source, level, action, count(*) AS n, sum(score)::BIGINT AS score FROM risk GROUP BY ALL",
-        "risk_tiered": f"{found}, {sums}, {labelled}, tiered AS (SELECT s.doc_id, total, critical, tier, {tiers} AS s FROM sums s JOIN labelled USING (doc_id)), stepped AS (SELECT *, CASE WHEN s < 20 THEN 0 WHEN s < 50 THEN 1 ELSE 2 END AS base FROM tiered) SELECT doc_id, (CASE WHEN critical THEN greatest(total, 100) ELSE s END)::INT AS score, ({names[0]})[{step} + 1] AS level, ({names[1]})[{step} + 1] AS action FROM stepped",
+        "risk_tiered": f"{found}, {sums}, {labels}, tiered AS (SELECT s.doc_id, total, critical, tier, {tiers} AS s FROM sums s JOIN labelled USING (doc_id)), stepped AS (SELECT *, CASE WHEN s < 20 THEN 0 WHEN s < 50 THEN 1 ELSE 2 END AS base FROM tiered) SELECT doc_id, (CASE WHEN critical THEN greatest(total, 100) ELSE s END)::INT AS score, ({names[0]})[{step} + 1] AS level, ({names[1]})[{step} + 1] AS action FROM stepped",
         "label_quality_vs_risk": f"{found}, {sums}, {risk} SELECT quality, toxic, level, count(*) AS n FROM risk JOIN labels USING (doc_id) GROUP BY ALL",
         "masked_docs": f"{found}, {masks}, {gaps} SELECT doc_id, sha256(text) AS masked, coalesce((SELECT count(DISTINCT replacement) FROM named n WHERE n.doc_id = r.doc_id), 0)::INT AS placeholders FROM rebuilt r",
         "restored_docs": f"WITH {_DOCS} SELECT doc_id, sha256(text) AS restored FROM docs",
@@ -154,25 +175,25 @@ def sql() -> dict[str, str]:
         "page_findings": f"WITH {_TYPES}, {_raw(page_rules, 'pages', 'page_id', 'html')}, {_resolved('pages', 'page_id', 'html')}, {_found()} SELECT doc_id AS page_id, start AS span_start, \"end\" AS span_end, entity_type FROM found",
         "luhn_valid_cards": f"SELECT o_orderkey, value AS card FROM (SELECT o_orderkey, '4' || lpad((o_orderkey * 7919 + o_custkey)::VARCHAR, 15, '0') AS value FROM orders) WHERE {_LUHN.format(d='value')}",
         "iban_valid": "SELECT o_orderkey, iban FROM (SELECT o_orderkey, 'DE' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || lpad((o_orderkey * 104729 + o_custkey * 31)::VARCHAR, 18, '0') AS iban FROM orders) WHERE (substring(iban, 5) || '1314' || substring(iban, 3, 2))::HUGEINT % 97 = 1",
-        "path_classes": f"WITH {labelled} SELECT doc_id, path, pattern, allowlisted, ignored, excluded, tier, suspicious, artifact FROM labelled",
-        "path_exposure": f"WITH {labelled}, {exposed} SELECT * FROM exposed",
-        "pattern_findings": f"WITH {labelled}, {exposed}, {patterns} SELECT p.pattern, severity, count(path) AS n_exposed FROM patterns p LEFT JOIN exposed e ON e.pattern = p.pattern GROUP BY ALL",
-        "rule_findings": f"WITH {labelled} SELECT CASE path WHEN '.cursorignore' THEN 'cursor-ignore' ELSE 'agents-md' END AS rule, count(DISTINCT path) AS n_files FROM labelled WHERE path IN ('.cursorignore', 'AGENTS.md') GROUP BY 1",
-        "tool_exposures": f"WITH {labelled}, sensitive AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted), scans AS (SELECT * FROM (VALUES {_values([(r[0], r[3][0]) for r in privacy_rules() if r[4]])}) v(rule, file)) SELECT rule, count(*) AS n FROM scans, sensitive WHERE NOT (file = '.cursorignore' AND (path LIKE 'logs/%' OR (path LIKE '%.pem' AND path != 'keep.pem'))) AND NOT (file = '.aiexclude' AND path = '.env') GROUP BY 1",
-        "audit_status": f"WITH {labelled}, {exposed}, {patterns} SELECT CASE WHEN count(*) FILTER (severity = 'required') > 0 THEN 'fail' ELSE 'warning' END AS status FROM exposed JOIN patterns USING (pattern)",
-        "privacy_score": f"WITH {labelled}, {patterns}, lost AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted) SELECT greatest(0, 100 - coalesce(sum(CASE severity WHEN 'required' THEN 25 WHEN 'recommended' THEN 10 ELSE 4 END), 0) - 12 * 3)::BIGINT AS score FROM lost JOIN patterns USING (pattern)",
+        "path_classes": f"WITH {labels} SELECT doc_id, path, pattern, allowlisted, ignored, excluded, tier, suspicious, artifact FROM labelled",
+        "path_exposure": f"WITH {labels}, {exposed} SELECT * FROM exposed",
+        "pattern_findings": f"WITH {labels}, {exposed}, {pattern_rows} SELECT p.pattern, severity, count(path) AS n_exposed FROM patterns p LEFT JOIN exposed e ON e.pattern = p.pattern GROUP BY ALL",
+        "rule_findings": f"WITH {labels} SELECT CASE path WHEN '.cursorignore' THEN 'cursor-ignore' ELSE 'agents-md' END AS rule, count(DISTINCT path) AS n_files FROM labelled WHERE path IN ('.cursorignore', 'AGENTS.md') GROUP BY 1",
+        "tool_exposures": f"WITH {labels}, sensitive AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted), scans AS (SELECT * FROM (VALUES {values([(r[0], r[3][0]) for r in privacy_rules() if r[4]])}) v(rule, file)) SELECT rule, count(*) AS n FROM scans, sensitive WHERE NOT (file = '.cursorignore' AND (path LIKE 'logs/%' OR (path LIKE '%.pem' AND path != 'keep.pem'))) AND NOT (file = '.aiexclude' AND path = '.env') GROUP BY 1",
+        "audit_status": f"WITH {labels}, {exposed}, {pattern_rows} SELECT CASE WHEN count(*) FILTER (severity = 'required') > 0 THEN 'fail' ELSE 'warning' END AS status FROM exposed JOIN patterns USING (pattern)",
+        "privacy_score": f"WITH {labels}, {pattern_rows}, lost AS (SELECT DISTINCT path, pattern FROM labelled WHERE pattern IS NOT NULL AND NOT allowlisted) SELECT greatest(0, 100 - coalesce(sum(CASE severity WHEN 'required' THEN 25 WHEN 'recommended' THEN 10 ELSE 4 END), 0) - 12 * 3)::BIGINT AS score FROM lost JOIN patterns USING (pattern)",
         "audit_delta": f"WITH a AS ({snapshot.format(0)}), b AS ({snapshot.format(1)}) SELECT id, coalesce(a.satisfied, false) AS was, coalesce(b.satisfied, false) AS now, CASE WHEN coalesce(a.satisfied, false) = coalesce(b.satisfied, false) THEN 'same' WHEN b.satisfied THEN 'gained' ELSE 'lost' END AS change, len(list_filter(coalesce(b.paths, []), lambda x: NOT list_contains(coalesce(a.paths, []), x)))::INT AS added, len(list_filter(coalesce(a.paths, []), lambda x: NOT list_contains(coalesce(b.paths, []), x)))::INT AS removed FROM a FULL JOIN b USING (id)",
         "drift": "SELECT DISTINCT n_regionkey::VARCHAR AS file, n_name AS line FROM nation WHERE n_nationkey % 3 != 0",
-        "repository_urls": f"SELECT page_id, ({_list([r[1] for r in S.REPOSITORIES])})[page_id % {len(S.REPOSITORIES)} + 1] AS url FROM pages",
-        "shell_gate": f"SELECT event_id, ({_list([c[1] for c in S.COMMANDS])})[event_id % {len(S.COMMANDS)} + 1] AS decision, ({_list([c[2] for c in S.COMMANDS])})[event_id % {len(S.COMMANDS)} + 1] AS reasons FROM events",
-        "read_gate": f"WITH {labelled} SELECT doc_id, CASE WHEN suspicious AND NOT excluded THEN 'deny' ELSE 'allow' END AS decision FROM labelled",
-        "write_gate": f"WITH {labelled} SELECT doc_id, CASE WHEN artifact IS NULL THEN 'allow' WHEN artifact = 'editorSettings' THEN CASE WHEN doc_id % 2 = 0 THEN 'deny' ELSE 'allow' END ELSE 'deny' END AS decision FROM labelled",
+        "repository_urls": f"SELECT page_id, ({listed([r[1] for r in S.REPOSITORIES])})[page_id % {len(S.REPOSITORIES)} + 1] AS url FROM pages",
+        "shell_gate": f"SELECT event_id, ({listed([c[1] for c in S.COMMANDS])})[event_id % {len(S.COMMANDS)} + 1] AS decision, ({listed([c[2] for c in S.COMMANDS])})[event_id % {len(S.COMMANDS)} + 1] AS reasons FROM events",
+        "read_gate": f"WITH {labels} SELECT doc_id, CASE WHEN suspicious AND NOT excluded THEN 'deny' ELSE 'allow' END AS decision FROM labelled",
+        "write_gate": f"WITH {labels} SELECT doc_id, CASE WHEN artifact IS NULL THEN 'allow' WHEN artifact = 'editorSettings' THEN CASE WHEN doc_id % 2 = 0 THEN 'deny' ELSE 'allow' END ELSE 'deny' END AS decision FROM labelled",
         "mcp_rule_choice": f"SELECT event_id AS call_id, (CASE WHEN {servers} = 'postgres' AND {tools} = 'query' THEN 1 WHEN {servers} = 'postgres' THEN 1 WHEN {servers} = 'files' AND {tools} LIKE 'read%' THEN 3 WHEN {tools} = 'query' THEN 2 ELSE 0 END)::INT AS idx FROM events",
         "event_debounce": "WITH gaps AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), bursts AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM gaps) SELECT user_id AS root, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS fires, count(*) AS n FROM bursts GROUP BY user_id, burst",
-        "event_relevance": f"WITH {labelled} SELECT doc_id, pattern IS NOT NULL AS immediate FROM labelled WHERE (pattern IS NOT NULL OR path IN ('.cursorignore', 'AGENTS.md')) AND path NOT LIKE '.git/%'",
+        "event_relevance": f"WITH {labels} SELECT doc_id, pattern IS NOT NULL AS immediate FROM labelled WHERE (pattern IS NOT NULL OR path IN ('.cursorignore', 'AGENTS.md')) AND path NOT LIKE '.git/%'",
         "job_latest_state": "SELECT 'job-' || (event_id % 997)::VARCHAR AS job_id, arg_max(user_id::VARCHAR, ts + to_microseconds(event_id)) AS repo_url, arg_max((['queued', 'running', 'completed', 'failed'])[event_id % 4 + 1], ts + to_microseconds(event_id)) AS status FROM events GROUP BY event_id % 997",
         "blob_probe": rf"WITH {_DOCS}, whole AS (SELECT doc_id, text AS decoded FROM docs WHERE strlen(text) BETWEEN 16 AND 64000 AND length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g')) * 4 >= length(text) * 3) SELECT doc_id, 'base64' AS kind, sha256(decoded) AS decoded, true AS accepted FROM whole",
         "text_chunks": "SELECT doc_id, n::INT AS n, (n * 3800)::INT AS span_start, length(substring(text, (n * 3800 + 1)::INT, 4000))::INT AS chars FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text) - 201, 0) // 3800 + 1)) AS n) WHERE text IS NOT NULL",
-        "label_spans": f"WITH t AS (SELECT user_id AS doc, event_id AS pos, ({_list(S.TOKEN_LABELS)})[floor(value)::BIGINT % {len(S.TOKEN_LABELS)} + 1] AS label, (event_id % 100) / 100 AS confidence FROM events), e AS (SELECT *, CASE WHEN label != 'O' THEN substring(label, 3) END AS entity FROM t), b AS (SELECT *, CASE WHEN left(label, 1) IN ('I', 'E') AND lag(entity) OVER w = entity AND left(lag(label) OVER w, 1) NOT IN ('E', 'S') THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos)), s AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM b) SELECT doc, min(pos) * 10 AS span_start, max(pos) * 10 + 5 AS span_end, first(entity) AS label, min(confidence) AS confidence FROM s WHERE entity IS NOT NULL GROUP BY doc, span",
+        "label_spans": f"WITH t AS (SELECT user_id AS doc, event_id AS pos, ({listed(S.TOKEN_LABELS)})[floor(value)::BIGINT % {len(S.TOKEN_LABELS)} + 1] AS label, (event_id % 100) / 100 AS confidence FROM events), e AS (SELECT *, CASE WHEN label != 'O' THEN substring(label, 3) END AS entity FROM t), b AS (SELECT *, CASE WHEN left(label, 1) IN ('I', 'E') AND lag(entity) OVER w = entity AND left(lag(label) OVER w, 1) NOT IN ('E', 'S') THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos)), s AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM b) SELECT doc, min(pos) * 10 AS span_start, max(pos) * 10 + 5 AS span_end, first(entity) AS label, min(confidence) AS confidence FROM s WHERE entity IS NOT NULL GROUP BY doc, span",
         "best_labels": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS label, round(1 / list_sum(list_transform(embedding, lambda x: exp((x - list_max(embedding))::DOUBLE))), 5) AS confidence FROM embeddings",
     }

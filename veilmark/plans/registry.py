@@ -15,14 +15,14 @@ from veilmark.streaming import events as stream
 KEY = bytes(range(32))
 
 
-def _dealt(values: list[str], number: Column) -> Column:
+def dealt(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each with one of the sample texts behind its own."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return docs.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _dealt(S.FINDINGS, F.col("doc_id"))).alias("text"))
+    return docs.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), dealt(S.FINDINGS, F.col("doc_id"))).alias("text"))
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path for every document: one of the labelled ones below a folder that nothing matches."""
     ids = table(spark, sf_dir, "documents").select("doc_id")
-    return ids.select("doc_id", _dealt([p[0] for p in S.PATHS], F.col("doc_id")).alias("path"))
+    return ids.select("doc_id", dealt([p[0] for p in S.PATHS], F.col("doc_id")).alias("path"))
 
 
 def spans_by_rule(spark, sf_dir):
@@ -90,7 +90,7 @@ def risk_by_source(spark, sf_dir):
 
 def risk_tiered(spark, sf_dir):
     rows = scanned(spark, sf_dir)
-    return risk.with_risk(rows, tier=paths.sensitivity_tier(_dealt([p[0] for p in S.PATHS], F.col("doc_id")))).select("doc_id", "score", "level", "action")
+    return risk.with_risk(rows, tier=paths.sensitivity_tier(dealt([p[0] for p in S.PATHS], F.col("doc_id")))).select("doc_id", "score", "level", "action")
 
 
 def label_quality_vs_risk(spark, sf_dir):
@@ -198,13 +198,13 @@ def drift(spark, sf_dir):
 
 
 def repository_urls(spark, sf_dir):
-    raw = _dealt([r[0] for r in S.REPOSITORIES], F.col("page_id"))
+    raw = dealt([r[0] for r in S.REPOSITORIES], F.col("page_id"))
     return table(spark, sf_dir, "pages").select("page_id", text.repository_url(raw).alias("url"))
 
 
 def shell_gate(spark, sf_dir):
-    command = _dealt([c[0] for c in S.COMMANDS], F.col("event_id"))
-    rows = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(command.alias("command"))).alias("payload"))
+    command = dealt([c[0] for c in S.COMMANDS], F.col("event_id"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id")).select("event_id", F.to_json(F.struct(command.alias("command"))).alias("payload"))
     return rows.select("event_id", gates.shell_gate(F.col("payload"), ("fixtures/",)).alias("g")).select("event_id", "g.*")
 
 
@@ -226,7 +226,7 @@ def text_gate(spark, sf_dir):
 
 def mcp_rule_choice(spark, sf_dir):
     rules = spark.createDataFrame(S.SERVER_RULES, "idx int, server string, tool string, mode string")
-    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), _dealt(S.SERVERS, F.col("event_id")).alias("server"), _dealt(S.TOOLS, F.col("user_id")).alias("tool"))
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), dealt(S.SERVERS, F.col("event_id")).alias("server"), dealt(S.TOOLS, F.col("user_id")).alias("tool"))
     return gates.choose_rule(calls, rules).select("call_id", "idx")
 
 
@@ -253,7 +253,7 @@ def event_relevance(spark, sf_dir):
 
 
 def job_latest_state(spark, sf_dir):
-    status = _dealt(["queued", "running", "completed", "failed"], F.col("event_id"))
+    status = dealt(["queued", "running", "completed", "failed"], F.col("event_id"))
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("job-"), (F.col("event_id") % 997).cast("string")).alias("job_id"), F.col("user_id").cast("string").alias("repo_url"), status.alias("status"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)") / 1_000_000)).alias("ts"))
     return stream.job_states(rows).select("job_id", "repo_url", "status")
 
@@ -278,7 +278,7 @@ def label_spans(spark, sf_dir):
     """Events of a user as the tokens of a text."""
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5).alias("end"),
-        _dealt(S.TOKEN_LABELS, F.floor(F.col("value"))).alias("label"), ((F.col("event_id") % 100) / 100).alias("confidence"),
+        dealt(S.TOKEN_LABELS, F.floor(F.col("value"))).alias("label"), ((F.col("event_id") % 100) / 100).alias("confidence"),
     )
     return entities.decode_labels(rows).select("doc", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "label", "confidence")
 

@@ -101,3 +101,18 @@ SERVER_RULES = [(0, "*", "*", "ask"), (1, "postgres", "*", "deny"), (2, "*", "qu
 SERVERS, TOOLS = ["postgres", "files", "shell"], ["query", "read_file", "write", "read_dir"]
 #: Labels of a token model, dealt out by remainder.
 TOKEN_LABELS = ["O", "B-PER", "I-PER", "I-LOC", "B-LOC", "E-PER", "S-ORG"]
+#: Arguments of a call.
+ARGUMENTS = ["select 1", "read config/.env", "mail ann@corp.example", "plain words", "key " + "AKIA" + "ABCDEFGHIJ234567"]
+#: command, the same with secret arguments hidden. By hand.
+SECRET_COMMANDS = [
+    ("run --token abc --x 1", "run --token *** --x 1"),
+    ("run --api-key=abc y", "run --api-key=*** y"),
+    ("PASSWORD=x run", "PASSWORD=*** run"),
+    ("get https://u:p@h/x", "get https://***@h/x"),
+    ("ls -la", "ls -la"),
+]
+#: sensitive pattern, the line that ignores it. By hand.
+CANONICAL_LINES = [
+    ("env-files", ".env.*"), ("pem-files", "*.pem"), ("key-files", "*.key"), ("ssh-files", "*.ppk"), ("terraform-state", "*.tfstate"), ("terraform-vars", "*.tfvars"),
+    ("credentials-json", "credentials.json"), ("agent-transcripts", "agent-transcripts/**"), ("cargo-credentials", ".cargo/credentials*"), ("log-files", "*.log"), ("db-dumps", "*.sql.gz"),
+]
