@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import sys
+import unicodedata
 from pathlib import Path
 
 import duckdb
@@ -148,6 +150,47 @@ def test_pieces_equal_the_library(spark, small):
         assert r["decoded"] == sp.decode(ids) and r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_an_item_may_lose_its_longest_word(spark):
+    rng = random.Random(5)
+    rows, bench = [], []
+    for i in range(40):
+        w = [f"{rng.choice('bcdfgh')}{'aeiou'[k % 5]}{rng.choice(['rn', 'lt', 'mp', 'ndow', 'zzle'])}" for k in range(18)]
+        bench.append((i, " ".join(w)))
+        w[w.index(max(w, key=len))] = "qqxyq"
+        rows.append((i, f"some words before {' '.join(w)} and some behind"))
+    bench = spark.createDataFrame(bench, "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminations(docs(spark, [*rows, (99, sentence(3, 50))]), bench).collect()}
+    assert {(i, i) for i in range(40)} <= found and not [d for d, _ in found if d == 99]
+
+
+def test_short_items_match_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "what is two plus 2?"), (2, "水の分子式は"), (3, "?!")], "item_id bigint, text string")
+    rows = [(1, "He asked: What is two plus 2? Four."), (2, "what is two plus 22"), (3, "問題 水の分子式は 何"), (4, "awhat is two plus 2"), (5, "what is two plus 2"), (6, "?!")]
+    found = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminations(docs(spark, rows), bench).collect()}
+    assert found == {(1, 1, 0), (5, 1, 0), (3, 2, 0)}
+
+
+@pytest.mark.parametrize(
+    "line,label",
+    [
+        ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"), ("SPDX-License-Identifier: MPL-2.0", "mpl"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"), ("SPDX-License-Identifier: EPL-2.0", "epl"), ("SPDX-License-Identifier: AGPL-3.0-only", "agpl"),
+        ("SPDX-License-Identifier: OFL-1.1", "ofl"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "mit"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"), ("Licensed under the GPLv3.", "gpl-3"),
+        ("This is licensed under GPL v2", "gpl-2"), ("GNU GPL version 3 or later", "gpl-3"), ("released under the LGPL license", "lgpl"), ("the MPL 2.0 applies", "mpl"),
+        ("a BSD-style license", "bsd-like"), ("MIT licensed", "mit"), ("License :: OSI Approved :: MIT License", "mit"), ("CC BY-NC-SA 4.0", "cc-by-nc"), ("two-clause BSD", "bsd-2-clause"),
+        ("Creative Commons Attribution-ShareAlike", "cc-by-sa"), ("GNU General Public License v2 (GPLv2)", "gpl-2"), ("Apache-2.0", "apache"),
+    ],
+)
+def test_license_lines(line, label):
+    assert label in {d["label"] for d in license_scan.detect(f"some words before {line} and words behind")[1]}
+
+
+@pytest.mark.parametrize("line", ["a driving licence unicode", "my driving license php", "licence is elastic", "the gpl mountains", "apache helicopters", "he passed with mit", "bsd", "cc by", "a licence to fish", "epl results"])
+def test_no_license(line):
+    assert [d for d in license_scan.detect(f"some words before {line} and words behind")[1] if not license_scan.is_base(d["rule"])] == []
+
+
 def test_full_table_changes_nothing():
     with open(MODEL, "rb") as f:
         model = f.read()
@@ -191,6 +234,40 @@ def test_over_64_languages(spark):
     assert got == {i: f"l{i:03}" for i in range(70)}
 
 
+def _exact_counts(text, grams_of):
+    """For each language how many of a text's n-grams it holds, by sets; and how many there are."""
+    at = []
+    for c in (text or "").lower():
+        at.append(c if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc", "Me") else " ")
+    flat = "  " + re.sub(" +", " ", "".join(at) + " ") if at and at[0] != " " else " " + re.sub(" +", " ", "".join(at) + " ")
+    grams = [flat[i : i + 3] for i in range(len(flat) - 2)]
+    grams = [g for g in grams if g.strip()]
+    return len(grams), {lang: sum(g in held for g in grams) for lang, held in grams_of.items()}, grams
+
+
+def test_op9_against_exact_sets(spark):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "mnopqrst", "dd": "कखगघ\u093e\u093f\u094d"}
+    text = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    learned = [(i, text(lang, 40), lang) for i, lang in enumerate(sorted(alphabets) * 12)]
+    filters = language_id.fit(spark.createDataFrame(learned, "doc_id bigint, text string, lang string"))
+    holders: dict = {}
+    for _, t, lang in learned:
+        for g in set(_exact_counts(t, {})[2]):
+            holders[lang, g] = holders.get((lang, g), 0) + 1
+    grams_of = {lang: {g for (x, g), n in holders.items() if x == lang and n >= max(0.005 * 12, 1)} for lang in alphabets}
+    for k in range(60):
+        t = f"{text(rng.choice(sorted(alphabets)), 12)}, {text(rng.choice(sorted(alphabets)), rng.randint(0, 14))}"
+        total, counts, _ = _exact_counts(t, grams_of)
+        best = max(counts.values())
+        lang, score = filters.predict(t)
+        assert counts[lang] >= best - 1 and abs(score - counts[lang] / total) < 0.02
+
+
+def test_combining_marks_belong_to_words():
+    assert len(language_id.gram_hashes("क\u093f", 3)) == 3  # one word of two code points, an edge on each side
+
+
 def test_op9_held_out(spark):
     folder = "/root/testdata/sf0.01"
     langs = dict(duckdb.sql(f"select doc_id, lang from '{folder}/documents.parquet'").fetchall())

@@ -53,6 +53,14 @@ def pieces(text: str, budget: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def error_budget(words: str, edit_rate: float, min_chars: int) -> int:
+    """How many edits an item of joined words may differ by: a share of its characters, but at least its longest word, as far as
+    that is an eighth of it. An item under `min_chars` characters must stand as it is."""
+    if len(words) < min_chars:
+        return 0
+    return max(int(edit_rate * len(words)), min(max(map(len, words.split(" "))), len(words) // 8))
+
+
 class PieceIndex:
     """The pieces of many items, found in a text's bytes: a bitmap of the pieces' first bytes rules out nearly
     every position at once, a dictionary and a comparison decide at the rest."""
@@ -60,8 +68,7 @@ class PieceIndex:
     def __init__(self, items: list[tuple[str, int]]) -> None:
         self.items, self.bits, self.by_head = items, [], {}
         cut = [[(len(text[:at].encode()), piece.encode()) for at, piece in pieces(text, budget)] for text, budget in items]
-        self.width = min((len(piece) for found in cut for _, piece in found), default=8)
-        self.width = min(8, self.width)
+        self.width = min(8, min((len(piece) for found in cut for _, piece in found), default=8))
         for n, found in enumerate(cut):
             for offset, piece in found:
                 head = int.from_bytes(piece[: self.width], "little")
@@ -97,6 +104,11 @@ class PieceIndex:
         for n, places in self.starts(data).items():
             pattern, budget = self.items[n]
             raw = pattern.encode()
+            if not budget:  # whole words only: a short item may be the end of another word
+                at = min((p for p in places if data.startswith(raw, p) and data[p - 1 : p] in (b"", b" ") and data[p + len(raw) : p + len(raw) + 1] in (b"", b" ")), default=-1)
+                if at >= 0:
+                    out.append((n, 0, len(data[: at + len(raw)].decode())))
+                continue
             exact = data.find(raw)
             if exact >= 0:
                 out.append((n, 0, len(data[: exact + len(raw)].decode())))
@@ -134,9 +146,9 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str, edit_rate: float
         by_words: dict[str, list] = {}
         for r in numbered.filter(F.col("pass") == k).toLocalIterator():
             words = words_of(r["text"]).decode()
-            if len(words) >= min_chars:
+            if words:
                 by_words.setdefault(words, []).append(r["item"])
-        items = [(w, int(edit_rate * len(w))) for w in by_words]
+        items = [(w, error_budget(w, edit_rate, min_chars)) for w in by_words]
         yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, list(by_words.values())))
 
 
@@ -147,11 +159,12 @@ def contaminations(
     """One row for each document and test item that it holds: doc_id, item_id, distance, end_char.
 
     Both texts are compared as lower-cased words joined by single spaces, whole. An item of L characters
-    may differ by floor(edit_rate * L) edits: it is split into one piece more than that, an index finds
-    every place of every piece in the document, and Myers' distance decides around each. distance is the
-    smallest one, end_char where that match ends in the joined words.
+    may differ by floor(edit_rate * L) edits, or by its longest word as far as that is at most L / 8: it is split into one
+    piece more than that, an index finds every place of every piece in the document, and Myers' distance decides
+    around each. distance is the smallest one, end_char where that match ends in the joined words.
 
-    Items under `min_chars` characters name nothing and never match, nor do null texts on either side. Items
+    Items under `min_chars` characters match where they stand unchanged as whole words; items without any word, and
+    null texts on either side, never match. Items
     with equal words give a row each, repeated documents too. The items are read in passes of a bounded size,
     each broadcast to the workers; documents do not shuffle.
     """
@@ -176,7 +189,11 @@ def contaminations(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_rate: float = 0.05, min_chars: int = 20) -> DataFrame:
-    """`docs` without the documents that hold a test item; all columns stay, nothing shuffles."""
+    """`docs` without the documents that hold a test item; all columns stay, nothing shuffles.
+
+    Null and empty texts hold none and stay; each row is decided by its text alone, so repeated rows share their lot; an
+    empty benchmark drops nothing.
+    """
     for sent in _passes(benchmark, item_col, item_text_col, edit_rate, min_chars):
 
         def keep(texts: list, sent=sent) -> list:

@@ -72,7 +72,8 @@ def detect(text: str | None) -> tuple[int, list[dict]]:
     padded, found = f" {words} ", []
     for n in sorted(numbers):
         rule, label, priority, regex = table[n]
-        found += [(priority, m.start(), m.end(), n, rule, label) for m in regex.finditer(padded)]
+        place = 1 if regex.groups else 0  # of a tag only its identifier, as an expression may name several
+        found += [(priority, *m.span(place), n, rule, label) for m in regex.finditer(padded)]
     out, at, word = [], 0, -1
     for priority, start, end, _, rule, label in _suppressed(found):
         word, at = word + padded.count(" ", at, start), start
