@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 from html import unescape
 from pathlib import Path
 
@@ -16,6 +17,7 @@ from helpers import SMALL, near_classes, words  # noqa: E402
 
 from veilmark.llm import chat_format, main_text, queries, warc  # noqa: E402
 from veilmark.llm.common import shared_folder  # noqa: E402
+from veilmark.llm.dom import parse  # noqa: E402
 
 
 def pages(spark, rows):
@@ -65,6 +67,45 @@ def test_copied_articles_stay(spark):
     assert main_text.main_texts(pages(spark, [])).count() == 0
 
 
+def _articles(n, shared):
+    return [(i, "http://h.example/p", f"<body><article><h1>Title {i}</h1><p>{' '.join(f'w{i}x{k}' for k in range(60))}</p><p>{' '.join(f'v{i}x{k}' for k in range(40))}</p><div class='outro'>{shared}</div></article></body>") for i in range(n)]
+
+
+def test_importance_decides_inside_articles(spark):
+    shared = "Read our terms before you copy from this site"
+    df = spark.createDataFrame(_articles(12, shared), "page_id bigint, url string, html string")
+    on = {r["page_id"]: r["text"] for r in main_text.main_texts(df).collect()}
+    off = {r["page_id"]: r["text"] for r in main_text.main_texts(df, threshold=-1).collect()}
+    assert all(shared in t for t in off.values()) and all(on[i] == off[i].removesuffix(f"\n{shared}") != off[i] for i in off)
+
+
+def test_importance_leaves_copied_articles_alone(spark):
+    copies = [(i, url, html) for i in range(30) for _, url, html in _articles(1, "An ending of its own")]
+    near = [(100 + i, "http://n.example/p", f"<body><article><p class='a'>{'same words here ' * 30}</p><p class='b'>{i}</p></article></body>") for i in range(20)]
+    df = spark.createDataFrame(copies + near, "page_id bigint, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in main_text.main_texts(df).collect()}
+    assert all(texts[i].endswith("An ending of its own") for i in range(30)) and all(texts[100 + i].startswith("same words") for i in range(20))
+
+
+def test_presentation_and_content_entropy(spark):
+    """Importance by hand: a shape on all m pages and a text on all of them weigh nothing; texts of their own weigh one."""
+    page = lambda i: f"<body><div class='x'>on every page</div><div class='y'>only {i}</div></body>"
+    df = spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(8)], "page_id bigint, url string, html string")
+    low = {r["path"] for r in main_text.low_importance(df, threshold=0.25).collect()}
+    parsed = main_text.Page(page(0))
+    by_class = {n.attributes().get("class"): parsed.path[id(n)] for n in main_text._nodes(parsed.root)}
+    # y: one shape, so 0.9 * content 1; x: 0.9 * content 0
+    assert by_class["x"] in low and by_class["y"] not in low
+    assert by_class["y"] in {r["path"] for r in main_text.low_importance(df, threshold=0.91).collect()}
+
+
+@pytest.mark.parametrize("html", ["<a \"" * 250_000, "<b>" * 60_000 + "</i>" * 60_000, "<b>" * 60_000 + "<div></div>" * 30_000, "<ul><li><div>" + "<b>" * 30_000 + "<li></li>" * 30_000, "<!" * 300_000, "<" * 500_000])
+def test_broken_pages_take_linear_time(html):
+    began = time.process_time()
+    parse(html)
+    assert time.process_time() - began < 5
+
+
 def test_op4_against_the_template(spark):
     html = dict(duckdb.sql(f"select page_id, html from '{SMALL}/pages.parquet'").fetchall())
     rows = queries.queries()["op4_main_text"](spark, SMALL).collect()

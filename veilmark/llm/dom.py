@@ -1,8 +1,13 @@
-"""A small, forgiving HTML tree: enough of the tag rules to know which text stands in which element."""
+"""A small, forgiving HTML tree: enough of the tag rules to know which text stands in which element.
+
+Reading takes time in proportion to the page, however broken it is: quotes that lead nowhere are remembered, and an
+element knows the nearest block and list item around it.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 #: Elements by their role in the tree.
@@ -19,64 +24,111 @@ CLOSES = {
 }
 #: An item is not closed across these.
 SCOPE = frozenset("ul ol dl table tbody thead tfoot select html body article main div section".split())
+_ITEMS = frozenset(t for tags in CLOSES.values() for t in tags)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 
 
 class Node:
-    """An element; `children` holds nodes and text strings in page order."""
+    """An element; `children` holds nodes and text strings in page order, `block` and `item` are the nearest such elements, itself included."""
 
-    __slots__ = ("children", "parent", "raw_attributes", "tag")
+    __slots__ = ("block", "children", "item", "parent", "raw_attributes", "tag")
 
     def __init__(self, tag: str, raw_attributes: str = "", parent: Node | None = None) -> None:
         self.tag, self.raw_attributes, self.parent, self.children = tag, raw_attributes, parent, []
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.item = self if parent is None or tag in _ITEMS or tag in SCOPE else parent.item
 
     def attributes(self) -> dict[str, str]:
         if not self.raw_attributes:
             return {}
-        return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.raw_attributes)}
+        text, found, at = self.raw_attributes, {}, 0
+        no_quote = {q for q in "\"'" if text.count(q) == 1}  # an odd quote closes nothing
+        if no_quote:
+            text = text.translate({ord(q): " " for q in no_quote})
+        while m := _ATTRIBUTE.search(text, at):
+            found[m[1].lower()] = unescape(m[2] or m[3] or m[4] or "")
+            at = m.end()
+        return found
+
+
+class _Tags:
+    """Finds the end of a tag: the first `>` outside quotes, or the first at all where quotes lead to none."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.dead = html, set()
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes begin at `at` has its `>`; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        place, opened = at, []
+        while m := _STOP.search(self.html, place):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead or self.last[m[0]] <= m.start():
+                break
+            opened.append(m.start())
+            place = self.html.find(m[0], m.end()) + 1
+        self.dead.update(opened)
+        return self.html.find(">", at)
 
 
 def parse(html: str | None) -> Node:
     """The tree of a page. Unclosed, unopened and crossed tags are put right as far as text needs it."""
     root = at = Node("#root")
     html, pos = html or "", 0
-    while m := _TOKEN.match(html, pos):
-        pos = m.end()
-        if m[7] is not None:
-            at.children.append(unescape(m[7]) if m[7] != "<" else "<")
+    tags, opened = _Tags(html), Counter()
+
+    def leave(node: Node, to: Node) -> Node:
+        """Closes every element from `node` up to `to`; the one around it is where the page goes on."""
+        while True:
+            opened[node.tag] -= 1
+            if node is to:
+                return node.parent
+            node = node.parent
+
+    while pos < len(html):
+        start = html.find("<", pos)
+        if start != pos:
+            stop = len(html) if start < 0 else start
+            at.children.append(unescape(html[pos:stop]))
+            pos = stop
+            continue
+        if html.startswith("<!--", pos):
+            end = html.find("-->", pos + 4)
+            pos = len(html) if end < 0 else end + 3
+            continue
+        m = _NAME.match(html, pos)
+        end = tags.end(m.end()) if m else html.find(">", pos) if html.startswith(("<!", "<?"), pos) and pos < tags.last[">"] else -1
+        if end < 0:
+            at.children.append("<")
+            pos += 1
             continue
-        name = m[2] or m[5]
-        if name is None:
+        pos, raw = end + 1, html[m.end() : end] if m else ""
+        if m is None:
             continue
-        closing, tag = bool(m[1] or m[4]), name.lower()
-        if closing:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+        tag = m[1].lower()
+        if html.startswith("</", m.start()):
+            if opened[tag]:
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(at, node)
             continue
-        if tag in BLOCK:
-            node = at
-            while node is not root and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in CLOSES:
-            node = at
-            while node is not root and node.tag not in CLOSES[tag] and node.tag not in SCOPE:
-                node = node.parent
-            if node.tag in CLOSES[tag]:
-                at = node.parent
-        node = Node(tag, m[3] or m[6] or "", at)
+        if tag in BLOCK and at.block.tag == "p":
+            at = leave(at, at.block)
+        if tag in CLOSES and at.item.tag in CLOSES[tag]:
+            at = leave(at, at.item)
+        node = Node(tag, raw, at)
         at.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)
-            pos = html.find(">", end.start()) + 1 or len(html) if end else len(html)
-        elif tag not in VOID and not node.raw_attributes.endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)
+            pos = html.find(">", close.start()) + 1 or len(html) if close else len(html)
+        elif tag not in VOID and not raw.endswith("/"):
+            opened[tag] += 1
             at = node
     return root

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from veilmark.llm.common import written
+from veilmark.llm.common import bound_batches, parts, written
 from veilmark.llm.dom import BLOCK, RAW, Node, parse
 
 #: Elements, roles and words of class or id that say a branch is no main text.
@@ -102,28 +102,36 @@ class Page:
                 return "noise"
         return "inner" if inner else "plain"
 
-    def style_rows(self) -> Iterator[tuple[int, int, str, int, list[int]]]:
-        """(path, parent, kind, feature, ancestors) of the style tree's nodes outside content roots.
+    def style_rows(self) -> Iterator[tuple[int, str, int, list[int] | None, int | None]]:
+        """(path, kind, feature, ancestors, article) of the style tree's nodes; article is a hash of the content root's text for nodes in one.
 
         Presentation: the order of the children's styles, all nodes of a path together. Content: each block's text.
         """
         shapes: dict[int, list[str]] = {}
-        ancestors: dict[int, list[int]] = {}
+        ancestors: dict[int, tuple] = {}
         contents: set[tuple[int, int]] = set()
+        inner: set[int] = set()
         for node in _nodes(self.root):
-            if self.kind[id(node)] in ("dropped", "inner", "content", "main"):
+            kind = self.kind[id(node)]
+            if kind in ("dropped", "content", "main"):
                 continue
             path = self.path[id(node)]
-            up = ancestors.get(self.path.get(id(node.parent), 0), [])
-            ancestors.setdefault(path, [*up[-30:], path])
+            if kind == "inner":
+                inner.add(path)
+            ancestors.setdefault(path, (ancestors.get(self.path.get(id(node.parent), 0)), path))
             shapes.setdefault(path, []).append(" ".join(c.tag if isinstance(c, Node) else "#" for c in node.children))
             own = " ".join(" ".join(c.split()) for c in node.children if isinstance(c, str)).strip()
             if own:
                 contents.add((path, _hash(own)))
+        whole = _hash(self.text()) if inner else None
         for path, found in shapes.items():
-            yield path, "p", _hash("|".join(found)), ancestors[path]
+            up, above = [], ancestors[path]
+            while above is not None:
+                up.append(above[1])
+                above = above[0]
+            yield path, "p", _hash("|".join(found)), up, whole if path in inner else None
         for path, feature in contents:
-            yield path, "c", feature, None
+            yield path, "c", feature, None, whole if path in inner else None
 
     def _kept(self, low: frozenset[int]) -> set[int]:
         """Elements that importance can't remove: they hold a content root, or a text outside the branches of `low`."""
@@ -135,10 +143,25 @@ class Page:
                     node = node.parent
         return kept
 
+    def _boilerplate(self, low: frozenset[int]) -> set[int]:
+        """Elements in a content root whose branch is of low importance; none if they hold over a quarter of its characters, as then
+        they are the text of pages that are much alike, and no boilerplate in it."""
+        found: set[int] = set()
+        total = dropped = 0
+        for node in _nodes(self.root) if low and self.has_root else ():
+            if self.kind[id(node)] not in ("inner", "content", "main"):
+                continue
+            if id(node.parent) in found or (self.kind[id(node)] == "inner" and self.path[id(node)] in low):
+                found.add(id(node))
+            size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            total += size
+            dropped += size if id(node) in found else 0
+        return found if dropped * 4 <= total else set()
+
     def text(self, low: frozenset[int] = frozenset()) -> str:
         """The blocks of the main text, joined by newlines, without branches that are noise or of low importance."""
         blocks, words = [], []
-        kept = self._kept(low)
+        kept, boilerplate = self._kept(low), self._boilerplate(low)
         stack: list = [self.root]
         wanted = ("content", "inner") if self.has_article else ("main", "inner") if self.has_root else None
         inside_article = {id(self.root): False}
@@ -158,7 +181,7 @@ class Page:
                 words.append(node)
                 continue
             kind = self.kind[id(node)]
-            if kind in ("dropped", "noise") or (kind == "plain" and self.path[id(node)] in low and id(node) not in kept):
+            if kind in ("dropped", "noise") or id(node) in boilerplate or (kind == "plain" and self.path[id(node)] in low and id(node) not in kept):
                 if node.tag in BLOCK:
                     end()
                 continue
@@ -191,21 +214,25 @@ def low_importance(pages: DataFrame, min_pages: int = 5, threshold: float = 0.25
     entropy of its blocks' texts over pages: a text on all pages has entropy 1, a text of its own 0. An inner
     node weighs its own presentation by 1 - 0.9**(number of its shapes) and its branch's contents by the rest.
     A page loses a branch only if the branch holds no content root and no text of an element of higher importance.
+    Inside a content root each different article counts once, whatever pages copy it, so that copies make no text unimportant.
     Paths on fewer than `min_pages` pages are never judged. Counts combine on the map side, so a host with a
     third of all pages is no larger than its number of different nodes and texts.
     """
-    schema = "host bigint, path bigint, kind string, feature bigint, ancestors array<bigint>"
+    schema = "host bigint, path bigint, kind string, feature bigint, ancestors array<bigint>, article bigint"
     arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in parts(batch, 1):
                 rows = [(host, *r) for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in Page(html).style_rows()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, arrow_schema.types, strict=True)], schema=arrow_schema)
-
-    rows = pages.select(F.xxhash64(host_of()).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(styles, schema)
-    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"), F.first("ancestors", True).alias("ancestors"))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, arrow_schema.types, strict=True)], schema=arrow_schema)
+
+    bound_batches(pages.sparkSession)
+    rows = written(pages.select(F.xxhash64(host_of()).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(styles, schema))
+    key = ["host", "path", "kind", "feature"]
+    outside = rows.filter("article is null").groupBy(*key).agg(F.count("*").alias("n"), F.first("ancestors", True).alias("ancestors"))
+    inside = rows.filter("article is not null").groupBy(*key, "article").agg(F.first("ancestors", True).alias("ancestors"))
+    counts = outside.unionByName(inside.groupBy(*key).agg(F.count("*").alias("n"), F.first("ancestors", True).alias("ancestors")))
     nodes = written(
         counts.groupBy("host", "path").agg(
             F.sum(F.when(F.col("kind") == "p", F.col("n"))).alias("m"),
@@ -232,7 +259,8 @@ def main_texts(pages: DataFrame, min_pages: int = 5, threshold: float = 0.25) ->
     A first pass builds the style tree of every host and lists its branches of low importance; a second one
     removes those from each page, and what its elements, roles or class names call a menu, header, footer,
     sidebar, notice, advert, form or comment. Pages with an article (else a main element) give that element's
-    text, whose blocks importance doesn't touch: a text that other pages copy is still main text there. Inside it, and on
+    text; in it a branch goes whose importance over different articles of the host is low (a share line, a legal line, a teaser), unless such
+    branches are over a quarter of it: a text that other pages copy is still main text there. Inside it, and on
     what holds it, only a whole class name (inside also a whole id, but not of a heading or section) counts, not a part
     between hyphens; where such a name would leave a page without any article or main element, it doesn't count.
 
@@ -251,8 +279,7 @@ def main_texts(pages: DataFrame, min_pages: int = 5, threshold: float = 0.25) ->
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in parts(batch, 2):
                 texts = [Page(html).text(frozenset(paths or ())) for html, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=arrow_schema)
 
