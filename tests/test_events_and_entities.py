@@ -153,3 +153,40 @@ def test_sources(spark, tmp_path):
     stored = files.store_mapping(maps, key)
     assert tuple(files.find_mapping(stored, "{{A_1}}", key, F.lit(at(30))).first()) == (2, "new")
     assert files.find_mapping(stored, "{{A_1}}", key, F.lit(at(90_000))).first()[0] is None
+
+
+def test_staged_blobs(spark):
+    df = spark.createDataFrame([("a", b"plain"), ("b", b"\xff\xfe\x00"), ("c", b"x" * (files.INPUT_LIMIT + 1)), ("d", None)], "path string, blob binary")
+    assert [tuple(r) for r in files.blobs_to_texts(df).collect()] == [("a", "plain")]
+
+
+def test_report_and_log_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x")], "n int, v string")
+    for _ in range(2):
+        files.write_findings(rows, str(tmp_path / "report"))
+        files.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1 and spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_server_inventory(spark):
+    body = {"mcpServers": {"Shell-x": {"command": "run", "args": ["--token", "abc", "y"]}, "web": {"url": "https://u:p@h/x"}}}
+    df = spark.createDataFrame([("f", json.dumps(body)), ("g", '{"servers": {"a": {"command": "c"}}}'), ("h", "no json"), ("i", None)], "source string, payload string")
+    rows = {(r["source"], r["name"]): (r["command"], r["args"], r["high_risk"]) for r in gates.server_inventory(df).collect()}
+    assert rows == {("f", "Shell-x"): ("run", ["--token", "***", "y"], True), ("f", "web"): ("https://***@h/x", [], False), ("g", "a"): ("c", [], False)}
+
+
+def test_gates_on_awkward_payloads(spark):
+    calls = spark.createDataFrame([(1, "db", "{oops"), (2, None, None), (3, "db", "{}")], "call_id int, server string, payload string")
+    decided = lambda **o: [r["decision"] for r in gates.call_gate(calls, **o).orderBy("call_id").collect()]
+    assert decided(mode="deny") == ["deny", "allow", "allow"] and decided(mode="ask") == ["allow", "allow", "allow"]
+    assert decided(mode="observe", deny=("*",)) == ["allow"] * 3
+    responses = spark.createDataFrame([("mail a@b.co",), (None,), ("plain",)], "text string")
+    assert sorted((r["action"], str(r["text"])) for r in gates.response_gate(responses, "seal").collect()) == [("pass", "None"), ("pass", "plain"), ("withhold", "None")]
+    assert sorted(r["action"] for r in gates.response_gate(responses, "warn").collect()) == ["pass", "pass", "warn"]
+
+
+def test_search_gate_refuses(spark):
+    texts = spark.createDataFrame([("p", "mail a@b.co"), ("q", "plain"), ("q", None)], "path string, text string")
+    asked = spark.createDataFrame([(1, '{"path": "p"}'), (2, '{"path": "q"}'), (3, "{}"), (4, None)], "event_id int, payload string")
+    decided = lambda **o: [r["decision"] for r in gates.search_gate(asked, texts, **o).orderBy("event_id").collect()]
+    assert decided() == ["deny", "allow", "allow", "allow"] and decided(refuse_all=True) == ["deny"] * 4

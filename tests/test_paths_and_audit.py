@@ -161,3 +161,7 @@ def test_config_lookup(spark):
     got = [df.select(*[c.alias(f"c{i}") for i, c in enumerate(policy.config_lookup(F.col("t"), "a", k))]).collect() for k in ("s", "n", "l", "b", "none")]
     assert [tuple(g[0]) for g in got] == [("x", [], None), (None, [], None), (None, ["p", "q"], None), (None, [], True), (None, [], None)]
     assert all(tuple(g[1]) == (None, [], None) for g in got)
+
+
+def test_skipped_directories(spark):
+    assert check(spark, [".git", "a/.git", "docs/x", "src", ""], lambda p: paths.skips_directory(p, ["docs/**"])) == [True, True, True, False, False]

@@ -218,11 +218,3 @@ def update_index(index: DataFrame, changes: DataFrame, lines_by_file: Mapping[st
     last = changes.groupBy("path").agg(F.max_by("removed", "ts").alias("removed"))
     kept = index.select("path").join(last, "path", "left_anti").unionByName(last.filter(~F.col("removed")).select("path"))
     return exposures(kept.filter(sensitive_pattern(F.col("path")).isNotNull()), lines_by_file)
-
-
-def check_report(pattern_found: DataFrame, rule_found: DataFrame, exposed: DataFrame) -> DataFrame:
-    """One row with the report as JSON: patterns, rules and totals, in a fixed order."""
-    patterns = pattern_found.agg(F.array_sort(F.collect_list(F.struct("pattern", "severity", "n_exposed"))).alias("patterns"))
-    rules = rule_found.agg(F.array_sort(F.collect_list(F.struct("rule", "severity", "satisfied"))).alias("rules"))
-    body = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "patterns", "rules", "files", F.col("patterns_hit").alias("patternTypes")))
-    return patterns.crossJoin(rules).crossJoin(check_totals(exposed).withColumnRenamed("patterns", "patterns_hit")).select(body.alias("report"))

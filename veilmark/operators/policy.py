@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilmark.functions import path_tables as T
+from veilmark.functions.checks import severity_rank
 from veilmark.functions.paths import matches_glob
 
 
@@ -58,6 +59,20 @@ def fix_files(rules: DataFrame, matched: DataFrame, any_exposed: DataFrame) -> D
     return rows.groupBy("path").agg(F.min("state").alias("state"))
 
 
+def check_report(rules: DataFrame, matched: DataFrame, pattern_found: DataFrame, exposed: DataFrame, complete: bool = True, version: str = "1") -> DataFrame:
+    """One row with the whole report as JSON: which rules' files are there, totals, exposed patterns by weight and id, and the files a fix
+    offers by path. Only the configuration's rules and patterns, and counts, are gathered."""
+    present = matched.select("rule").distinct().withColumn("present", F.lit(True))
+    there = rules.join(present, "rule", "left").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", F.coalesce("present", F.lit(False)))))).alias("ignoreFilesPresent"))
+    totals = exposed.agg(F.struct(F.count_distinct("path").alias("exposedFiles"), F.count_distinct("pattern").alias("exposedPatternTypes")).alias("totals"))
+    row = F.struct(severity_rank(F.col("severity")).alias("rank"), F.col("pattern").alias("id"), "severity", "category", F.col("n_exposed").alias("count"))
+    ordered = pattern_found.filter(~F.col("satisfied")).agg(F.array_sort(F.collect_list(row)).alias("p"))
+    patterns = ordered.select(F.transform("p", lambda x: F.struct(*[x[n].alias(n) for n in ("id", "severity", "category", "count")])).alias("exposedPatterns"))
+    files = fix_files(rules, matched, exposed).agg(F.array_sort(F.collect_list(F.struct("path", "state"))).alias("fixFiles"))
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.lit(version).alias("toolVersion"), F.lit(complete).alias("scanComplete"), "ignoreFilesPresent", "totals", "exposedPatterns", "fixFiles")
+    return there.crossJoin(totals).crossJoin(patterns).crossJoin(files).select(F.to_json(body).alias("report"))  # one row each
+
+
 def file_of_finding(exposed: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, path): exposed paths by their finding's id, which is the first 12 hex digits of the SHA-256 of pattern and path."""
     return exposed.select(F.substring(F.sha2(F.concat_ws("\n", "pattern", "path"), 256), 1, 12).alias("id"), "path").join(ids.select("id").distinct(), "id", "left_semi")

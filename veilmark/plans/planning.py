@@ -58,6 +58,11 @@ def finding_paths(spark, sf_dir):
     return policy.file_of_finding(found, wanted)
 
 
+def check_report(spark, sf_dir):
+    found = _exposed(spark, sf_dir)
+    return policy.check_report(policy.rule_table(spark), policy.matched_files(listing(spark, sf_dir)), audit.pattern_findings(found), found)
+
+
 def protect_lines(spark, sf_dir):
     return audit.protect_lines(_exposed(spark, sf_dir), with_recommended=True)
 
@@ -206,7 +211,7 @@ def trust_drift(spark, sf_dir):
 
 
 _QUERIES = [
-    planned_paths, pattern_targets, fix_files, fix_scenario, fix_items, selected_fixes, finding_paths, protect_lines, check_totals, severity_counts, tracked_and_ignored,
+    planned_paths, pattern_targets, fix_files, fix_scenario, fix_items, selected_fixes, finding_paths, check_report, protect_lines, check_totals, severity_counts, tracked_and_ignored,
     filtered_rules, worst_status, degraded_audits, due_audits, same_type_spans, first_fit_spans, outermost_regions, type_counts, failing_docs, scrub_summary, findings_of_some,
     task_gate, response_gate, mcp_call_gate, search_gate, shell_findings, masked_arguments, value_ranks, active_entries, attention_entries, exposure_summaries, trust_drift,
 ]
@@ -239,6 +244,13 @@ def _sql_of_files() -> dict[str, str]:
         "fix_items": f"{items} SELECT * FROM items",
         "selected_fixes": f"{items} SELECT kind, id FROM items WHERE id IN ('env-files', 'cursor-ignore', 'claude-ignore')",
         "finding_paths": f"{exposures} SELECT left(sha256(pattern || chr(10) || path), 12) AS id, path FROM exposed WHERE pattern IN ('env-files', 'key-files')",
+        "check_report": f"""{files}, {patterns}, {exposed}, categories AS (SELECT * FROM (VALUES {oracle.values([(i, c) for i, _, c, _ in path_tables.SENSITIVE_PATTERNS])}) v(pattern, category)),
+            listed AS (SELECT pattern AS id, severity, category, count(*) AS n FROM exposed JOIN patterns USING (pattern) JOIN categories USING (pattern) GROUP BY ALL),
+            offered AS (SELECT fix_path AS path, CASE WHEN rule IN (SELECT rule FROM present) THEN 'refreshed' ELSE 'missing' END AS state FROM rules WHERE scans AND severity != 'informational')
+            SELECT '{{"schemaVersion":1,"toolVersion":"1","scanComplete":true,"ignoreFilesPresent":{{' || (SELECT string_agg('"' || rule || '":' || (rule IN (SELECT rule FROM present))::VARCHAR, ',' ORDER BY rule) FROM rules)
+            || '}},"totals":{{"exposedFiles":' || (SELECT count(DISTINCT path) FROM exposed) || ',"exposedPatternTypes":' || (SELECT count(DISTINCT pattern) FROM exposed) || '}},"exposedPatterns":['
+            || (SELECT string_agg('{{"id":"' || id || '","severity":"' || severity || '","category":"' || category || '","count":' || n || '}}', ',' ORDER BY CASE severity WHEN 'required' THEN 0 WHEN 'recommended' THEN 1 ELSE 2 END, id) FROM listed)
+            || '],"fixFiles":[' || (SELECT string_agg('{{"path":"' || path || '","state":"' || state || '"}}', ',' ORDER BY path) FROM offered) || ']}}' AS report""",
         "protect_lines": f"{exposures} SELECT DISTINCT pattern, line FROM exposed JOIN patterns USING (pattern) JOIN (VALUES {lines}) l(pattern, line) USING (pattern) WHERE severity != 'informational'",
         "check_totals": f"{exposures} SELECT count(DISTINCT path) AS files, count(DISTINCT pattern) AS patterns FROM exposed",
         "severity_counts": f"{exposures} SELECT severity, count(DISTINCT e.pattern) AS n_patterns, count(path)::BIGINT AS n_exposed FROM patterns p LEFT JOIN exposed e ON e.pattern = p.pattern GROUP BY severity",
