@@ -212,3 +212,11 @@ def test_pipeline_against_brute_force(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(wanted)
     assert got.filter("not round_trip or size(ids) != n_tokens").count() == 0 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_payload_full_of_record_starts():
+    body = warc._VERSION.join(f"x{i}" for i in range(30_000))
+    record = f"response\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}"
+    began = time.process_time()
+    found = list(warc._whole(("a", f) for f in f"{record}{warc._VERSION}{record}".split(warc._VERSION)))
+    assert [(r[1], r[3] == body.encode()) for r in found] == [(0, True), (1, True)] and time.process_time() - began < 3

@@ -68,26 +68,27 @@ def write_archives(pages: DataFrame, folder: str, date: Column) -> None:
 def _whole(fragments: Iterable[tuple[str, str]]) -> Iterator[tuple[str, int, dict, bytes]]:
     """(archive, ordinal, headers, block) from an archive's text between record starts.
 
-    A payload may hold a record start; Content-Length says whether a record goes on in the next fragment.
+    A payload may hold a record start; Content-Length says whether a record goes on in the next fragment. Fragments are counted as
+    they come and joined once, so a payload full of record starts takes time in proportion to its length.
     """
-    archive, ordinal, held = None, 0, None
-
-    def parsed(raw: str) -> tuple[dict, bytes, int]:
-        head, _, rest = raw.partition("\r\n\r\n")
-        kind, *lines = head.split("\r\n")
-        headers = {"WARC-Type": kind} | dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        return headers, rest.encode(), int(headers.get("Content-Length", 0))
-
+    archive, ordinal, held = None, 0, []
+    headers, have, size = {}, 0, 0
     for path, fragment in fragments:
         if path != archive:
-            archive, ordinal, held = path, 0, None
-        if held is None and not fragment:
+            archive, ordinal, held = path, 0, []
+        if not held and not fragment:
             continue
-        held = fragment if held is None else held + _VERSION + fragment
-        headers, block, size = parsed(held)
-        if len(block) >= size:
-            yield archive, ordinal, headers, block[:size]
-            ordinal, held = ordinal + 1, None
+        held.append(_VERSION + fragment if held else fragment)
+        if len(held) == 1 or not headers:
+            head, end, rest = "".join(held).partition("\r\n\r\n")
+            kind, *lines = head.split("\r\n")
+            headers = {"WARC-Type": kind} | dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines) if end else {}
+            have, size = len(rest.encode()), int(headers.get("Content-Length", 0))
+        else:
+            have += len(held[-1].encode())
+        if headers and have >= size:
+            yield archive, ordinal, headers, "".join(held).partition("\r\n\r\n")[2].encode()[:size]
+            ordinal, held, headers = ordinal + 1, [], {}
 
 
 def url_key(url: str) -> str:
