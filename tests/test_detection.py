@@ -28,14 +28,14 @@ def test_checks_reject(spark):
     assert found(spark, "GB82" + "WEST12345698765432")[0][1] == "iban"
 
 
-@pytest.mark.parametrize("text", ["2024-01-02", "2024.01.02", "12.30.45", "12345-6789", "123-45-6789", "10.20.30.40", "12345678", "40.7128 74.0060"])
-def test_no_phone(spark, text):
-    assert not [x for x in found(spark, f"call {text} now") if x[1] == "phone"]
+def test_no_phone(spark):
+    texts = ["2024-01-02", "2024.01.02", "12.30.45", "12345-6789", "123-45-6789", "10.20.30.40", "12345678", "40.7128 74.0060"]
+    assert not [x for x in found(spark, *(f"call {t} now" for t in texts)) if x[1] == "phone"]
 
 
-@pytest.mark.parametrize("text", ["+1 415 555 2671", "+44 20 7946 0958", "8 (495) 123-45-67", "415-555-2671", "(415) 555-2671"])
-def test_phone(spark, text):
-    assert [x for x in found(spark, f"call {text} now") if x[1] == "phone"]
+def test_phone(spark):
+    texts = ["+1 415 555 2671", "+44 20 7946 0958", "8 (495) 123-45-67", "415-555-2671", "(415) 555-2671"]
+    assert [x[0] for x in found(spark, *(f"call {t} now" for t in texts)) if x[1] == "phone"] == list(range(5))
 
 
 def test_rule_order_breaks_ties(spark):

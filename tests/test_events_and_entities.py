@@ -190,3 +190,10 @@ def test_search_gate_refuses(spark):
     asked = spark.createDataFrame([(1, '{"path": "p"}'), (2, '{"path": "q"}'), (3, "{}"), (4, None)], "event_id int, payload string")
     decided = lambda **o: [r["decision"] for r in gates.search_gate(asked, texts, **o).orderBy("event_id").collect()]
     assert decided() == ["deny", "allow", "allow", "allow"] and decided(refuse_all=True) == ["deny"] * 4
+
+
+def test_extractors(spark):
+    rows = [("a.UP", b"shout"), ("b.up", None), ("c.txt", "grün".encode()), ("d.bin", bytes(range(30))), ("e.bad", b"x")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    found = files.extract_documents(df, {"up": lambda b: b.decode().upper(), "bad": lambda b: 1 / 0})
+    assert dict(map(tuple, found.collect())) == {"a.UP": "SHOUT", "b.up": None, "c.txt": "grün", "e.bad": None}

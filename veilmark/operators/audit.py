@@ -33,6 +33,15 @@ def walk(paths: DataFrame, max_files: int | None = 100_000, skipped: Sequence[st
     return limited.orderBy("path").limit(max_files).crossJoin(F.broadcast(total))
 
 
+def with_directories(paths: DataFrame, skipped: Sequence[str] = T.SKIPPED_DIRECTORIES) -> DataFrame:
+    """(path, is_dir): the files of a listing and every directory above them, each once, without what a walk doesn't enter: what globs of rules look at."""
+    seen = paths.filter(~under_skipped(F.col("path"), skipped)).select("path")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    folders = seen.filter(F.contains("path", F.lit("/"))).select(F.explode(above).alias("path")).distinct()
+    return folders.select("path", F.lit(True).alias("is_dir")).unionByName(seen.distinct().select("path", F.lit(False).alias("is_dir")))
+
+
 def exposures(paths: DataFrame, lines_by_file: Mapping[str, Sequence[str]]) -> DataFrame:
     """(path, pattern): sensitive paths that are neither allowlisted nor covered by an ignore file, each once.
 

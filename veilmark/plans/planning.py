@@ -25,6 +25,10 @@ def _selected(spark):
     return spark.createDataFrame([(r,) for r in _SELECTED], "rule string")
 
 
+def listed_paths(spark, sf_dir):
+    return audit.with_directories(listing(spark, sf_dir))
+
+
 def planned_paths(spark, sf_dir):
     rules, matched = policy.rule_table(spark), policy.matched_files(listing(spark, sf_dir))
     return policy.planned_paths(rules, matched, _selected(spark), True)
@@ -211,7 +215,7 @@ def trust_drift(spark, sf_dir):
 
 
 _QUERIES = [
-    planned_paths, pattern_targets, fix_files, fix_scenario, fix_items, selected_fixes, finding_paths, check_report, protect_lines, check_totals, severity_counts, tracked_and_ignored,
+    listed_paths, planned_paths, pattern_targets, fix_files, fix_scenario, fix_items, selected_fixes, finding_paths, check_report, protect_lines, check_totals, severity_counts, tracked_and_ignored,
     filtered_rules, worst_status, degraded_audits, due_audits, same_type_spans, first_fit_spans, outermost_regions, type_counts, failing_docs, scrub_summary, findings_of_some,
     task_gate, response_gate, mcp_call_gate, search_gate, shell_findings, masked_arguments, value_ranks, active_entries, attention_entries, exposure_summaries, trust_drift,
 ]
@@ -237,6 +241,7 @@ def _sql_of_files() -> dict[str, str]:
         UNION ALL SELECT 'rule', rule, severity, true FROM rules WHERE scans
         UNION ALL SELECT 'rule', rule, severity, false FROM rules WHERE NOT scans AND severity != 'informational')"""
     return {
+        "listed_paths": f"WITH {labelled}, seen AS (SELECT DISTINCT path, string_split(path, '/') AS parts FROM labelled WHERE NOT list_has_any(string_split(path, '/')[:-2], {oracle.listed(path_tables.SKIPPED_DIRECTORIES)})), above AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS path FROM seen, LATERAL (SELECT unnest(range(1, len(parts))) AS i)) SELECT path, true AS is_dir FROM above UNION ALL SELECT path, false FROM seen",
         "planned_paths": f"{files} SELECT DISTINCT fix_path AS path FROM rules WHERE list_contains({chosen}, rule) AND (scans OR (severity != 'informational' AND rule NOT IN (SELECT rule FROM present)))",
         "pattern_targets": f"{files} SELECT DISTINCT fix_path AS path FROM rules WHERE scans",
         "fix_files": f"{files} SELECT fix_path AS path, CASE WHEN rule IN (SELECT rule FROM present) THEN 'refreshed' ELSE 'missing' END AS state FROM rules WHERE scans AND severity != 'informational'",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,30 @@ def read_documents(spark: SparkSession, folder: str, tier: str = "free") -> Data
     return files.filter(likely_text(F.col("content"))).select("path", decoded_text(F.col("content")).alias("text"))
 
 
+def extract_documents(files: DataFrame, extractors: Mapping[str, Callable[[bytes], str | None]]) -> DataFrame:
+    """(path, text) of files (path, content) by the extractor of their extension (lower case, without the dot), a caller's function on bytes.
+
+    Files of other extensions are read as likely texts; one that an extractor can't read has text null. Each file is
+    read alone, where it is.
+    """
+    kinds = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    named = kinds.isin(*extractors)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = []
+            for kind, content in zip(frame["kind"], frame["content"], strict=True):
+                try:
+                    texts.append(None if content is None else extractors[kind](bytes(content)))
+                except Exception:  # whatever a caller's parser raises on a broken file
+                    texts.append(None)
+            yield pd.DataFrame({"path": frame["path"], "text": pd.Series(texts, dtype=object)})
+
+    found = files.filter(named).select("path", kinds.alias("kind"), "content").mapInPandas(run, "path string, text string")
+    rest = files.filter(~named & likely_text(F.col("content"))).select("path", decoded_text(F.col("content")).alias("text"))
+    return found.unionByName(rest)
+
+
 def read_transcripts(spark: SparkSession, folder: str, most: int = 200) -> DataFrame:
     """(path, text) of the first `most` .jsonl and .txt files by path, at most 2 MB of each: a report's limit, not a sample."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.col("path").rlike(r"\.(?:jsonl|txt)$")).dropDuplicates(["path"])
