@@ -136,8 +136,8 @@ def test_shell_gate(spark, command, decision):
 
 def test_calls_and_fields(spark):
     calls = spark.createDataFrame([(1, "DB", "q", "{}"), (2, "fs", "q", json.dumps({"p": "a/.ssh/id_rsa"})), (3, "x", "q", "{}")], "call_id int, server string, tool string, payload string")
-    assert [r["decision"] for r in gates.call_gate(calls, allow=("db", "fs"), deny=("*",)).orderBy("call_id").collect()] == ["allow", "ask", "deny"]
-    assert [r["decision"] for r in gates.call_gate(calls, deny=("X",)).orderBy("call_id").collect()] == ["allow", "ask", "deny"]
+    assert [r["decision"] for r in gates.call_gate(calls, allow=("db", "fs"), deny=("*",), mode="deny").orderBy("call_id").collect()] == ["allow", "deny", "deny"]
+    assert [r["decision"] for r in gates.call_gate(calls, deny=("X",)).orderBy("call_id").collect()] == ["allow", "ask", "ask"]  # the mode decides what a refused server comes to
     rules = spark.createDataFrame([(0, "*", None, {"a": "mask", "b": "drop"}), (1, "db", "*", {"a": "keep"}), (2, "db", "*", {"a": "drop"})], "idx int, server string, tool string, fields map<string,string>")
     assert sorted(map(tuple, gates.field_actions(calls, rules).filter("call_id = 1").collect())) == [(1, "a", "keep"), (1, "b", "drop")]
 
