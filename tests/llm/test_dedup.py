@@ -172,6 +172,32 @@ def test_passages_large_group(spark):
     assert got == {i: (30, 100, 0) for i in range(600)}
 
 
+def test_passages_recall_of_changed_passages(spark):
+    """Planted pairs whose passages are similar by at least 0.8: nine of ten are found, whatever changed; texts of their own are left alone."""
+    rng, rows, planted = random.Random(7), [], []
+    for kind in ("substituted", "inserted", "removed"):
+        for length in (60, 95):
+            for k in range(40):
+                i = len(rows)
+                p = [f"p{i}x{j}" for j in range(length)]
+                q = list(p)
+                for _ in range(1 if length == 60 else 2):
+                    at = rng.randrange(5, len(q) - 5)
+                    q[at : at + 1] = [] if kind == "removed" else [f"new{rng.random()}"] + ([q[at]] if kind == "inserted" else [])
+                for w in (p, q):
+                    rows.append((len(rows), f"{sentence(3 * len(rows), 40)} {' '.join(w)} {sentence(3 * len(rows) + 1, 40)}"))
+                planted.append((kind, i))
+    clean = range(len(rows), len(rows) + 150)
+    rows += [(i, sentence(9 * i + 2, 150)) for i in clean]
+    covered: dict = {}
+    for r in passages.repeated_passages(docs(spark, rows)).collect():
+        covered[r["doc_id"]] = max(covered.get(r["doc_id"], 0), min(r["end_word"], 40 + 100) - max(r["start_word"], 40))
+    for kind in ("substituted", "inserted", "removed"):
+        hits = [min(covered.get(i, 0), covered.get(i + 1, 0)) >= 45 for k, i in planted if k == kind]  # both show most of a least passage
+        assert sum(hits) >= 0.9 * len(hits), (kind, sum(hits))
+    assert not set(covered) & set(clean)
+
+
 def test_passages_empty(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
@@ -196,6 +222,13 @@ def test_op10_finds_all_verbatim_passages(spark, small):
     rows = queries.queries()["op10_passages"](spark, SMALL).collect()
     assert wanted <= {(r["doc_id"], k) for r in rows for k in range(r["start_word"], r["end_word"])}
     assert all(r["n_words"] == r["end_word"] - r["start_word"] >= 50 for r in rows)
+    # every passage is in another document too: one holds three fifths of its five-word runs at least
+    held = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in tokens.items()}
+    for r in rows:
+        w = tokens[r["doc_id"]][r["start_word"] : r["end_word"]]
+        own = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        others = [i for i in held if i != r["doc_id"] and len(own & held[i]) * 5 >= min(len(own), 46) * 3]
+        assert others, (r["doc_id"], r["start_word"])
 
 
 def test_op3_against_sql(spark):

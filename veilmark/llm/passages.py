@@ -42,11 +42,9 @@ def compact_windows(values: np.ndarray, least: int, grams: np.ndarray | None = N
     """
     grams = values if grams is None else grams
     repeats = next_equal(grams) if repeats is None else repeats
-    out, stack = [], [(0, len(values))]
+    out, stack = [], [(0, len(values))] if len(values) >= least else []
     while stack:
         low, high = stack.pop()
-        if high - low < least:
-            continue
         c = low + int(values[low:high].argmin())
         period = repeats[c]
         last = c
@@ -57,7 +55,10 @@ def compact_windows(values: np.ndarray, least: int, grams: np.ndarray | None = N
             out += [(low, c, high, c, stop), (low, last, high, c, stop)]
         else:
             out.append((low, c, high, c, c + 1))
-        stack += [(low, c), (last + 1, high)]
+        if c - low >= least:
+            stack.append((low, c))
+        if high - last > least:
+            stack.append((last + 1, high))
     return out
 
 
@@ -93,14 +94,16 @@ class Signatures:
         if len(words) < self.n or len(grams) < self.least:
             return grams, np.empty(0, np.uint64), np.empty((0, 3), np.int64)
         runs, repeats = self._runs(grams), next_equal(grams)
-        keys, windows = [], []
+        found, counts = [], []
         for seed in self.seeds:
-            found = np.array([w[1:2] + w[3:] for w in compact_windows(grams * seed, self.least, grams, repeats)], np.int64)
-            c = found[:, 0]
-            left, right = c >= self.side - 1, c < len(runs)
-            keys += [mix(runs[c[left] - self.side + 1] ^ seed), mix(runs[c[right]] + seed)]
-            windows += [found[left], found[right]]
-        return grams, np.concatenate(keys), np.concatenate(windows)
+            windows = compact_windows(grams * seed, self.least, grams, repeats)
+            found += windows
+            counts.append(len(windows))
+        windows, seeds = np.array(found, np.int64)[:, [1, 3, 4]], np.repeat(self.seeds, counts)
+        c = windows[:, 0]
+        left, right = c >= self.side - 1, c < len(runs)
+        keys = mix(np.concatenate((runs[c[left] - self.side + 1] ^ seeds[left], runs[c[right]] + seeds[right])))
+        return grams, keys, np.concatenate((windows[left], windows[right]))
 
 
 def _widest(match: np.ndarray, gains: np.ndarray, centre: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,6 +227,8 @@ class _Comparison:
         self.contexts: list[bytes] = []
         self.members: list[list[tuple]] = []
         self.groups: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        self.left: list[int] = []
+        self.right: list[int] = []
         self.size = 0
 
     def add(self, rows: list[tuple]) -> None:
@@ -240,6 +245,13 @@ class _Comparison:
                 self.contexts.append(r[10])
                 self.members.append([])
             self.members[ids[key]].append(r)
+        if x == y and len(ids) <= 4:  # most groups: their few pairs are listed at once
+            own = list(ids.values())
+            for k, i in enumerate(own):
+                self.left += [i] * (len(own) - k)
+                self.right += own[k:]
+            self.size += len(own) * len(own)
+            return
         a = np.array([i for (second, _), i in ids.items() if not second], np.int64)
         b = a if x == y else np.array([i for (second, _), i in ids.items() if second], np.int64)
         self.groups.append((a, b, x == y))
@@ -247,6 +259,8 @@ class _Comparison:
 
     def _pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs to compare, a bounded number at a time; pairs of a context with itself stand for its equal members."""
+        for at in range(0, len(self.left), _PAIRS):
+            yield np.array(self.left[at : at + _PAIRS], np.int64), np.array(self.right[at : at + _PAIRS], np.int64)
         left, right, size = [], [], 0
         for a, b, one in self.groups:
             step = max(1, _PAIRS // max(1, len(b)))
