@@ -226,6 +226,7 @@ def test_quality_labels(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 0), (2, 1), (31, 3), (32, None), (None, 1), (4, 0)], "doc_id bigint, quality int")
     got = {r["doc_id"]: (r["label"], r["text"]) for r in quality_rules.training_rows(texts, labels, 100).collect()}
     assert set(got) == set(range(30)) - {1, 2} and all(got[i][0] == i % 2 for i in got) and got[5][1] == min(sentence(5, 30), "again")
-    assert quality_rules.training_rows(texts, labels, 3).count() == 6
+    few = quality_rules.training_rows(texts, labels, 3).collect()
+    assert len(few) == 6 and {(r["label"], r["weight"]) for r in few} == {(0.0, 14 / 3), (1.0, 14 / 3)}
     assert quality_rules.fit(texts, labels.filter("quality = 1")) is None
     assert quality_rules.fit(texts, labels.filter("false")) is None

@@ -10,9 +10,6 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,25 +118,29 @@ def _prepared(texts: list) -> tuple[list[tuple[str, bytes, np.ndarray]], np.ndar
 def training_rows(
     docs: DataFrame, labels: DataFrame, max_per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
-    """(doc_id, text, label, fold 0-4): at most `max_per_class` labelled documents of each class, a written table.
+    """(doc_id, text, label, weight, fold 0-4): at most `max_per_class` labelled documents of each class, a written table.
 
     Labels other than 0 and 1, nulls, and ids with both labels are left out. Which ids are taken, and their fold, a
-    hash of the id decides. Of documents that repeat an id, the smallest text counts once.
+    hash of the id decides. A row's weight is its class's labelled ids over those taken, so the classes keep their
+    shares whatever the bound. Of documents that repeat an id, the smallest text counts once.
     """
     given = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other"))
     given = given.filter("label = other and label_id is not null").select("label_id", F.col("label").cast("double").alias("label"), F.xxhash64("label_id").alias("lot"))
+    given = written(given)
+    total = {r["label"]: r["n"] for r in given.groupBy("label").agg(F.count("*").alias("n")).collect()}
     taken = None
     for label in (0.0, 1.0):
         some = given.filter(F.col("label") == label).orderBy("lot", "label_id").limit(max_per_class)
+        some = some.withColumn("weight", F.lit(max(1.0, total.get(label, 0) / max_per_class)))
         taken = some if taken is None else taken.unionByName(some)
     taken = F.broadcast(written(taken))  # at most 2 * max_per_class rows of 30 bytes
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    rows = rows.join(taken, F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("lot").alias("lot"))
-    return written(rows.select("doc_id", "text", "label", F.pmod("lot", F.lit(5)).cast("int").alias("fold")))
+    rows = rows.join(taken, F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("weight").alias("weight"), F.first("lot").alias("lot"))
+    return written(rows.select("doc_id", "text", "label", "weight", F.pmod("lot", F.lit(5)).cast("int").alias("fold")))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_per_class: int = 10_000, bits: int = 16, penalty: float = 1e-2, rounds: int = 40,
+    docs: DataFrame, labels: DataFrame, max_per_class: int = 5_000, bits: int = 16, penalty: float = 1e-2, rounds: int = 40,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> QualityModel | None:
     """Learns good quality (1) from bad (0) by Spark's logistic regression, on a documented bound of labelled rows.
@@ -148,10 +149,16 @@ def fit(
     document's features are the shares of its hashed n-grams: 2**bits slots for words, as many for characters.
     None if a class is missing in either part, so that there is nothing to learn.
     """
+    from pyspark.ml.classification import LogisticRegression  # here, so that workers which only score do without
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
     rows = training_rows(docs, labels, max_per_class, id_col, text_col, label_col)
-    classes = {(r["held"], r["label"]) for r in rows.select((F.col("fold") == 4).alias("held"), "label").distinct().collect()}
+    classes = rows.select((F.col("fold") == 4).alias("held"), "label", "weight").distinct().collect()
     if len(classes) < 4:
         return None
+    of_class = {r["label"]: r["weight"] for r in classes}
+    weight = F.when(F.col("label") == 1, of_class[1.0]).otherwise(of_class[0.0]).alias("weight")
     slots = 2 << bits
 
     def shares(rows_of: list, texts: list) -> dict:
@@ -169,8 +176,8 @@ def fit(
 
     vector = F.udf(lambda at, values: Vectors.sparse(slots, at, values), VectorUDT())  # for the bounded sample alone
     taught = map_texts(rows.filter("fold < 4"), shares, "label double, at array<int>, shares array<double>", "label", "text")
-    taught = written(taught).select("label", vector("at", "shares").alias("features"))
-    model = LogisticRegression(maxIter=rounds, regParam=penalty, tol=1e-5).fit(taught)
+    taught = written(taught).select("label", weight, vector("at", "shares").alias("features"))
+    model = LogisticRegression(maxIter=rounds, regParam=penalty, tol=1e-5, weightCol="weight").fit(taught)
     plain = QualityModel(bits, np.asarray(model.coefficients.toArray()), float(model.intercept))
     sent = docs.sparkSession.sparkContext.broadcast(plain)
 
@@ -179,7 +186,7 @@ def fit(
         return {"label": rows_of, "margin": [sent.value.margin(text, numbers, hashes) for text, _, numbers in prepared]}
 
     held = written(map_texts(rows.filter("fold = 4"), margins, "label double, margin double", "label", "text"))
-    platt = LogisticRegression(maxIter=50, regParam=1e-4).fit(held.select("label", array_to_vector(F.array("margin")).alias("features")))
+    platt = LogisticRegression(maxIter=50, regParam=1e-4, weightCol="weight").fit(held.select("label", weight, array_to_vector(F.array("margin")).alias("features")))
     return QualityModel(bits, plain.coefficients, plain.bias, float(platt.coefficients[0]), float(platt.intercept))
 
 
