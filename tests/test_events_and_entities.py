@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilmark.functions import text
 from veilmark.operators import entities, gates
 from veilmark.sources import files
-from veilmark.streaming import events
+from veilmark.streaming import events, ordered
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -39,16 +39,6 @@ def test_rate_limit_ignores_refused(spark):
     assert [r["admitted"] for r in events.rate_limit(df).orderBy("id").collect()] == wanted
 
 
-def test_rate_limit_stream(spark, tmp_path):
-    df = spark.createDataFrame([("c", at(s), s) for s in range(7)] + [("d", at(0), 9)], "client string, ts timestamp, id bigint")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = events.rate_limit_stream(stream).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert spark.sql("select client, sum(int(admitted)) from rates group by 1 order by 1").collect() == [("c", 5), ("d", 1)]
-
-
 def test_debounce_stream(spark, tmp_path):
     df = spark.createDataFrame([("r", at(s), "p") for s in (0, 1, 10, 1000)], "root string, ts timestamp, path string")
     df.write.parquet(str(tmp_path / "in"))
@@ -61,7 +51,7 @@ def test_debounce_stream(spark, tmp_path):
 
 def test_jobs(spark):
     rows = [("a", "u", "queued", at(0)), ("a", "u", "completed", at(10)), ("b", "u", "queued", at(5)), ("c", "v", "failed", at(5)), ("d", "w", "completed", at(-2000))]
-    jobs = events.job_states(spark.createDataFrame(rows, "job_id string, repo_url string, status string, ts timestamp"))
+    jobs = ordered.job_states(spark.createDataFrame(rows, "job_id string, repo_url string, status string, ts timestamp"))
     now = F.lit(at(60))
     assert sorted(map(tuple, events.reusable_jobs(jobs, now).collect())) == [("u", "b")]
     assert events.pending_jobs(jobs, now).first()[0] == 1 and events.live_jobs(jobs, F.lit(at(90_000))).count() == 0

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from veilmark.plans import planning, registry
+from veilmark.plans import extended, planning, registry
 
-QUERIES, SQL = registry.queries() | planning.queries(), registry.oracle_sql() | planning.oracle_sql()
+QUERIES, SQL = registry.queries() | planning.queries() | extended.queries(), registry.oracle_sql() | planning.oracle_sql() | extended.oracle_sql()
 FOLDER = "/root/testdata/sf0.001"
 
 

@@ -191,7 +191,11 @@ def sql() -> dict[str, str]:
         "mcp_rule_choice": f"SELECT event_id AS call_id, (CASE WHEN {servers} = 'postgres' AND {tools} = 'query' THEN 1 WHEN {servers} = 'postgres' THEN 1 WHEN {servers} = 'files' AND {tools} LIKE 'read%' THEN 3 WHEN {tools} = 'query' THEN 2 ELSE 0 END)::INT AS idx FROM events",
         "event_debounce": "WITH gaps AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), bursts AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM gaps) SELECT user_id AS root, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS fires, count(*) AS n FROM bursts GROUP BY user_id, burst",
         "event_relevance": f"WITH {labels} SELECT doc_id, pattern IS NOT NULL AS immediate FROM labelled WHERE (pattern IS NOT NULL OR path IN ('.cursorignore', 'AGENTS.md')) AND path NOT LIKE '.git/%'",
-        "job_latest_state": "SELECT 'job-' || (event_id % 997)::VARCHAR AS job_id, arg_max(user_id::VARCHAR, ts + to_microseconds(event_id)) AS repo_url, arg_max((['queued', 'running', 'completed', 'failed'])[event_id % 4 + 1], ts + to_microseconds(event_id)) AS status FROM events GROUP BY event_id % 997",
+        "job_latest_state": """WITH RECURSIVE e AS (SELECT 'job-' || (event_id % 997)::VARCHAR AS job_id, user_id::VARCHAR AS repo_url, event_id % 4 AS s, ts + to_microseconds(event_id) AS t, row_number() OVER (PARTITION BY event_id % 997 ORDER BY ts + to_microseconds(event_id)) AS n FROM events),
+            f(job_id, n, step, repo, updated, accepted) AS (SELECT job_id, n, CASE WHEN s = 0 THEN 0 END, CASE WHEN s = 0 THEN repo_url END, CASE WHEN s = 0 THEN t END, s = 0 FROM e WHERE n = 1
+                UNION ALL SELECT job_id, n, CASE WHEN fresh THEN 0 WHEN up THEN s WHEN alive THEN step END, CASE WHEN fresh THEN repo_url WHEN alive THEN repo END, CASE WHEN fresh OR up THEN t WHEN alive THEN updated END, fresh OR up
+                FROM (SELECT e.*, f.step, f.repo, f.updated, coalesce(t <= f.updated + INTERVAL 1 DAY, false) AS alive, NOT alive AND s = 0 AS fresh, alive AND f.step < 2 AND s > f.step AS up FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n + 1))
+            SELECT job_id, arg_max(repo, n) AS repo_url, (['queued', 'running', 'completed', 'failed'])[arg_max(step, n) + 1] AS status, max(updated) AS updated_at FROM f WHERE accepted GROUP BY job_id""",
         "blob_probe": rf"WITH {_DOCS}, whole AS (SELECT doc_id, text AS decoded FROM docs WHERE strlen(text) BETWEEN 16 AND 64000 AND length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g')) * 4 >= length(text) * 3) SELECT doc_id, 'base64' AS kind, sha256(decoded) AS decoded, true AS accepted FROM whole",
         "text_chunks": "SELECT doc_id, n::INT AS n, (n * 3800)::INT AS span_start, length(substring(text, (n * 3800 + 1)::INT, 4000))::INT AS chars FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text) - 201, 0) // 3800 + 1)) AS n) WHERE text IS NOT NULL",
         "label_spans": f"WITH t AS (SELECT user_id AS doc, event_id AS pos, ({listed(S.TOKEN_LABELS)})[floor(value)::BIGINT % {len(S.TOKEN_LABELS)} + 1] AS label, (event_id % 100) / 100 AS confidence FROM events), e AS (SELECT *, CASE WHEN label != 'O' THEN substring(label, 3) END AS entity FROM t), b AS (SELECT *, CASE WHEN left(label, 1) IN ('I', 'E') AND lag(entity) OVER w = entity AND left(lag(label) OVER w, 1) NOT IN ('E', 'S') THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos)), s AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM b) SELECT doc, min(pos) * 10 AS span_start, max(pos) * 10 + 5 AS span_end, first(entity) AS label, min(confidence) AS confidence FROM s WHERE entity IS NOT NULL GROUP BY doc, span",

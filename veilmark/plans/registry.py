@@ -11,6 +11,7 @@ from veilmark.plans import oracle
 from veilmark.plans import samples as S
 from veilmark.session import spread, table
 from veilmark.streaming import events as stream
+from veilmark.streaming import ordered
 
 KEY = bytes(range(32))
 
@@ -255,7 +256,7 @@ def event_relevance(spark, sf_dir):
 def job_latest_state(spark, sf_dir):
     status = dealt(["queued", "running", "completed", "failed"], F.col("event_id"))
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("job-"), (F.col("event_id") % 997).cast("string")).alias("job_id"), F.col("user_id").cast("string").alias("repo_url"), status.alias("status"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)") / 1_000_000)).alias("ts"))
-    return stream.job_states(rows).select("job_id", "repo_url", "status")
+    return ordered.job_states(rows).select("job_id", "repo_url", "status", "updated_at")
 
 
 def ledger_chain(spark, sf_dir):

@@ -1,25 +1,21 @@
-"""Event streams: debounce, throttle, rate limit and job states, as batch folds and as streaming queries."""
+"""Event streams: debounce, throttle, rate limit, jobs that can be joined, hash chains. Folds that run on streams too are in `ordered`."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from veilmark.functions.fold import fold_by_key
 from veilmark.functions.paths import any_of, matches_glob, sensitive_pattern, under_skipped
+from veilmark.streaming.ordered import KEEP, QUIET, RATE_WINDOW, REQUESTS, SPACING
 
-#: Seconds of quiet that end a burst of changes; least seconds between two audits; requests a window; the window's seconds.
-QUIET, SPACING, REQUESTS, RATE_WINDOW = 2, 30, 5, 60
-#: Seconds in which a finished job serves a new request; seconds a job is kept.
-REUSE, KEEP = 900, 86_400
+#: Seconds in which a finished job serves a new request.
+REUSE = 900
 
 
 def relevant_changes(changes: DataFrame, rule_globs: list[str]) -> DataFrame:
@@ -83,29 +79,6 @@ def rate_limit(requests: DataFrame, key: str = "client", order: str = "ts", most
     return fold_by_key(requests, [key], [order, *([tie] if tie else [])], step, "admitted boolean")
 
 
-def rate_limit_stream(requests: DataFrame, key: str = "client", most: int = REQUESTS, seconds: int = RATE_WINDOW) -> DataFrame:
-    """The same on a stream (columns key string, ts timestamp, id bigint); state holds the admitted times of a key."""
-
-    def admit(key_values: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values(["ts", "id"]).itertuples():
-                times, admitted = _admit(times, r.ts.timestamp(), most, seconds)
-                rows.append((key_values[0], r.id, r.ts, admitted))
-            yield pd.DataFrame(rows, columns=["client", "id", "ts", "admitted"])
-        state.update((times,))
-
-    return requests.groupBy(F.col(key).alias("client")).applyInPandasWithState(
-        admit, "client string, id bigint, ts timestamp, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def job_states(events: DataFrame) -> DataFrame:
-    """Each job's last state from its events (job_id, repo_url, status, ts): with created_at and updated_at."""
-    return events.groupBy("job_id").agg(F.max_by("repo_url", "ts").alias("repo_url"), F.max_by("status", "ts").alias("status"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
-
-
 def live_jobs(jobs: DataFrame, now, keep: int = KEEP) -> DataFrame:
     return jobs.filter(F.unix_micros("updated_at") >= F.unix_micros(now) - keep * 1_000_000)
 
