@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilmark.functions import text as X
 from veilmark.functions.paths import any_of, artifact_class, is_excluded, is_suspicious, looks_executable
@@ -82,11 +83,19 @@ def text_gate(events: DataFrame, id_col: str = "event_id", payload_col: str = "p
     return rows.select(id_col, decision.alias("decision"), found.alias("reasons"))
 
 
-def _server_refused(server: Column, allow: tuple[str, ...], deny: tuple[str, ...]) -> Column:
-    """Whether a server is denied, by name or, with `*`, because it isn't allowed."""
+def server_refused(server: Column, allow: tuple[str, ...], deny: tuple[str, ...]) -> Column:
+    """Whether the lists refuse a server (ASCII case set aside, `*` any). A denied one is refused, but where `*` is denied beside
+    an allow list, that list decides alone; it also does where nothing denies. A server without a name passes."""
     name = F.lower(F.coalesce(server, F.lit("")))
-    named = any_of(name == x.lower() for x in deny if x != "*")
-    return named | ~any_of(name == x.lower() for x in allow) if "*" in deny else named
+
+    def listed(names: tuple[str, ...]) -> Column:
+        return F.lit(True) if "*" in names else any_of(name == x.lower() for x in names)
+
+    if allow and (not deny or "*" in deny):
+        refused = ~listed(allow)
+    else:
+        refused = listed(deny) | (~listed(allow) if allow else F.lit(False))
+    return (name != "") & refused
 
 
 def call_gate(calls: DataFrame, allow: tuple[str, ...] = (), deny: tuple[str, ...] = (), mode: str = "ask", secrets_only: bool = False) -> DataFrame:
@@ -101,7 +110,7 @@ def call_gate(calls: DataFrame, allow: tuple[str, ...] = (), deny: tuple[str, ..
     reason = (
         F.when(~valid, F.when(F.lit(mode == "deny"), "unreadable"))
         .when(F.coalesce(F.exists(X.json_strings(F.col("payload")), is_suspicious), F.lit(False)), "path")
-        .when(_server_refused(F.col("server"), allow, deny), "server")
+        .when(server_refused(F.col("server"), allow, deny), "server")
         .when(n > 0, "findings")
     )
     decided = F.when(F.col("reason").isNull() | F.lit(mode == "observe"), "allow").otherwise(mode)
@@ -140,36 +149,85 @@ def task_gate(events: DataFrame, mode: str = "deny", id_col: str = "event_id", p
     return rows.select(id_col, F.when((n > 0) & F.lit(mode != "observe"), "deny").otherwise("allow").alias("decision"), n.alias("n_findings"))
 
 
-def _score(pattern: Column) -> Column:
-    return F.when(pattern == "*", 0).when(F.contains(pattern, F.lit("*")), 1).otherwise(2)
-
-
 def _name_matches(pattern: Column, name: Column) -> Column:
     """A name pattern in which * stands for anything, case set aside."""
     quoted = F.regexp_replace(F.lower(pattern), r"([^a-z0-9_*-])", r"\\$1")
     return F.rlike(F.lower(name), F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("$")))
 
 
-def rule_matches(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule (idx, server, tool, ...) that fits a call (server, tool), with its score: the server weighs four times
-    the tool; exact names beat patterns, which beat `*`. The rules are a configuration file's, so they are broadcast."""
-    star = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "*").otherwise(F.col(c))
-    r = rules.select(star("server").alias("rule_server"), star("tool").alias("rule_tool"), *[c for c in rules.columns if c not in ("server", "tool")])
-    fits = _name_matches(F.col("rule_server"), F.col("server")) & _name_matches(F.col("rule_tool"), F.col("tool"))
-    return calls.join(F.broadcast(r), fits).withColumn("score", _score(F.col("rule_server")) * 4 + _score(F.col("rule_tool")))
+#: Most rules that a plan takes in.
+RULE_LIMIT = 5_000
+
+
+def _ordered_rules(rules: DataFrame) -> list[Row]:
+    """A configuration's rules, the most specific first, ties to the earlier: the server weighs four times the tool, and exact
+    names beat patterns, which beat `*`."""
+    star = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", "*").otherwise(F.trim(c)).alias(c)
+    rows = rules.select(star("server"), star("tool"), *[c for c in rules.columns if c not in ("server", "tool")]).limit(RULE_LIMIT + 1).collect()
+    if len(rows) > RULE_LIMIT:
+        raise ValueError(f"a configuration has at most {RULE_LIMIT} rules")
+    weight = lambda p: 0 if p == "*" else 1 if "*" in p else 2
+    return sorted(rows, key=lambda r: (-(4 * weight(r["server"]) + weight(r["tool"])), r["idx"]))
+
+
+def _fits(rule: Row, server: Column, tool: Column) -> Column:
+    """Whether a rule fits, as one expression over the call; ASCII case set aside, `*` stands for anything."""
+
+    def one(pattern: str, name: Column) -> Column:
+        if pattern == "*":
+            return name.isNotNull()
+        if "*" not in pattern:
+            return F.lower(name) == pattern.lower()
+        return F.lower(name).rlike("^" + ".*".join(re.sub(r"([^a-z0-9_-])", r"\\\1", part) for part in pattern.lower().split("*")) + "$")
+
+    return one(rule["server"], server) & one(rule["tool"], tool)
+
+
+def chosen_rule(rules: DataFrame, server: Column, tool: Column) -> Column:
+    """The idx of the most specific rule that fits a call, null if none does: a column, so calls are neither joined nor shuffled.
+
+    Rules that name a server and a tool are looked up in one map; the others are tried in order, and only until one fits.
+    """
+    ordered = _ordered_rules(rules)
+    exact: dict[str, int] = {}
+    for r in ordered:
+        if "*" not in r["server"] and "*" not in r["tool"]:
+            exact.setdefault(f"{r['server'].lower()}\n{r['tool'].lower()}", r["idx"])
+    rest = [r for r in ordered if "*" in r["server"] or "*" in r["tool"]]
+    found = [F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])[F.concat(F.lower(server), F.lit("\n"), F.lower(tool))]] if exact else []
+    found += [F.when(_fits(r, server, tool), F.lit(r["idx"])) for r in rest]
+    return F.coalesce(*found, F.lit(None).cast("int"))
+
+
+def choose_rule(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Calls (server, tool, ...) with the idx of their most specific rule (idx, server, tool), ties to the earlier one; null without one."""
+    return calls.withColumn("idx", chosen_rule(rules, F.col("server"), F.col("tool")))
 
 
-def choose_rule(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFrame:
-    """The most specific rule of each call, ties to the earlier one; calls without one have idx null."""
-    best = rule_matches(calls, rules).groupBy(key).agg(F.max_by("idx", F.struct("score", -F.col("idx"))).alias("idx"))
-    return calls.join(best, key, "left")
+def field_rules(rules: DataFrame, server: Column, tool: Column) -> Column:
+    """map<field, action> from all rules (fields map<string,string>) that fit a call: the more specific wins, then the earlier."""
+    by_field: dict[str, list[Column]] = {}
+    for r in _ordered_rules(rules):
+        for field, action in (r["fields"] or {}).items():
+            if field.strip():
+                by_field.setdefault(field.strip(), []).append(F.when(_fits(r, server, tool), F.lit((action or "").strip())))
+    pairs = [F.struct(F.lit(field).alias("key"), F.coalesce(*actions).alias("value")) for field, actions in by_field.items()]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
 
 
 def field_actions(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFrame:
-    """(call, field, action) from all fitting rules (fields map<string,string>): the more specific wins, then the earlier."""
-    rows = rule_matches(calls, rules).select(key, "score", "idx", F.explode("fields").alias("field", "action")).withColumn("field", F.trim("field")).filter("field != ''")
-    best = Window.partitionBy(key, "field").orderBy(F.col("score").desc(), "idx")
-    return rows.withColumn("n", F.row_number().over(best)).filter("n = 1").select(key, "field", F.trim("action").alias("action"))
+    """(call, field, action) from all fitting rules; row by row."""
+    return calls.select(key, F.explode(field_rules(rules, F.col("server"), F.col("tool"))).alias("field", "action"))
+
+
+def apply_fields(payload: Column, actions: Column) -> Column:
+    """A JSON object with the top-level fields of `actions` (map) handled: `remove` takes one out, `mask` and `redact` put ***
+    for its value, others leave it. What is no JSON object stays as it is. Values keep their types, as they are read as VARIANT."""
+    object_of = F.try_parse_json(payload).try_cast("map<string,variant>")
+    act = lambda k: F.coalesce(F.try_element_at(actions, k), F.lit(""))
+    kept = F.map_filter(object_of, lambda k, v: act(k) != "remove")
+    done = F.transform_values(kept, lambda k, v: F.when(act(k).isin("mask", "redact"), F.parse_json(F.lit('"***"'))).otherwise(v))
+    return F.coalesce(F.to_json(done), payload)
 
 
 def server_inventory(configs: DataFrame, risky: tuple[str, ...] = ("*shell*", "*filesystem*", "*exec*")) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilmark.session import table
+from veilmark.operators import file_gates, gates, ignore_rules
+from veilmark.plans import oracle
+from veilmark.plans import samples as S
+from veilmark.plans.registry import dealt, documents
+from veilmark.session import spread, table
 from veilmark.streaming import ordered
 
 
@@ -14,7 +18,55 @@ def event_audits(spark, sf_dir):
     return ordered.audits(rows, quiet=3600, spacing=28_800).select("root", "fired_at", "n", "immediate", F.array_join("paths", "|").alias("paths"))
 
 
-_QUERIES = [event_audits]
+def repository_ignores(spark, sf_dir):
+    """Pages as files of their hosts' repositories; each page adds a line to one of three ignore files of its host."""
+    path, host = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("repo"), path.alias("path"))
+    p, name = F.col("path"), F.regexp_extract("path", "([^/]+)/?$", 1)
+    forms = [F.concat(F.lit("/"), p), name, F.concat(F.lit("!/"), p), F.concat(F.lit("*"), F.right(name, F.lit(1))), F.concat(F.left(p, F.lit(2)), F.lit("/*5*")), F.lit("**/1*"), F.lit("!*7"), F.concat(F.lit("# "), p)]
+    line = F.element_at(F.array(*forms), (F.col("page_id") % 8 + 1).cast("int"))
+    lines = rows.select("repo", F.concat(F.lit("f"), (F.col("page_id") % 3).cast("string")).alias("file"), line.alias("line"))
+    return ignore_rules.with_ignored(rows, lines).select("page_id", "ignored", "n_files")
+
+
+def _files(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+
+
+def _document():
+    """The path of the document that an event names: every document is named by ten events."""
+    return F.concat(F.lit("d/"), F.floor(F.col("event_id") / 10).cast("string"), F.lit(".txt"))
+
+
+def prompt_files(spark, sf_dir):
+    """Events as prompts that mention one document and attach another, which those of a user share."""
+    prompt = F.concat(dealt(S.FINDINGS, F.col("event_id")), F.lit(" @"), _document())
+    attachments = F.array(F.struct(F.concat(F.lit("d/"), F.col("user_id").cast("string"), F.lit(".txt")).alias("file_path")))
+    events = spread(table(spark, sf_dir, "events")).select("event_id", F.to_json(F.struct(prompt.alias("prompt"), attachments.alias("attachments"))).alias("payload"))
+    return file_gates.prompt_gate(events, _files(spark, sf_dir), "soft").select("event_id", "decision", "n_findings", "n_files")
+
+
+def read_files(spark, sf_dir):
+    """Events as reads: of a document, of a labelled path, and of a note whose content comes with the event."""
+    event = F.col("event_id")
+    path = F.when(event % 4 < 2, _document()).when(event % 4 == 2, dealt([p[0] for p in S.PATHS], event)).otherwise("notes.txt")
+    content = F.when(event % 4 == 3, dealt(S.FINDINGS, event))
+    events = spread(table(spark, sf_dir, "events")).select("event_id", F.to_json(F.struct(path.alias("file_path"), content.alias("content"))).alias("payload"))
+    return file_gates.read_gate(events, _files(spark, sf_dir)).select("event_id", "decision", "reason", "n_findings")
+
+
+#: name, allow list, deny list of servers.
+POLICIES = [("open", (), ()), ("allow-only", ("Postgres", "files"), ()), ("deny-only", (), ("shell",)), ("deny-all", (), ("*",)), ("allowlist", ("files",), ("*", "postgres")), ("both", ("files", "shell"), ("shell",)), ("any", ("*",), ("files",))]
+
+
+def server_policies(spark, sf_dir):
+    """Every event as a call of a server, under each policy."""
+    calls = table(spark, sf_dir, "events").select("event_id", dealt([*S.SERVERS, ""], F.col("event_id")).alias("server"))
+    rows = F.array(*[F.struct(F.lit(name).alias("policy"), gates.server_refused(F.col("server"), allow, deny).alias("refused")) for name, allow, deny in POLICIES])
+    return calls.select("event_id", F.inline(rows)).filter("refused").groupBy("policy").agg(F.count("*").alias("n"), F.sum("event_id").alias("events"))
+
+
+_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies]
 
 
 def queries() -> dict:
@@ -35,5 +87,43 @@ _AUDITS = """
     SELECT root, fired_at, n::BIGINT AS n, immediate, array_to_string(list_sort(list_distinct(paths)), '|') AS paths FROM done"""
 
 
+_IGNORES = r"""
+    WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS repo, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages),
+    l AS (SELECT DISTINCT repo, page_id % 3 AS file, page_id % 8 AS form, path AS line, regexp_extract(path, '([^/]+)/?$', 1) AS name FROM p),
+    hits AS (
+        SELECT p.page_id, file, form IN (2, 6) AS negated FROM p JOIN l USING (repo) WHERE CASE form
+            WHEN 0 THEN path = rtrim(line, '/') OR starts_with(path, rtrim(line, '/') || '/')
+            WHEN 1 THEN list_contains(string_split(path, '/'), name)
+            WHEN 2 THEN path = rtrim(line, '/') OR starts_with(path, rtrim(line, '/') || '/')
+            WHEN 3 THEN len(list_filter(string_split(path, '/'), lambda s: s != '' AND ends_with(s, right(name, 1)))) > 0
+            WHEN 4 THEN starts_with(path, left(line, 2) || '/') AND regexp_full_match(substr(path, 4), '[^/]*5[^/]*')
+            WHEN 5 THEN regexp_full_match(path, '(.*/)?1[^/]*')
+            WHEN 6 THEN len(list_filter(string_split(path, '/'), lambda s: ends_with(s, '7'))) > 0
+            ELSE false END),
+    files AS (SELECT page_id, file FROM hits GROUP BY ALL HAVING bool_or(NOT negated) AND NOT bool_or(negated))
+    SELECT page_id, count(file) > 0 AS ignored, count(file) AS n_files FROM p LEFT JOIN files USING (page_id) GROUP BY page_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"event_audits": _AUDITS}
+    files = f"SELECT 'd/' || doc_id || '.txt' AS doc_id, coalesce(text, '') || chr(10) || {oracle.dealt(S.FINDINGS, 'doc_id')} AS text FROM documents"
+    sample, mention = oracle.dealt(S.FINDINGS, "event_id"), "'d/' || (event_id // 10) || '.txt'"
+    prompts = oracle.found(f"docs AS ({files} UNION ALL SELECT 'e' || event_id, {sample} || ' @' || {mention} FROM events)")
+    reads = oracle.found(f"docs AS ({files} UNION ALL SELECT 'e' || event_id, {sample} FROM events WHERE event_id % 4 = 3)")
+    suspicious = oracle.listed([p[6] for p in S.PATHS])
+    refused = {"open": "false", "allow-only": "s NOT IN ('postgres', 'files')", "deny-only": "s = 'shell'", "deny-all": "true", "allowlist": "s != 'files'", "both": "s NOT IN ('files')", "any": "s = 'files'"}
+    servers = " UNION ALL ".join(f"SELECT '{name}' AS policy, event_id FROM e WHERE s != '' AND {test}" for name, test in refused.items())
+    return {
+        "event_audits": _AUDITS,
+        "repository_ignores": _IGNORES,
+        "prompt_files": f"""{prompts}, counted AS (SELECT d.doc_id, count(f.doc_id) AS n FROM docs d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id),
+            readable AS (SELECT doc_id, n FROM docs JOIN counted USING (doc_id) WHERE strlen(text) <= 65536),
+            named AS (SELECT event_id, {mention} AS path FROM events UNION ALL SELECT event_id, 'd/' || user_id || '.txt' FROM events),
+            inside AS (SELECT event_id, count(*) AS n_files, sum(n) AS n FROM named JOIN readable ON doc_id = path GROUP BY event_id)
+            SELECT e.event_id, CASE WHEN c.n + coalesce(i.n, 0) > 0 THEN 'deny' ELSE 'allow' END AS decision, (c.n + coalesce(i.n, 0))::BIGINT AS n_findings, coalesce(n_files, 0) AS n_files
+            FROM events e JOIN counted c ON c.doc_id = 'e' || e.event_id LEFT JOIN inside i ON i.event_id = e.event_id""",
+        "read_files": f"""{reads}, counted AS (SELECT doc_id, count(*) FILTER (list_contains({oracle.CRITICAL}, entity_type)) AS n FROM found GROUP BY doc_id)
+            SELECT e.event_id, CASE WHEN reason = '' THEN 'allow' ELSE 'deny' END AS decision, reason, n_findings FROM (
+                SELECT e.event_id, coalesce(n, 0) AS n_findings, CASE WHEN event_id % 4 = 2 AND {suspicious}[event_id % {len(S.PATHS)} + 1] THEN 'path' WHEN coalesce(n, 0) > 0 THEN 'findings' ELSE '' END AS reason
+                FROM events e LEFT JOIN counted c ON c.doc_id = CASE WHEN event_id % 4 < 2 THEN {mention} WHEN event_id % 4 = 3 THEN 'e' || event_id END) e""",
+        "server_policies": f"WITH e AS (SELECT event_id, {oracle.listed([*S.SERVERS, ''])}[event_id % {len(S.SERVERS) + 1} + 1] AS s FROM events) SELECT policy, count(*) AS n, sum(event_id)::BIGINT AS events FROM ({servers}) GROUP BY policy",
+    }
