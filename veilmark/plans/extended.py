@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilmark.operators import file_gates, gates, ignore_rules
+from veilmark.operators import file_gates, gates, ignore_rules, regions, restores
 from veilmark.plans import oracle
 from veilmark.plans import samples as S
 from veilmark.plans.registry import dealt, documents
@@ -66,7 +66,41 @@ def server_policies(spark, sf_dir):
     return calls.select("event_id", F.inline(rows)).filter("refused").groupBy("policy").agg(F.count("*").alias("n"), F.sum("event_id").alias("events"))
 
 
-_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies]
+def restored_as_of(spark, sf_dir):
+    """A seventh of the events as mappings of addresses and names, with or without an end; the others as masked texts."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    event = F.col("event_id")
+
+    def pairs(kind: str, value: str, n):
+        numbers = F.filter(F.sequence(F.lit(0), n.cast("int")), lambda k: k > 0)
+        return F.transform(numbers, lambda k: F.struct(F.concat(F.lit("{{" + kind + "_"), k.cast("string"), F.lit("}}")).alias("key"), F.concat(F.lit(value), event.cast("string"), F.lit("-"), k.cast("string")).alias("value")))
+
+    mapping = F.map_from_entries(F.concat(pairs("EMAIL", "e", event % 5 + 1), pairs("PERSON", "p", event % 3)))
+    ends = F.when(event % 21 != 0, F.timestamp_add("HOUR", (1 + event % 40).cast("int"), F.col("ts")))
+    mappings = e.filter(event % 7 == 0).select(event.cast("string").alias("mapping_id"), F.col("ts").alias("created_at"), ends.alias("expires_at"), mapping.alias("mapping"))
+    person = F.when(event % 4 > 0, F.concat(F.lit(" from {{PERSON_"), (event % 4).cast("string"), F.lit("}}"))).otherwise("")
+    texts = e.filter(event % 7 != 0).select("event_id", "ts", F.concat(F.lit("to {{EMAIL_"), (event % 6 + 1).cast("string"), F.lit("}}"), person).alias("text"))
+    return restores.restore_as_of(texts, mappings, bucket_seconds=86_400).select("event_id", "text", F.coalesce("mapping_id", F.lit("")).alias("mapping_id"))
+
+
+def _wanted(spark, sf_dir):
+    """Values looked for in every page: a word of its host, an article, an accent, and one that stands nowhere."""
+    host = F.upper(F.regexp_extract("url", r"^[a-z]+://(?:[a-z]+\.)?([a-z]+)\.", 1))
+    values = F.array(*[F.struct(F.lit(i).alias("value_id"), v.alias("value")) for i, v in ((1, host), (2, F.lit("THE")), (3, F.lit("é")), (4, F.lit("the")), (5, F.lit("#nowhere#")))])
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page"), F.col("html").alias("text")), pages.select(F.col("page_id").alias("doc_id"), F.inline(values))
+
+
+def value_regions(spark, sf_dir):
+    found = regions.find_regions(*_wanted(spark, sf_dir))
+    return found.groupBy("doc_id", "value_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+def redaction_plan(spark, sf_dir):
+    return regions.redaction_plan(*_wanted(spark, sf_dir)).select("doc_id", "value_id", "n_regions", "resolved")
+
+
+_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies, restored_as_of, value_regions, redaction_plan]
 
 
 def queries() -> dict:
@@ -104,6 +138,20 @@ _IGNORES = r"""
     SELECT page_id, count(file) > 0 AS ignored, count(file) AS n_files FROM p LEFT JOIN files USING (page_id) GROUP BY page_id"""
 
 
+_RESTORED = """
+    WITH m AS (SELECT event_id AS id, event_id % 5 + 1 AS emails, event_id % 3 AS persons, ts AS created, CASE WHEN event_id % 21 != 0 THEN ts + to_hours((1 + event_id % 40)::INT) END AS ends FROM events WHERE event_id % 7 = 0),
+    t AS (SELECT event_id, ts, event_id % 6 + 1 AS i, event_id % 4 AS j FROM events WHERE event_id % 7 != 0),
+    best AS (SELECT event_id, arg_max(id, (created, id::VARCHAR)) AS id FROM t JOIN m ON emails >= i AND persons >= j AND created <= ts AND (ends IS NULL OR ts < ends) GROUP BY event_id)
+    SELECT event_id, 'to ' || coalesce('e' || id || '-' || i, '{{EMAIL_' || i || '}}') || CASE WHEN j > 0 THEN ' from ' || coalesce('p' || id || '-' || j, '{{PERSON_' || j || '}}') ELSE '' END AS text,
+        coalesce(id::VARCHAR, '') AS mapping_id FROM t LEFT JOIN best USING (event_id)"""
+
+_PLACES = r"""
+    WITH v AS (SELECT page_id AS doc_id, strip_accents(lower(html)) AS low, unnest([1, 2, 3, 5]) AS value_id, unnest([regexp_extract(url, '^[a-z]+://(?:[a-z]+\.)?([a-z]+)\.', 1), 'the', 'e', '#nowhere#']) AS value FROM pages),
+    p AS (SELECT doc_id, value_id, value, string_split(low, value) AS parts FROM v WHERE contains(low, value) AND value != ''),
+    s AS (SELECT doc_id, value_id, length(value) AS width, unnest(range(1, len(parts))) AS k, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x))))) AS before FROM p),
+    places AS (SELECT doc_id, value_id, (before + (k - 1) * width)::BIGINT AS start, (before + k * width)::BIGINT AS stop FROM s)"""
+
+
 def oracle_sql() -> dict[str, str]:
     files = f"SELECT 'd/' || doc_id || '.txt' AS doc_id, coalesce(text, '') || chr(10) || {oracle.dealt(S.FINDINGS, 'doc_id')} AS text FROM documents"
     sample, mention = oracle.dealt(S.FINDINGS, "event_id"), "'d/' || (event_id // 10) || '.txt'"
@@ -125,5 +173,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT e.event_id, CASE WHEN reason = '' THEN 'allow' ELSE 'deny' END AS decision, reason, n_findings FROM (
                 SELECT e.event_id, coalesce(n, 0) AS n_findings, CASE WHEN event_id % 4 = 2 AND {suspicious}[event_id % {len(S.PATHS)} + 1] THEN 'path' WHEN coalesce(n, 0) > 0 THEN 'findings' ELSE '' END AS reason
                 FROM events e LEFT JOIN counted c ON c.doc_id = CASE WHEN event_id % 4 < 2 THEN {mention} WHEN event_id % 4 = 3 THEN 'e' || event_id END) e""",
+        "restored_as_of": _RESTORED,
+        "value_regions": f"{_PLACES} SELECT doc_id, value_id, count(*) AS n, sum(start)::BIGINT AS starts, sum(stop)::BIGINT AS ends FROM places GROUP BY ALL",
+        "redaction_plan": f"{_PLACES}, n AS (SELECT doc_id, value_id, count(*) AS n FROM places GROUP BY ALL), every AS (SELECT page_id AS doc_id, unnest([1, 2, 3, 4, 5]) AS value_id, unnest([1, 2, 3, 2, 5]) AS as_id FROM pages) SELECT e.doc_id, e.value_id, coalesce(n, 0) AS n_regions, n IS NOT NULL AS resolved FROM every e LEFT JOIN n ON n.doc_id = e.doc_id AND n.value_id = as_id",
         "server_policies": f"WITH e AS (SELECT event_id, {oracle.listed([*S.SERVERS, ''])}[event_id % {len(S.SERVERS) + 1} + 1] AS s FROM events) SELECT policy, count(*) AS n, sum(event_id)::BIGINT AS events FROM ({servers}) GROUP BY policy",
     }

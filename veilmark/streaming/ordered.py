@@ -41,7 +41,7 @@ class OrderedFold:
 
     `reads` are the columns of an event beside its time, in the order that breaks ties of equal times; `gives` is the
     DDL of a result. `step` takes an event, `advance` what time brings about up to and with `now`; both return the new
-    state (None: nothing to remember) and results. `due` is when `advance` has something to do next.
+    state (None: nothing to remember) and results. `due` is when `advance` has something to do next (None: never).
     """
 
     reads: tuple[str, ...] = ()
@@ -170,8 +170,8 @@ def fold_batch(df: DataFrame, fold: OrderedFold, key: str, time: str = "ts", to_
     def step(state: Any, row: dict) -> tuple:
         if row["end"]:
             out = []
-            while state is not None:
-                state, found = fold.advance(state, fold.due(state))
+            while state is not None and (due := fold.due(state)) is not None:
+                state, found = fold.advance(state, due)
                 out += found
         else:
             state, out = fold.step(state, _micros(row["at"]), [row[c] for c in fold.reads])
@@ -204,8 +204,10 @@ class _Processor(StatefulProcessor):
             self.held.clear()
             return
         self.held.update((json.dumps([waiting, state]),))
-        next_time = min([w[0] for w in waiting] + ([self.fold.due(state)] if state is not None else []))
-        self.handle.registerTimer(-(-next_time // 1000))
+        due = self.fold.due(state) if state is not None else None
+        times = [w[0] for w in waiting] + ([due] if due is not None else [])
+        if times:
+            self.handle.registerTimer(-(-min(times) // 1000))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         waiting, state = self._read()
