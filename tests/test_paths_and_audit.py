@@ -85,10 +85,11 @@ def test_status_and_score(spark):
 
 
 def test_deltas_and_drift(spark):
-    a = spark.createDataFrame([("x", True, ["p", "q"]), ("y", False, None)], "id string, satisfied boolean, paths array<string>")
-    b = spark.createDataFrame([("x", False, ["q", "r"]), ("z", True, [])], "id string, satisfied boolean, paths array<string>")
-    rows = {r["id"]: (r["change"], r["added"], r["removed"]) for r in audit.snapshot_delta(a, b).collect()}
-    assert rows == {"x": ("lost", ["r"], ["p"]), "y": ("same", [], []), "z": ("gained", [], [])}
+    before = spark.createDataFrame([("x", True), ("y", False)], "id string, satisfied boolean")
+    after = spark.createDataFrame([("x", False), ("z", True)], "id string, satisfied boolean")
+    old, new = (spark.createDataFrame([("x", p) for p in names] + [("y", None)], "id string, path string") for names in ("pq", "qrr"))
+    rows = {r["id"]: (r["change"], r["added"], r["removed"]) for r in audit.delta_counts(before, after, old, new).collect()}
+    assert rows == {"x": ("lost", 1, 1), "y": ("same", 0, 0), "z": ("gained", 0, 0)}
     files = spark.createDataFrame([(".a", " *.pem\n# no\n\n.env\r\n"), (".b", "")], "file string, contents string")
     present = audit.parse_ignore_files(files)
     assert sorted((r["file"], r["line"]) for r in present.collect()) == [(".a", "*.pem"), (".a", ".env")]

@@ -124,21 +124,8 @@ def severity_counts(pattern_found: DataFrame) -> DataFrame:
     return pattern_found.groupBy("severity").agg(F.count(F.when(~F.col("satisfied"), 1)).alias("n_patterns"), F.sum("n_exposed").alias("n_exposed"))
 
 
-def snapshot_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Changes between two snapshots (id, satisfied, paths array): id, was, now, change (gained, lost or same), added, removed."""
-    empty = F.array().cast("array<string>")
-    a = before.select("id", F.col("satisfied").alias("was"), F.col("paths").alias("old"))
-    b = after.select("id", F.col("satisfied").alias("now"), F.col("paths").alias("new"))
-    was, now = F.coalesce("was", F.lit(False)), F.coalesce("now", F.lit(False))
-    old, new = F.coalesce("old", empty), F.coalesce("new", empty)
-    return a.join(b, "id", "full_outer").select(
-        "id", was.alias("was"), now.alias("now"), F.when(was == now, "same").when(now, "gained").otherwise("lost").alias("change"),
-        F.array_sort(F.array_except(new, old)).alias("added"), F.array_sort(F.array_except(old, new)).alias("removed"),
-    )
-
-
 def delta_counts(before: DataFrame, after: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """`snapshot_delta` for snapshots of any size, kept as rows: states (id, satisfied) and paths (id, path); added and removed are counts.
+    """Changes between two snapshots of any size, kept as rows, states (id, satisfied) and paths (id, path): id, was, now, change (gained, lost or same), added and removed paths.
 
     Every step is a count with partial aggregates, so neither an id's paths nor all of a table meet in one row or task.
     """
@@ -223,7 +210,8 @@ def tracked_and_ignored(tracked: DataFrame, lines_by_file: Mapping[str, Sequence
 
 
 def update_index(index: DataFrame, changes: DataFrame, lines_by_file: Mapping[str, Sequence[str]]) -> DataFrame:
-    """The index of sensitive paths after changes (path, ts, removed): each path's last change wins; then exposures of the index alone."""
-    last = changes.groupBy("path").agg(F.max_by("removed", "ts").alias("removed"))
+    """The index of sensitive paths after changes (path, ts, removed): each path's last change wins, of two at one time the
+    removal; then exposures of the index alone. `sources.logs` keeps such an index as a table that changes part by part."""
+    last = changes.groupBy("path").agg(F.max_by("removed", F.struct("ts", "removed")).alias("removed"))
     kept = index.select("path").join(last, "path", "left_anti").unionByName(last.filter(~F.col("removed")).select("path"))
     return exposures(kept.filter(sensitive_pattern(F.col("path")).isNotNull()), lines_by_file)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.catalog import ENTITY_TYPES
 from veilmark.functions.seal import SEAL_LIMIT, open_token, parse_key, seal_value
-from veilmark.operators.spans import let, listed, quoted, with_tokens
+from veilmark.operators.spans import let, quoted, with_tokens
 
 
 def _lookup(entity_type: Column, place: int) -> Column:
@@ -90,13 +90,7 @@ def unseal(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     return _replaced(with_tokens(df, text_col, tokens), text_col, tokens, lambda t: open_token(t["value"], key)).drop(tokens)
 
 
-def authenticated_tokens(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The tokens of texts that open under the key: doc_id, start, end, value."""
-    rows = with_tokens(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "tokens")
-    return listed(rows, F.col("tokens"), "doc_id").filter(open_token(F.col("value"), key).isNotNull()).select("doc_id", "start", "end", "value")
-
-
 __all__ = [
-    "SEAL_LIMIT", "authenticated_tokens", "mask", "open_token", "parse_key", "placeholders", "rebuild", "redact", "redact_values", "restore", "scrub_summary",
+    "SEAL_LIMIT", "mask", "open_token", "parse_key", "placeholders", "rebuild", "redact", "redact_values", "restore", "scrub_summary",
     "seal_findings", "seal_value", "unseal",
 ]

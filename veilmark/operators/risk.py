@@ -37,14 +37,6 @@ def with_risk(df: DataFrame, findings_col: str = "findings", tier: Column | None
     return rows.select(*kept, risk.alias("risk")).select(*kept, "risk.*", F.size(findings_col).cast("bigint").alias("n_findings"))
 
 
-def document_risk(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", tier: Column | None = None) -> DataFrame:
-    """The same for a table of findings: one row a document, whose id must name it alone."""
-    sums = findings.groupBy("doc_id").agg(F.sum(weight(F.col("entity_type"))).alias("total"), F.bool_or(F.col("entity_type").isin(*CRITICAL)).alias("critical"), F.count("*").alias("n_findings"))
-    base = docs.select(F.col(id_col).alias("doc_id"), (tier if tier is not None else F.lit("neutral")).alias("tier"))
-    risk = assess(F.coalesce("total", F.lit(0)), F.coalesce("critical", F.lit(False)), F.col("tier"))
-    return base.join(sums, "doc_id", "left").select("doc_id", risk.alias("risk"), F.coalesce("n_findings", F.lit(0)).alias("n_findings")).select("doc_id", "risk.*", "n_findings")
-
-
 def findings_by_type(findings: DataFrame) -> DataFrame:
     """(doc_id, entity_type, n) with a total row a document (entity_type null)."""
     return findings.rollup("doc_id", "entity_type").agg(F.count("*").alias("n")).filter("doc_id is not null")

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from veilmark.functions.catalog import CRITICAL, DICTIONARY_KINDS, RULES, SEAL_TOKEN, SEAL_TOKEN_INNER, SECRET, Rule
 from veilmark.functions.checks import is_secret, plausible
+from veilmark.functions.fold import fold_by_key
 from veilmark.functions.seal import open_token
 
 
@@ -236,10 +237,6 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     return listed(rows, F.expr(_public(_resolved("spans"))), "doc_id")
 
 
-def drop_implausible(spans: DataFrame) -> DataFrame:
-    return spans.filter(plausible(F.col("entity_type"), F.col("value")))
-
-
 _SEAL_RULE = Pattern(0, "seal", "seal", 1.0, SEAL_TOKEN, ("{{",))
 
 
@@ -249,11 +246,6 @@ def with_tokens(df: DataFrame, text_col: str, column: str) -> DataFrame:
     return out.withColumn(column, F.expr(_public(f"`{column}`")))
 
 
-def seal_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, start, end, value) of the sealed values in texts."""
-    return extract_spans(df, id_col, text_col, [_SEAL_RULE]).select("doc_id", "start", "end", "value")
-
-
 def outermost(regions: DataFrame, group: str, start: str = "start", end: str = "end") -> DataFrame:
     """Regions of each group that lie in no other one; of equal regions the one that sorts first by its other columns.
 
@@ -287,15 +279,13 @@ def merge_same_type(spans: DataFrame) -> DataFrame:
 def first_fit(spans: DataFrame) -> DataFrame:
     """Spans in order of start of which each begins where no accepted one covers; resolved spans all pass.
 
-    The choice of one span depends on all before it, so each document's spans are folded as one array.
+    The choice of one span depends on all before it, so a document's spans stream through one task, in linear time and
+    without an array of them.
     """
-    rows = F.array_sort(F.collect_list(F.struct("start", "end", "rule_ord", "entity_type", "value")))
-    return spans.groupBy("doc_id").agg(rows.alias("rows")).select("doc_id", F.inline(_accepted(F.col("rows"))))
 
+    def step(reach: int | None, row: dict) -> tuple:
+        fits = reach is None or row["start"] >= reach
+        return row["end"] if fits else reach, {"fits": fits}
 
-def _accepted(rows: Column) -> Column:
-    return F.aggregate(
-        rows, F.struct(F.lit(0).alias("reach"), F.filter(rows, lambda x: F.lit(False)).alias("kept")),
-        lambda a, x: F.when(x["start"] >= a["reach"], F.struct(x["end"].alias("reach"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
+    rows = spans.select("doc_id", "start", "end", "rule_ord", "entity_type", "value")
+    return fold_by_key(rows, ["doc_id"], ["start", "end", "rule_ord", "entity_type", "value"], step, "fits boolean").filter("fits").drop("fits")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilmark.operators import file_gates, gates, ignore_rules, regions, restores
+from veilmark.operators import audit, file_gates, gates, ignore_rules, regions, restores, windows
 from veilmark.plans import oracle
 from veilmark.plans import samples as S
 from veilmark.plans.registry import dealt, documents
 from veilmark.session import spread, table
+from veilmark.sources import logs
 from veilmark.streaming import ordered
 
 
@@ -100,7 +101,27 @@ def redaction_plan(spark, sf_dir):
     return regions.redaction_plan(*_wanted(spark, sf_dir)).select("doc_id", "value_id", "n_regions", "resolved")
 
 
-_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies, restored_as_of, value_regions, redaction_plan]
+def windowed_findings(spark, sf_dir):
+    """The whole scan by windows of 2000 characters: what the scan in one piece finds."""
+    found = windows.window_scan(documents(spark, sf_dir), window=2000, overlap=600)
+    return found.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "entity_type", F.sha2("value", 256).alias("value"))
+
+
+def updated_index(spark, sf_dir):
+    """Every second customer's settings file is indexed; orders change them, finished ones remove them."""
+    file_of = lambda c: F.concat(F.lit("c/"), F.col(c).cast("string"), F.lit("/.env")).alias("path")
+    index = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(file_of("c_custkey"))
+    changes = table(spark, sf_dir, "orders").filter("o_orderdate is not null").select(file_of("o_custkey"), F.col("o_orderdate").alias("ts"), (F.col("o_orderstatus") == "F").alias("removed"))
+    return audit.update_index(index, changes, {}).select("path", "pattern")
+
+
+def log_files(spark, sf_dir):
+    """Events as the log of their user, in files of little over 100 bytes."""
+    entries = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), F.col("props").alias("line"))
+    return logs.rotated(entries, most=100).groupBy("log", "file_no").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("seq").alias("first"))
+
+
+_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies, restored_as_of, value_regions, redaction_plan, windowed_findings, updated_index, log_files]
 
 
 def queries() -> dict:
@@ -174,6 +195,13 @@ def oracle_sql() -> dict[str, str]:
                 SELECT e.event_id, coalesce(n, 0) AS n_findings, CASE WHEN event_id % 4 = 2 AND {suspicious}[event_id % {len(S.PATHS)} + 1] THEN 'path' WHEN coalesce(n, 0) > 0 THEN 'findings' ELSE '' END AS reason
                 FROM events e LEFT JOIN counted c ON c.doc_id = CASE WHEN event_id % 4 < 2 THEN {mention} WHEN event_id % 4 = 3 THEN 'e' || event_id END) e""",
         "restored_as_of": _RESTORED,
+        "windowed_findings": f"{oracle.found()} SELECT doc_id, start AS span_start, \"end\" AS span_end, entity_type, sha256(value) AS value FROM found",
+        "updated_index": """WITH c AS (SELECT o_custkey AS k, max(o_orderdate) AS ts FROM orders GROUP BY 1), l AS (SELECT k, bool_or(o_orderstatus = 'F') AS removed FROM c JOIN orders ON o_custkey = k AND o_orderdate = ts GROUP BY k)
+            SELECT 'c/' || k || '/.env' AS path, 'env-files' AS pattern FROM (SELECT k FROM l WHERE NOT removed UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT k FROM l))""",
+        "log_files": """WITH RECURSIVE e AS (SELECT user_id AS log, event_id AS seq, strlen(coalesce(props, '')) + 1 AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+            f(log, n, seq, b, file_no, size) AS (SELECT log, n, seq, b, 0, b FROM e WHERE n = 1
+                UNION ALL SELECT e.log, e.n, e.seq, e.b, CASE WHEN f.size > 100 THEN f.file_no + 1 ELSE f.file_no END, CASE WHEN f.size > 100 THEN e.b ELSE f.size + e.b END FROM f JOIN e ON e.log = f.log AND e.n = f.n + 1)
+            SELECT log, file_no::BIGINT AS file_no, count(*) AS n, sum(b)::BIGINT AS bytes, min(seq) AS first FROM f GROUP BY log, file_no""",
         "value_regions": f"{_PLACES} SELECT doc_id, value_id, count(*) AS n, sum(start)::BIGINT AS starts, sum(stop)::BIGINT AS ends FROM places GROUP BY ALL",
         "redaction_plan": f"{_PLACES}, n AS (SELECT doc_id, value_id, count(*) AS n FROM places GROUP BY ALL), every AS (SELECT page_id AS doc_id, unnest([1, 2, 3, 4, 5]) AS value_id, unnest([1, 2, 3, 2, 5]) AS as_id FROM pages) SELECT e.doc_id, e.value_id, coalesce(n, 0) AS n_regions, n IS NOT NULL AS resolved FROM every e LEFT JOIN n ON n.doc_id = e.doc_id AND n.value_id = as_id",
         "server_policies": f"WITH e AS (SELECT event_id, {oracle.listed([*S.SERVERS, ''])}[event_id % {len(S.SERVERS) + 1} + 1] AS s FROM events) SELECT policy, count(*) AS n, sum(event_id)::BIGINT AS events FROM ({servers}) GROUP BY policy",
