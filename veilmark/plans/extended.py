@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilmark.operators import audit, file_gates, gates, ignore_rules, regions, restores, windows
+from veilmark.functions.template_tables import TEMPLATES
+from veilmark.operators import audit, file_gates, gates, ignore_rules, regions, restores, sql_functions, templates, windows
 from veilmark.plans import oracle
 from veilmark.plans import samples as S
 from veilmark.plans.registry import dealt, documents
@@ -121,7 +122,35 @@ def log_files(spark, sf_dir):
     return logs.rotated(entries, most=100).groupBy("log", "file_no").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("seq").alias("first"))
 
 
-_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies, restored_as_of, value_regions, redaction_plan, windowed_findings, updated_index, log_files]
+def sql_findings(spark, sf_dir):
+    """The scan from SQL, by the function that gives an array."""
+    sql_functions.register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("scanned_documents")
+    return spark.sql("SELECT entity_type, source, count(*) AS n, sum(s.`start`) AS starts FROM (SELECT find_spans(text) AS found FROM scanned_documents) d, LATERAL inline(found) s GROUP BY ALL")
+
+
+def sql_table_findings(spark, sf_dir):
+    """The same by the table function, of conversations: users' and others' turns."""
+    sql_functions.register(spark)
+    turns = spread(table(spark, sf_dir, "conversations")).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), dealt(S.FINDINGS, F.col("conv_id") + F.col("turn"))))
+    turns.createOrReplaceTempView("scanned_turns")
+    return spark.sql("SELECT conv_id, turn, count(*) AS n FROM scanned_turns c, LATERAL detect_spans(c.text) s GROUP BY ALL")
+
+
+#: What repositories ask for, and what that means. By hand.
+CHOICES = [("node,swift", ["common", "node", "swift"]), ("JS, python", ["common", "node", "python"]), ("", ["common"]), ("ios,common,ts,cobol", ["common", "swift", "node"]), ("rust,java,Android", ["common", "rust", "java", "android"]), ("tuist,go,ruby", ["common", "tuist", "go", "ruby"])]
+_OWN = ["*.lock", "own/**", "**/venv/**", "*.jar", "own/**"]
+
+
+def merged_excludes(spark, sf_dir):
+    """Suppliers as repositories that ask for templates; parts add to their own lists."""
+    suppliers, parts = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    asked = suppliers.select(F.col("s_suppkey").alias("repo"), F.lit(0).alias("n"), dealt([c[0] for c in CHOICES], F.col("s_suppkey")).alias("raw"))
+    own = parts.select((F.col("p_partkey") % 97).alias("repo"), F.col("p_partkey").alias("n"), dealt(_OWN, F.col("p_partkey")).alias("pattern"))
+    return templates.merge_excludes(own, templates.template_patterns(asked))
+
+
+_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies, restored_as_of, value_regions, redaction_plan, windowed_findings, updated_index, log_files, sql_findings, sql_table_findings, merged_excludes]
 
 
 def queries() -> dict:
@@ -178,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
     sample, mention = oracle.dealt(S.FINDINGS, "event_id"), "'d/' || (event_id // 10) || '.txt'"
     prompts = oracle.found(f"docs AS ({files} UNION ALL SELECT 'e' || event_id, {sample} || ' @' || {mention} FROM events)")
     reads = oracle.found(f"docs AS ({files} UNION ALL SELECT 'e' || event_id, {sample} FROM events WHERE event_id % 4 = 3)")
+    turns = oracle.found(f"docs AS (SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') || chr(10) || {oracle.dealt(S.FINDINGS, '(conv_id + turn)')} AS text FROM conversations)")
     suspicious = oracle.listed([p[6] for p in S.PATHS])
     refused = {"open": "false", "allow-only": "s NOT IN ('postgres', 'files')", "deny-only": "s = 'shell'", "deny-all": "true", "allowlist": "s != 'files'", "both": "s NOT IN ('files')", "any": "s = 'files'"}
     servers = " UNION ALL ".join(f"SELECT '{name}' AS policy, event_id FROM e WHERE s != '' AND {test}" for name, test in refused.items())
@@ -195,6 +225,13 @@ def oracle_sql() -> dict[str, str]:
                 SELECT e.event_id, coalesce(n, 0) AS n_findings, CASE WHEN event_id % 4 = 2 AND {suspicious}[event_id % {len(S.PATHS)} + 1] THEN 'path' WHEN coalesce(n, 0) > 0 THEN 'findings' ELSE '' END AS reason
                 FROM events e LEFT JOIN counted c ON c.doc_id = CASE WHEN event_id % 4 < 2 THEN {mention} WHEN event_id % 4 = 3 THEN 'e' || event_id END) e""",
         "restored_as_of": _RESTORED,
+        "merged_excludes": f"""WITH t(choice, place, k, pattern) AS (VALUES {oracle.values([(c, i, k, p) for c, (_, names) in enumerate(CHOICES) for i, t in enumerate(names) for k, p in enumerate(TEMPLATES[t])])}),
+            own AS (SELECT p_partkey % 97 AS repo, p_partkey AS n, {oracle.dealt(_OWN, 'p_partkey')} AS pattern FROM part),
+            more AS (SELECT s_suppkey AS repo, pattern, min(place * 1000 + k) AS n FROM supplier JOIN t ON choice = s_suppkey % {len(CHOICES)} GROUP BY ALL),
+            every AS (SELECT repo, 0 AS later, n, pattern FROM own UNION ALL SELECT repo, 1, n, pattern FROM more m WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.repo = m.repo AND o.pattern = m.pattern))
+            SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY later, n)::INT AS n, pattern, later = 1 AS added FROM every""",
+        "sql_findings": f"{oracle.found()} SELECT entity_type, kind AS source, count(*) AS n, sum(start)::BIGINT AS starts FROM found GROUP BY ALL",
+        "sql_table_findings": f"{turns} SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, count(*) AS n FROM found GROUP BY ALL",
         "windowed_findings": f"{oracle.found()} SELECT doc_id, start AS span_start, \"end\" AS span_end, entity_type, sha256(value) AS value FROM found",
         "updated_index": """WITH c AS (SELECT o_custkey AS k, max(o_orderdate) AS ts FROM orders GROUP BY 1), l AS (SELECT k, bool_or(o_orderstatus = 'F') AS removed FROM c JOIN orders ON o_custkey = k AND o_orderdate = ts GROUP BY k)
             SELECT 'c/' || k || '/.env' AS path, 'env-files' AS pattern FROM (SELECT k FROM l WHERE NOT removed UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT k FROM l))""",
