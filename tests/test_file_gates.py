@@ -148,3 +148,10 @@ def test_fields_applied(spark):
     actions = F.create_map(F.lit("a"), F.lit("mask"), F.lit("d"), F.lit("remove"), F.lit("zz"), F.lit("mask"))
     got = [r[0] for r in df.select(gates.apply_fields(F.col("p"), actions)).collect()]
     assert json.loads(got[0]) == {"a": "***", "b": {"c": [1, "x"]}, "e": None} and got[1:] == ["[1]", None, "{oops"]
+
+
+def test_search_says_what_was_not_read(spark, files):
+    df = events(spark, [{"path": "/w/big.txt"}, {"path": "/w/a.txt"}, {"path": "/gone"}, None])
+    got = {r["event_id"]: tuple(r)[1:] for r in gates.search_gate(df, files, limit=1000).collect()}
+    assert got == {0: ("allow", None), 1: ("deny", 2), 2: ("allow", 0), 3: ("allow", 0)}
+    assert {r["event_id"]: r["decision"] for r in gates.search_gate(df, files, limit=None).collect()}[0] == "deny"

@@ -166,3 +166,15 @@ def test_config_lookup(spark):
 
 def test_skipped_directories(spark):
     assert check(spark, [".git", "a/.git", "docs/x", "src", ""], lambda p: paths.skips_directory(p, ["docs/**"])) == [True, True, True, False, False]
+
+
+def test_roots_agree_with_single_listings(spark):
+    every = [r[3][0] for r in path_tables.privacy_rules()]
+    lists = {"a": [*every, ".env"], "b": every, "c": ["x.rs", "x.rs", "k/id.pem", "log/a.log"], "d": [None], None: [".env"]}
+    df = spark.createDataFrame([(r, p) for r, ps in lists.items() for p in ps], "root string, path string")
+    got = {r["root"]: (r["score"], r["status"]) for r in audit.audit_roots(df, {"f": ["*.pem"]}).collect()}
+    assert set(got) == set(lists)
+    for root, ps in lists.items():
+        one = spark.createDataFrame([(p,) for p in ps], "path string")
+        found, rules = audit.pattern_findings(audit.exposures(one, {"f": ["*.pem"]})), audit.rule_findings(one)
+        assert got[root] == (audit.privacy_score(found, rules).first()[0], audit.audit_status(found, rules).first()[0])

@@ -114,6 +114,36 @@ def privacy_score(pattern_found: DataFrame, rule_found: DataFrame, scanning: Ite
     return lost.crossJoin(rules).select(F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("a") - F.col("b"))).cast("bigint").alias("score"))
 
 
+def audit_roots(paths: DataFrame, lines_by_file: Mapping[str, Sequence[str]], rules: Sequence[tuple] | None = None) -> DataFrame:
+    """The status and score of each root of a listing (root, path): root, n_exposed, n_rules (satisfied ones), score, status.
+
+    The same weights and levels as `privacy_score` and `audit_status`, as sums for each root with partial aggregates, so
+    a root of any size is spread; repeated paths count once. A root whose paths are all null has nothing.
+    """
+    rules = rules if rules is not None else T.privacy_rules()
+    severity = F.create_map(*[F.lit(x) for i, level, _, _ in T.SENSITIVE_PATTERNS for x in (i, level)])
+    lost = {r[0]: {"required": 15, "recommended": 3}.get(r[2], 0) if r[4] else 0 for r in rules}
+    asked = [r[0] for r in rules if r[2] in ("required", "recommended")]
+    p, zero = F.col("path"), F.lit(0).cast("bigint")
+    rows = paths.select("root", "path").distinct()
+    open_path = ~is_allowlisted(p) & ~ignored_by_any(p, lines_by_file)
+    level = severity[F.when(open_path, sensitive_pattern(p))]
+    exposed = rows.select("root", level.alias("level")).groupBy("root").agg(
+        F.count("level").alias("n_exposed"), F.coalesce(F.sum(F.when(F.col("level") == "required", 25).when(F.col("level") == "recommended", 10).when(F.col("level").isNotNull(), 4)), zero).alias("a"),
+        F.coalesce(F.bool_or(F.col("level") == "required"), F.lit(False)).alias("fail"), F.coalesce(F.bool_or(F.col("level") == "recommended"), F.lit(False)).alias("warn"),
+    )
+    hits = F.array_compact(F.array(*[F.when(matches_glob(p, *r[3]), F.lit(r[0])) for r in rules]))
+    weight = F.create_map(*[F.lit(x) for pair in lost.items() for x in pair])
+    found = rows.select("root", F.explode(hits).alias("rule")).distinct().groupBy("root").agg(
+        F.count("*").alias("n_rules"), F.sum(weight[F.col("rule")]).alias("kept"), F.count(F.when(F.col("rule").isin(*asked), 1)).alias("n_asked")
+    )
+    rows = exposed.withColumnRenamed("root", "of_root").join(found, F.col("of_root").eqNullSafe(F.col("root")), "left")
+    score = F.greatest(zero, 100 - F.col("a") - (sum(lost.values()) - F.coalesce("kept", zero)))
+    warn = F.col("warn") | (F.coalesce("n_asked", zero) < len(asked))
+    status = F.when(F.col("fail"), "fail").when(warn, "warning").otherwise("pass")
+    return rows.select(F.col("of_root").alias("root"), "n_exposed", F.coalesce("n_rules", zero).alias("n_rules"), score.cast("bigint").alias("score"), status.alias("status"))
+
+
 def check_totals(exposed: DataFrame) -> DataFrame:
     """One row: exposed files, exposed pattern types."""
     return exposed.agg(F.count_distinct("path").alias("files"), F.count_distinct("pattern").alias("patterns"))

@@ -131,14 +131,18 @@ def response_gate(responses: DataFrame, mode: str = "observe", key: bytes | None
     return rows.withColumn("action", action).drop("findings")
 
 
-def search_gate(events: DataFrame, files: DataFrame, refuse_all: bool = False, limit: int = 2 << 20, secrets_only: bool = False) -> DataFrame:
+def search_gate(events: DataFrame, files: DataFrame, refuse_all: bool = False, limit: int | None = 2 << 20, secrets_only: bool = False) -> DataFrame:
     """Searches (event_id, payload) with decision and n_findings: denied where the file (path, text) they look into has findings, or always
-    with `refuse_all` (a search's hits can't be sealed). Files are scanned once, then joined by path; larger ones aren't read."""
-    scanned = with_findings(files.filter(F.octet_length("text") <= limit), secrets_only=secrets_only).select("path", F.size("findings").alias("n"))
+    with `refuse_all` (a search's hits can't be sealed). Files are scanned once, then joined by path. One of over `limit` bytes
+    (None: no limit) isn't read: it is let by, and n_findings is null."""
+    large = F.coalesce(F.octet_length("text") > limit, F.lit(False)) if limit is not None else F.lit(False)
+    rows = with_findings(files.select("path", large.alias("large"), F.when(~large, F.col("text")).alias("text")), secrets_only=secrets_only)
+    scanned = rows.groupBy("path").agg(F.sum(F.size("findings")).alias("n_findings"), F.bool_or("large").alias("large"))
     path = X.json_field(F.col("payload"), "$.tool_input.path", "$.tool_input.file_path", "$.path", "$.file_path")
-    rows = events.select("event_id", path.alias("path")).join(scanned.groupBy("path").agg(F.sum("n").alias("n_findings")), "path", "left")
+    rows = events.select("event_id", path.alias("path")).join(scanned, "path", "left")
     n = F.coalesce("n_findings", F.lit(0))
-    return rows.select("event_id", F.when((n > 0) | F.lit(refuse_all), "deny").otherwise("allow").alias("decision"), n.alias("n_findings"))
+    unread = F.coalesce("large", F.lit(False)) & (n == 0)
+    return rows.select("event_id", F.when((n > 0) | F.lit(refuse_all), "deny").otherwise("allow").alias("decision"), F.when(~unread, n).alias("n_findings"))
 
 
 def task_gate(events: DataFrame, mode: str = "deny", id_col: str = "event_id", payload_col: str = "payload", secrets_only: bool = False) -> DataFrame:

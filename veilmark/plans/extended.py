@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilmark.functions.path_tables import privacy_rules
 from veilmark.functions.template_tables import TEMPLATES
 from veilmark.operators import audit, file_gates, gates, ignore_rules, regions, restores, sql_functions, templates, windows
 from veilmark.plans import oracle
@@ -150,7 +151,17 @@ def merged_excludes(spark, sf_dir):
     return templates.merge_excludes(own, templates.template_patterns(asked))
 
 
-_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies, restored_as_of, value_regions, redaction_plan, windowed_findings, updated_index, log_files, sql_findings, sql_table_findings, merged_excludes]
+def root_scores(spark, sf_dir):
+    """Customers as roots of six kinds, from spotless to bare; one kind has as many settings files more as its nation says."""
+    asked = [r[3][0] for r in privacy_rules() if r[2] in ("required", "recommended")]
+    kinds = [asked, [*asked, "var/app.log"], [*asked, "infra/prod.tfstate"], [*(p for p in asked if p != ".zedignore"), "ops/master.key"], ["src/main.rs", *(f"a{i}/.env" for i in range(6))], [".cursorignore"]]
+    files = F.element_at(F.array(*[F.array(*map(F.lit, k)) for k in kinds]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    more = F.when((F.col("c_custkey") % 6 == 3) & (F.col("c_nationkey") % 4 > 0), F.transform(F.sequence(F.lit(1), F.col("c_nationkey") % 4), lambda i: F.concat(F.lit("n"), i.cast("string"), F.lit("/.env"))))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), F.explode(F.concat(files, F.coalesce(more, F.array().cast("array<string>")))).alias("path"))
+    return audit.audit_roots(rows, {}).select("root", "n_exposed", "score", "status")
+
+
+_QUERIES = [event_audits, repository_ignores, prompt_files, read_files, server_policies, restored_as_of, value_regions, redaction_plan, windowed_findings, updated_index, log_files, sql_findings, sql_table_findings, merged_excludes, root_scores]
 
 
 def queries() -> dict:
@@ -225,6 +236,8 @@ def oracle_sql() -> dict[str, str]:
                 SELECT e.event_id, coalesce(n, 0) AS n_findings, CASE WHEN event_id % 4 = 2 AND {suspicious}[event_id % {len(S.PATHS)} + 1] THEN 'path' WHEN coalesce(n, 0) > 0 THEN 'findings' ELSE '' END AS reason
                 FROM events e LEFT JOIN counted c ON c.doc_id = CASE WHEN event_id % 4 < 2 THEN {mention} WHEN event_id % 4 = 3 THEN 'e' || event_id END) e""",
         "restored_as_of": _RESTORED,
+        "root_scores": """SELECT c_custkey AS root, [0, 1, 1, 1 + c_nationkey % 4, 6, 0][c_custkey % 6 + 1]::BIGINT AS n_exposed, [100, 96, 90, greatest(0, 72 - 25 * (c_nationkey % 4)), 0, 64][c_custkey % 6 + 1]::BIGINT AS score,
+            ['pass', 'pass', 'warning', 'fail', 'fail', 'warning'][c_custkey % 6 + 1] AS status FROM customer""",
         "merged_excludes": f"""WITH t(choice, place, k, pattern) AS (VALUES {oracle.values([(c, i, k, p) for c, (_, names) in enumerate(CHOICES) for i, t in enumerate(names) for k, p in enumerate(TEMPLATES[t])])}),
             own AS (SELECT p_partkey % 97 AS repo, p_partkey AS n, {oracle.dealt(_OWN, 'p_partkey')} AS pattern FROM part),
             more AS (SELECT s_suppkey AS repo, pattern, min(place * 1000 + k) AS n FROM supplier JOIN t ON choice = s_suppkey % {len(CHOICES)} GROUP BY ALL),

@@ -139,7 +139,7 @@ def failing_docs(spark, sf_dir):
 
 
 def scrub_summary(spark, sf_dir):
-    return rewrite.scrub_summary(scanned(spark, sf_dir), limit=20_000)
+    return rewrite.scrub_summary(scanned(spark, sf_dir))
 
 
 def findings_of_some(spark, sf_dir):
@@ -313,7 +313,7 @@ def _sql_of_texts() -> dict[str, str]:
     return {
         "type_counts": f"{found} SELECT doc_id, entity_type, count(*) AS n FROM found GROUP BY ALL UNION ALL SELECT doc_id, NULL, count(*) FROM found GROUP BY doc_id",
         "failing_docs": f"{found} SELECT doc_id, bool_or(list_contains({oracle.CRITICAL}, entity_type)) AS failed FROM found GROUP BY doc_id",
-        "scrub_summary": f"{found}, {counted} SELECT count(*) FILTER (n > 0 AND strlen(text) <= 20000) AS touched, coalesce(sum(n) FILTER (strlen(text) <= 20000), 0)::BIGINT AS redactions, count(*) FILTER (strlen(text) > 20000) AS errors FROM counted",
+        "scrub_summary": f"{found}, {counted} SELECT count(*) FILTER (n > 0 AND strlen(text) <= 2097152) AS touched, coalesce(sum(n) FILTER (strlen(text) <= 2097152), 0)::BIGINT AS redactions, count(*) FILTER (strlen(text) > 2097152) AS errors FROM counted",
         "findings_of_some": f"{rest} SELECT entity_type, count(*) AS n FROM found GROUP BY 1",
         "task_gate": f"{sample}, {counted} SELECT doc_id AS event_id, CASE WHEN n > 0 THEN 'deny' ELSE 'allow' END AS decision, n AS n_findings FROM counted",
         "response_gate": f"{sample}, {counted} SELECT doc_id AS event_id, CASE WHEN n > 0 THEN 'seal' ELSE 'pass' END AS action, n AS n_findings, sha256(text) AS opened FROM counted",
