@@ -134,6 +134,21 @@ def test_compact_windows_cover_every_run():
             assert a <= c < b and any((values[a + p : b] == values[a : b - p]).all() for p in range(1, least + 1)) or b == a + 1
 
 
+def test_windows_of_many_texts_are_those_of_the_trees():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, k, m).astype(np.uint64) for k in (2, 3, 5, 30, 10**9) for m in (0, 3, 49, 50, 51, 400)]
+    texts.append(np.tile(rng.integers(1, 99, 7).astype(np.uint64), 60))
+    tools = passages.Signatures(5, 46, 16, 3)
+    _, first, owner, _, windows = tools.of(texts)
+    got = {(t, *row) for t, row in zip(owner.tolist(), (windows - first[owner][:, None]).tolist(), strict=True)}
+    want = set()
+    for t, words in enumerate(texts):
+        grams = shingles.gram_hashes(words, 5) if len(words) >= 50 else np.empty(0, np.uint64)
+        want |= {(t, c, a, b) for seed in tools.seeds for _, c, _, a, b in passages.compact_windows(grams * seed, 46, grams)}
+    assert got == {w for w in want if w[1] >= 15 or w[1] + 16 <= len(texts[w[0]]) - 4}
+    assert len(tools.of([])[3]) == len(tools.of([np.empty(0, np.uint64)])[3]) == 0
+
+
 def test_passages_awkward(spark):
     p, q = sentence(1, 60), sentence(2, 55)
     edited = p.split()

@@ -62,6 +62,45 @@ def compact_windows(values: np.ndarray, least: int, grams: np.ndarray | None = N
     return out
 
 
+def centres(values: np.ndarray, least: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, order): the places that hold the smallest of some run of `least` values, and numbers that order the values.
+
+    These are the nodes of the Cartesian tree that are at least `least` wide; the smallest of every run comes
+    from minima over runs of doubled lengths, and only runs of one owner count. A number is a value with its
+    place in the low bits, so of equal values the first is the smallest.
+    """
+    bits = np.uint64(max(24, len(values).bit_length()))
+    order = values >> bits << bits | np.arange(len(values), dtype=np.uint64)
+    low, width = order, 1
+    while 2 * width <= least:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < least:
+        low = np.minimum(low[: width - least], low[least - width :])
+    if owner is not None:
+        low = low[owner[: len(low)] == owner[least - 1 :]]
+    low = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return low[np.concatenate(([True], low[1:] != low[:-1]))], order
+
+
+def _node(order: np.ndarray, c: int) -> tuple[int, int]:
+    """The node of the Cartesian tree that has its smallest number at c, searched in steps of growing width."""
+    low, high, step = c, c + 1, 64
+    while low > 0:
+        smaller = np.flatnonzero(order[max(0, low - step) : low] < order[c])
+        if len(smaller):
+            low = max(0, low - step) + int(smaller[-1]) + 1
+            break
+        low, step = max(0, low - step), 2 * step
+    step = 64
+    while high < len(order):
+        smaller = np.flatnonzero(order[high : high + step] < order[c])
+        if len(smaller):
+            return low, high + int(smaller[0])
+        high, step = min(len(order), high + step), 2 * step
+    return low, high
+
+
 class Signatures:
     """The windows of one document, and the signatures under which windows meet.
 
@@ -88,22 +127,55 @@ class Signatures:
         count = len(grams) - self.side + 1
         return (sums[self.side :] - sums[:count]) * self.inverses[:count]
 
-    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(grams, signatures, windows): a signature for each side of each window, and the window's (centre, run start, run end)."""
-        grams = gram_hashes(words, self.n)
-        if len(words) < self.n or len(grams) < self.least:
-            return grams, np.empty(0, np.uint64), np.empty((0, 3), np.int64)
-        runs, repeats = self._runs(grams), next_equal(grams)
-        found, counts = [], []
-        for seed in self.seeds:
-            windows = compact_windows(grams * seed, self.least, grams, repeats)
-            found += windows
-            counts.append(len(windows))
-        windows, seeds = np.array(found, np.int64)[:, [1, 3, 4]], np.repeat(self.seeds, counts)
-        c = windows[:, 0]
-        left, right = c >= self.side - 1, c < len(runs)
+    def _windows(self, values: np.ndarray, grams: np.ndarray, owner: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """(centre, run start, run end) of every compact window; nodes around a gram that soon comes again are walked one by one."""
+        c, order = centres(values, self.least, owner)
+        windows = np.empty((len(c), 3), np.int64)
+        windows[:, 0], windows[:, 1], windows[:, 2] = c, c, c + 1
+        own, soon = grams[c], np.zeros(len(c), bool)
+        for ahead in range(1, self.least + 1):
+            soon |= grams[np.minimum(c + ahead, len(grams) - 1)] == own
+        soon &= c < stop[owner[c]] - 1
+        again = c[soon]
+        if not len(again):
+            return windows
+        walked, inside = [], np.zeros(len(values), bool)
+        for at in again[np.argsort(order[again])].tolist():
+            if not inside[at]:
+                text = slice(first[owner[at]], stop[owner[at]])
+                low, high = (int(text.start) + place for place in _node(order[text], at - int(text.start)))
+                inside[low:high] = True
+                part = compact_windows(values[low:high], self.least, grams[low:high])
+                walked += [(low + place, low + start, low + end) for _, place, _, start, end in part]
+        return np.concatenate((windows[~inside[c]], np.array(walked, np.int64).reshape(-1, 3)))
+
+    def of(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(grams, first, owner, signatures, windows) of many texts (hashes of their words) at once.
+
+        grams are those of all texts in order, and first the place of each text's first one; texts too short
+        for a passage have none. There is a signature for each side of each window, with the number of its text and the window's
+        (centre, run start, run end) among the grams.
+        """
+        counts = np.array([max(0, len(w) - self.n + 1) for w in texts], np.int64)
+        counts[counts < self.least] = 0
+        stop = np.cumsum(counts)
+        first = stop - counts
+        if not counts.any():
+            return np.empty(0, np.uint64), first, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, 3), np.int64)
+        words = [w for w, k in zip(texts, counts.tolist(), strict=True) if k]
+        whole = np.ones(sum(map(len, words)), bool)  # a gram across two texts is none
+        ends = np.cumsum([len(w) for w in words])
+        for back in range(1, self.n):
+            whole[ends - back] = False
+        grams = gram_hashes(np.concatenate(words), self.n)
+        grams = grams[whole[: len(grams)]]
+        owner = np.repeat(np.arange(len(texts)), counts)
+        runs, found = self._runs(grams), [self._windows(grams * seed, grams, owner, first, stop) for seed in self.seeds]
+        windows, seeds = np.concatenate(found), np.repeat(self.seeds, [len(w) for w in found])
+        c, text = windows[:, 0], owner[windows[:, 0]]
+        left, right = c - first[text] >= self.side - 1, c + self.side <= stop[text]
         keys = mix(np.concatenate((runs[c[left] - self.side + 1] ^ seeds[left], runs[c[right]] + seeds[right])))
-        return grams, keys, np.concatenate((windows[left], windows[right]))
+        return grams, first, np.concatenate((text[left], text[right])), keys, np.concatenate((windows[left], windows[right]))
 
 
 def _widest(match: np.ndarray, gains: np.ndarray, centre: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,8 +504,11 @@ def repeated_passages(
     texts = texts.withColumn("row_key", F.col("id.node")).join(drop, "row_key", "left_anti").select("id", "text")
 
     def count(ids: list, texts: list) -> dict:
-        found = [np.unique(tools.of(w)[1]).view(np.int64) for w in word_hashes([words_of(t) for t in texts])]
-        return {"signature": np.concatenate(found or [[]])}
+        _, _, owner, keys, _ = tools.of(list(word_hashes([words_of(t) for t in texts])))
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        again = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])  # once for each text
+        return {"signature": keys[np.concatenate((np.ones(len(keys[:1]), bool), ~again))].view(np.int64)}
 
     bitmap, crowded = _shared(map_texts(texts, count, "signature bigint", "id", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -441,28 +516,40 @@ def repeated_passages(
     def windows(ids: list, texts: list) -> dict:
         bitmap = shared.value
         shift = np.uint64(64 - (len(bitmap) * 64 - 1).bit_length())
-        out: dict[str, list] = {"signature": [], "node": [], "doc": [], "centre": [], "last": [], "run_start": [], "run_end": [], "context": []}
-        for i, w in zip(ids, word_hashes([words_of(t) for t in texts]), strict=True):
-            grams, keys, found = tools.of(w)
-            slots = keys >> shift
-            hit = (bitmap[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
-            if not hit.any():
-                continue
-            prints = np.zeros(len(grams) + 2 * reach, np.uint16)
-            prints[reach:-reach] = np.maximum(grams >> np.uint64(48), np.uint64(1))
-            more = np.zeros(len(prints), np.uint8)
-            more[reach:-reach] = grams.astype(np.uint8)
-            keys, found = keys[hit].view(np.int64), found[hit]
-            order = np.lexsort((found[:, 0], keys))
-            for key, (c, run_start, run_end) in zip(keys[order].tolist(), found[order].tolist(), strict=True):
-                row = key, i["node"], i["doc"], c, c, run_start, run_end, prints[c : c + 2 * reach + 1].tobytes() + more[c : c + 2 * reach + 1].tobytes()
-                columns = list(out.values())
-                if columns[0] and (columns[0][-1], columns[1][-1], columns[7][-1]) == (row[0], row[1], row[7]) and c - columns[4][-1] <= least:
-                    columns[4][-1] = c
-                    continue
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-        return out
+        grams, first, owner, keys, found = tools.of(list(word_hashes([words_of(t) for t in texts])))
+        slots = keys >> shift
+        hit = np.flatnonzero((bitmap[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1))
+        hit = hit[np.lexsort((found[hit, 0], keys[hit], owner[hit]))]
+        keys, owner, found = keys[hit].view(np.int64), owner[hit], found[hit]
+        # the grams of each text between `reach` zeros on both sides
+        gap = np.zeros(len(grams) + reach * (len(texts) + 1), np.uint64)
+        counts = np.diff(np.append(first, len(grams)))
+        gap[np.arange(len(grams)) + reach * (1 + np.repeat(np.arange(len(texts)), counts))] = grams
+        prints, more = (gap >> np.uint64(48)).astype(np.uint16), gap.astype(np.uint8)
+        prints[(gap != 0) & (prints == 0)] = 1
+        around = np.arange(2 * reach + 1)
+        contexts, width = np.empty((len(keys), 3 * len(around)), np.uint8), 2 * len(around)
+        for at in range(0, len(keys), 4096):
+            place = (found[at : at + 4096, 0] + reach * owner[at : at + 4096])[:, None] + around
+            contexts[at : at + 4096, :width] = prints[place].view(np.uint8)
+            contexts[at : at + 4096, width:] = more[place]
+        # windows of a document that look alike and lie close go as one
+        new = np.ones(len(keys) + 1, bool)
+        near = np.flatnonzero((keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1]) & (np.diff(found[:, 0]) <= least)) + 1
+        new[near] = (contexts[near] != contexts[near - 1]).any(axis=1)
+        starts, lasts = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+        text, contexts = owner[starts], np.ascontiguousarray(contexts[starts])
+        offsets = np.arange(0, contexts.size + 1, contexts.shape[1], dtype=np.int32)
+        return {
+            "signature": keys[starts],
+            "node": [ids[i]["node"] for i in text.tolist()],
+            "doc": [ids[i]["doc"] for i in text.tolist()],
+            "centre": found[starts, 0] - first[text],
+            "last": found[lasts, 0] - first[text],
+            "run_start": found[starts, 1] - first[text],
+            "run_end": found[starts, 2] - first[text],
+            "context": pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(contexts)]),
+        }
 
     met = map_texts(texts, windows, "signature bigint, node string, doc bigint, centre bigint, last bigint, run_start bigint, run_end bigint, context binary", "id", "text")
     large = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
