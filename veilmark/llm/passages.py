@@ -154,7 +154,7 @@ class Signatures:
 
         grams are those of all texts in order, and first the place of each text's first one; texts too short
         for a passage have none. There is a signature for each side of each window, with the number of its text and the window's
-        (centre, run start, run end) among the grams.
+        (centre, run start, run end) among the grams. Signatures of right sides are odd.
         """
         counts = np.array([max(0, len(w) - self.n + 1) for w in texts], np.int64)
         counts[counts < self.least] = 0
@@ -175,6 +175,7 @@ class Signatures:
         c, text = windows[:, 0], owner[windows[:, 0]]
         left, right = c - first[text] >= self.side - 1, c + self.side <= stop[text]
         keys = mix(np.concatenate((runs[c[left] - self.side + 1] ^ seeds[left], runs[c[right]] + seeds[right])))
+        keys = keys >> np.uint64(1) << np.uint64(1) | (np.arange(len(keys)) >= left.sum()).astype(np.uint64)
         return grams, first, np.concatenate((text[left], text[right])), keys, np.concatenate((windows[left], windows[right]))
 
 
@@ -289,26 +290,44 @@ _PAIRS = 4096
 
 
 class _Comparison:
-    """Contexts of many groups, and the pairs of them to compare; equal contexts of a group (and block) are one."""
+    """Contexts of many groups, and the pairs of them to compare; equal contexts of a group (and block) are one.
 
-    def __init__(self, reach: int, least: int, threshold: float, band: int) -> None:
+    Two windows with both sides in common meet twice: under the signature of their left sides and that of their right
+    ones. Such a pair is compared under the left one only, which both windows have.
+    """
+
+    def __init__(self, reach: int, least: int, threshold: float, band: int, side: int) -> None:
         self.reach, self.least, self.threshold, self.band = reach, least, threshold, band
+        low, width = reach - side + 1, 2 * reach + 1
+        self.left_grams, self.left_more = slice(2 * low, 2 * reach + 2), slice(2 * width + low, 2 * width + reach + 1)
         self.clear()
 
     def clear(self) -> None:
         self.contexts: list[bytes] = []
         self.members: list[list[tuple]] = []
+        self.sides: list[int] = []
         self.groups: list[tuple[np.ndarray, np.ndarray, bool]] = []
         self.left: list[int] = []
         self.right: list[int] = []
         self.size = 0
 
+    def _left_side(self, context: bytes) -> bytes | None:
+        """What is kept of the grams of a window's left side; None if the text starts inside it."""
+        grams = context[self.left_grams]
+        return grams + context[self.left_more] if grams[:2] != bytes(2) else None
+
     def add(self, rows: list[tuple]) -> None:
         """The rows of one group: all pairs of one block, or those between two blocks."""
         node = rows[0][4]
         if all(r[4] == node for r in rows):
             return
         x, y = rows[0][1], rows[0][2]
+        sides: dict[bytes, int] = {}
+        if rows[0][0] & 1:
+            found = {self._left_side(c) for c in {r[10] for r in rows}}
+            if len(found) == 1 and None not in found:
+                return
+            sides = {side: k for k, side in enumerate(found - {None})}
         ids: dict[tuple[bool, bytes], int] = {}
         for r in rows:
             key = (x != y and r[3] == y, r[10])
@@ -316,12 +335,14 @@ class _Comparison:
                 ids[key] = len(self.contexts)
                 self.contexts.append(r[10])
                 self.members.append([])
+                self.sides.append(sides.get(self._left_side(r[10]), -1) if sides else -1)
             self.members[ids[key]].append(r)
         if x == y and len(ids) <= 4:  # most groups: their few pairs are listed at once
             own = list(ids.values())
             for k, i in enumerate(own):
-                self.left += [i] * (len(own) - k)
-                self.right += own[k:]
+                others = [j for j in own[k:] if self.sides[i] < 0 or self.sides[i] != self.sides[j]]
+                self.left += [i] * len(others)
+                self.right += others
             self.size += len(own) * len(own)
             return
         a = np.array([i for (second, _), i in ids.items() if not second], np.int64)
@@ -334,12 +355,15 @@ class _Comparison:
         for at in range(0, len(self.left), _PAIRS):
             yield np.array(self.left[at : at + _PAIRS], np.int64), np.array(self.right[at : at + _PAIRS], np.int64)
         left, right, size = [], [], 0
+        sides = np.array(self.sides, np.int64)
         for a, b, one in self.groups:
             step = max(1, _PAIRS // max(1, len(b)))
             for at in range(0, len(a), step):
                 part = a[at : at + step]
                 first, second = np.repeat(part, len(b)), np.tile(b, len(part))
-                keep = second >= first if one else slice(None)
+                keep = (sides[first] != sides[second]) | (sides[first] < 0)
+                if one:
+                    keep &= second >= first
                 left.append(first[keep])
                 right.append(second[keep])
                 size += len(left[-1])
@@ -397,7 +421,7 @@ class _Comparison:
         return out
 
 
-def _verify(members: DataFrame, reach: int, least: int, threshold: float, band: int) -> DataFrame:
+def _verify(members: DataFrame, reach: int, least: int, threshold: float, band: int, side: int) -> DataFrame:
     """(node, start, end, doc, link_node, link_at) of verified passages, from groups (signature, x, y) read as a stream in that order."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -417,7 +441,7 @@ def _verify(members: DataFrame, reach: int, least: int, threshold: float, band:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("node") else pa.int64()) for n, c in zip(names, zip(*set(out), strict=True), strict=True)], names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = _Comparison(reach, least, threshold, band)
+        work = _Comparison(reach, least, threshold, band, side)
         for rows in groups(batches):
             work.add(rows)
             if work.size >= 8 * _PAIRS and (out := work.found()):
@@ -559,7 +583,7 @@ def repeated_passages(
     placed = placed.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select("signature", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "doc", "centre", "last", "run_start", "run_end", "context")
     groups = placed.repartition("signature", "x", "y").sortWithinPartitions("signature", "x", "y")
-    found = _verify(groups, reach, least, threshold, band)
+    found = _verify(groups, reach, least, threshold, band, side)
     found = found.groupBy("node", "link_node", "link_at", "start", "end").agg(F.min("doc").alias("doc"))
 
     whole = several.select("node", F.lit(0).cast("bigint").alias("start"), (F.col("n_words") - n + 1).alias("end"), F.col("first_doc").alias("doc"))
