@@ -391,6 +391,8 @@ class _Comparison:
         only = np.array([number.setdefault(next(iter(n)), len(number)) for n in nodes], np.int64)
         start, end = np.full(len(grams), 1 << 30), np.full(len(grams), -1)
         up = list(range(len(grams)))
+        rank = np.empty(len(grams), np.int64)
+        rank[sorted(range(len(grams)), key=self.contexts.__getitem__)] = np.arange(len(grams))
 
         def top(i: int) -> int:
             while up[i] != i:
@@ -400,6 +402,8 @@ class _Comparison:
         for a, b in self._pairs():
             apart = ~(alone[a] & alone[b] & (only[a] == only[b]))
             a, b = a[apart], b[apart]
+            swap = rank[a] > rank[b]  # chains start from the one side: the same one in whatever order rows come
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
             hit, *bounds = aligned(grams[a], grams[b], self.reach, self.least, self.threshold, lambda rows, a=a, b=b: (whole(a[rows]), whole(b[rows])), self.band)
             for own, s, e in ((a[hit], *bounds[:2]), (b[hit], *bounds[2:])):
                 np.minimum.at(start, own, s)
