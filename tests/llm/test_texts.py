@@ -108,6 +108,19 @@ def test_edited_items_are_found():
     assert index.matches(sentence(99, 400).encode()) == []
 
 
+def test_short_items_are_whole_words(monkeypatch):
+    """Items under 8 bytes, across the seams of what is looked at at once; they don't narrow the other pieces' heads."""
+    monkeypatch.setattr(decontaminate, "_SCAN_BYTES", 32)
+    rng, some = random.Random(3), ["a", "b", "q", "é", "日", "ab", "yes", "quiz", "ü7", "sevenly"]
+    for _ in range(300):
+        text = " ".join(rng.choices(some, k=rng.randint(0, 50)))
+        items = list({" ".join(rng.choices(some, k=rng.randint(1, 4))) for _ in range(5)})
+        index = decontaminate.PieceIndex([(w, 0) for w in items])
+        places = {n: f" {text} ".find(f" {w} ") for n, w in enumerate(items)}
+        assert {n: (d, end) for n, d, end in index.matches(text.encode())} == {n: (0, at + len(items[n])) for n, at in places.items() if at >= 0}
+    assert decontaminate.PieceIndex([("q", 0), (sentence(1, 20), 5)]).width == 8
+
+
 def test_contaminations_awkward(spark):
     item = sentence(1, 12)
     rows = [(1, f"x {item.upper()}! y"), (2, None), (3, ""), (4, sentence(2, 40)), (5, item), (5, item), (None, f"{item}")]

@@ -63,11 +63,22 @@ def error_budget(words: str, edit_rate: float, min_chars: int) -> int:
 
 class PieceIndex:
     """The pieces of many items, found in a text's bytes: a bitmap of the pieces' first bytes rules out nearly
-    every position at once, a dictionary and a comparison decide at the rest."""
+    every position at once, a dictionary and a comparison decide at the rest. Items under 8 bytes that must stand as they
+    are would fill that bitmap: they are looked up by themselves, and only where a word starts."""
 
     def __init__(self, items: list[tuple[str, int]]) -> None:
         self.items, self.bits, self.by_head = items, [], {}
-        cut = [[(len(text[:at].encode()), piece.encode()) for at, piece in pieces(text, budget)] for text, budget in items]
+        #: By number of bytes, with the blank behind them: the bytes as a number, and whose they are.
+        self.short: dict[int, dict[int, int]] = {}
+        cut = []
+        for n, (text, budget) in enumerate(items):
+            raw = text.encode()
+            if not budget and len(raw) < 8:
+                self.short.setdefault(len(raw) + 1, {})[int.from_bytes(raw + b" ", "little")] = n
+                cut.append([])
+            else:
+                cut.append([(len(text[:at].encode()), piece.encode()) for at, piece in pieces(text, budget)])
+        self.short_heads = {width: np.array(list(known), np.uint64) for width, known in self.short.items()}
         self.width = min(8, min((len(piece) for found in cut for _, piece in found), default=8))
         for n, found in enumerate(cut):
             for offset, piece in found:
@@ -98,9 +109,25 @@ class PieceIndex:
                             found.setdefault(n, set()).add(low + i - offset)
         return found
 
+    def short_ends(self, data: bytes) -> dict[int, int]:
+        """By item number, the byte at which an item under 8 bytes first ends as whole words."""
+        found: dict[int, int] = {}
+        padded = data + b" " + b"\0" * 8
+        for low in range(0, len(data) if self.short else 0, _SCAN_BYTES):
+            count = min(_SCAN_BYTES, len(data) - low)
+            behind = np.flatnonzero(np.frombuffer(padded, np.uint8, count, low) == 32) + 1
+            starts = np.insert(behind, 0, 0) if low == 0 else behind
+            heads = np.ndarray((count + 1,), "<u8", padded, low, (1,))[starts]
+            for width, known in self.short.items():
+                part = heads & np.uint64((1 << 8 * width) - 1)
+                hit = np.flatnonzero(np.isin(part, self.short_heads[width]))
+                for head, at in zip(*np.unique(part[hit], return_index=True), strict=True):
+                    found.setdefault(known[int(head)], low + int(starts[hit[at]]) + width - 1)
+        return found
+
     def matches(self, data: bytes) -> list[tuple[int, int, int]]:
         """(item number, distance, end in characters) of the items that a text (words joined by spaces) holds."""
-        out = []
+        out = [(n, 0, len(data[:end].decode())) for n, end in self.short_ends(data).items()]
         for n, places in self.starts(data).items():
             pattern, budget = self.items[n]
             raw = pattern.encode()
