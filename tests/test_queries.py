@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from veilmark.plans import extended, planning, registry
+from veilmark.plans import extended, own_columns, planning, registry
 
-QUERIES, SQL = registry.queries() | planning.queries() | extended.queries(), registry.oracle_sql() | planning.oracle_sql() | extended.oracle_sql()
+QUERIES, SQL = registry.queries() | planning.queries() | extended.queries() | own_columns.queries(), registry.oracle_sql() | planning.oracle_sql() | extended.oracle_sql() | own_columns.oracle_sql()
 FOLDER = "/root/testdata/sf0.001"
 
 

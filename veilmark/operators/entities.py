@@ -33,10 +33,11 @@ def token_windows(df: DataFrame, id_col: str, tokens_col: str, size: int = 512,
     """(doc_id, n, start, tokens): token arrays in overlapping windows that hold `size` tokens with their first and last mark."""
     room = size - (first is not None) - (last is not None)
     starts = F.sequence(F.lit(0), F.greatest(F.size(tokens_col) - overlap - 1, F.lit(0)), F.lit(room - overlap))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode(starts).alias("n", "start"), F.col(tokens_col).alias("all"))
-    window = F.slice("all", F.col("start") + 1, room)
-    parts = [F.array(F.lit(first))] * (first is not None) + [window] + [F.array(F.lit(last))] * (last is not None)
-    return rows.select("doc_id", "n", "start", F.concat(*parts).alias("tokens"))
+    # cut before they are dealt out, so that a window's row holds its own tokens only
+    windows = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens_col, s + 1, F.lit(room)).alias("window")))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode(windows).alias("n", "w"))
+    parts = [F.array(F.lit(first))] * (first is not None) + [F.col("w.window")] + [F.array(F.lit(last))] * (last is not None)
+    return rows.select("doc_id", "n", "w.start", F.concat(*parts).alias("tokens"))
 
 
 def best_label(logits: Column) -> Column:

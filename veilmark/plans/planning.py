@@ -35,7 +35,9 @@ def planned_paths(spark, sf_dir):
 
 
 def pattern_targets(spark, sf_dir):
-    return policy.pattern_targets(policy.rule_table(spark), policy.matched_files(listing(spark, sf_dir)))
+    """Where patterns go by the rules that suppliers in debt select: the rule of their nation's number."""
+    picked = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.get(F.array(*[F.lit(r[0]) for r in _RULES]), F.col("s_nationkey").cast("int")).alias("rule"))
+    return policy.pattern_targets(policy.rule_table(spark), policy.matched_files(listing(spark, sf_dir)), picked)
 
 
 def fix_files(spark, sf_dir):
@@ -189,7 +191,7 @@ def masked_arguments(spark, sf_dir):
 
 def value_ranks(spark, sf_dir):
     found = audit.pattern_findings(_exposed(spark, sf_dir))
-    return found.groupBy("severity").agg(F.max(checks.severity_rank(F.col("severity"))).alias("rank"))
+    return found.groupBy("severity").agg(F.max(checks.severity_rank(F.col("severity"))).alias("rank"), F.sum("n_exposed").alias("n_exposed"))
 
 
 def active_entries(spark, sf_dir):
@@ -226,7 +228,7 @@ def queries() -> dict:
 
 
 def _sql_of_files() -> dict[str, str]:
-    n, q = len(S.PATHS), oracle.quote
+    q = oracle.quote
     labelled, patterns, exposed = oracle.labelled(), oracle.patterns(), oracle.EXPOSED
     rules = "rules AS (SELECT * FROM (VALUES " + oracle.values([(r[0], r[1], r[2], r[4], r[3][0]) for r in _RULES]) + ") v(rule, tool, severity, scans, fix_path))"
     present = "present AS (SELECT DISTINCT rule, path FROM labelled JOIN rules ON path = fix_path)"
@@ -243,7 +245,7 @@ def _sql_of_files() -> dict[str, str]:
     return {
         "listed_paths": f"WITH {labelled}, seen AS (SELECT DISTINCT path, string_split(path, '/') AS parts FROM labelled WHERE NOT list_has_any(string_split(path, '/')[:-2], {oracle.listed(path_tables.SKIPPED_DIRECTORIES)})), above AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS path FROM seen, LATERAL (SELECT unnest(range(1, len(parts))) AS i)) SELECT path, true AS is_dir FROM above UNION ALL SELECT path, false FROM seen",
         "planned_paths": f"{files} SELECT DISTINCT fix_path AS path FROM rules WHERE list_contains({chosen}, rule) AND (scans OR (severity != 'informational' AND rule NOT IN (SELECT rule FROM present)))",
-        "pattern_targets": f"{files} SELECT DISTINCT fix_path AS path FROM rules WHERE scans",
+        "pattern_targets": f"WITH {rules}, picked AS (SELECT {oracle.listed([r[0] for r in _RULES])}[s_nationkey + 1] AS rule FROM supplier WHERE s_acctbal < 0) SELECT DISTINCT fix_path AS path FROM rules WHERE scans AND rule IN (SELECT rule FROM picked)",
         "fix_files": f"{files} SELECT fix_path AS path, CASE WHEN rule IN (SELECT rule FROM present) THEN 'refreshed' ELSE 'missing' END AS state FROM rules WHERE scans AND severity != 'informational'",
         "fix_scenario": f"{files} SELECT CASE WHEN count(*) > 0 THEN 'existing-files' ELSE 'no-files' END AS scenario FROM present JOIN rules USING (rule) WHERE scans",
         "fix_items": f"{items} SELECT * FROM items",
@@ -261,7 +263,7 @@ def _sql_of_files() -> dict[str, str]:
         "severity_counts": f"{exposures} SELECT severity, count(DISTINCT e.pattern) AS n_patterns, count(path)::BIGINT AS n_exposed FROM patterns p LEFT JOIN exposed e ON e.pattern = p.pattern GROUP BY severity",
         "tracked_and_ignored": f"WITH {labelled} SELECT count(DISTINCT path) AS n, {first} AS first FROM labelled WHERE ignored",
         "filtered_rules": f"{files} SELECT r.rule, count(path) AS n_files, count(path) > 0 AS satisfied FROM rules r LEFT JOIN present p ON p.rule = r.rule WHERE list_contains({oracle.listed(kept)}, r.rule) GROUP BY r.rule",
-        "value_ranks": f"SELECT severity, rank::INT AS rank FROM (VALUES ('required', 0), ('recommended', 1), ('informational', 2)) v(severity, rank) WHERE {n} > 0",
+        "value_ranks": f"{exposures} SELECT severity, max(CASE severity WHEN 'required' THEN 0 WHEN 'recommended' THEN 1 ELSE 2 END)::INT AS rank, count(path)::BIGINT AS n_exposed FROM patterns p LEFT JOIN exposed e ON e.pattern = p.pattern GROUP BY severity",
         "exposure_summaries": f"{exposures} SELECT pattern, CASE WHEN count(*) = 1 THEN min(path) ELSE min(path) || ' +' || (count(*) - 1) || ' more' END AS summary FROM exposed GROUP BY pattern",
         "worst_status": f"SELECT CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN {q('warning')} ELSE 'pass' END AS status FROM orders",
     }
