@@ -108,6 +108,27 @@ def test_edited_items_are_found():
     assert index.matches(sentence(99, 400).encode()) == []
 
 
+def test_matches_equal_the_table():
+    """Every item, however edited, against the table of all distances; few letters, so that pieces stand at many wrong places too."""
+    rng, held = random.Random(4), 0
+    for _ in range(150):
+        items = list({" ".join("".join(rng.choices("abé日", k=rng.randint(1, 6))) for _ in range(rng.randint(5, 12))) for _ in range(3)})
+        items = [(w, decontaminate.error_budget(w, 0.1, 20)) for w in items if len(w) >= 20]
+        parts = []
+        for item, budget in items:
+            w = list(item)
+            for _ in range(rng.randint(0, budget + 2)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["q"], ["日"], [w[at], "z"], [w[at], "日"]])
+            parts += ["".join(rng.choices("abé日 ", k=rng.randint(0, 60))), "".join(w)]
+        text = " ".join(parts)
+        found = {n: d for n, d, _ in decontaminate.PieceIndex(items).matches(text.encode())}
+        wanted = {n: distance(item, text) for n, (item, _) in enumerate(items)}
+        assert found == {n: d for n, d in wanted.items() if d <= items[n][1]}
+        held += len(found)
+    assert 100 < held < 400
+
+
 def test_short_items_are_whole_words(monkeypatch):
     """Items under 8 bytes, across the seams of what is looked at at once; they don't narrow the other pieces' heads."""
     monkeypatch.setattr(decontaminate, "_SCAN_BYTES", 32)

@@ -70,20 +70,24 @@ class PieceIndex:
         self.items, self.bits, self.by_head = items, [], {}
         #: By number of bytes, with the blank behind them: the bytes as a number, and whose they are.
         self.short: dict[int, dict[int, int]] = {}
+        #: For every item the places where its pieces start, and its end: in characters and in bytes.
+        self.cuts: list[list[tuple[int, int]]] = []
         cut = []
         for n, (text, budget) in enumerate(items):
             raw = text.encode()
+            found = pieces(text, budget)
+            self.cuts.append([(at, len(text[:at].encode())) for at, _ in found] + [(len(text), len(raw))])
             if not budget and len(raw) < 8:
                 self.short.setdefault(len(raw) + 1, {})[int.from_bytes(raw + b" ", "little")] = n
                 cut.append([])
             else:
-                cut.append([(len(text[:at].encode()), piece.encode()) for at, piece in pieces(text, budget)])
+                cut.append([piece.encode() for _, piece in found])
         self.short_heads = {width: np.array(list(known), np.uint64) for width, known in self.short.items()}
-        self.width = min(8, min((len(piece) for found in cut for _, piece in found), default=8))
+        self.width = min(8, min((len(piece) for found in cut for piece in found), default=8))
         for n, found in enumerate(cut):
-            for offset, piece in found:
+            for q, piece in enumerate(found):
                 head = int.from_bytes(piece[: self.width], "little")
-                self.by_head.setdefault(head, {}).setdefault(piece, []).append((n, offset))
+                self.by_head.setdefault(head, {}).setdefault(piece, []).append((n, q))
             bits: dict[str, int] = {}
             for i, c in enumerate(items[n][0]):
                 bits[c] = bits.get(c, 0) | 1 << i
@@ -95,7 +99,7 @@ class PieceIndex:
         return ((heads * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)
 
     def starts(self, data: bytes) -> dict[int, set[int]]:
-        """By item number, the bytes at which it would start for one of its pieces to stand where it does."""
+        """By item number, the bytes at which it would start for one of its pieces to stand where it does, as far as the item may be there."""
         found: dict[int, set[int]] = {}
         padded = data + b"\0" * 8
         mask = np.uint64((1 << 8 * self.width) - 1)
@@ -105,10 +109,33 @@ class PieceIndex:
             for i in np.flatnonzero(self.bitmap[self._slots(heads)]).tolist():
                 for piece, at in self.by_head.get(int(heads[i]), {}).items():
                     if data.startswith(piece, low + i):
-                        for n, offset in at:
-                            found.setdefault(n, set()).add(low + i - offset)
+                        for n, q in at:
+                            if self._may_hold(data, n, low + i, q):
+                                found.setdefault(n, set()).add(low + i - self.cuts[n][q][1])
         return found
 
+    def _may_hold(self, data: bytes, n: int, at: int, q: int) -> bool:
+        """Whether the spans of pieces above piece `q`, which stands at byte `at`, stand around it as well, each within its own budget.
+
+        An item is halved down to its pieces; a span of m pieces may differ by m - 1 edits. With no more than that in a
+        span, one of its halves keeps its own budget too, so from every place that holds the item a chain of such spans
+        leads down to a piece that stands as it is, and a piece whose chain breaks can be left out.
+        """
+        cuts, whole = self.cuts[n], self.bits[n]
+        low, high, spans = 0, len(cuts) - 1, []
+        while high - low > 1:
+            spans.append((low, high))
+            middle = (low + high) // 2
+            low, high = (low, middle) if q < middle else (middle, high)
+        for low, high in spans[:0:-1]:  # the whole item is left to the caller
+            (a, first), (b, last), budget = cuts[low], cuts[high], high - low - 1
+            start = at - cuts[q][1] + first
+            window = data[max(0, start - 4 * budget) : start + last - first + 4 * budget].decode("utf-8", "ignore")
+            mask = (1 << b - a) - 1
+            if edit_search({c: whole.get(c, 0) >> a & mask for c in set(window)}, b - a, window)[0] > budget:
+                return False
+        return True
+
     def short_ends(self, data: bytes) -> dict[int, int]:
         """By item number, the byte at which an item under 8 bytes first ends as whole words."""
         found: dict[int, int] = {}
