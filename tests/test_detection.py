@@ -172,6 +172,14 @@ def test_blob_budget(spark):
     assert {r["doc_id"]: (r["n"], r["ok"], r["over"]) for r in rows} == {0: (2, 2, False), 1: (130, 128, True)}
 
 
+def test_blobs_of_24_characters_with_padding(spark):
+    import base64
+
+    texts = [b"x" * 15, b"y" * 16, b"z" * 17, b"w" * 18]
+    df = spark.createDataFrame([(i, f"x {base64.b64encode(t).decode()} y") for i, t in enumerate(texts)], "doc_id int, text string")
+    assert sorted((r["doc_id"], r["decoded"]) for r in blobs.decode_blobs(df).collect()) == [(i, t.decode()) for i, t in enumerate(texts) if len(t) >= 16]
+
+
 def test_jwt_header(spark):
     import base64
 

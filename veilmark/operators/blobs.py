@@ -9,9 +9,10 @@ from veilmark.operators.spans import Pattern, islands, let, listed, quoted, runn
 
 #: Most decoded bytes of a blob, blobs of a text, and decoded bytes of a text.
 BLOB_BYTES, TEXT_BLOBS, TEXT_BYTES = 64_000, 128, 512_000
-#: A wrapped run is only looked for where a run starts, as from within it no other match could be had: a long run stays linear.
+#: A run of base64 has 24 characters, its padding counted: payloads from 16 bytes on. A wrapped run is only looked for where a run
+#: starts, as from within it no other match could be had: a long run stays linear.
 _SHAPES = [
-    Pattern(0, "base64", "blob", 1.0, r"[A-Za-z0-9+/_-]{24,}={0,2}"),
+    Pattern(0, "base64", "blob", 1.0, r"[A-Za-z0-9+/_-]{24,}={0,2}|[A-Za-z0-9+/_-]{23}=|[A-Za-z0-9+/_-]{22}=="),
     Pattern(1, "wrapped", "blob", 1.0, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,})+={0,2}", ("\n",)),
     Pattern(2, "hex", "blob", 1.0, r"\b[0-9A-Fa-f]{32,}\b"),
 ]
