@@ -122,6 +122,31 @@ def test_scrub_summary(spark):
     assert tuple(rewrite.scrub_summary(df, limit=100).first()) == (1, 2, 1)
 
 
+def test_spans_without_ends_open_nothing(spark):
+    rows = [(1, "t", None, None, 0.9), (1, "t", 0, 5, 0.1), (1, "t", 5, None, 0.2), (1, "t", 5, 8, 0.3), (1, "t", 7, 9, 0.4)]
+    df = spark.createDataFrame(rows, "doc_id int, entity_type string, start int, end int, confidence double")
+    got = spans.merge_same_type(df).select("start", "end", "confidence").collect()
+    assert sorted(map(tuple, got)) == [(0, 5, 0.1), (5, 9, 0.9)]
+    fits = spans.first_fit(df.withColumns({"rule_ord": F.lit(1), "value": F.lit("v")})).select("start", "end").collect()
+    assert sorted(map(tuple, fits)) == [(0, 5), (5, 8)]
+    assert [r[0] for r in spans.outermost(df.filter("end is null or end = 8").select("doc_id", "start", "end", "confidence"), "doc_id").select("confidence").orderBy("confidence").collect()] == [0.2, 0.3, 0.9]
+
+
+def test_quantities_round_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from veilmark.plans import planning
+
+    lineitem = f"{tmp_path}/lineitem.parquet"
+    duckdb.sql(f"copy (select * replace (l_quantity + 0.5 as l_quantity, case when l_linenumber = 2 then null else l_partkey end as l_partkey) from '/root/testdata/sf0.001/lineitem.parquet' where l_orderkey < 200) to '{lineitem}' (format parquet)")
+    connection = duckdb.connect()
+    connection.sql(f"create view lineitem as select * from '{lineitem}'")
+    for name in ("same_type_spans", "first_fit_spans", "outermost_regions"):
+        df = planning.queries()[name](spark, str(tmp_path))
+        wanted = connection.sql(f"select {', '.join(df.columns)} from ({planning.oracle_sql()[name]})").fetchall()
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, wanted)), name
+
+
 def test_outermost_regions(spark):
     rng = random.Random(1)
     rows = [(rng.randint(0, 3), s := rng.randint(0, 30), s + rng.randint(1, 10), i) for i in range(80)]

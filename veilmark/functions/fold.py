@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def fold_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[Any, dict], tuple[Any, dict]], add: str) -> DataFrame:
+def fold_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], step: Callable[[Any, dict], tuple[Any, dict]], add: str) -> DataFrame:
     """`df` with the columns `add` (DDL) that `step(state, row) -> (state, {column: value})` gives, row after row of each key.
 
     The state starts as None. Spark partitions by key and sorts within; a key with very many rows streams through its

@@ -112,14 +112,14 @@ def same_type_spans(spark, sf_dir):
     """Line items of an order as spans of types by line status, confidences by discount."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_linestatus").alias("entity_type"), (F.col("l_partkey") % 40).cast("int").alias("start"),
-        (F.col("l_partkey") % 40 + 1 + F.col("l_quantity").cast("int") % 12).cast("int").alias("end"), F.col("l_discount").alias("confidence"),
+        (F.col("l_partkey") % 40 + 1 + F.rint("l_quantity").cast("int") % 12).cast("int").alias("end"), F.col("l_discount").alias("confidence"),
     )
     return spans.merge_same_type(rows).select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "confidence")
 
 
 def first_fit_spans(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_partkey") % 40 + 1 + F.col("l_quantity").cast("int") % 12).cast("int").alias("end"),
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_partkey") % 40 + 1 + F.rint("l_quantity").cast("int") % 12).cast("int").alias("end"),
         "l_linenumber", F.lit("t").alias("entity_type"), F.lit("v").alias("value"),
     ).withColumnRenamed("l_linenumber", "rule_ord")
     return spans.first_fit(rows).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
@@ -127,7 +127,7 @@ def first_fit_spans(spark, sf_dir):
 
 def outermost_regions(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("int")).alias("end"), "l_orderkey", "l_linenumber",
+        F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.rint("l_quantity").cast("int")).alias("end"), "l_orderkey", "l_linenumber",
     )
     return spans.outermost(rows, "page").select("l_orderkey", "l_linenumber")
 
