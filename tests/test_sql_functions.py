@@ -41,3 +41,10 @@ def test_left_join_and_choice_of_rules(spark):
     assert [tuple(r) for r in rows] == [(1, "email", "ann@corp.example"), (2, None, None)]
     total = spark.sql("SELECT doc_id, (SELECT count(*) FROM mails(text)) AS n FROM two_docs ORDER BY doc_id").collect()
     assert [tuple(r) for r in total] == [(1, 1), (2, 0)]
+
+
+def test_listed_scan_is_computed_once(spark):
+    from veilmark.plans import extended
+
+    plan = extended.sql_findings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "Filter (size(" not in plan

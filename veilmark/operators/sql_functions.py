@@ -54,7 +54,8 @@ def register(spark: SparkSession, enabled: Iterable[str] | None = None, disabled
     """Makes the scan two temporary functions of the session, built-in SQL alone.
 
     `find_spans(text)` gives an array of struct<start, end, entity_type, value, confidence, source, rule_ord>, which a
-    select around it may list by `LATERAL inline(...)`; nothing is joined. `detect_spans(text)` is the same
+    select around it may list by `LATERAL inline_outer(...)` where `start` is not null; nothing is joined. (By an inner `inline`
+    the optimizer would compute the scan a second time, as a filter on the array's size.) `detect_spans(text)` is the same
     as a table function; Spark plans a call for each row of a table as a join with the distinct texts, so for large
     tables take the first. A null text has no findings; a left join that keeps its row takes the function in a select
     of its own: `LEFT JOIN LATERAL (SELECT * FROM detect_spans(text)) ON true`.

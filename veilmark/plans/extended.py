@@ -127,7 +127,7 @@ def sql_findings(spark, sf_dir):
     """The scan from SQL, by the function that gives an array."""
     sql_functions.register(spark)
     documents(spark, sf_dir).createOrReplaceTempView("scanned_documents")
-    return spark.sql("SELECT entity_type, source, count(*) AS n, sum(s.`start`) AS starts FROM (SELECT find_spans(text) AS found FROM scanned_documents) d, LATERAL inline(found) s GROUP BY ALL")
+    return spark.sql("SELECT entity_type, source, count(*) AS n, sum(s.`start`) AS starts FROM (SELECT find_spans(text) AS found FROM scanned_documents) d, LATERAL inline_outer(found) s WHERE s.`start` IS NOT NULL GROUP BY ALL")
 
 
 def sql_table_findings(spark, sf_dir):
