@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql.window import Window
 from veilmark.functions import path_tables as T
 from veilmark.functions.paths import any_of, canonical_ignore_line, is_allowlisted, is_ignored, matches_glob, sensitive_pattern, under_skipped
 
+#: Rules that share a number, a bit each.
+_BITS = 60
+
 
 def parse_ignore_files(files: DataFrame) -> DataFrame:
     """(file, n, line) of ignore files (file, contents): trimmed lines that are neither empty nor comments."""
@@ -118,30 +122,39 @@ def audit_roots(paths: DataFrame, lines_by_file: Mapping[str, Sequence[str]], ru
     """The status and score of each root of a listing (root, path): root, n_exposed, n_rules (satisfied ones), score, status.
 
     The same weights and levels as `privacy_score` and `audit_status`, as sums for each root with partial aggregates, so
-    a root of any size is spread; repeated paths count once. A root whose paths are all null has nothing.
+    a root of any size is spread; repeated paths count once. Rules are bits of a number, so only exposed paths are told
+    apart, and all others of a root are one row from the first aggregate on. A root whose paths are all null has nothing.
     """
     rules = rules if rules is not None else T.privacy_rules()
     severity = F.create_map(*[F.lit(x) for i, level, _, _ in T.SENSITIVE_PATTERNS for x in (i, level)])
     lost = {r[0]: {"required": 15, "recommended": 3}.get(r[2], 0) if r[4] else 0 for r in rules}
     asked = [r[0] for r in rules if r[2] in ("required", "recommended")]
     p, zero = F.col("path"), F.lit(0).cast("bigint")
-    rows = paths.select("root", "path").distinct()
     open_path = ~is_allowlisted(p) & ~ignored_by_any(p, lines_by_file)
-    level = severity[F.when(open_path, sensitive_pattern(p))]
-    exposed = rows.select("root", level.alias("level")).groupBy("root").agg(
+    met = [F.when(matches_glob(p, *r[3]), F.lit(1 << (i % _BITS)).cast("bigint")).otherwise(zero) for i, r in enumerate(rules)]
+    parts = {f"met_{i}": functools.reduce(Column.bitwiseOR, met[i : i + _BITS]) for i in range(0, len(met), _BITS)}
+    union = lambda: [F.bit_or(c).alias(c) for c in parts]
+    rows = paths.select("root", "path", *[v.alias(c) for c, v in parts.items()], F.when(open_path, sensitive_pattern(p)).alias("pattern"))
+    rows = rows.select("root", F.when(F.col("pattern").isNotNull(), p).alias("path"), severity[F.col("pattern")].alias("level"), *parts)
+    rows = rows.groupBy("root", "path", "level").agg(*union()) if parts else rows.distinct()
+    rows = rows.groupBy("root").agg(
         F.count("level").alias("n_exposed"), F.coalesce(F.sum(F.when(F.col("level") == "required", 25).when(F.col("level") == "recommended", 10).when(F.col("level").isNotNull(), 4)), zero).alias("a"),
-        F.coalesce(F.bool_or(F.col("level") == "required"), F.lit(False)).alias("fail"), F.coalesce(F.bool_or(F.col("level") == "recommended"), F.lit(False)).alias("warn"),
+        F.coalesce(F.bool_or(F.col("level") == "required"), F.lit(False)).alias("fail"), F.coalesce(F.bool_or(F.col("level") == "recommended"), F.lit(False)).alias("warn"), *union(),
     )
-    hits = F.array_compact(F.array(*[F.when(matches_glob(p, *r[3]), F.lit(r[0])) for r in rules]))
-    weight = F.create_map(*[F.lit(x) for pair in lost.items() for x in pair])
-    found = rows.select("root", F.explode(hits).alias("rule")).distinct().groupBy("root").agg(
-        F.count("*").alias("n_rules"), F.sum(weight[F.col("rule")]).alias("kept"), F.count(F.when(F.col("rule").isin(*asked), 1)).alias("n_asked")
-    )
-    rows = exposed.withColumnRenamed("root", "of_root").join(found, F.col("of_root").eqNullSafe(F.col("root")), "left")
+
+    def total(weights: list[int]) -> Column:
+        """The weights of the rules that are met: for each number and weight, how many of its bits are set."""
+        masks: dict[tuple[str, int], int] = {}
+        for i, w in enumerate(weights):
+            part = f"met_{i - i % _BITS}"
+            masks[part, w] = masks.get((part, w), 0) | 1 << (i % _BITS)
+        return sum((F.bit_count(F.col(part).bitwiseAND(F.lit(mask).cast("bigint"))) * F.lit(w) for (part, w), mask in masks.items() if w), zero)
+
+    rows = rows.withColumns({"n_rules": total([1] * len(rules)), "n_asked": total([int(r[0] in asked) for r in rules]), "kept": total([lost[r[0]] for r in rules])})
     score = F.greatest(zero, 100 - F.col("a") - (sum(lost.values()) - F.coalesce("kept", zero)))
     warn = F.col("warn") | (F.coalesce("n_asked", zero) < len(asked))
     status = F.when(F.col("fail"), "fail").when(warn, "warning").otherwise("pass")
-    return rows.select(F.col("of_root").alias("root"), "n_exposed", F.coalesce("n_rules", zero).alias("n_rules"), score.cast("bigint").alias("score"), status.alias("status"))
+    return rows.select("root", "n_exposed", F.coalesce("n_rules", zero).cast("bigint").alias("n_rules"), score.cast("bigint").alias("score"), status.alias("status"))
 
 
 def check_totals(exposed: DataFrame) -> DataFrame:

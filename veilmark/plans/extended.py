@@ -157,7 +157,7 @@ def root_scores(spark, sf_dir):
     kinds = [asked, [*asked, "var/app.log"], [*asked, "infra/prod.tfstate"], [*(p for p in asked if p != ".zedignore"), "ops/master.key"], ["src/main.rs", *(f"a{i}/.env" for i in range(6))], [".cursorignore"]]
     files = F.element_at(F.array(*[F.array(*map(F.lit, k)) for k in kinds]), (F.col("c_custkey") % 6 + 1).cast("int"))
     more = F.when((F.col("c_custkey") % 6 == 3) & (F.col("c_nationkey") % 4 > 0), F.transform(F.sequence(F.lit(1), F.col("c_nationkey") % 4), lambda i: F.concat(F.lit("n"), i.cast("string"), F.lit("/.env"))))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), F.explode(F.concat(files, F.coalesce(more, F.array().cast("array<string>")))).alias("path"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).select(F.col("c_custkey").alias("root"), F.explode(F.concat(files, F.coalesce(more, F.array().cast("array<string>")))).alias("path"))
     return audit.audit_roots(rows, {}).select("root", "n_exposed", "score", "status")
 
 
