@@ -98,3 +98,15 @@ def test_regions(spark):
     for d, page, text in pages:
         covered = {k for w in wanted if w[:2] == (d, page) for k in range(w[3], w[4])}
         assert d is None or black[d, page] == (None if text is None else "".join("█" if k in covered else c for k, c in enumerate(text)))
+
+
+def test_places_are_handed_on_in_parts():
+    import pyarrow as pa
+
+    wanted = [{"value_id": 1, "value": "é"}, {"value_id": 2, "value": "x"}]
+    given = pa.RecordBatch.from_pylist([{"doc_id": d, "page": 0, "text": text, "wanted": wanted} for d, text in ((1, "E" * 50_000), (2, "x"), (3, ""))])
+    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("value_id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+    parts = list(regions._searched(iter([given, given]), schema))
+    assert max(p.num_rows for p in parts) <= 1 << 14
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert len(rows) == 100_002 and [r["start"] for r in rows[:50_000]] == list(range(50_000)) and rows[50_000] == {"doc_id": 2, "page": 0, "value_id": 2, "start": 0, "end": 1}

@@ -44,6 +44,37 @@ def places(text: str, values: dict[str, list], automaton: ahocorasick.Automaton)
         yield origin[start], end, value
 
 
+#: Places that a task gathers before it hands them on.
+_PLACES = 1 << 14
+
+
+def _searched(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The places in batches of (doc_id, page, text, wanted), handed on before they are many, in the midst of a text too."""
+    known, automaton, by_value = None, None, {}
+    found: list[list] = [[] for _ in schema]
+    for batch in batches:
+        for row in range(batch.num_rows):
+            doc, page, text, wanted = (batch.column(c)[row].as_py() for c in range(4))
+            if wanted != known:
+                known, automaton, by_value = wanted, ahocorasick.Automaton(), {}
+                for w in wanted:
+                    low = folded(w["value"])[0]
+                    if low:
+                        by_value.setdefault(low, w["value_id"])
+                for low in by_value:
+                    automaton.add_word(low, low)
+                automaton.make_automaton()
+            if not by_value:
+                continue
+            for start, end, low in places(text, by_value, automaton):
+                for column, value in zip(found, (doc, page, by_value[low], start, end), strict=True):
+                    column.append(value)
+                if len(found[0]) >= _PLACES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], schema=schema)
+                    found = [[] for _ in schema]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], schema=schema)
+
+
 def find_regions(pages: DataFrame, values: DataFrame) -> DataFrame:
     """(doc_id, page, value_id, start, end): every place in a document's pages where one of its values stands.
 
@@ -59,30 +90,8 @@ def find_regions(pages: DataFrame, values: DataFrame) -> DataFrame:
     rows = pages.select("doc_id", "page", "text").filter("text is not null").join(by_doc, "doc_id")
     out = f"doc_id {kinds['doc_id']}, page {kinds['page']}, value_id {ids}, start int, end int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, automaton, by_value = None, None, {}
-        for batch in batches:
-            found: dict[str, list] = {"doc_id": [], "page": [], "value_id": [], "start": [], "end": []}
-            for row in range(batch.num_rows):
-                doc, page, text, wanted = (batch.column(c)[row].as_py() for c in range(4))
-                if wanted != known:
-                    known, automaton, by_value = wanted, ahocorasick.Automaton(), {}
-                    for w in wanted:
-                        low = folded(w["value"])[0]
-                        if low:
-                            by_value.setdefault(low, w["value_id"])
-                    for low in by_value:
-                        automaton.add_word(low, low)
-                    automaton.make_automaton()
-                if not by_value:
-                    continue
-                for start, end, low in places(text, by_value, automaton):
-                    for column, value in zip(found.values(), (doc, page, by_value[low], start, end), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_pydict(found, schema=schema)
-
     schema = to_arrow_schema(StructType.fromDDL(out))
-    return rows.select("doc_id", "page", "text", "wanted").mapInArrow(run, out)
+    return rows.select("doc_id", "page", "text", "wanted").mapInArrow(lambda batches: _searched(batches, schema), out)
 
 
 def redaction_plan(pages: DataFrame, values: DataFrame) -> DataFrame:
