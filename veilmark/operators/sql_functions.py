@@ -39,15 +39,11 @@ def plausible_sql(kind: str, value: str) -> str:
 def detect_sql(text: str, rules: list[Rule]) -> str:
     """SQL of a text's findings as an array: matches behind their guards, overlaps resolved, what is implausible or within a sealed value left out."""
 
-    def spans(chosen: list[Rule]) -> str:
-        rows = ", ".join(S.let("gaps", S.gaps("pair.t", S.guarded("pair.low", r), r), S._matches("pair.t", "gaps", i, r)) for i, r in enumerate(chosen))
-        return f"cast({S._placed(f'array({rows})', chosen)} as {S._RAW})" if chosen else S._NONE
-
     own = f"f.entity_type in ({', '.join(map(S.quoted, CRITICAL))}) and not rlike(f.value, {S.quoted(SEAL_TOKEN_INNER)})"
     free = f"size(both.tokens) = 0 or ({own}) or not exists(both.tokens, k -> f.`start` >= k.`start` and f.`end` <= k.`end`)"
     kept = f"filter({S._resolved('both.raw')}, f -> ({plausible_sql('f.entity_type', 'f.value')}) and ({free}))"
-    found = S.let("both", f"named_struct('raw', {spans(rules)}, 'tokens', {spans([S._SEAL_RULE])})", S._public(kept))
-    return S.let("pair", f"named_struct('t', coalesce({text}, ''), 'low', lower(concat(' ', coalesce({text}, ''))))", found)
+    found = S.let("both", f"named_struct('raw', {S.raw_spans('doc_text', rules)}, 'tokens', {S.raw_spans('doc_text', [S._SEAL_RULE])})", S._public(kept))
+    return S.let("doc_text", f"coalesce({text}, '')", found)
 
 
 def register(spark: SparkSession, enabled: Iterable[str] | None = None, disabled: Iterable[str] = (), table_name: str = "detect_spans", array_name: str = "find_spans") -> None:
