@@ -15,6 +15,8 @@ from veilmark.operators.spans import detect, listed, with_findings
 #: Characters of a window, and by how many it begins before its own part and ends behind it.
 WINDOW, OVERLAP = 200_000, 8192
 _FAR, _BLANKS = 64, " \n"
+#: Characters of windows that are handed on at once, and the most windows.
+_HANDED, _MOST = 1 << 20, 4096
 
 
 def cut(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -34,15 +36,24 @@ def cut(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, overlap
         after = min((p for p in (text.find(c, stop, far_stop) for c in _BLANKS) if p >= 0), default=-1)
         return (before if before else far_start), (after if after >= 0 else far_stop)
 
+    def handed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), arrow_schema, strict=True)], schema=arrow_schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, text = (batch.column(c)[i].as_py() for c in range(2))
                 for own in range(0, max(len(text), 1), window):
                     end = min(own + window, len(text))
                     start, stop = bounds(text, own, end)
-                    row = [doc], [own], [end], [start], [text[start:stop]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, arrow_schema, strict=True)], schema=arrow_schema)
+                    held.append((doc, own, end, start, text[start:stop]))
+                    size += stop - start
+                    if size >= _HANDED or len(held) >= _MOST:
+                        yield handed(held)
+                        held, size = [], 0
+        if held:
+            yield handed(held)
 
     return rows.mapInArrow(run, schema)
 
