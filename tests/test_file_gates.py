@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from veilmark.functions import paths
 from veilmark.operators import file_gates, gates, rewrite
 
 KEY = bytes(range(32))
@@ -155,3 +156,11 @@ def test_search_says_what_was_not_read(spark, files):
     got = {r["event_id"]: tuple(r)[1:] for r in gates.search_gate(df, files, limit=1000).collect()}
     assert got == {0: ("allow", None), 1: ("deny", 2), 2: ("allow", 0), 3: ("allow", 0)}
     assert {r["event_id"]: r["decision"] for r in gates.search_gate(df, files, limit=None).collect()}[0] == "deny"
+
+
+def test_resolved_paths_are_left_alone(spark):
+    names = ["/a/b", "a/b.c", "", "/", "a/", "//a", "./a", "a/./b", "a/../b", "..", "...", "a/...", ".a/b.", "a\\b", "/..", ".", None]
+    rows = spark.createDataFrame([(n,) for n in names], "p string").select(paths.resolve_path(F.col("p"))).collect()
+    assert [r[0] for r in rows] == ["/a/b", "a/b.c", "", "/", "a", "/a", "a", "a/b", "b", "", "...", "a/...", ".a/b.", "a/b", "/", "", None]
+    plan = spark.range(1).select(paths.resolve_path(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("aggregate(")  # the walk over segments comes behind a test

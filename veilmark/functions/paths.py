@@ -204,7 +204,8 @@ def resolve_path(path: Column) -> Column:
         parts, F.array().cast("array<string>"),
         lambda a, s: F.when(s.isin("", "."), a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))),
     )
-    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
+    resolved = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when(path.rlike(r"\\|//|(?:^|/)\.\.?(?:/|$)|/$|^$"), resolved).otherwise(path)  # most are so already
 
 
 def is_safe_relative(path: Column) -> Column:
