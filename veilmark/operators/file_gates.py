@@ -85,12 +85,13 @@ def prompt_gate(
     prompt = F.coalesce(F.get_json_object(payload, "$.prompt"), F.get_json_object(payload, "$.tool_info.user_prompt"))
     reason = F.when(F.octet_length(payload) > INPUT_LIMIT, "stdin_too_large").when(~_valid(payload), "invalid_json").when(prompt.isNull(), "missing_prompt")
     rows = events.select(id_col, payload_col, _key_of(id_col, payload_col).alias("event_key"), reason.alias("reason"), F.when(reason.isNull(), prompt).alias("text"))
-    named = rows.filter("reason is null").dropDuplicates(["event_key"])
-    named = named.select("event_key", F.get_json_object(payload, "$.cwd").alias("cwd"), F.posexplode(F.concat(attached(payload), mentioned(F.col("text")))).alias("place", "raw"))
-    covers = [f"{p}**" if p.endswith("/") else p for p in excluded]
+    cwd, covers = F.get_json_object(payload, "$.cwd"), [f"{p}**" if p.endswith("/") else p for p in excluded]
+    raw = F.concat(attached(payload), mentioned(F.col("text")))
     if covers:
-        named = named.filter(~is_excluded(F.regexp_replace("raw", r"^(?:\./)+", ""), covers))
-    named = named.select("event_key", "place", _located(F.col("raw"), F.col("cwd")).alias("path"))
+        raw = F.filter(raw, lambda p: ~is_excluded(F.regexp_replace(p, r"^(?:\./)+", ""), covers))
+    # only keys and places shuffle, once for both uses: what files are wanted, and who names them
+    named = rows.filter("reason is null").select("event_key", F.transform(raw, lambda p: _located(p, cwd)).alias("paths")).distinct()
+    named = named.select("event_key", F.posexplode_outer("paths").alias("place", "path")).filter("path is not null")
     sealing = key if policy == "block" else None
     scanned = _scanned_files(files, named, limit, sealing, secrets_only).filter("not too_large")
     by_event = named.join(scanned, "path").groupBy("event_key").agg(
