@@ -89,7 +89,7 @@ def prompt_gate(
     raw = F.concat(attached(payload), mentioned(F.col("text")))
     if covers:
         raw = F.filter(raw, lambda p: ~is_excluded(F.regexp_replace(p, r"^(?:\./)+", ""), covers))
-    # only keys and places shuffle, once for both uses: what files are wanted, and who names them
+    # keys and places shuffle, not payloads
     named = rows.filter("reason is null").select("event_key", F.transform(raw, lambda p: _located(p, cwd)).alias("paths")).distinct()
     named = named.select("event_key", F.posexplode_outer("paths").alias("place", "path")).filter("path is not null")
     sealing = key if policy == "block" else None
